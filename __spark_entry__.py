@@ -63,6 +63,62 @@ def q_journal_codec_roundtrip(spark, sf_dir):
     return B.item_quantity_by_day(back)
 
 
+def _commands(spark, sf_dir):
+    return X.command_log(spark, sf_dir)
+
+
+def _cart_pipeline(spark, sf_dir):
+    return B.command_pipeline(_commands(spark, sf_dir))
+
+
+def q_command_verdicts(spark, sf_dir):
+    verdicts, _, _ = _cart_pipeline(spark, sf_dir)
+    return verdicts.select("member_id", "seq", "command", "verdict")
+
+
+def q_cart_events(spark, sf_dir):
+    _, _, journal = _cart_pipeline(spark, sf_dir)
+    return journal.select("persistence_id", "seq_nr", "event_type", F.col("item.product_id").alias("product_id"),
+                          F.col("item.quantity").alias("quantity"), "amount", "cart_id")
+
+
+def q_checkout_items(spark, sf_dir):
+    _, _, journal = _cart_pipeline(spark, sf_dir)
+    return journal.where(F.col("event_type") == "ItemPurchased").select(
+        "persistence_id", "seq_nr", "cart_id", F.col("item.product_id").alias("product_id"),
+        F.col("item.vendor_id").alias("vendor_id"), F.col("item.price").alias("price"),
+        F.col("item.quantity").alias("quantity"))
+
+
+def q_replay_carts(spark, sf_dir):
+    _, _, journal = _cart_pipeline(spark, sf_dir)
+    return C.replay_carts(journal)
+
+
+# Snapshot point of the registered T4 query: every cart as of this instant.
+SNAPSHOT_BEFORE = "2024-01-15T00:00:00Z"
+
+
+def q_replay_from_snapshot(spark, sf_dir):
+    """T4 law on the whole log: snapshot each cart at a cut point (S12),
+    then replay snapshot + tail; must equal the full replay."""
+    _, _, journal = _cart_pipeline(spark, sf_dir)
+    head = journal.where(F.col("event_time") < F.lit(SNAPSHOT_BEFORE))
+    snaps = C.snapshot_from_lines(C.replay_carts(head), head)
+    return C.replay_from_snapshot(journal, snaps)
+
+
+def q_cart_contents(spark, sf_dir):
+    cmds = _commands(spark, sf_dir)
+    _, _, journal = B.command_pipeline(cmds)
+    members = cmds.select(F.concat(F.lit("cart-"), F.col("member_id")).alias("persistence_id"))
+    c = C.cart_contents(journal, members)
+    return c.select("persistence_id", F.size("items").alias("item_count"),
+                    F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["quantity"]).alias("total_quantity"),
+                    F.array_join(F.transform("items", lambda i: i["product_id"]), ",").alias("products"),
+                    "cart_id")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the popular-items read side over the sf0.001 purchases."""
     return q_item_quantity_by_day(spark, SMOKE_DIR)
@@ -77,6 +133,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "purchases_by_cart": q_purchases_by_cart,
         "purchase_records": q_purchase_records,
         "journal_codec_roundtrip": q_journal_codec_roundtrip,
+        "command_verdicts": q_command_verdicts,
+        "cart_events": q_cart_events,
+        "checkout_items": q_checkout_items,
+        "replay_carts": q_replay_carts,
+        "replay_from_snapshot": q_replay_from_snapshot,
+        "cart_contents": q_cart_contents,
     }
 
 
@@ -115,6 +177,105 @@ def _java_hash_sql(expr: str) -> str:
     return f"(CASE WHEN {h} >= 2147483648 THEN {h} - 4294967296 ELSE {h} END)"
 
 
+# The command log and a brute-force fold: each row's cart state is the
+# reduction of every earlier row of its (member, product, epoch).
+_ABSENT = -1000000000
+_STEP = (f"lambda acc, x: CASE WHEN x.c = 'AddItem' THEN (CASE WHEN acc = {_ABSENT} THEN x.q ELSE acc END) "
+         f"WHEN x.c = 'RemoveItem' THEN {_ABSENT} "
+         f"WHEN acc = {_ABSENT} THEN {_ABSENT} WHEN acc + x.d > 0 THEN acc + x.d ELSE acc END")
+
+_COMMANDS = f"""
+  SELECT {_u("'member-' || CAST(user_id AS VARCHAR)")} AS member_id, event_id AS seq,
+         CASE event_type WHEN 'signup' THEN 'AddItem' WHEN 'click' THEN 'AdjustQuantity'
+              WHEN 'view' THEN 'AdjustQuantity' WHEN 'error' THEN 'RemoveItem' ELSE 'Checkout' END AS command,
+         {_u("'product-' || CAST(k % 10 AS VARCHAR)")} AS product,
+         {_u("'vendor-' || CAST(k % 3 AS VARCHAR)")} AS vendor_id, value AS price,
+         'product-' || CAST(k % 10 AS VARCHAR) AS name,
+         CASE WHEN event_type = 'signup' THEN CAST(1 + k % 5 AS INTEGER) END AS add_qty,
+         CASE WHEN event_type = 'click' THEN CAST(1 + k % 3 AS INTEGER)
+              WHEN event_type = 'view' THEN CAST(-(1 + k % 3) AS INTEGER) END AS delta
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+  WHERE event_type IN ('signup', 'click', 'view', 'error', 'purchase')
+"""
+
+_FOLDED = f"""
+  WITH e AS (
+    SELECT *, coalesce(max(CASE WHEN command = 'Checkout' THEN seq END) OVER (
+                PARTITION BY member_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS epoch
+    FROM ({_COMMANDS}) c),
+  p AS (
+    SELECT *,
+      coalesce(list({{'c': command, 'q': add_qty, 'd': delta}}) OVER (
+        PARTITION BY member_id, product, epoch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        CAST([] AS STRUCT(c VARCHAR, q INTEGER, d INTEGER)[])) AS hist,
+      list({{'c': command, 'q': add_qty, 'd': delta}}) OVER (
+        PARTITION BY member_id, product, epoch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+        AS whole
+    FROM e WHERE command <> 'Checkout'),
+  s AS (
+    SELECT *, list_reduce(hist, {_STEP}, {_ABSENT}) AS q_before, list_reduce(whole, {_STEP}, {_ABSENT}) AS q_end
+    FROM p)
+  SELECT *, CASE
+      WHEN command = 'AddItem' AND q_before <> {_ABSENT} THEN 'ItemAlreadyInCart'
+      WHEN command IN ('RemoveItem', 'AdjustQuantity') AND q_before = {_ABSENT} THEN 'ItemNotInCart'
+      WHEN command = 'AdjustQuantity' AND q_before + delta <= 0 THEN 'NegativeQuantity' END AS verdict
+  FROM s
+"""
+
+_ENDS = f"""
+  SELECT member_id, epoch, product, max(q_end) AS quantity,
+         arg_max(vendor_id, seq) FILTER (WHERE command = 'AddItem' AND verdict IS NULL) AS vendor_id,
+         arg_max(price, seq) FILTER (WHERE command = 'AddItem' AND verdict IS NULL) AS price,
+         arg_max(name, seq) FILTER (WHERE command = 'AddItem' AND verdict IS NULL) AS name
+  FROM ({_FOLDED}) f GROUP BY ALL HAVING max(q_end) <> {_ABSENT}
+"""
+
+_CHECKOUTS = f"""
+  SELECT c.member_id, c.seq, c.epoch,
+         CASE WHEN EXISTS (SELECT 1 FROM ({_ENDS}) n WHERE n.member_id = c.member_id AND n.epoch = c.epoch)
+              THEN NULL ELSE 'EmptyCartCheckout' END AS verdict
+  FROM (SELECT *, coalesce(max(CASE WHEN command = 'Checkout' THEN seq END) OVER (
+              PARTITION BY member_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS epoch
+        FROM ({_COMMANDS}) x) c
+  WHERE c.command = 'Checkout'
+"""
+
+
+def _cart_id_sql(member: str, epoch: str) -> str:
+    return _u(f"'cart/' || {member} || '/' || CAST({epoch} AS VARCHAR)")
+
+
+_EVENTS = f"""
+  WITH ev AS (
+    SELECT member_id, seq, 0 AS sub, epoch,
+           CASE command WHEN 'AddItem' THEN 'ItemAdded' WHEN 'RemoveItem' THEN 'ItemRemoved'
+                ELSE (CASE WHEN delta > 0 THEN 'ItemQuantityIncreased' ELSE 'ItemQuantityDecreased' END) END
+             AS event_type,
+           product AS product_id,
+           CAST(CASE WHEN command = 'AddItem' THEN add_qty ELSE q_before END AS INTEGER) AS quantity,
+           CAST(CASE WHEN command = 'AdjustQuantity' THEN abs(delta) END AS INTEGER) AS amount
+    FROM ({_FOLDED}) f WHERE verdict IS NULL
+    UNION ALL
+    SELECT c.member_id, c.seq, row_number() OVER (PARTITION BY c.member_id, c.seq ORDER BY n.product) AS sub,
+           c.epoch, 'ItemPurchased', n.product, CAST(n.quantity AS INTEGER), CAST(NULL AS INTEGER)
+    FROM ({_CHECKOUTS}) c JOIN ({_ENDS}) n ON n.member_id = c.member_id AND n.epoch = c.epoch
+    WHERE c.verdict IS NULL)
+  SELECT 'cart-' || member_id AS persistence_id,
+         CAST(row_number() OVER (PARTITION BY member_id ORDER BY seq, sub) AS BIGINT) AS seq_nr,
+         event_type, product_id, quantity, amount, {_cart_id_sql('member_id', 'epoch')} AS cart_id
+  FROM ev
+"""
+
+_LINES = f"""
+  SELECT 'cart-' || n.member_id AS persistence_id, n.product AS product_id, n.vendor_id,
+         n.name, n.price, CAST(n.quantity AS INTEGER) AS quantity,
+         {_cart_id_sql('n.member_id', 'n.epoch')} AS cart_id
+  FROM ({_ENDS}) n
+  JOIN (SELECT member_id, coalesce(max(CASE WHEN command = 'Checkout' THEN seq END), -1) AS cur
+        FROM ({_COMMANDS}) c GROUP BY member_id) m ON m.member_id = n.member_id AND m.cur = n.epoch
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "item_quantity_by_day": _BY_DAY,
@@ -151,4 +312,25 @@ def oracle_sql() -> dict[str, str]:
            AS value
   FROM ({_PURCHASES}) p""",
         "journal_codec_roundtrip": _BY_DAY,
+        "command_verdicts": f"""
+  SELECT member_id, seq, command, verdict FROM ({_FOLDED}) f
+  UNION ALL
+  SELECT member_id, seq, 'Checkout' AS command, verdict FROM ({_CHECKOUTS}) c""",
+        "cart_events": _EVENTS,
+        "checkout_items": f"""
+  SELECT persistence_id, seq_nr, cart_id, product_id, vendor_id, price, quantity FROM (
+    SELECT e.*, n.vendor_id, n.price FROM ({_EVENTS}) e
+    JOIN ({_ENDS}) n ON e.persistence_id = 'cart-' || n.member_id AND e.product_id = n.product
+     AND e.cart_id = {_cart_id_sql('n.member_id', 'n.epoch')}
+    WHERE e.event_type = 'ItemPurchased')""",
+        "replay_carts": _LINES,
+        "replay_from_snapshot": _LINES,
+        "cart_contents": f"""
+  SELECT m.persistence_id, CAST(count(l.product_id) AS INTEGER) AS item_count,
+         CAST(coalesce(sum(l.quantity), 0) AS BIGINT) AS total_quantity,
+         coalesce(array_to_string(list_sort(list(l.product_id)), ','), '') AS products,
+         max(l.cart_id) AS cart_id
+  FROM (SELECT DISTINCT 'cart-' || member_id AS persistence_id FROM ({_COMMANDS}) c) m
+  LEFT JOIN ({_LINES}) l ON l.persistence_id = m.persistence_id
+  GROUP BY m.persistence_id""",
     }

@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 # settings win because getOrCreate() keeps an existing session untouched.
 _DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "8g",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -63,3 +65,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(checkpoint_root(spark), *parts)
+
+
+def materialize(df):
+    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
+
+    Used where a result is read several times (the fold output) or where a
+    plan would otherwise be re-expanded at every use. Survives executor loss
+    (unlike a local checkpoint or a cache).
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
