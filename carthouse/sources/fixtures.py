@@ -35,6 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than there are cores.
+
+    A single-row-group file is read by one task, which would then run every
+    per-row expression alone. A large input has at least as many splits as
+    cores and is left untouched (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def vendor_uuid(key) -> F.Column:
     return name_uuid(F.concat(F.lit(VENDOR_PREFIX), key.cast("string")))
 
@@ -59,8 +72,8 @@ def zone_offset_minutes(custkey) -> F.Column:
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat purchase rows with integer keys (the DuckDB-checkable mapping)."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                 "l_quantity")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                        "l_quantity"))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     return (li.join(od, li.l_orderkey == od.o_orderkey)
@@ -113,7 +126,7 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     (event ids follow ts in the data; the cart operators order by ``seq``);
     product = k mod 10 and vendor = k mod 3 so carts collide; price = value.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"))
     k = F.get_json_object("props", "$.k").cast("int")
     et = F.col("event_type")
     command = (F.when(et == "signup", F.lit(ADD_ITEM))
