@@ -26,16 +26,14 @@ def parse_item_json(text) -> Column:
     """
     j = F.from_json(_c(text), _ITEM_JSON_DDL)
     pid, vid = canonical_uuid(j["productId"]), canonical_uuid(j["vendorId"])
-    price = F.expr("try_cast(NULL AS DOUBLE)")
     price = j["price"].try_cast("decimal(38,18)").cast("double")
-    qty_dec = j["quantity"].try_cast("decimal(38,0)")
     qty = F.when(j["quantity"].rlike(r"^\s*-?\d+\s*$"), j["quantity"].try_cast("int"))
     checks = [
         (pid.isNull(), "productId"),
         (vid.isNull(), "vendorId"),
         (j["name"].isNull(), "name"),
         (price.isNull(), "price"),
-        (qty.isNull() | qty_dec.isNull(), "quantity"),
+        (qty.isNull(), "quantity"),
     ]
     errors = F.filter(F.array(*[F.when(bad, F.lit(f"{n}: missing or invalid")) for bad, n in checks]),
                       lambda e: e.isNotNull())
