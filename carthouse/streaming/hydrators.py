@@ -27,6 +27,7 @@ from carthouse.plans import batch as B
 from carthouse.schemas import (KAFKA_PRODUCER_ID, POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED,
                                VENDOR_BILLING_HYDRATOR)
 from carthouse.session import checkpoint_root
+from carthouse.sources.jdbc import VENDOR_BILLING_TARGET, write_batch
 from carthouse.sources.journal import stream_journal
 from carthouse.sources.kafka import publish
 from carthouse.sources.tables import KeyedTable, OffsetStore, balance_table, billing_table, item_quantity_table
@@ -86,9 +87,15 @@ def item_quantity_stream(spark: SparkSession, journal_path: str, table_path: str
 
 def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: str, offsets_path: str,
                           rounded: bool = False, checkpoint: str | None = None, available_now: bool = True,
-                          interval: str = "10 seconds", max_files_per_trigger: int | None = None) -> Hydrator:
+                          interval: str = "10 seconds", max_files_per_trigger: int | None = None,
+                          jdbc: tuple[str, dict] | None = None) -> Hydrator:
     """Vendor-billing read side; ``rounded`` gives the 2-dp (SQL) form,
-    rounded per event before it is added."""
+    rounded per event before it is added.
+
+    ``jdbc=(url, properties)`` sends each micro-batch to a SQL database
+    instead (S6: bulk load + one transaction with the offset row); the
+    parquet table and offset store are then not written.
+    """
     charges = P.project_vendor_charge(_purchases_stream(spark, journal_path, max_files_per_trigger), P.STRICT)
     measure = F.col("total_2dp") if rounded else F.col("total")
     out_type = "decimal(21,2)" if rounded else "decimal(38,18)"
@@ -101,6 +108,10 @@ def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: st
     name = VENDOR_BILLING_HYDRATOR + ("-2dp" if rounded else "")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if jdbc is not None:
+            last = batch.agg(F.max_by("offset", F.struct("offset_ts", "offset")).alias("o")).first()["o"]
+            write_batch(batch, jdbc[0], jdbc[1], VENDOR_BILLING_TARGET, (name, TAG_ITEM_PURCHASED, last), batch_id)
+            return
         table.upsert(batch, batch_id)
         offsets.update_from(batch, name, TAG_ITEM_PURCHASED, batch_id)
 
