@@ -119,6 +119,86 @@ def q_cart_contents(spark, sf_dir):
                     "cart_id")
 
 
+def _scratch(spark, name):
+    """A fresh folder under the session's shared checkpoint directory."""
+    import os
+    import uuid
+
+    from carthouse.session import checkpoint_root
+    return os.path.join(checkpoint_root(spark), "carthouse", f"{name}-{uuid.uuid4().hex}")
+
+
+def _streamed_journal(spark, sf_dir, root):
+    import os
+
+    from carthouse.sources.journal import write_journal
+    jp = os.path.join(root, "journal")
+    write_journal(_journal(spark, sf_dir).repartition(6), jp)
+    return jp
+
+
+def q_stream_item_quantity_by_day(spark, sf_dir):
+    """The popular-items stream over the journal as files, several
+    micro-batches, result read back from the upserted table."""
+    import os
+
+    from carthouse.sources.tables import item_quantity_table
+    from carthouse.streaming.hydrators import item_quantity_stream
+    root = _scratch(spark, "stream-item-quantity")
+    jp = _streamed_journal(spark, sf_dir, root)
+    item_quantity_stream(spark, jp, os.path.join(root, "table"), os.path.join(root, "offsets"),
+                         checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=2).await_done()
+    return item_quantity_table(spark, os.path.join(root, "table")).read()
+
+
+def q_stream_vendor_billing(spark, sf_dir):
+    """T2 (2-dp form) as a stream, read back from its table."""
+    import os
+
+    from carthouse.sources.tables import billing_table
+    from carthouse.streaming.hydrators import vendor_balance_stream
+    root = _scratch(spark, "stream-vendor-billing")
+    jp = _streamed_journal(spark, sf_dir, root)
+    vendor_balance_stream(spark, jp, os.path.join(root, "table"), os.path.join(root, "offsets"), rounded=True,
+                          checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=2).await_done()
+    return billing_table(spark, os.path.join(root, "table")).read()
+
+
+def q_stream_cart_events(spark, sf_dir):
+    """T7 stream form: the command log as ordered files through the
+    per-member stateful processor; same columns as ``cart_events``."""
+    import os
+
+    from carthouse.schemas import COMMANDS_SCHEMA, JOURNAL
+    from carthouse.streaming.carts import stream_commands_to_events
+    root = _scratch(spark, "stream-cart-events")
+    src, out = os.path.join(root, "commands"), os.path.join(root, "events")
+    cmds = _commands(spark, sf_dir)
+    # Appended in order, in four slices of the sequence; within a slice each
+    # member's commands sit in one file, so per-member order holds across
+    # micro-batches whatever the file order inside a slice.
+    cuts = cmds.selectExpr("percentile_approx(seq, array(0.25, 0.5, 0.75))").first()[0]
+    lo = None
+    for hi in list(cuts) + [None]:
+        part = cmds
+        if lo is not None:
+            part = part.where(F.col("seq") > lo)
+        if hi is not None:
+            part = part.where(F.col("seq") <= hi)
+        part.repartition(4, "member_id").write.mode("append").parquet(src)
+        lo = hi
+    stream = spark.readStream.schema(COMMANDS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (stream_commands_to_events(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(root, "ckpt")).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    journal = spark.read.schema(JOURNAL).parquet(out)
+    return journal.select("persistence_id", "seq_nr", "event_type", F.col("item.product_id").alias("product_id"),
+                          F.col("item.quantity").alias("quantity"), "amount", "cart_id")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the popular-items read side over the sf0.001 purchases."""
     return q_item_quantity_by_day(spark, SMOKE_DIR)
@@ -139,6 +219,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "replay_carts": q_replay_carts,
         "replay_from_snapshot": q_replay_from_snapshot,
         "cart_contents": q_cart_contents,
+        "stream_item_quantity_by_day": q_stream_item_quantity_by_day,
+        "stream_vendor_billing": q_stream_vendor_billing,
+        "stream_cart_events": q_stream_cart_events,
     }
 
 
@@ -171,6 +254,12 @@ _BY_DAY = f"""
 """
 
 
+_BILLING = f"""
+  SELECT vendor_id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+         CAST(sum(CAST(total AS DECIMAL(21,2))) AS DECIMAL(21,2)) AS balance
+  FROM ({_PURCHASES}) p GROUP BY ALL"""
+
+
 def _java_hash_sql(expr: str) -> str:
     h = (f"list_reduce(list_transform(str_split({expr}, ''), lambda ch: CAST(unicode(ch) AS BIGINT)), "
          f"lambda acc, c: (acc * 31 + c) % 4294967296, CAST(0 AS BIGINT))")
@@ -283,10 +372,8 @@ def oracle_sql() -> dict[str, str]:
   SELECT vendor_id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
          CAST(sum(total) AS DECIMAL(38,18)) AS balance
   FROM ({_PURCHASES}) p GROUP BY ALL""",
-        "vendor_billing": f"""
-  SELECT vendor_id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
-         CAST(sum(CAST(total AS DECIMAL(21,2))) AS DECIMAL(21,2)) AS balance
-  FROM ({_PURCHASES}) p GROUP BY ALL""",
+        "vendor_billing": _BILLING,
+        "stream_vendor_billing": _BILLING,
         "top_items_per_day": f"""
   SELECT * FROM (
     SELECT *, CAST(rank() OVER (PARTITION BY year, month, day ORDER BY quantity DESC) AS INTEGER) AS rank
@@ -324,6 +411,8 @@ def oracle_sql() -> dict[str, str]:
      AND e.cart_id = {_cart_id_sql('n.member_id', 'n.epoch')}
     WHERE e.event_type = 'ItemPurchased')""",
         "replay_carts": _LINES,
+        "stream_item_quantity_by_day": _BY_DAY,
+        "stream_cart_events": _EVENTS,
         "replay_from_snapshot": _LINES,
         "cart_contents": f"""
   SELECT m.persistence_id, CAST(count(l.product_id) AS INTEGER) AS item_count,

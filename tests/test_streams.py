@@ -107,7 +107,7 @@ def test_command_stream_equals_batch_events(spark, scratch):
             part = part.where(F.col("seq") > lo)
         if hi is not None:
             part = part.where(F.col("seq") <= hi)
-        part.repartition(2).write.mode("append").parquet(src)
+        part.repartition(2, "member_id").write.mode("append").parquet(src)
     stream = spark.readStream.schema(COMMANDS_SCHEMA).option("maxFilesPerTrigger", 2).parquet(src)
     out = os.path.join(scratch, "events")
     q = (stream_commands_to_events(stream).writeStream.format("parquet").option("path", out)
