@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carthouse.functions.ids import timeuuid_ticks
 from carthouse.operators.projections import after_offset, filter_tag
 from carthouse.schemas import (EVENT_TYPES, ITEM_ADDED, ITEM_PURCHASED, ITEM_QUANTITY_DECREASED,
                                ITEM_QUANTITY_INCREASED, ITEM_REMOVED, JOURNAL, RAW_JOURNAL)
@@ -57,6 +58,12 @@ def stream_journal(spark: SparkSession, path: str, max_files_per_trigger: int |
     return r.parquet(path)
 
 
+def with_offset_ts(journal: DataFrame) -> DataFrame:
+    """Fill ``offset_ts`` from the version-1 offset where a source only
+    carries the UUID text (F6); the text itself never orders events."""
+    return journal.withColumn("offset_ts", F.coalesce(F.col("offset_ts"), timeuuid_ticks(F.col("offset"))))
+
+
 def events_by_tag(journal: DataFrame, tag: str, offset_ts: int | None = None,
                   ordered: bool = True) -> DataFrame:
     """Rows carrying ``tag`` strictly after an offset, in offset order.

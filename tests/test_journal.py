@@ -91,3 +91,24 @@ def test_last_offset(spark):
     j = journal(spark, [ev(1, 30), ev(2, 10)])
     r = A.last_offset(j, "hydrator_id", "h", "item-purchased").first()
     assert (r.offset, r.offset_ts, r.hydrator_id) == ("o30", 30, "h")
+
+
+def test_offset_time_order_beats_string_order(spark):
+    """Two time-UUID offsets whose text order is the reverse of their time
+    order: the later *time* names the product."""
+    import uuid as _uuid
+
+    from carthouse.sources.journal import with_offset_ts
+
+    def tu(ticks):
+        return str(_uuid.UUID(fields=(ticks & 0xFFFFFFFF, (ticks >> 32) & 0xFFFF, ((ticks >> 48) & 0x0FFF) | 0x1000,
+                                      0x80, 0x01, 0x0A0B0C0D0E0F)))
+    early, late = tu(0x1E0000000000001), tu(0x1E0000100000000)
+    assert late < early  # text order says "late" comes first
+    rows = [("cart-m", 1, early, None, "ItemPurchased", None, CART, (PID, V, "EARLY", 1.0, 1), None,
+             "2018-01-31T23:30:00-05:00"),
+            ("cart-m", 2, late, None, "ItemPurchased", None, CART, (PID, V, "LATE", 1.0, 1), None,
+             "2018-01-31T23:30:00-05:00")]
+    j = with_offset_ts(journal(spark, rows))
+    assert B.item_quantity_by_day(j).first().name == "LATE"
+    assert [r.offset for r in events_by_tag(j, "item-purchased").collect()] == [early, late]
