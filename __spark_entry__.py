@@ -67,23 +67,23 @@ def _commands(spark, sf_dir):
     return X.command_log(spark, sf_dir)
 
 
-def _cart_pipeline(spark, sf_dir):
-    return B.command_pipeline(_commands(spark, sf_dir))
+def _cart_run(spark, sf_dir):
+    return B.process_commands(_commands(spark, sf_dir))
 
 
 def q_command_verdicts(spark, sf_dir):
-    verdicts, _, _ = _cart_pipeline(spark, sf_dir)
+    verdicts, _, _ = _cart_run(spark, sf_dir)
     return verdicts.select("member_id", "seq", "command", "verdict")
 
 
 def q_cart_events(spark, sf_dir):
-    _, _, journal = _cart_pipeline(spark, sf_dir)
+    _, _, journal = _cart_run(spark, sf_dir)
     return journal.select("persistence_id", "seq_nr", "event_type", F.col("item.product_id").alias("product_id"),
                           F.col("item.quantity").alias("quantity"), "amount", "cart_id")
 
 
 def q_checkout_items(spark, sf_dir):
-    _, _, journal = _cart_pipeline(spark, sf_dir)
+    _, _, journal = _cart_run(spark, sf_dir)
     return journal.where(F.col("event_type") == "ItemPurchased").select(
         "persistence_id", "seq_nr", "cart_id", F.col("item.product_id").alias("product_id"),
         F.col("item.vendor_id").alias("vendor_id"), F.col("item.price").alias("price"),
@@ -91,7 +91,7 @@ def q_checkout_items(spark, sf_dir):
 
 
 def q_replay_carts(spark, sf_dir):
-    _, _, journal = _cart_pipeline(spark, sf_dir)
+    _, _, journal = _cart_run(spark, sf_dir)
     return C.replay_carts(journal)
 
 
@@ -102,7 +102,7 @@ SNAPSHOT_BEFORE = "2024-01-15T00:00:00Z"
 def q_replay_from_snapshot(spark, sf_dir):
     """T4 law on the whole log: snapshot each cart at a cut point (S12),
     then replay snapshot + tail; must equal the full replay."""
-    _, _, journal = _cart_pipeline(spark, sf_dir)
+    _, _, journal = _cart_run(spark, sf_dir)
     head = journal.where(F.col("event_time") < F.lit(SNAPSHOT_BEFORE))
     snaps = C.snapshot_from_lines(C.replay_carts(head), head)
     return C.replay_from_snapshot(journal, snaps)
@@ -110,7 +110,7 @@ def q_replay_from_snapshot(spark, sf_dir):
 
 def q_cart_contents(spark, sf_dir):
     cmds = _commands(spark, sf_dir)
-    _, _, journal = B.command_pipeline(cmds)
+    _, _, journal = B.process_commands(cmds)
     members = cmds.select(F.concat(F.lit("cart-"), F.col("member_id")).alias("persistence_id"))
     c = C.cart_contents(journal, members)
     return c.select("persistence_id", F.size("items").alias("item_count"),

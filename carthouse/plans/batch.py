@@ -1,5 +1,5 @@
 """Batch plans: each read side rebuilt from the whole journal (T11) and the
-cart pipeline over a command log. These are compositions of the operators,
+cart commands processed from a command log. These are compositions of the operators,
 the same ones the streaming plans run per micro-batch."""
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def purchase_records(journal: DataFrame, topic: str, partitions: int, offset_ts:
     )
 
 
-def command_pipeline(commands: DataFrame, bucket_size: int | None = None):
+def process_commands(commands: DataFrame, bucket_size: int | None = None):
     """T6 -> T7/T8: (verdicts, ends, journal)."""
     kw = {} if bucket_size is None else {"bucket_size": bucket_size}
     verdicts, ends = C.validate_commands(commands, **kw)

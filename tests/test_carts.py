@@ -37,7 +37,7 @@ def as_dicts(rows):
 
 def run(spark, rows, bucket=4):
     df = spark.createDataFrame(rows, COMMANDS_SCHEMA)
-    verdicts, ends, journal = B.command_pipeline(df, bucket_size=bucket)
+    verdicts, ends, journal = B.process_commands(df, bucket_size=bucket)
     v = {(r.member_id, r.seq): r.verdict for r in verdicts.collect()}
     ev = sorted((r.persistence_id[5:], r.event_type, r.item.product_id, r.item.quantity, r.amount)
                 for r in journal.collect())
@@ -109,7 +109,7 @@ def test_cart_contents_includes_empty_carts(spark):
     rows = [cmd("m1", 1, "AddItem", P2, 1), cmd("m1", 2, "AddItem", P1, 3), cmd("m2", 1, "AddItem", P1, 1),
             cmd("m2", 2, "Checkout")]
     df = spark.createDataFrame(rows, COMMANDS_SCHEMA)
-    _, _, journal = B.command_pipeline(df, bucket_size=4)
+    _, _, journal = B.process_commands(df, bucket_size=4)
     members = df.select(F.concat(F.lit("cart-"), "member_id").alias("persistence_id"))
     got = {r.persistence_id: r for r in C.cart_contents(journal, members).collect()}
     assert [i.product_id for i in got["cart-m1"].items] == [P1, P2] and got["cart-m1"].cart_id is not None

@@ -116,7 +116,7 @@ def test_command_stream_equals_batch_events(spark, scratch):
     q.awaitTermination()
     assert q.exception() is None
     got = spark.read.schema(JOURNAL).parquet(out)
-    _, _, want = B.command_pipeline(cmds, bucket_size=64)
+    _, _, want = B.process_commands(cmds, bucket_size=64)
     cols = [f.name for f in JOURNAL.fields]
     assert got.count() == want.count()
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
