@@ -8,7 +8,7 @@ a file stream:
   state store (RocksDB) holds the running totals per key, so every emitted
   row is an *absolute* total and the ``foreachBatch`` upsert is idempotent;
 * no watermark: late events are always accepted and update old buckets,
-  which is why the state is unbounded, as the reference's tables are;
+  which is why the state is unbounded, as keyed read-side tables are;
 * the checkpoint location is the resume point (T10); the user-visible
   offset table is written in the same batch after the rows.
 """

@@ -1,4 +1,4 @@
-"""A plain Python fold of the cart rules: the brute-force reference the
+"""A plain Python fold of the cart rules: the brute-force check the
 Spark operators are checked against."""
 
 
