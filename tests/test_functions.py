@@ -104,3 +104,17 @@ def test_parse_item_json(spark):
 def test_delta_split(spark, delta, typ, amount):
     r = spark.createDataFrame([(delta,)], "d int").select(delta_event_type("d"), delta_amount("d")).first()
     assert (r[0], r[1]) == (typ, amount)
+
+
+def test_price_wire_round_trip_and_absent_as_zero(spark):
+    from carthouse.functions import absent_as_zero, price_from_wire, price_to_wire
+    df = spark.createDataFrame([("3200",), (None,)], "p string")
+    got = df.select(price_from_wire(price_to_wire(F.col("p").cast("decimal(38,18)"))).cast("string"),
+                    absent_as_zero(F.col("p").cast("int"))).collect()
+    assert [tuple(r) for r in got] == [("3200.000000000000000000", 3200), (None, 0)]
+
+
+def test_random_uuid_is_version_4(spark):
+    from carthouse.functions import random_uuid
+    u = spark.range(3).select(random_uuid().alias("u")).collect()
+    assert len({r.u for r in u}) == 3 and all(uuid.UUID(r.u).version == 4 for r in u)

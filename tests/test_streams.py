@@ -120,3 +120,17 @@ def test_command_stream_equals_batch_events(spark, scratch):
     cols = [f.name for f in JOURNAL.fields]
     assert got.count() == want.count()
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+
+
+def test_endless_stream_guard(spark, scratch):
+    """An endless hydrator that is still running is fine; once stopped,
+    waiting on it as endless reports that it completed."""
+    import pytest
+    j, src = _split_journal(spark, scratch)
+    write_journal(j.drop("slice").repartition(2), src)
+    h = H.item_quantity_stream(spark, src, os.path.join(scratch, "t"), os.path.join(scratch, "o"),
+                               checkpoint=os.path.join(scratch, "ck"), available_now=False, interval="1 second")
+    h.await_done(timeout=3, endless=True)  # still running: no error
+    h.stop()
+    with pytest.raises(H.InfiniteStreamCompleted):
+        h.await_done(timeout=3, endless=True)
