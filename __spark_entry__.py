@@ -108,6 +108,13 @@ def q_replay_from_snapshot(spark, sf_dir):
     return C.replay_from_snapshot(journal, snaps)
 
 
+def q_replay_from_checkout_snapshots(spark, sf_dir):
+    """T4 with the snapshots a checkout leaves (empty carts at the last
+    purchase); must equal the full replay."""
+    _, _, journal = _cart_run(spark, sf_dir)
+    return C.replay_from_snapshot(journal, C.checkout_snapshots(journal))
+
+
 def q_cart_contents(spark, sf_dir):
     cmds = _commands(spark, sf_dir)
     _, _, journal = B.process_commands(cmds)
@@ -199,6 +206,21 @@ def q_stream_cart_events(spark, sf_dir):
                           F.col("item.quantity").alias("quantity"), "amount", "cart_id")
 
 
+def q_stream_purchase_records(spark, sf_dir):
+    """The purchase feed as a stream into the file form of the Kafka
+    sink (same frame), read back; the producer offset is kept alongside."""
+    import os
+
+    from carthouse.streaming.hydrators import purchase_feed_stream
+    root = _scratch(spark, "stream-purchase-records")
+    jp = _streamed_journal(spark, sf_dir, root)
+    out = os.path.join(root, "frames")
+    purchase_feed_stream(spark, jp, os.path.join(root, "offsets"), TOPIC, KAFKA_PARTITIONS, fallback_path=out,
+                         checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=2).await_done()
+    return (spark.read.schema("partition int, key string, value string, topic string").json(out)
+            .select("topic", "partition", "key", "value"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the popular-items read side over the sf0.001 purchases."""
     return q_item_quantity_by_day(spark, SMOKE_DIR)
@@ -219,6 +241,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "replay_carts": q_replay_carts,
         "replay_from_snapshot": q_replay_from_snapshot,
         "cart_contents": q_cart_contents,
+        "replay_from_checkout_snapshots": q_replay_from_checkout_snapshots,
+        "stream_purchase_records": q_stream_purchase_records,
         "stream_item_quantity_by_day": q_stream_item_quantity_by_day,
         "stream_vendor_billing": q_stream_vendor_billing,
         "stream_cart_events": q_stream_cart_events,
@@ -266,6 +290,22 @@ def _java_hash_sql(expr: str) -> str:
     return f"(CASE WHEN {h} >= 2147483648 THEN {h} - 4294967296 ELSE {h} END)"
 
 
+_RECORDS = f"""
+  SELECT '{TOPIC}' AS topic,
+         CAST((({_java_hash_sql('member_id')}) % {KAFKA_PARTITIONS} + {KAFKA_PARTITIONS}) % {KAFKA_PARTITIONS}
+              AS INTEGER) AS partition,
+         member_id AS key,
+         '{{"time":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ||
+            CASE WHEN (o_custkey % 25) = 12 THEN 'Z'
+                 ELSE (CASE WHEN (o_custkey % 25) < 12 THEN '-' ELSE '+' END) ||
+                      lpad(CAST(abs((o_custkey % 25) - 12) AS VARCHAR), 2, '0') || ':00' END ||
+         '","name":' || to_json(name) || ',"price":' || CAST(price AS VARCHAR) ||
+         ',"quantity":' || CAST(quantity AS VARCHAR) || ',"productId":"' || product_id ||
+         '","vendorId":"' || vendor_id || '","cartId":"' || cart_id || '","memberId":"' || member_id || '"}}'
+           AS value
+  FROM ({_PURCHASES}) p"""
+
+
 # The command log and a brute-force fold: each row's cart state is the
 # reduction of every earlier row of its (member, product, epoch).
 _ABSENT = -1000000000
@@ -384,20 +424,8 @@ def oracle_sql() -> dict[str, str]:
          CAST(sum(CAST(total AS DECIMAL(21,2))) AS DECIMAL(21,2)) AS total_billed,
          array_to_string(list_sort(list(product_id)), ',') AS products
   FROM ({_PURCHASES}) p GROUP BY cart_id""",
-        "purchase_records": f"""
-  SELECT '{TOPIC}' AS topic,
-         CAST((({_java_hash_sql('member_id')}) % {KAFKA_PARTITIONS} + {KAFKA_PARTITIONS}) % {KAFKA_PARTITIONS}
-              AS INTEGER) AS partition,
-         member_id AS key,
-         '{{"time":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ||
-            CASE WHEN (o_custkey % 25) = 12 THEN 'Z'
-                 ELSE (CASE WHEN (o_custkey % 25) < 12 THEN '-' ELSE '+' END) ||
-                      lpad(CAST(abs((o_custkey % 25) - 12) AS VARCHAR), 2, '0') || ':00' END ||
-         '","name":' || to_json(name) || ',"price":' || CAST(price AS VARCHAR) ||
-         ',"quantity":' || CAST(quantity AS VARCHAR) || ',"productId":"' || product_id ||
-         '","vendorId":"' || vendor_id || '","cartId":"' || cart_id || '","memberId":"' || member_id || '"}}'
-           AS value
-  FROM ({_PURCHASES}) p""",
+        "purchase_records": _RECORDS,
+        "stream_purchase_records": _RECORDS,
         "journal_codec_roundtrip": _BY_DAY,
         "command_verdicts": f"""
   SELECT member_id, seq, command, verdict FROM ({_FOLDED}) f
@@ -414,6 +442,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_item_quantity_by_day": _BY_DAY,
         "stream_cart_events": _EVENTS,
         "replay_from_snapshot": _LINES,
+        "replay_from_checkout_snapshots": _LINES,
         "cart_contents": f"""
   SELECT m.persistence_id, CAST(count(l.product_id) AS INTEGER) AS item_count,
          CAST(coalesce(sum(l.quantity), 0) AS BIGINT) AS total_quantity,
