@@ -8,4 +8,5 @@ from carthouse.functions.kafka import java_string_hash, kafka_partition, purchas
 from carthouse.functions.money import (  # noqa: F401
     absent_as_zero, line_total, price_from_wire, price_to_wire, to_billing)
 from carthouse.functions.time import (  # noqa: F401
-    calendar_fields, format_event_time, format_local_time, local_date, offset_text, parse_event_time)
+    calendar_fields, format_event_time, format_local_time, local_date, normalize_event_time, offset_text, parse_event_time,
+    text_offset_minutes)

@@ -52,17 +52,53 @@ def offset_text(offset_minutes) -> Column:
         F.concat(F.when(m < 0, F.lit("-")).otherwise(F.lit("+")), hhmm))
 
 
+def _micros_of_second(ts: Column) -> Column:
+    """0..999999 from a wall time, without any zone conversion."""
+    return F.pmod((F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long"), F.lit(1_000_000))
+
+
 def format_local_time(local_ntz, offset_minutes) -> Column:
     """Local wall time (TIMESTAMP_NTZ) at a given offset -> ISO offset text.
 
     Same shape as the ISO offset formatter: seconds always, the fraction only
-    when non-zero and without trailing zeros, 'Z' for a zero offset.
+    when non-zero and without trailing zeros, 'Z' for a zero offset. Built
+    from zone-free parts (``date_format`` would pass through the session
+    zone and move wall times that fall in its daylight-saving gaps).
     """
     ts = _c(local_ntz)
-    digits = F.date_format(ts, "SSSSSS")
-    frac = F.when(digits == "000000", F.lit("")).otherwise(
-        F.concat(F.lit("."), F.regexp_replace(digits, "0+$", "")))
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), frac, offset_text(offset_minutes))
+
+    def two(c):
+        return F.lpad(c.cast("string"), 2, "0")
+
+    micros = _micros_of_second(ts)
+    frac = F.when(micros == 0, F.lit("")).otherwise(
+        F.concat(F.lit("."), F.regexp_replace(F.lpad(micros.cast("string"), 6, "0"), "0+$", "")))
+    return F.concat(F.to_date(ts).cast("string"), F.lit("T"), two(F.hour(ts)), F.lit(":"), two(F.minute(ts)),
+                    F.lit(":"), two(F.second(ts)), frac, offset_text(offset_minutes))
+
+
+_LOCAL_RE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?)(Z|[+-]\d{2}:\d{2})$"
+
+
+def text_offset_minutes(text) -> Column:
+    """Minutes east of UTC written in ISO offset text ('Z' = 0)."""
+    off = F.regexp_extract(_c(text), _LOCAL_RE, 4)
+    mins = F.substring(off, 2, 2).cast("int") * 60 + F.substring(off, 5, 2).cast("int")
+    return F.when(off == "Z", F.lit(0)).when(off == "", F.lit(None).cast("int")) \
+        .otherwise(F.when(F.substring(off, 1, 1) == "-", -mins).otherwise(mins))
+
+
+def normalize_event_time(text) -> Column:
+    """Re-render ISO offset text the way the ISO offset formatter prints the
+    parsed value: seconds always, fraction only when non-zero (micros), 'Z'
+    for a zero offset. NULL when the text is not an ISO offset date-time."""
+    t = _c(text)
+    wall = F.regexp_extract(t, _LOCAL_RE, 1)
+    ok = parse_event_time(t).isNotNull() & (wall != "")
+    # Straight to a wall time (no session zone involved, so no DST gap can
+    # move it); only reached for text that already parsed.
+    local_ntz = F.when(ok, F.to_timestamp_ntz(wall, F.lit("yyyy-MM-dd'T'HH:mm[:ss[.SSSSSSSSS]]")))
+    return F.when(ok, format_local_time(local_ntz, text_offset_minutes(t)))
 
 
 def ntz_epoch_micros(local_ntz) -> Column:
@@ -70,7 +106,7 @@ def ntz_epoch_micros(local_ntz) -> Column:
     ts = _c(local_ntz)
     secs = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     return (F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000 + secs.cast("long") * 1_000_000
-            + F.date_format(ts, "SSSSSS").cast("long"))
+            + _micros_of_second(ts))
 
 
 def format_event_time(instant, offset_minutes) -> Column:

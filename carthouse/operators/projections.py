@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carthouse.functions.ids import canonical_uuid
 from carthouse.functions.money import line_total, to_billing
-from carthouse.functions.time import calendar_fields, parse_event_time
+from carthouse.functions.time import calendar_fields, normalize_event_time, parse_event_time
 from carthouse.schemas import EVENT_TYPES, ITEM_PURCHASED, TAG_BY_EVENT, TAG_CART_EVENT
 
 STRICT = "strict"
@@ -89,7 +89,7 @@ def project_item_details(journal: DataFrame, policy: str = PERMISSIVE) -> DataFr
     t, _ = _checked_time(ok)
     return df.select(
         "offset", "offset_ts",
-        t.alias("time"),
+        normalize_event_time(t).alias("time"),
         F.col("item.name").alias("name"),
         F.col("item.price").alias("price"),
         F.col("item.quantity").alias("quantity"),

@@ -118,3 +118,37 @@ def test_random_uuid_is_version_4(spark):
     from carthouse.functions import random_uuid
     u = spark.range(3).select(random_uuid().alias("u")).collect()
     assert len({r.u for r in u}) == 3 and all(uuid.UUID(r.u).version == 4 for r in u)
+
+
+def test_normalize_event_time(spark):
+    from carthouse.functions import normalize_event_time
+    got = one(spark, normalize_event_time("t"),
+              [("2018-02-01T10:15+01:00",), ("2018-02-01T00:00:00.123456789Z",), ("2018-01-31T23:30:00-05:00",),
+               ("2018-01-31T23:30:00+00:00",), ("2018-01-31T23:30:00.500+05:30",), ("garbage",)])
+    assert got == ["2018-02-01T10:15:00+01:00", "2018-02-01T00:00:00.123456Z", "2018-01-31T23:30:00-05:00",
+                   "2018-01-31T23:30:00Z", "2018-01-31T23:30:00.5+05:30", None]
+
+
+def test_normalize_event_time_ignores_session_zone_gaps(spark):
+    from carthouse.functions import normalize_event_time
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 02:30 does not exist in New York on that day; the text's own offset rules
+        got = one(spark, normalize_event_time("t"), [("2018-03-11T02:30+01:00",)])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == ["2018-03-11T02:30:00+01:00"]
+
+
+def test_wall_time_helpers_ignore_session_zone(spark):
+    from carthouse.functions.time import ntz_epoch_micros
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2024-03-10 02:30:00.25",)], "s string").select(F.to_timestamp_ntz("s").alias("t"))
+        r = df.select(format_local_time("t", F.lit(-300)), ntz_epoch_micros("t")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r[0] == "2024-03-10T02:30:00.25-05:00"
+    assert r[1] == (1710037800 * 1_000_000 + 250_000)
