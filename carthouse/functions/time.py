@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Fixed value: the ISO offset form without seconds, which the default parser
 # does not accept but the ISO-8601 offset format allows.
 _NO_SECONDS = "yyyy-MM-dd'T'HH:mmXXX"
+# Fixed value: the shape of an ISO offset date-time (seconds and fraction
+# optional, offset required).
+_ISO_OFFSET_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
 
 
 def _c(c) -> Column:
@@ -24,7 +27,8 @@ def parse_event_time(text) -> Column:
     turns that NULL into a failure (see operators.projections).
     """
     t = _c(text)
-    return F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(t, F.lit(_NO_SECONDS)))
+    return F.when(t.rlike(_ISO_OFFSET_RE),
+                  F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(t, F.lit(_NO_SECONDS))))
 
 
 def local_date(text) -> Column:

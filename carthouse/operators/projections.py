@@ -70,6 +70,7 @@ def project_item_quantity(journal: DataFrame, policy: str = STRICT) -> DataFrame
 def project_vendor_charge(journal: DataFrame, policy: str = STRICT) -> DataFrame:
     """Purchase -> (offset, time, vendor, exact total, 2-dp total, y, m)."""
     df, ok = _gate(journal, policy)
+    ok = ok & F.col("item.product_id").isNotNull()  # present, though not parsed here
     t, instant = _checked_time(ok)
     y, m = calendar_fields(t, names=("year", "month"))
     total = line_total(F.col("item.price"), F.col("item.quantity"))

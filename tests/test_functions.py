@@ -26,8 +26,8 @@ def test_calendar_fields_use_the_events_own_offset(spark):
 def test_parse_event_time(spark):
     got = one(spark, parse_event_time("t").cast("string"),
               [("2018-01-31T23:30:00-05:00",), ("2018-02-01T00:00:00.123456789Z",), ("2018-02-01T10:15+01:00",),
-               ("not a time",)])
-    assert got == ["2018-02-01 04:30:00", "2018-02-01 00:00:00.123456", "2018-02-01 09:15:00", None]
+               ("not a time",), ("2018-02-01 10:15:00",), ("2018-02-01T10:15:00",)])
+    assert got == ["2018-02-01 04:30:00", "2018-02-01 00:00:00.123456", "2018-02-01 09:15:00", None, None, None]
 
 
 def test_format_local_time_round_trips(spark):

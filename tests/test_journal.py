@@ -59,6 +59,11 @@ def test_strict_fails_on_malformed(spark):
             B.item_quantity_by_day(journal(spark, [ev(2, 2), bad])).collect()
 
 
+def test_vendor_charge_needs_a_product_id(spark):
+    with pytest.raises(Exception, match="malformed ItemPurchased"):
+        B.balance_by_vendor(journal(spark, [ev(1, 1, product=None)])).collect()
+
+
 def test_permissive_drops_missing_item_but_fails_on_bad_id(spark):
     ok = P.project_item_details(journal(spark, [ev(1, 1), ev(2, 2, item=False), ev(3, 3, cart=None)]),
                                 P.PERMISSIVE)
