@@ -50,12 +50,15 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOURNAL).parquet(path)
 
 
-def stream_journal(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The journal as an unbounded source (new files are new events)."""
-    r = spark.readStream.schema(JOURNAL)
+def stream_journal(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                   raw: bool = False) -> DataFrame:
+    """The journal as an unbounded source (new files are new events).
+    ``raw``: the serialized form, decoded in the stream (S2)."""
+    r = spark.readStream.schema(RAW_JOURNAL if raw else JOURNAL)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return r.parquet(path)
+    df = r.parquet(path)
+    return decode_events(df) if raw else df
 
 
 def with_offset_ts(journal: DataFrame) -> DataFrame:

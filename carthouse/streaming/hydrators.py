@@ -59,15 +59,16 @@ def _trigger(writer, available_now: bool, interval: str):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
 
 
-def _purchases_stream(spark: SparkSession, journal_path: str, max_files: int | None) -> DataFrame:
-    return B.purchased(stream_journal(spark, journal_path, max_files))
+def _purchases_stream(spark: SparkSession, journal_path: str, max_files: int | None, raw: bool = False) -> DataFrame:
+    return B.purchased(stream_journal(spark, journal_path, max_files, raw=raw))
 
 
 def item_quantity_stream(spark: SparkSession, journal_path: str, table_path: str, offsets_path: str,
                          checkpoint: str | None = None, available_now: bool = True, interval: str = "10 seconds",
-                         max_files_per_trigger: int | None = None) -> Hydrator:
-    """Popular-items read side, exactly once per key."""
-    items = P.project_item_quantity(_purchases_stream(spark, journal_path, max_files_per_trigger), P.STRICT)
+                         max_files_per_trigger: int | None = None, raw: bool = False) -> Hydrator:
+    """Popular-items read side, exactly once per key. ``raw`` reads the
+    serialized journal (manifest + payload) and decodes it in the stream."""
+    items = P.project_item_quantity(_purchases_stream(spark, journal_path, max_files_per_trigger, raw), P.STRICT)
     agg = (items.groupBy("vendor_id", "product_id", "year", "month", "day")
            .agg(F.sum(F.col("quantity").cast("long")).alias("quantity"),
                 F.max_by("name", F.struct("offset_ts", "offset")).alias("name"),
@@ -139,21 +140,51 @@ def purchase_feed_stream(spark: SparkSession, journal_path: str, offsets_path: s
     return Hydrator(KAFKA_PRODUCER_ID, _trigger(w, available_now, interval).start())
 
 
-def catch_up_item_quantity(spark: SparkSession, journal: DataFrame, table: KeyedTable, offsets: OffsetStore,
-                           batch_id=None) -> None:
-    """T10 batch form: resume from the stored offset, fold the new events in
-    with J1, store the newest offset. No offset stored = rebuild (T11)."""
-    stored = offsets.find(POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED)
-    since = stored[1] if stored else None
+def _delta_item_quantity(journal: DataFrame, since):
     items = P.project_item_quantity(B.purchased(journal, since), P.STRICT)
-    delta = items.groupBy("vendor_id", "product_id", "year", "month", "day").agg(
+    return items.groupBy("vendor_id", "product_id", "year", "month", "day").agg(
         F.sum(F.col("quantity").cast("long")).alias("quantity"),
         F.max_by("name", F.struct("offset_ts", "offset")).alias("name"),
         F.max_by("offset", F.struct("offset_ts", "offset")).alias("offset"),
         F.max("offset_ts").alias("offset_ts"))
+
+
+def _delta_balance(journal: DataFrame, since, rounded: bool):
+    charges = P.project_vendor_charge(B.purchased(journal, since), P.STRICT)
+    measure = F.col("total_2dp") if rounded else F.col("total")
+    return charges.groupBy("vendor_id", "year", "month").agg(
+        F.sum(measure).cast("decimal(21,2)" if rounded else "decimal(38,18)").alias("balance"),
+        F.max_by("offset", F.struct("offset_ts", "offset")).alias("offset"),
+        F.max("offset_ts").alias("offset_ts"))
+
+
+def catch_up(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTable, offsets: OffsetStore,
+             batch_id=None) -> bool:
+    """T10 batch form for any read side: resume after the stored offset,
+    aggregate only the new events, add them to the stored rows (J1), store
+    the newest offset. No stored offset = full rebuild (T11). Returns
+    whether anything was new.
+
+    kind: "item_quantity", "balance" (exact) or "billing" (2-dp; each event
+    rounded before it is added, as the SQL read side does).
+    """
     from carthouse.session import materialize
+    hydrator = {"item_quantity": POPULAR_ITEMS_HYDRATOR, "balance": VENDOR_BILLING_HYDRATOR,
+                "billing": VENDOR_BILLING_HYDRATOR + "-2dp"}[kind]
+    stored = offsets.find(hydrator, TAG_ITEM_PURCHASED)
+    since = stored[1] if stored else None
+    if kind == "item_quantity":
+        delta, measures, latest = _delta_item_quantity(journal, since), {"quantity": 0}, {"name": "name"}
+    else:
+        delta, measures, latest = _delta_balance(journal, since, kind == "billing"), {"balance": 0}, None
     delta = materialize(delta)
     if not delta.take(1):
-        return
-    table.add(delta, {"quantity": 0}, batch_id, latest={"name": "name"})
-    offsets.update_from(delta, POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED, batch_id)
+        return False
+    table.add(delta, measures, batch_id, latest=latest)
+    offsets.update_from(delta, hydrator, TAG_ITEM_PURCHASED, batch_id)
+    return True
+
+
+def catch_up_item_quantity(spark: SparkSession, journal: DataFrame, table: KeyedTable, offsets: OffsetStore,
+                           batch_id=None) -> bool:
+    return catch_up(spark, journal, "item_quantity", table, offsets, batch_id)
