@@ -81,6 +81,8 @@ def format_local_time(local_ntz, offset_minutes) -> Column:
                     F.lit(":"), two(F.second(ts)), frac, offset_text(offset_minutes))
 
 
+# date+hh:mm, :ss, (unused), fraction digits, offset
+_PARTS_RE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2})(:\d{2})?(\.(\d{1,9}))?(Z|[+-]\d{2}:\d{2})$"
 _LOCAL_RE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?)(Z|[+-]\d{2}:\d{2})$"
 
 
@@ -92,17 +94,27 @@ def text_offset_minutes(text) -> Column:
         .otherwise(F.when(F.substring(off, 1, 1) == "-", -mins).otherwise(mins))
 
 
-def normalize_event_time(text) -> Column:
+def normalize_event_time(text, checked: bool = False) -> Column:
     """Re-render ISO offset text the way the ISO offset formatter prints the
-    parsed value: seconds always, fraction only when non-zero (micros), 'Z'
-    for a zero offset. NULL when the text is not an ISO offset date-time."""
+    parsed value: seconds always, the fraction cut to micros and only when
+    non-zero, 'Z' for a zero offset.
+
+    Pure string work on the matched parts. ``checked=True`` when the caller
+    already failed on unparseable text (the strict projections); otherwise
+    text that does not parse gives NULL.
+    """
     t = _c(text)
-    wall = F.regexp_extract(t, _LOCAL_RE, 1)
-    ok = parse_event_time(t).isNotNull() & (wall != "")
-    # Straight to a wall time (no session zone involved, so no DST gap can
-    # move it); only reached for text that already parsed.
-    local_ntz = F.when(ok, F.to_timestamp_ntz(wall, F.lit("yyyy-MM-dd'T'HH:mm[:ss[.SSSSSSSSS]]")))
-    return F.when(ok, format_local_time(local_ntz, text_offset_minutes(t)))
+
+    def part(i):
+        return F.regexp_extract(t, _PARTS_RE, i)
+
+    frac = F.regexp_replace(F.substring(part(4), 1, 6), "0+$", "")
+    off = part(5)
+    out = F.concat(part(1), F.when(part(2) == "", F.lit(":00")).otherwise(part(2)),
+                   F.when(frac == "", F.lit("")).otherwise(F.concat(F.lit("."), frac)),
+                   F.when(off.isin("Z", "+00:00", "-00:00"), F.lit("Z")).otherwise(off))
+    ok = t.rlike(_ISO_OFFSET_RE) if checked else parse_event_time(t).isNotNull()
+    return F.when(ok, out)
 
 
 def ntz_epoch_micros(local_ntz) -> Column:

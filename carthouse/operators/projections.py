@@ -90,7 +90,7 @@ def project_item_details(journal: DataFrame, policy: str = PERMISSIVE) -> DataFr
     t, _ = _checked_time(ok)
     return df.select(
         "offset", "offset_ts",
-        normalize_event_time(t).alias("time"),
+        normalize_event_time(t, checked=True).alias("time"),
         F.col("item.name").alias("name"),
         F.col("item.price").alias("price"),
         F.col("item.quantity").alias("quantity"),
