@@ -85,36 +85,47 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def purchase_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ItemPurchased journal rows (JOURNAL schema) for every lineitem.
 
-    The offset is a version-1 UUID whose time lies within a day after the
-    purchase, spread by a hash of the row; ``seq_nr`` is that tick count,
-    increasing per persistence id (not dense).
+    Order and part attributes (member, cart and product ids, the event time
+    text) are derived on their own tables before the joins, once per order or
+    part rather than once per line. The offset is a version-1 UUID whose time
+    lies within a day after the purchase, spread by a hash of the line;
+    ``seq_nr`` is that tick count, increasing per persistence id (not dense).
     """
-    p = purchases(spark, sf_dir)
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                        "l_quantity"))
+    o = table(spark, sf_dir, "orders")
     off = zone_offset_minutes(F.col("o_custkey"))
+    od = o.select(
+        "o_orderkey",
+        persistence_id(member_uuid(F.col("o_custkey"))).alias("persistence_id"),
+        name_uuid(F.concat(F.lit(CART_PREFIX), F.col("o_orderkey").cast("string"))).alias("cart_id"),
+        format_local_time(F.col("o_orderdate"), off).alias("event_time"),
+        (ntz_epoch_micros(F.col("o_orderdate")) - off.cast("long") * 60_000_000).alias("instant_micros"),
+    )
+    pt = table(spark, sf_dir, "part").select(
+        "p_partkey", product_uuid(F.col("p_partkey")).alias("product_id"), "p_name", "p_retailprice")
+    p = li.join(od, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey)
     row_cols = [F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")]
-    local_micros = ntz_epoch_micros(F.col("o_orderdate"))
-    instant_micros = local_micros - off.cast("long") * 60_000_000
-    ticks = (instant_micros * 10 + F.lit(GREGORIAN_TO_UNIX_100NS)
+    ticks = (F.col("instant_micros") * 10 + F.lit(GREGORIAN_TO_UNIX_100NS)
              + F.pmod(F.xxhash64(*row_cols), F.lit(_DAY_100NS)))
-    member = member_uuid(F.col("o_custkey"))
     item = F.struct(
-        product_uuid(F.col("l_partkey")).alias("product_id"),
+        F.col("product_id"),
         vendor_uuid(F.col("l_suppkey")).alias("vendor_id"),
         F.col("p_name").alias("name"),
         F.col("p_retailprice").alias("price"),
         F.col("l_quantity").cast("int").alias("quantity"),
     )
     df = p.select(
-        persistence_id(member).alias("persistence_id"),
+        "persistence_id",
         ticks.alias("seq_nr"),
         timeuuid_from_ticks(ticks, F.xxhash64(F.lit("clock"), *row_cols),
                             F.xxhash64(F.lit("node"), *row_cols)).alias("offset"),
         ticks.alias("offset_ts"),
         F.lit(ITEM_PURCHASED).alias("event_type"),
-        name_uuid(F.concat(F.lit(CART_PREFIX), F.col("l_orderkey").cast("string"))).alias("cart_id"),
+        "cart_id",
         item.alias("item"),
         F.lit(None).cast("int").alias("amount"),
-        format_local_time(F.col("o_orderdate"), off).alias("event_time"),
+        "event_time",
     )
     return tag_events(df).select(*[f.name for f in JOURNAL.fields])
 
