@@ -132,7 +132,7 @@ def purchase_feed_stream(spark: SparkSession, journal_path: str, offsets_path: s
     offsets = OffsetStore(spark, offsets_path, id_col="producer_id")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        publish(batch, bootstrap_servers, fallback_path)
+        publish(batch, bootstrap_servers, fallback_path, batch_id)
         offsets.update_from(batch, KAFKA_PRODUCER_ID, TAG_ITEM_PURCHASED, batch_id)
 
     ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", KAFKA_PRODUCER_ID)
