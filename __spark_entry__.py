@@ -374,7 +374,16 @@ def _cart_id_sql(member: str, epoch: str) -> str:
     return _u(f"'cart/' || {member} || '/' || CAST({epoch} AS VARCHAR)")
 
 
-_EVENTS = f"""
+_ACCEPTED = f"SELECT member_id, seq FROM ({_CHECKOUTS}) k WHERE verdict IS NULL"
+
+
+def _cart_epoch_sql(member: str, epoch: str) -> str:
+    """The accepted checkout that opened the cart of an epoch (-1: none)."""
+    return (f"coalesce((SELECT max(a.seq) FROM ({_ACCEPTED}) a WHERE a.member_id = {member} "
+            f"AND a.seq <= {epoch}), -1)")
+
+
+_EVENTS_X = f"""
   WITH ev AS (
     SELECT member_id, seq, 0 AS sub, epoch,
            CASE command WHEN 'AddItem' THEN 'ItemAdded' WHEN 'RemoveItem' THEN 'ItemRemoved'
@@ -388,17 +397,23 @@ _EVENTS = f"""
     SELECT c.member_id, c.seq, row_number() OVER (PARTITION BY c.member_id, c.seq ORDER BY n.product) AS sub,
            c.epoch, 'ItemPurchased', n.product, CAST(n.quantity AS INTEGER), CAST(NULL AS INTEGER)
     FROM ({_CHECKOUTS}) c JOIN ({_ENDS}) n ON n.member_id = c.member_id AND n.epoch = c.epoch
-    WHERE c.verdict IS NULL)
+    WHERE c.verdict IS NULL),
+  ev2 AS (SELECT ev.*, {_cart_epoch_sql('ev.member_id', 'ev.epoch')} AS cart_epoch FROM ev)
   SELECT 'cart-' || member_id AS persistence_id,
          CAST(row_number() OVER (PARTITION BY member_id ORDER BY seq, sub) AS BIGINT) AS seq_nr,
-         event_type, product_id, quantity, amount, {_cart_id_sql('member_id', 'epoch')} AS cart_id
-  FROM ev
+         event_type, product_id, quantity, amount, {_cart_id_sql('member_id', 'cart_epoch')} AS cart_id,
+         member_id, epoch
+  FROM ev2
+"""
+
+_EVENTS = f"""
+  SELECT persistence_id, seq_nr, event_type, product_id, quantity, amount, cart_id FROM ({_EVENTS_X}) x
 """
 
 _LINES = f"""
   SELECT 'cart-' || n.member_id AS persistence_id, n.product AS product_id, n.vendor_id,
          n.name, n.price, CAST(n.quantity AS INTEGER) AS quantity,
-         {_cart_id_sql('n.member_id', 'n.epoch')} AS cart_id
+         {_cart_id_sql('n.member_id', _cart_epoch_sql('n.member_id', 'n.epoch'))} AS cart_id
   FROM ({_ENDS}) n
   JOIN (SELECT member_id, coalesce(max(CASE WHEN command = 'Checkout' THEN seq END), -1) AS cur
         FROM ({_COMMANDS}) c GROUP BY member_id) m ON m.member_id = n.member_id AND m.cur = n.epoch
@@ -434,9 +449,8 @@ def oracle_sql() -> dict[str, str]:
         "cart_events": _EVENTS,
         "checkout_items": f"""
   SELECT persistence_id, seq_nr, cart_id, product_id, vendor_id, price, quantity FROM (
-    SELECT e.*, n.vendor_id, n.price FROM ({_EVENTS}) e
-    JOIN ({_ENDS}) n ON e.persistence_id = 'cart-' || n.member_id AND e.product_id = n.product
-     AND e.cart_id = {_cart_id_sql('n.member_id', 'n.epoch')}
+    SELECT e.*, n.vendor_id, n.price FROM ({_EVENTS_X}) e
+    JOIN ({_ENDS}) n ON e.member_id = n.member_id AND e.epoch = n.epoch AND e.product_id = n.product
     WHERE e.event_type = 'ItemPurchased')""",
         "replay_carts": _LINES,
         "stream_item_quantity_by_day": _BY_DAY,

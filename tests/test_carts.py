@@ -114,3 +114,17 @@ def test_cart_contents_includes_empty_carts(spark):
     got = {r.persistence_id: r for r in C.cart_contents(journal, members).collect()}
     assert [i.product_id for i in got["cart-m1"].items] == [P1, P2] and got["cart-m1"].cart_id is not None
     assert got["cart-m2"].items == [] and got["cart-m2"].cart_id is None
+
+
+def test_refused_checkout_keeps_the_cart(spark):
+    """An empty checkout is refused and the cart (with its id) carries on;
+    an accepted checkout starts a new cart."""
+    rows = [cmd("m1", 1, "AddItem", P1, 1), cmd("m1", 2, "RemoveItem", P1), cmd("m1", 3, "Checkout"),
+            cmd("m1", 4, "AddItem", P2, 2), cmd("m1", 5, "Checkout"), cmd("m1", 6, "AddItem", P1, 1)]
+    df = spark.createDataFrame(rows, COMMANDS_SCHEMA)
+    _, _, journal = B.process_commands(df, bucket_size=4)
+    ev = {(r.seq_nr, r.event_type): r.cart_id for r in journal.collect()}
+    first_cart = ev[(1, "ItemAdded")]
+    assert ev[(2, "ItemRemoved")] == first_cart and ev[(3, "ItemAdded")] == first_cart
+    assert ev[(4, "ItemPurchased")] == first_cart
+    assert ev[(5, "ItemAdded")] != first_cart
