@@ -61,6 +61,16 @@ def _micros_of_second(ts: Column) -> Column:
     return F.pmod((F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long"), F.lit(1_000_000))
 
 
+def _iso_text(date_text: Column, h: Column, m: Column, sec: Column, micros: Column, offset_minutes) -> Column:
+    def two(c):
+        return F.lpad(c.cast("string"), 2, "0")
+
+    frac = F.when(micros == 0, F.lit("")).otherwise(
+        F.concat(F.lit("."), F.regexp_replace(F.lpad(micros.cast("string"), 6, "0"), "0+$", "")))
+    return F.concat(date_text, F.lit("T"), two(h), F.lit(":"), two(m), F.lit(":"), two(sec), frac,
+                    offset_text(offset_minutes))
+
+
 def format_local_time(local_ntz, offset_minutes) -> Column:
     """Local wall time (TIMESTAMP_NTZ) at a given offset -> ISO offset text.
 
@@ -70,15 +80,21 @@ def format_local_time(local_ntz, offset_minutes) -> Column:
     zone and move wall times that fall in its daylight-saving gaps).
     """
     ts = _c(local_ntz)
+    return _iso_text(F.to_date(ts).cast("string"), F.hour(ts), F.minute(ts), F.second(ts),
+                     _micros_of_second(ts), offset_minutes)
 
-    def two(c):
-        return F.lpad(c.cast("string"), 2, "0")
 
-    micros = _micros_of_second(ts)
-    frac = F.when(micros == 0, F.lit("")).otherwise(
-        F.concat(F.lit("."), F.regexp_replace(F.lpad(micros.cast("string"), 6, "0"), "0+$", "")))
-    return F.concat(F.to_date(ts).cast("string"), F.lit("T"), two(F.hour(ts)), F.lit(":"), two(F.minute(ts)),
-                    F.lit(":"), two(F.second(ts)), frac, offset_text(offset_minutes))
+def format_event_time(instant, offset_minutes) -> Column:
+    """Instant (TIMESTAMP) shown at an offset -> ISO offset text, by epoch
+    arithmetic (no session zone involved)."""
+    day_us = 86_400_000_000
+    local_us = F.unix_micros(_c(instant)) + _c(offset_minutes).cast("long") * 60_000_000
+    days = F.floor(local_us / F.lit(day_us)).cast("int")
+    sod = local_us - days.cast("long") * day_us
+    return _iso_text(F.date_from_unix_date(days).cast("string"), (sod / 3_600_000_000).cast("long"),
+                     F.pmod((sod / 60_000_000).cast("long"), F.lit(60)),
+                     F.pmod((sod / 1_000_000).cast("long"), F.lit(60)), F.pmod(sod, F.lit(1_000_000)),
+                     offset_minutes)
 
 
 # date+hh:mm, :ss, (unused), fraction digits, offset
@@ -123,11 +139,3 @@ def ntz_epoch_micros(local_ntz) -> Column:
     secs = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     return (F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000 + secs.cast("long") * 1_000_000
             + _micros_of_second(ts))
-
-
-def format_event_time(instant, offset_minutes) -> Column:
-    """Instant (TIMESTAMP) shown at an offset -> ISO offset text."""
-    utc_ntz = F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(_c(instant), F.current_timezone()),
-                                               "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    local = utc_ntz + F.make_dt_interval(F.lit(0), F.lit(0), _c(offset_minutes).cast("int"))
-    return format_local_time(local, offset_minutes)

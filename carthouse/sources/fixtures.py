@@ -70,18 +70,6 @@ def zone_offset_minutes(custkey) -> F.Column:
     return ((F.pmod(custkey, F.lit(25)) - 12) * 60).cast("int")
 
 
-def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat purchase rows with integer keys (the DuckDB-checkable mapping)."""
-    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                        "l_quantity"))
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    pt = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    return (li.join(od, li.l_orderkey == od.o_orderkey)
-              .join(pt, li.l_partkey == pt.p_partkey)
-              .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "o_custkey",
-                      "o_orderdate", "p_name", "p_retailprice"))
-
-
 def purchase_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ItemPurchased journal rows (JOURNAL schema) for every lineitem.
 

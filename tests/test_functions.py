@@ -152,3 +152,17 @@ def test_wall_time_helpers_ignore_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert r[0] == "2024-03-10T02:30:00.25-05:00"
     assert r[1] == (1710037800 * 1_000_000 + 250_000)
+
+
+def test_format_event_time_from_instant(spark):
+    from carthouse.functions import format_event_time
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2018-01-31T23:30:00-05:00", -300), ("2018-02-01T00:00:00.123456Z", 0),
+                                    ("2018-02-01T10:15+01:00", 60), ("1969-12-31T23:59:59.5Z", 0)], "t string, o int")
+        got = [r[0] for r in df.select(format_event_time(parse_event_time("t"), F.col("o"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == ["2018-01-31T23:30:00-05:00", "2018-02-01T00:00:00.123456Z", "2018-02-01T10:15:00+01:00",
+                   "1969-12-31T23:59:59.5Z"]
