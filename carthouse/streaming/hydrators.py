@@ -104,8 +104,9 @@ def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: st
            .agg(F.sum(measure).cast(out_type).alias("balance"),
                 F.max_by("offset", F.struct("offset_ts", "offset")).alias("offset"),
                 F.max("offset_ts").alias("offset_ts")))
-    table = (billing_table if rounded else balance_table)(spark, table_path).create_if_missing()
-    offsets = OffsetStore(spark, offsets_path)
+    table = None if jdbc is not None else (billing_table if rounded else balance_table)(spark, table_path) \
+        .create_if_missing()
+    offsets = None if jdbc is not None else OffsetStore(spark, offsets_path)
     name = VENDOR_BILLING_HYDRATOR + ("-2dp" if rounded else "")
 
     def sink(batch: DataFrame, batch_id: int) -> None:

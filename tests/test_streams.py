@@ -164,3 +164,16 @@ def test_stream_over_serialized_journal(spark, scratch):
                            raw=True).await_done()
     cols = ["vendor_id", "product_id", "year", "month", "day", "quantity", "name"]
     assert _rows(item_quantity_table(spark, tp).read(), cols) == _rows(B.item_quantity_by_day(j.drop("slice")), cols)
+
+
+def test_command_line_runs_a_hydrator(spark, scratch):
+    """``python -m carthouse popular-items --available-now`` in the same
+    session: the table equals the batch rebuild."""
+    from carthouse.__main__ import main
+    j, src = _split_journal(spark, scratch)
+    write_journal(j.drop("slice").repartition(2), src)
+    tp = os.path.join(scratch, "cli-table")
+    assert main(["popular-items", "--journal", src, "--table", tp, "--offsets", os.path.join(scratch, "cli-o"),
+                 "--checkpoint", os.path.join(scratch, "cli-ck"), "--available-now"]) == 0
+    cols = ["vendor_id", "product_id", "year", "month", "day", "quantity", "name"]
+    assert _rows(item_quantity_table(spark, tp).read(), cols) == _rows(B.item_quantity_by_day(read_journal(spark, src)), cols)
