@@ -1,7 +1,9 @@
 """The journal as an append-only parquet table, its scans and its codec.
 
-The journal is kept flat (JOURNAL schema) and written sorted by offset within
-files, so parquet min/max statistics let ``offset_ts > o`` skip row groups.
+The journal (JOURNAL schema) is written in one directory per event type and
+sorted by offset within files: the event type implied by a tag prunes whole
+directories, and parquet min/max statistics let ``offset_ts > o`` skip row
+groups.
 The serialized form (RAW_JOURNAL) keeps a manifest and a JSON payload per
 event, as a storage layer would.
 """
@@ -40,10 +42,11 @@ _WIRE_PAYLOAD = (f"struct<item:{_WIRE_ITEM},cartId:struct<value:string>,amount:i
 
 
 def write_journal(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Append events, sorted by offset inside each file."""
+    """Append events under ``event_type=<type>/``, sorted by offset inside
+    each file."""
     (events.select(*[f.name for f in JOURNAL.fields])
-     .sortWithinPartitions("offset_ts", "offset")
-     .write.mode(mode).parquet(path))
+     .sortWithinPartitions("event_type", "offset_ts", "offset")
+     .write.mode(mode).partitionBy("event_type").parquet(path))
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:

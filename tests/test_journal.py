@@ -40,9 +40,12 @@ def test_tags_and_tag_scan(spark):
 def test_tag_filter_reaches_the_parquet_scan(spark, scratch):
     from carthouse.sources.journal import read_journal, write_journal
     write_journal(journal(spark, [ev(1, 10), ev(2, 20)]), scratch + "/j")
-    plan = events_by_tag(read_journal(spark, scratch + "/j"), "item-purchased", 10)._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert "PushedFilters" in plan and "offset_ts" in plan and "event_type" in plan
+    write_journal(journal(spark, [ev(3, 30, "ItemAdded")]), scratch + "/j")
+    df = events_by_tag(read_journal(spark, scratch + "/j"), "item-purchased", 10)
+    assert [r.seq_nr for r in df.collect()] == [2]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_type" in plan and "event_type#" in plan and "ItemPurchased" in plan
+    assert "PushedFilters" in plan and "offset_ts" in plan
 
 
 def test_latest_name_follows_offset_order_not_arrival(spark):
