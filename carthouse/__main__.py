@@ -1,13 +1,14 @@
 """Start a hydrator or the command processor as a Structured Streaming job.
 
-    spark-submit -m carthouse popular-items   --journal J --table T --offsets O
-    spark-submit -m carthouse vendor-billing  --journal J --table T --offsets O [--rounded]
-    spark-submit -m carthouse vendor-billing-jdbc --journal J --jdbc-url URL [--jdbc-user U --jdbc-password P]
-    spark-submit -m carthouse item-purchased-events --journal J --offsets O --topic T --partitions N
+    python -m carthouse popular-items   --journal J --table T --offsets O
+    python -m carthouse vendor-billing  --journal J --table T --offsets O [--rounded]
+    python -m carthouse vendor-billing-jdbc --journal J --jdbc-url URL [--jdbc-user U --jdbc-password P]
+    python -m carthouse item-purchased-events --journal J --offsets O --topic T --partitions N
                   (--bootstrap-servers HOSTS | --fallback-path DIR)
-    spark-submit -m carthouse commands        --commands C --events E
+    python -m carthouse commands        --commands C --events E
 
-(or ``python -m carthouse ...``). ``--available-now`` processes what is
+(or ``spark-submit carthouse/__main__.py ...`` with the package on the
+Python path). ``--available-now`` processes what is
 there and stops; otherwise the query runs until stopped, and stopping on its
 own is an error (an endless source must not end).
 """
