@@ -195,7 +195,8 @@ def q_stream_cart_events(spark, sf_dir):
         part.repartition(4, "member_id").write.mode("append").parquet(src)
         lo = hi
     stream = spark.readStream.schema(COMMANDS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream_commands_to_events(stream).writeStream.format("parquet").option("path", out)
+    q = (stream_commands_to_events(stream).writeStream.format("parquet").partitionBy("event_type")
+         .option("path", out)
          .option("checkpointLocation", os.path.join(root, "ckpt")).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()

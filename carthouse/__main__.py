@@ -92,7 +92,7 @@ def main(argv=None) -> int:
         if a.max_files_per_trigger:
             src = src.option("maxFilesPerTrigger", a.max_files_per_trigger)
         w = (stream_commands_to_events(src.parquet(a.commands)).writeStream.format("parquet")
-             .option("path", a.events)
+             .partitionBy("event_type").option("path", a.events)
              .option("checkpointLocation", a.checkpoint or os.path.join(checkpoint_root(spark), "streams", "commands"))
              .outputMode("append"))
         w = w.trigger(availableNow=True) if a.available_now else w.trigger(processingTime=a.interval)
