@@ -6,8 +6,16 @@ carthouse.sources.fixtures) and runs over all of their rows.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+# The package lives next to this file; make it importable however this
+# module was loaded.
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
