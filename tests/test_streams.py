@@ -177,3 +177,22 @@ def test_command_line_runs_a_hydrator(spark, scratch):
                  "--checkpoint", os.path.join(scratch, "cli-ck"), "--available-now"]) == 0
     cols = ["vendor_id", "product_id", "year", "month", "day", "quantity", "name"]
     assert _rows(item_quantity_table(spark, tp).read(), cols) == _rows(B.item_quantity_by_day(read_journal(spark, src)), cols)
+
+
+def test_command_stream_fails_on_out_of_order_commands(spark, scratch):
+    import pytest
+
+    from carthouse.schemas import COMMANDS_SCHEMA
+    from carthouse.streaming.carts import stream_commands_to_events
+    P1 = "00000000-0000-3000-8000-000000000001"
+    item = (P1, "00000000-0000-3000-8000-0000000000aa", "n", 1.0, 1)
+    src = os.path.join(scratch, "cmds")
+    spark.createDataFrame([("m", 5, "AddItem", item, None, None, "2024-01-01T00:00:05Z")], COMMANDS_SCHEMA) \
+        .write.mode("append").parquet(src)
+    spark.createDataFrame([("m", 3, "RemoveItem", None, P1, None, "2024-01-01T00:00:03Z")], COMMANDS_SCHEMA) \
+        .write.mode("append").parquet(src)
+    stream = spark.readStream.schema(COMMANDS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (stream_commands_to_events(stream).writeStream.format("parquet").option("path", os.path.join(scratch, "ev"))
+         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
+    with pytest.raises(Exception, match="appended in order"):
+        q.awaitTermination()
