@@ -1,0 +1,43 @@
+"""The bucketed running scan: equal to a plain window, and a hot key is
+spread over many tasks instead of one."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from carthouse.operators.scan import Running, running
+
+
+def _log(spark):
+    # member "hot" holds about a third of all rows
+    return spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("m"), (F.col("id") % 97).cast("string")))
+        .alias("member"),
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 17 == 0, F.col("id")).alias("mark"))
+
+
+def test_running_equals_plain_window(spark):
+    df = _log(spark)
+    got = running(df, ["member"], "seq", [Running("last_mark", "last", F.col("mark")),
+                                          Running("n_before", "sum", F.lit(1).cast("long"))], bucket_size=256)
+    w = Window.partitionBy("member").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("member", "seq", F.last("mark", ignorenulls=True).over(w).alias("last_mark"),
+                     F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)).alias("n_before"))
+    cols = ["member", "seq", "last_mark", "n_before"]
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert got.count() == want.count()
+
+
+def test_hot_key_is_cut_into_bounded_window_groups(spark):
+    """The scan's windows run per (key, bucket): a window group never holds
+    more than bucket_size rows of a key, whatever share of the rows the key
+    has; only the per-bucket summary (one row per bucket) is scanned per key."""
+    df = _log(spark)
+    got = running(df, ["member"], "seq", [Running("last_mark", "last", F.col("mark"))], bucket_size=256)
+    got.write.format("noop").mode("overwrite").save()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert any("__bucket" in w.split("], [")[1] for w in windows)   # partitioned by (member, bucket)
+    biggest = df.groupBy("member", F.floor(F.col("seq") / 256)).count().agg(F.max("count")).first()[0]
+    hot_rows = df.where(F.col("member") == "hot").count()
+    assert biggest <= 256 < hot_rows
