@@ -132,5 +132,12 @@ def decode_events(raw: DataFrame) -> DataFrame:
     )
 
 
+def write_raw_journal(raw: DataFrame, path: str, mode: str = "append") -> None:
+    """Append serialized events (RAW_JOURNAL), sorted by offset in each file."""
+    (raw.select(*[f.name for f in RAW_JOURNAL.fields])
+     .sortWithinPartitions("offset_ts", "offset")
+     .write.mode(mode).parquet(path))
+
+
 def read_raw_journal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_JOURNAL).parquet(path)

@@ -186,6 +186,19 @@ def catch_up(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTab
     return True
 
 
+def rebuild(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTable, offsets: OffsetStore) -> None:
+    """Recompute a read side from the whole journal, replace the table
+    (keys no longer produced by the journal disappear) and store the newest
+    offset, so a following catch-up or stream resumes after it."""
+    from carthouse.session import materialize
+    hydrator = {"item_quantity": POPULAR_ITEMS_HYDRATOR, "balance": VENDOR_BILLING_HYDRATOR,
+                "billing": VENDOR_BILLING_HYDRATOR + "-2dp"}[kind]
+    full = materialize(_delta_item_quantity(journal, None) if kind == "item_quantity"
+                       else _delta_balance(journal, None, kind == "billing"))
+    table.replace_all(full)
+    offsets.update_from(full, hydrator, TAG_ITEM_PURCHASED)
+
+
 def catch_up_item_quantity(spark: SparkSession, journal: DataFrame, table: KeyedTable, offsets: OffsetStore,
                            batch_id=None) -> bool:
     return catch_up(spark, journal, "item_quantity", table, offsets, batch_id)

@@ -196,3 +196,20 @@ def test_command_stream_fails_on_out_of_order_commands(spark, scratch):
          .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
     with pytest.raises(Exception, match="appended in order"):
         q.awaitTermination()
+
+
+def test_rebuild_replaces_stale_rows_and_resumes(spark, scratch):
+    from carthouse.sources.tables import balance_table
+    j, _ = _split_journal(spark, scratch)
+    jr = j.drop("slice")
+    t = balance_table(spark, os.path.join(scratch, "rb"))
+    offs = OffsetStore(spark, os.path.join(scratch, "rb-offs"))
+    schema = "vendor_id string, year int, month int, balance decimal(38,18)"
+    from decimal import Decimal
+    t.upsert(spark.createDataFrame([("stale-vendor", 1990, 1, Decimal(1))], schema), 0)
+    cut = jr.agg(F.expr("percentile_approx(offset_ts, 0.5)")).first()[0]
+    H.rebuild(spark, jr.where(F.col("offset_ts") <= cut), "balance", t, offs)
+    assert t.read().where(F.col("vendor_id") == "stale-vendor").count() == 0
+    H.catch_up(spark, jr, "balance", t, offs, batch_id=10)
+    cols = ["vendor_id", "year", "month", "balance"]
+    assert _rows(t.read(), cols) == _rows(B.balance_by_vendor(jr), cols)
