@@ -1,21 +1,20 @@
 """Batch plans: each read side rebuilt from the whole journal (T11) and the
-cart commands processed from a command log. These are compositions of the operators,
-the same ones the streaming plans run per micro-batch."""
+cart commands processed from a command log. These are compositions of the
+operators, the same ones the streaming plans run per micro-batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from carthouse.functions.kafka import kafka_partition, purchase_record_json
 from carthouse.operators import aggregates as A
 from carthouse.operators import carts as C
 from carthouse.operators import projections as P
-from carthouse.functions.kafka import kafka_partition, purchase_record_json
 from carthouse.schemas import TAG_ITEM_PURCHASED
 from carthouse.session import materialize
 from carthouse.sources.journal import events_by_tag
 
-from pyspark.sql import functions as F
-
 
 def purchased(journal: DataFrame, offset_ts: int | None = None) -> DataFrame:
     """S1 for the purchase tag, unordered: aggregates use the offset itself."""
