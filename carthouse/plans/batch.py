@@ -61,5 +61,5 @@ def process_commands(commands: DataFrame, bucket_size: int | None = None):
     """T6 -> T7/T8: (verdicts, ends, journal)."""
     kw = {} if bucket_size is None else {"bucket_size": bucket_size}
     verdicts, ends = C.validate_commands(commands, **kw)
-    journal = materialize(C.commands_to_events(verdicts, ends, **kw))
+    journal = materialize(C.commands_to_events(verdicts, ends))
     return verdicts, ends, journal
