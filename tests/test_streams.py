@@ -213,3 +213,30 @@ def test_rebuild_replaces_stale_rows_and_resumes(spark, scratch):
     H.catch_up(spark, jr, "balance", t, offs, batch_id=10)
     cols = ["vendor_id", "year", "month", "balance"]
     assert _rows(t.read(), cols) == _rows(B.balance_by_vendor(jr), cols)
+
+
+def test_command_line_other_jobs(spark, scratch):
+    from carthouse.__main__ import main
+    from carthouse.schemas import JOURNAL
+    from carthouse.sources.tables import billing_table
+    j, src = _split_journal(spark, scratch)
+    write_journal(j.drop("slice").repartition(2), src)
+    vb = os.path.join(scratch, "vb")
+    assert main(["vendor-billing", "--journal", src, "--table", vb, "--offsets", os.path.join(scratch, "o1"),
+                 "--rounded", "--checkpoint", os.path.join(scratch, "c1"), "--available-now"]) == 0
+    cols = ["vendor_id", "year", "month", "balance"]
+    assert _rows(billing_table(spark, vb).read(), cols) == _rows(B.vendor_billing(read_journal(spark, src)), cols)
+    feed = os.path.join(scratch, "feed")
+    assert main(["item-purchased-events", "--journal", src, "--offsets", os.path.join(scratch, "o2"), "--topic", "t",
+                 "--partitions", "3", "--fallback-path", feed, "--checkpoint", os.path.join(scratch, "c2"),
+                 "--available-now"]) == 0
+    assert spark.read.json(feed).count() == read_journal(spark, src).count()
+    cmds = os.path.join(scratch, "cmds")
+    X.command_log(spark, SF_SMALL).repartition(2, "member_id").write.parquet(cmds)
+    ev = os.path.join(scratch, "events")
+    assert main(["commands", "--commands", cmds, "--events", ev, "--checkpoint", os.path.join(scratch, "c3"),
+                 "--available-now"]) == 0
+    _, _, want = B.process_commands(X.command_log(spark, SF_SMALL), bucket_size=64)
+    got = spark.read.schema(JOURNAL).parquet(ev)
+    fields = [f.name for f in JOURNAL.fields]
+    assert got.count() == want.count() and got.select(*fields).exceptAll(want.select(*fields)).count() == 0
