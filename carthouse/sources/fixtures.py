@@ -42,10 +42,12 @@ def spread(df: DataFrame) -> DataFrame:
     per-row expression alone. A large input has at least as many splits as
     cores and is left untouched (no shuffle).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def vendor_uuid(key) -> F.Column:
