@@ -23,7 +23,8 @@ def _split_journal(spark, scratch):
     j = X.purchase_journal(spark, SF_SMALL)
     # Four slices by a hash; the last slice holds the *oldest* offsets so it
     # arrives late.
-    j = j.withColumn("slice", F.when(F.col("offset_ts") < F.expr("percentile_approx(offset_ts, 0.1) over ()"), 3)
+    p10 = j.agg(F.expr("percentile_approx(offset_ts, 0.1)")).first()[0]
+    j = j.withColumn("slice", F.when(F.col("offset_ts") < F.lit(p10), 3)
                      .otherwise(F.pmod(F.xxhash64("offset"), F.lit(3))))
     j = j.checkpoint()
     src = os.path.join(scratch, "journal")
