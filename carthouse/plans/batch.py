@@ -57,9 +57,11 @@ def purchase_records(journal: DataFrame, topic: str, partitions: int, offset_ts:
     )
 
 
-def process_commands(commands: DataFrame, bucket_size: int | None = None):
+def process_commands(commands: DataFrame, bucket_size: int | None = None, hot_line_rows: int | None = None):
     """T6 -> T7/T8: (verdicts, ends, journal)."""
     kw = {} if bucket_size is None else {"bucket_size": bucket_size}
+    if hot_line_rows is not None:
+        kw["hot_line_rows"] = hot_line_rows
     verdicts, ends = C.validate_commands(commands, **kw)
     journal = materialize(C.commands_to_events(verdicts, ends))
     return verdicts, ends, journal
