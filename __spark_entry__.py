@@ -226,7 +226,7 @@ def q_stream_purchase_records(spark, sf_dir):
     out = os.path.join(root, "frames")
     purchase_feed_stream(spark, jp, os.path.join(root, "offsets"), TOPIC, KAFKA_PARTITIONS, fallback_path=out,
                          checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=2).await_done()
-    return (spark.read.schema("partition int, key string, value string, batch_id long, topic string").json(out)
+    return (spark.read.schema("partition int, key string, value string, batch_id string, topic string").json(out)
             .select("topic", "partition", "key", "value"))
 
 

@@ -55,6 +55,31 @@ class Hydrator:
         self.query.stop()
 
 
+class _BatchScope:
+    """Commit tokens of one streaming query: '<query id>-<batch id>'.
+
+    The query id is the persistent one in the checkpoint's metadata: the
+    same across restarts of that checkpoint (a replayed batch is skipped),
+    new for a new checkpoint (a reprocess into the same table is not)."""
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self.spark, self.checkpoint, self.query_id = spark, checkpoint, None
+
+    def token(self, batch_id: int) -> str:
+        if self.query_id is None:
+            import json
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(os.path.join(self.checkpoint, "metadata"))
+            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            stream = fs.open(path)
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            self.query_id = json.loads(text.strip().splitlines()[0])["id"]
+        return f"{self.query_id}-{int(batch_id)}"
+
+
 def _trigger(writer, available_now: bool, interval: str):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
 
@@ -76,12 +101,14 @@ def item_quantity_stream(spark: SparkSession, journal_path: str, table_path: str
                 F.max("offset_ts").alias("offset_ts")))
     table = item_quantity_table(spark, table_path).create_if_missing()
     offsets = OffsetStore(spark, offsets_path)
+    ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", POPULAR_ITEMS_HYDRATOR)
+    scope = _BatchScope(spark, ckpt)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(batch, batch_id)
-        offsets.update_from(batch, POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED, batch_id)
+        token = scope.token(batch_id)
+        table.upsert(batch, token)
+        offsets.update_from(batch, POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED, token)
 
-    ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", POPULAR_ITEMS_HYDRATOR)
     w = agg.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink)
     return Hydrator(POPULAR_ITEMS_HYDRATOR, _trigger(w, available_now, interval).start())
 
@@ -108,16 +135,18 @@ def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: st
         .create_if_missing()
     offsets = None if jdbc is not None else OffsetStore(spark, offsets_path)
     name = VENDOR_BILLING_HYDRATOR + ("-2dp" if rounded else "")
+    ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", name)
+    scope = _BatchScope(spark, ckpt)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         if jdbc is not None:
             last = batch.agg(F.max_by("offset", F.struct("offset_ts", "offset")).alias("o")).first()["o"]
             write_batch(batch, jdbc[0], jdbc[1], VENDOR_BILLING_TARGET, (name, TAG_ITEM_PURCHASED, last), batch_id)
             return
-        table.upsert(batch, batch_id)
-        offsets.update_from(batch, name, TAG_ITEM_PURCHASED, batch_id)
+        token = scope.token(batch_id)
+        table.upsert(batch, token)
+        offsets.update_from(batch, name, TAG_ITEM_PURCHASED, token)
 
-    ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", name)
     w = agg.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink)
     return Hydrator(name, _trigger(w, available_now, interval).start())
 
@@ -131,12 +160,14 @@ def purchase_feed_stream(spark: SparkSession, journal_path: str, offsets_path: s
     src = stream_journal(spark, journal_path, max_files_per_trigger)
     frame = B.purchase_records(src, topic, partitions)
     offsets = OffsetStore(spark, offsets_path, id_col="producer_id")
+    ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", KAFKA_PRODUCER_ID)
+    scope = _BatchScope(spark, ckpt)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        publish(batch, bootstrap_servers, fallback_path, batch_id)
-        offsets.update_from(batch, KAFKA_PRODUCER_ID, TAG_ITEM_PURCHASED, batch_id)
+        token = scope.token(batch_id)
+        publish(batch, bootstrap_servers, fallback_path, token)
+        offsets.update_from(batch, KAFKA_PRODUCER_ID, TAG_ITEM_PURCHASED, token)
 
-    ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", KAFKA_PRODUCER_ID)
     w = frame.writeStream.outputMode("append").option("checkpointLocation", ckpt).foreachBatch(sink)
     return Hydrator(KAFKA_PRODUCER_ID, _trigger(w, available_now, interval).start())
 
