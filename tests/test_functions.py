@@ -166,3 +166,9 @@ def test_format_event_time_from_instant(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == ["2018-01-31T23:30:00-05:00", "2018-02-01T00:00:00.123456Z", "2018-02-01T10:15:00+01:00",
                    "1969-12-31T23:59:59.5Z"]
+
+
+def test_java_string_hash_on_non_ascii_bmp_text(spark):
+    keys = ["cart-é", "ça-ü-€", "日本語"]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "t string").select(java_string_hash("t")).collect()]
+    assert got == [_java_hash(k) for k in keys]
