@@ -36,18 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than there are cores.
+    """Round-robin a scan that yields a single split.
 
     A single-row-group file is read by one task, which would then run every
-    per-row expression alone. A large input has at least as many splits as
-    cores and is left untouched (no shuffle).
+    per-row expression alone. Anything read in two or more splits is left
+    untouched: on a large cluster a table can have fewer splits than cores,
+    and reshuffling it would cost more than it saves.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
     except Exception:  # no RDD view (Spark Connect): leave the scan as it is
         return df
-    return df.repartition(cores) if splits < cores else df
+    return df.repartition(cores) if splits <= 1 < cores else df
 
 
 def vendor_uuid(key) -> F.Column:
