@@ -37,6 +37,7 @@ def vendor_billing(journal: DataFrame, offset_ts: int | None = None) -> DataFram
 
 
 def top_items_per_day(journal: DataFrame, k: int = 3) -> DataFrame:
+    """V1 over the popular-items read side: the k best sellers of each day."""
     return A.top_items_per_day(item_quantity_by_day(journal), k)
 
 

@@ -120,3 +120,12 @@ def test_offset_time_order_beats_string_order(spark):
     j = with_offset_ts(journal(spark, rows))
     assert B.item_quantity_by_day(j).first().name == "LATE"
     assert [r.offset for r in events_by_tag(j, "item-purchased").collect()] == [early, late]
+
+
+def test_unknown_manifest_fails_the_strict_read_side(spark):
+    raw = encode_events(journal(spark, [ev(1, 1)])).withColumn("manifest", F.lit("SomethingElse"))
+    back = decode_events(raw)
+    assert back.first().event_type is None
+    # Still tagged as a purchase, but not decodable as one: the strict projection fails.
+    with pytest.raises(Exception, match="malformed ItemPurchased"):
+        P.project_item_quantity(back.where(F.array_contains("tags", "item-purchased")), P.STRICT).collect()
