@@ -129,3 +129,9 @@ def test_unknown_manifest_fails_the_strict_read_side(spark):
     # Still tagged as a purchase, but not decodable as one: the strict projection fails.
     with pytest.raises(Exception, match="malformed ItemPurchased"):
         P.project_item_quantity(back.where(F.array_contains("tags", "item-purchased")), P.STRICT).collect()
+
+
+def test_quantity_totals_do_not_wrap_at_32_bits(spark):
+    big = 2_000_000_000
+    r = B.item_quantity_by_day(journal(spark, [ev(1, 1, qty=big), ev(2, 2, qty=big)])).first()
+    assert r.quantity == 2 * big  # a 32-bit running sum would have wrapped negative
