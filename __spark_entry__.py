@@ -6,6 +6,7 @@ carthouse.sources.fixtures) and runs over all of their rows.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -235,8 +236,32 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_item_quantity_by_day(spark, SMOKE_DIR)
 
 
+def _optional(module: str):
+    """A module of the optional subpackage, or None where that is not installed."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("carthouse.llm", "carthouse.llm.queries", "corpus_pipeline"):
+            raise
+        return None
+
+
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    numbered, pipeline = _optional("carthouse.llm.queries"), _optional("corpus_pipeline")
+    if numbered is None:
+        return {}
+    return dict(numbered.QUERIES) | ({"pipeline": pipeline.run} if pipeline else {})
+
+
+def _llm_oracles() -> dict[str, str]:
+    numbered, pipeline = _optional("carthouse.llm.queries"), _optional("corpus_pipeline")
+    if numbered is None:
+        return {}
+    return dict(numbered.ORACLE_SQL) | ({"pipeline": pipeline.ORACLE_SQL} if pipeline and pipeline.ORACLE_SQL else {})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    return _llm_queries() | {
         "item_quantity_by_day": q_item_quantity_by_day,
         "balance_by_vendor": q_balance_by_vendor,
         "vendor_billing": q_vendor_billing,
@@ -430,7 +455,7 @@ _LINES = f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return _llm_oracles() | {
         "item_quantity_by_day": _BY_DAY,
         "balance_by_vendor": f"""
   SELECT vendor_id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
