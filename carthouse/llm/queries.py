@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carthouse.llm import exact, topk
+from carthouse.llm import exact, topk, warc
 from carthouse.llm.common import table
 
 
+def op1_warc(spark, sf_dir):
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -17,11 +22,20 @@ def op10_exact_top_k(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
 ORACLE_SQL = {
+    "op1_warc": """
+  WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+             FROM pages),
+  w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p)
+  SELECT page_id, payload_bytes, payload_digest,
+         CASE WHEN payload_bytes >= 1000 AND best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+         CASE WHEN payload_bytes >= 1000 AND best <> page_id THEN best END AS refers_to
+  FROM w""",
     "op3_exact_dedup": r"""
   WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                     sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
