@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carthouse.llm import exact, topk, warc
+from carthouse.llm import exact, mixing, topk, warc
 from carthouse.llm.common import table
 
 
@@ -13,6 +13,12 @@ def op1_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    plan = mixing.plan_mix(docs, "doc_id", "text", F.col("source"), mixing.repeating_weights)
+    return mixing.taken(plan).withColumnRenamed("id", "doc_id")
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -23,6 +29,7 @@ def op10_exact_top_k(spark, sf_dir):
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op10_exact_top_k": op10_exact_top_k,
 }
