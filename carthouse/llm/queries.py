@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carthouse.llm import exact, mixing, topk, warc
+from carthouse.llm import exact, mixing, topk, urls, warc
 from carthouse.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_top_k(spark, sf_dir):
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, F.col("id") % 100 == 0)
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_url_filter": op7_url_filter,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
