@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carthouse.llm import exact, mixing, topk, urls, warc
+from carthouse.llm import exact, kdshard, mixing, topk, urls, warc
 from carthouse.llm.common import table
 
 
@@ -23,6 +23,13 @@ def op3_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_kd_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return kdshard.kd_shards(docs, 40, {"source": kdshard.category(F.col("source")),
+                                        "lang": kdshard.category(F.col("lang")),
+                                        "n_chars": F.length("text"), "doc_id": F.col("doc_id")})
+
+
 def op7_url_filter(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -35,6 +42,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_kd_shards": op5_kd_shards,
     "op7_url_filter": op7_url_filter,
     "op10_exact_top_k": op10_exact_top_k,
 }
