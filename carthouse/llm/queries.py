@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carthouse.llm import exact, kdshard, mixing, topk, urls, warc
+from carthouse.llm import exact, kdshard, minhash, mixing, topk, urls, warc
 from carthouse.llm.common import table
 
 
@@ -30,6 +30,12 @@ def op5_kd_shards(spark, sf_dir):
                                         "n_chars": F.length("text"), "doc_id": F.col("doc_id")})
 
 
+def op6_minhash(spark, sf_dir):
+    groups = minhash.near_groups(table(spark, sf_dir, "documents"), k=4)
+    return groups.select("doc_id", "n_shingles", "component_id",
+                         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op7_url_filter(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -43,6 +49,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_kd_shards": op5_kd_shards,
+    "op6_minhash": op6_minhash,
     "op7_url_filter": op7_url_filter,
     "op10_exact_top_k": op10_exact_top_k,
 }
