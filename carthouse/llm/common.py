@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carthouse.session import checkpoint_root
@@ -76,3 +76,24 @@ def join_by_class(rows: DataFrame, classes: DataFrame, key: str, count: str, tot
 def crc32_text(c: Column) -> Column:
     """Unsigned CRC-32 of a string's UTF-8 bytes."""
     return F.crc32(c.cast("string").cast("binary"))
+
+
+#: Rows numbered by one task, about.
+RANK_ROWS = 1 << 16
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], total: int, name: str) -> DataFrame:
+    """``df`` (staged, ``total`` rows) with ``name``: gapless from 0 within each value of ``keys``.
+
+    A key may hold any share of the rows: they are dealt over buckets by a
+    hash of ``order``, numbered within a bucket, and shifted by what the
+    earlier buckets of the key hold.
+    """
+    buckets = max(1, total // RANK_ROWS)
+    dealt = df.withColumn("rank_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = dealt.groupBy(*keys, "rank_bucket").agg(F.count(F.lit(1)).alias("rank_rows"))
+    base = F.sum("rank_rows").over(Window.partitionBy(*keys).orderBy("rank_bucket")) - F.col("rank_rows")
+    own = F.row_number().over(Window.partitionBy(*keys, "rank_bucket").orderBy(*order)) - 1
+    return dealt.withColumn(name, own).join(counts.select(*keys, "rank_bucket", base.alias("rank_base")),
+                                            [*keys, "rank_bucket"]).select(
+        *df.columns, (F.col(name) + F.col("rank_base")).cast("long").alias(name))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from carthouse.llm import exact, kdshard, minhash, mixing, topk, urls, warc
+from carthouse.llm import exact, kdshard, minhash, mixing, packing, topk, urls, warc
 from carthouse.llm.common import table
 
 
@@ -40,6 +41,10 @@ def op7_url_filter(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_exact_top_k(spark, sf_dir):
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, F.col("id") % 100 == 0)
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op5_kd_shards": op5_kd_shards,
     "op6_minhash": op6_minhash,
     "op7_url_filter": op7_url_filter,
+    "op9_packing": op9_packing,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
