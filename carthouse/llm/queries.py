@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from carthouse.llm import exact, kdshard, minhash, mixing, packing, topk, urls, warc
-from carthouse.llm.common import table
+from carthouse.llm import exact, kdshard, langid, minhash, mixing, packing, topk, urls, warc
+from carthouse.llm.common import crc32_text, table
 
 
 def op1_warc(spark, sf_dir):
@@ -24,6 +24,13 @@ def op3_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_text(F.col("doc_id")) % 4 == 2
+    model = langid.fit(docs, "text", "lang", "doc_id", F.coalesce(~held_out, F.lit(False)))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_kd_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return kdshard.kd_shards(docs, 40, {"source": kdshard.category(F.col("source")),
@@ -53,6 +60,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_kd_shards": op5_kd_shards,
     "op6_minhash": op6_minhash,
     "op7_url_filter": op7_url_filter,
