@@ -92,10 +92,14 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: by
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an archive."""
-    while data:
-        one = zlib.decompressobj(wbits=31)
-        raw = one.decompress(data) + one.flush()
-        data = one.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        one, pieces = zlib.decompressobj(wbits=31), []
+        while not one.eof and at < len(view):  # fed in steps: what follows the member is never copied whole
+            step = view[at:at + (1 << 14)]
+            pieces.append(one.decompress(step))
+            at += len(step) - len(one.unused_data)
+        raw = b"".join(pieces)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
