@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from carthouse.llm import exact, kdshard, langid, minhash, mixing, packing, topk, urls, warc
+from carthouse.llm import exact, kdshard, langid, minhash, mixing, packing, topk, toxicity, urls, warc
 from carthouse.llm.common import crc32_text, table
 
 
@@ -48,6 +48,14 @@ def op7_url_filter(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark, sf_dir):
+    held_out = crc32_text(F.col("doc_id")) % 3 == 1
+    every, index = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text",
+                                "toxic", ~held_out)
+    found = toxicity.scores(every, index).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -64,6 +72,7 @@ QUERIES = {
     "op5_kd_shards": op5_kd_shards,
     "op6_minhash": op6_minhash,
     "op7_url_filter": op7_url_filter,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_exact_top_k": op10_exact_top_k,
 }
