@@ -6,10 +6,12 @@ carthouse.sources.fixtures) and runs over all of their rows.
 
 from __future__ import annotations
 
+import functools
 import importlib
 import os
 import sys
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 # The package lives next to this file; make it importable however this
 # module was loaded.
@@ -20,12 +22,16 @@ if _HERE not in sys.path:
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carthouse.functions.ids import sql_name_uuid
+from carthouse.functions.ids import (GREGORIAN_TO_UNIX_100NS, sql_name_uuid, timeuuid_from_ticks,
+                                     timeuuid_unix_millis)
+from carthouse.functions.items import parse_item_json
+from carthouse.functions.money import price_from_wire, price_to_wire
 from carthouse.operators import aggregates as A
 from carthouse.operators import carts as C
 from carthouse.plans import batch as B
 from carthouse.sources import fixtures as X
-from carthouse.sources.journal import decode_events, encode_events
+from carthouse.session import materialize, ship_package
+from carthouse.sources.journal import decode_events, encode_events, with_offset_ts
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -80,6 +86,11 @@ def _cart_run(spark, sf_dir):
     return B.process_commands(_commands(spark, sf_dir))
 
 
+def _cart_journal(spark, sf_dir):
+    """The cart journal, written once: a replay reads it several times."""
+    return materialize(_cart_run(spark, sf_dir)[2])
+
+
 def q_command_verdicts(spark, sf_dir):
     verdicts, _, _ = _cart_run(spark, sf_dir)
     return verdicts.select("member_id", "seq", "command", "verdict")
@@ -100,19 +111,20 @@ def q_checkout_items(spark, sf_dir):
 
 
 def q_replay_carts(spark, sf_dir):
-    _, _, journal = _cart_run(spark, sf_dir)
+    journal = _cart_journal(spark, sf_dir)
     return C.replay_carts(journal)
 
 
 # Snapshot point of the registered T4 query: every cart as of this instant.
-SNAPSHOT_BEFORE = "2024-01-15T00:00:00Z"
+SNAPSHOT_BEFORE = datetime(2024, 1, 15, tzinfo=timezone.utc)
+SNAPSHOT_TICKS = int(SNAPSHOT_BEFORE.timestamp()) * 10_000_000 + GREGORIAN_TO_UNIX_100NS
 
 
 def q_replay_from_snapshot(spark, sf_dir):
     """T4 law on the whole log: snapshot each cart at a cut point (S12),
     then replay snapshot + tail; must equal the full replay."""
-    _, _, journal = _cart_run(spark, sf_dir)
-    head = journal.where(F.col("event_time") < F.lit(SNAPSHOT_BEFORE))
+    journal = _cart_journal(spark, sf_dir)
+    head = journal.where(F.col("offset_ts") < F.lit(SNAPSHOT_TICKS))
     snaps = C.snapshot_from_lines(C.replay_carts(head), head)
     return C.replay_from_snapshot(journal, snaps)
 
@@ -120,13 +132,13 @@ def q_replay_from_snapshot(spark, sf_dir):
 def q_replay_from_checkout_snapshots(spark, sf_dir):
     """T4 with the snapshots a checkout leaves (empty carts at the last
     purchase); must equal the full replay."""
-    _, _, journal = _cart_run(spark, sf_dir)
+    journal = _cart_journal(spark, sf_dir)
     return C.replay_from_snapshot(journal, C.checkout_snapshots(journal))
 
 
 def q_cart_contents(spark, sf_dir):
     cmds = _commands(spark, sf_dir)
-    _, _, journal = B.process_commands(cmds)
+    journal = _cart_journal(spark, sf_dir)
     members = cmds.select(F.concat(F.lit("cart-"), F.col("member_id")).alias("persistence_id"))
     c = C.cart_contents(journal, members)
     return c.select("persistence_id", F.size("items").alias("item_count"),
@@ -144,12 +156,18 @@ def _scratch(spark, name):
     return os.path.join(checkpoint_root(spark), "carthouse", f"{name}-{uuid.uuid4().hex}")
 
 
+# Files of a streamed journal hold at most this many events, and a micro-batch
+# reads this many files: its size does not follow the table's.
+EVENTS_PER_FILE = 200_000
+FILES_PER_TRIGGER = 4
+
+
 def _streamed_journal(spark, sf_dir, root):
     import os
 
     from carthouse.sources.journal import write_journal
     jp = os.path.join(root, "journal")
-    write_journal(_journal(spark, sf_dir).repartition(6), jp)
+    write_journal(_journal(spark, sf_dir), jp, records_per_file=EVENTS_PER_FILE)
     return jp
 
 
@@ -163,7 +181,7 @@ def q_stream_item_quantity_by_day(spark, sf_dir):
     root = _scratch(spark, "stream-item-quantity")
     jp = _streamed_journal(spark, sf_dir, root)
     item_quantity_stream(spark, jp, os.path.join(root, "table"), os.path.join(root, "offsets"),
-                         checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=2).await_done()
+                         checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=FILES_PER_TRIGGER).await_done()
     return item_quantity_table(spark, os.path.join(root, "table")).read()
 
 
@@ -176,7 +194,7 @@ def q_stream_vendor_billing(spark, sf_dir):
     root = _scratch(spark, "stream-vendor-billing")
     jp = _streamed_journal(spark, sf_dir, root)
     vendor_balance_stream(spark, jp, os.path.join(root, "table"), os.path.join(root, "offsets"), rounded=True,
-                          checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=2).await_done()
+                          checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=FILES_PER_TRIGGER).await_done()
     return billing_table(spark, os.path.join(root, "table")).read()
 
 
@@ -185,14 +203,15 @@ def q_stream_cart_events(spark, sf_dir):
     per-member stateful processor; same columns as ``cart_events``."""
     import os
 
-    from carthouse.schemas import COMMANDS_SCHEMA, JOURNAL
+    from carthouse.schemas import COMMANDS_SCHEMA
+    from carthouse.sources.journal import read_journal, with_storage_tag
     from carthouse.streaming.carts import stream_commands_to_events
     root = _scratch(spark, "stream-cart-events")
     src, out = os.path.join(root, "commands"), os.path.join(root, "events")
     cmds = _commands(spark, sf_dir)
     # Appended in order, in four slices of the sequence; within a slice each
-    # member's commands sit in one file, so per-member order holds across
-    # micro-batches whatever the file order inside a slice.
+    # member's commands sit in one partition's files, and older files are
+    # read first, so per-member order holds across micro-batches.
     cuts = cmds.selectExpr("percentile_approx(seq, array(0.25, 0.5, 0.75))").first()[0]
     lo = None
     for hi in list(cuts) + [None]:
@@ -201,17 +220,17 @@ def q_stream_cart_events(spark, sf_dir):
             part = part.where(F.col("seq") > lo)
         if hi is not None:
             part = part.where(F.col("seq") <= hi)
-        part.repartition(4, "member_id").write.mode("append").parquet(src)
+        part.repartition("member_id").write.mode("append").parquet(src)
         lo = hi
-    stream = spark.readStream.schema(COMMANDS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream_commands_to_events(stream).writeStream.format("parquet").partitionBy("event_type")
+    stream = spark.readStream.schema(COMMANDS_SCHEMA).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(src)
+    q = (with_storage_tag(stream_commands_to_events(stream)).writeStream.format("parquet").partitionBy("tag")
          .option("path", out)
          .option("checkpointLocation", os.path.join(root, "ckpt")).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    journal = spark.read.schema(JOURNAL).parquet(out)
+    journal = read_journal(spark, out)
     return journal.select("persistence_id", "seq_nr", "event_type", F.col("item.product_id").alias("product_id"),
                           F.col("item.quantity").alias("quantity"), "amount", "cart_id")
 
@@ -226,11 +245,130 @@ def q_stream_purchase_records(spark, sf_dir):
     jp = _streamed_journal(spark, sf_dir, root)
     out = os.path.join(root, "frames")
     purchase_feed_stream(spark, jp, os.path.join(root, "offsets"), TOPIC, KAFKA_PARTITIONS, fallback_path=out,
-                         checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=2).await_done()
+                         checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=FILES_PER_TRIGGER).await_done()
     return (spark.read.schema("partition int, key string, value string, batch_id string, topic string").json(out)
             .select("topic", "partition", "key", "value"))
 
 
+def q_stream_balance_by_vendor(spark, sf_dir):
+    """T2, exact form, as a stream over the serialized journal."""
+    import os
+
+    from carthouse.sources.journal import write_raw_journal
+    from carthouse.sources.tables import balance_table
+    from carthouse.streaming.hydrators import vendor_balance_stream
+    root = _scratch(spark, "stream-balance")
+    jp = os.path.join(root, "journal")
+    write_raw_journal(encode_events(_journal(spark, sf_dir)), jp, records_per_file=EVENTS_PER_FILE)
+    vendor_balance_stream(spark, jp, os.path.join(root, "table"), os.path.join(root, "offsets"), raw=True,
+                          checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=FILES_PER_TRIGGER).await_done()
+    return balance_table(spark, os.path.join(root, "table")).read()
+
+
+def _catch_up(spark, sf_dir, kind, make_table):
+    """The journal becomes visible in parts (the second cut lies inside
+    the events of one time); each run resumes after the stored offset."""
+    import os
+
+    from carthouse.sources.journal import read_journal, write_journal
+    from carthouse.sources.tables import OffsetStore
+    from carthouse.streaming.hydrators import catch_up
+    root = _scratch(spark, f"catch-up-{kind}")
+    path = os.path.join(root, "journal")
+    # Ticks cut to whole days, so that many events share a time.
+    day = 864_000_000_000
+    write_journal(_journal(spark, sf_dir).withColumn("offset_ts", F.expr(f"offset_ts div {day} * {day}")), path)
+    journal = read_journal(spark, path)
+    table, offsets = make_table(spark, os.path.join(root, "table")), OffsetStore(spark, os.path.join(root, "offsets"))
+    cuts = journal.selectExpr("percentile_approx(offset_ts, array(0.3, 0.6))").first()[0]
+    part = journal.where(F.col("offset_ts") == cuts[1]).selectExpr("percentile_approx(conv(substr(offset, 1, 4), 16, 10), 0.5)")
+    inside = f"{int(part.first()[0]):04x}"
+    order = F.struct("offset_ts", "offset")
+    for visible in (journal.where(F.col("offset_ts") <= cuts[0]),
+                    journal.where(order <= F.struct(F.lit(cuts[1]).alias("offset_ts"), F.lit(inside).alias("offset"))),
+                    journal):
+        catch_up(spark, visible, kind, table, offsets)
+    return table.read()
+
+
+def q_catch_up_item_quantity(spark, sf_dir):
+    from carthouse.sources.tables import item_quantity_table
+    return _catch_up(spark, sf_dir, "item_quantity", item_quantity_table)
+
+
+def q_catch_up_balance(spark, sf_dir):
+    from carthouse.sources.tables import balance_table
+    return _catch_up(spark, sf_dir, "balance", balance_table)
+
+
+def q_rebuild_item_quantity(spark, sf_dir):
+    """T11, stored form: rebuilt over a table that already holds other rows."""
+    import os
+
+    from carthouse.sources.tables import OffsetStore, item_quantity_table
+    from carthouse.streaming.hydrators import rebuild
+    root = _scratch(spark, "rebuild")
+    table, offsets = item_quantity_table(spark, os.path.join(root, "t")), OffsetStore(spark, os.path.join(root, "o"))
+    stale = B.item_quantity_by_day(_journal(spark, sf_dir)).withColumn("year", F.col("year") + 100)
+    table.upsert(stale, "stale")
+    rebuild(spark, _journal(spark, sf_dir), "item_quantity", table, offsets)
+    return table.read()
+
+
+def q_latest_name(spark, sf_dir):
+    """A2 where every purchase carries a name of its own: the latest one counts."""
+    return B.item_quantity_by_day(X.purchase_journal(spark, sf_dir, renamed=True))
+
+
+def q_purchase_records_permissive(spark, sf_dir):
+    """P5: every seventh order's events lose their cart id, every fifth their
+    item; the feed leaves such events out."""
+    j = _journal(spark, sf_dir)
+    n = F.conv(F.substring(F.md5("cart_id"), 1, 8), 16, 10).cast("long")
+    broken = j.withColumn("item", F.when(n % 5 != 0, F.col("item"))) \
+        .withColumn("cart_id", F.when(n % 7 != 0, F.col("cart_id")))
+    return B.purchase_records(broken, TOPIC, KAFKA_PARTITIONS).drop("offset", "offset_ts")
+
+
+def q_cart_journal_codec(spark, sf_dir):
+    """S3 then S2 over all five event types of the cart journal."""
+    journal = decode_events(encode_events(_cart_run(spark, sf_dir)[2]))
+    return journal.select("persistence_id", "seq_nr", "event_type", F.col("item.product_id").alias("product_id"),
+                          F.col("item.quantity").alias("quantity"), "amount", "cart_id")
+
+
+def q_find_item_quantity(spark, sf_dir):
+    """A lookup by key for every (vendor, product, day) bought by order 1 mod 10, as one join."""
+    journal = _journal(spark, sf_dir)
+    table = B.item_quantity_by_day(journal)
+    keys = table.where(F.col("day") % 10 == 1).select("vendor_id", "product_id", "year", "month", "day")
+    return table.join(keys, keys.columns).select(*keys.columns, "quantity")
+
+
+def q_parse_item_json(spark, sf_dir):
+    """item JSON of every line (every ninth order without a price), decoded."""
+    li = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = li.join(X.table(spark, sf_dir, "part"), li.l_partkey == F.col("p_partkey"))
+    text = F.to_json(F.struct(
+        F.upper(X.product_uuid(F.col("l_partkey"))).alias("productId"), X.vendor_uuid(F.col("l_suppkey")).alias("vendorId"),
+        F.col("p_name").alias("name"),
+        F.when(F.col("l_orderkey") % 9 != 0, price_to_wire(price_from_wire(F.col("p_retailprice")))).alias("price"),
+        F.col("l_quantity").cast("int").alias("quantity")))
+    got = parse_item_json(text)
+    return rows.select("l_orderkey", "l_linenumber", got["item"]["product_id"].alias("product_id"),
+                       got["item"]["price"].alias("price"), got["item"]["quantity"].alias("quantity"),
+                       F.array_join(got["errors"], ";").alias("errors"))
+
+
+def q_offset_ticks(spark, sf_dir):
+    """the time of a version-1 offset, read back from its text."""
+    o = X.table(spark, sf_dir, "orders")
+    ticks = F.col("o_orderkey") * 1_000_003 + F.lit(GREGORIAN_TO_UNIX_100NS)
+    text = timeuuid_from_ticks(ticks, F.col("o_custkey"), F.col("o_orderkey"))
+    return with_offset_ts(o.select("o_orderkey", text.alias("offset"), F.lit(None).cast("long").alias("offset_ts"))).select(
+        "o_orderkey", "offset_ts", timeuuid_unix_millis(F.col("offset")).alias("millis"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the popular-items read side over the sf0.001 purchases."""
     return q_item_quantity_by_day(spark, SMOKE_DIR)
@@ -260,8 +398,17 @@ def _llm_oracles() -> dict[str, str]:
     return dict(numbered.ORACLE_SQL) | ({"pipeline": pipeline.ORACLE_SQL} if pipeline and pipeline.ORACLE_SQL else {})
 
 
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _llm_queries() | {
+    found = _llm_queries() | {
         "item_quantity_by_day": q_item_quantity_by_day,
         "balance_by_vendor": q_balance_by_vendor,
         "vendor_billing": q_vendor_billing,
@@ -280,7 +427,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_item_quantity_by_day": q_stream_item_quantity_by_day,
         "stream_vendor_billing": q_stream_vendor_billing,
         "stream_cart_events": q_stream_cart_events,
+        "stream_balance_by_vendor": q_stream_balance_by_vendor,
+        "catch_up_item_quantity": q_catch_up_item_quantity,
+        "catch_up_balance": q_catch_up_balance,
+        "rebuild_item_quantity": q_rebuild_item_quantity,
+        "latest_name": q_latest_name,
+        "purchase_records_permissive": q_purchase_records_permissive,
+        "cart_journal_codec": q_cart_journal_codec,
+        "find_item_quantity": q_find_item_quantity,
+        "parse_item_json": q_parse_item_json,
+        "offset_ticks": q_offset_ticks,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 # ----------------------------------------------------------------------------
@@ -296,7 +454,7 @@ _PURCHASES = f"""
          {_u("'cart-' || CAST(l_orderkey AS VARCHAR)")} AS cart_id,
          'cart-' || {_u("'member-' || CAST(o_custkey AS VARCHAR)")} AS member_id,
          p_name AS name, p_retailprice AS price, CAST(l_quantity AS INTEGER) AS quantity,
-         o_orderdate, o_custkey,
+         o_orderdate, o_custkey, l_orderkey, l_linenumber,
          CAST(CAST(CAST(p_retailprice * CAST(l_quantity AS INTEGER) AS DOUBLE) AS VARCHAR)
               AS DECIMAL(38,18)) AS total
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
@@ -318,6 +476,12 @@ _BILLING = f"""
   FROM ({_PURCHASES}) p GROUP BY ALL"""
 
 
+_BALANCE = f"""
+  SELECT vendor_id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+         CAST(sum(total) AS DECIMAL(38,18)) AS balance
+  FROM ({_PURCHASES}) p GROUP BY ALL"""
+
+
 def _java_hash_sql(expr: str) -> str:
     h = (f"list_reduce(list_transform(str_split({expr}, ''), lambda ch: CAST(unicode(ch) AS BIGINT)), "
          f"lambda acc, c: (acc * 31 + c) % 4294967296, CAST(0 AS BIGINT))")
@@ -457,10 +621,7 @@ _LINES = f"""
 def oracle_sql() -> dict[str, str]:
     return _llm_oracles() | {
         "item_quantity_by_day": _BY_DAY,
-        "balance_by_vendor": f"""
-  SELECT vendor_id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
-         CAST(sum(total) AS DECIMAL(38,18)) AS balance
-  FROM ({_PURCHASES}) p GROUP BY ALL""",
+        "balance_by_vendor": _BALANCE,
         "vendor_billing": _BILLING,
         "stream_vendor_billing": _BILLING,
         "top_items_per_day": f"""
@@ -489,6 +650,32 @@ def oracle_sql() -> dict[str, str]:
         "replay_carts": _LINES,
         "stream_item_quantity_by_day": _BY_DAY,
         "stream_cart_events": _EVENTS,
+        "stream_balance_by_vendor": _BALANCE,
+        "catch_up_item_quantity": _BY_DAY,
+        "catch_up_balance": _BALANCE,
+        "rebuild_item_quantity": _BY_DAY,
+        "latest_name": f"""
+  SELECT vendor_id, product_id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+         CAST(day(o_orderdate) AS INTEGER) AS day, CAST(sum(quantity) AS BIGINT) AS quantity,
+         arg_max(name || ' ' || l_orderkey || ' ' || l_linenumber,
+                 (epoch_us(o_orderdate) - (o_custkey % 25 - 12) * 3600000000) * 10 + l_orderkey * 8 + l_linenumber) AS name
+  FROM ({_PURCHASES}) p GROUP BY ALL""",
+        "purchase_records_permissive": f"""
+  SELECT topic, partition, key, value FROM (
+    SELECT *, CAST(('0x' || substr(md5(substr(value, strpos(value, '"cartId":"') + 10, 36)), 1, 8)) AS BIGINT) AS n
+    FROM ({_RECORDS}) r) WHERE n % 5 <> 0 AND n % 7 <> 0""",
+        "cart_journal_codec": _EVENTS,
+        "find_item_quantity": f"SELECT vendor_id, product_id, year, month, day, quantity FROM ({_BY_DAY}) d WHERE day % 10 = 1",
+        "parse_item_json": f"""
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_orderkey % 9 <> 0 THEN {_u("'product-' || CAST(l_partkey AS VARCHAR)")} END AS product_id,
+         CASE WHEN l_orderkey % 9 <> 0 THEN p_retailprice END AS price,
+         CASE WHEN l_orderkey % 9 <> 0 THEN CAST(l_quantity AS INTEGER) END AS quantity,
+         CASE WHEN l_orderkey % 9 = 0 THEN 'price: missing or invalid' ELSE '' END AS errors
+  FROM lineitem JOIN part ON l_partkey = p_partkey""",
+        "offset_ticks": f"""
+  SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000003 + {GREGORIAN_TO_UNIX_100NS} AS offset_ts,
+         CAST(o_orderkey AS BIGINT) * 1000003 // 10000 AS millis FROM orders""",
         "replay_from_snapshot": _LINES,
         "replay_from_checkout_snapshots": _LINES,
         "cart_contents": f"""

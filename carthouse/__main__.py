@@ -77,13 +77,14 @@ def main(argv=None) -> int:
     if a.job == "popular-items":
         h = H.item_quantity_stream(spark, a.journal, a.table, a.offsets, raw=a.raw, **kw)
     elif a.job == "vendor-billing":
-        h = H.vendor_balance_stream(spark, a.journal, a.table, a.offsets, rounded=a.rounded, **kw)
+        h = H.vendor_balance_stream(spark, a.journal, a.table, a.offsets, rounded=a.rounded, raw=a.raw, **kw)
     elif a.job == "vendor-billing-jdbc":
         props = {k: v for k, v in (("user", a.jdbc_user), ("password", a.jdbc_password)) if v}
-        h = H.vendor_balance_stream(spark, a.journal, None, None, rounded=True, jdbc=(a.jdbc_url, props), **kw)
+        h = H.vendor_balance_stream(spark, a.journal, None, None, rounded=True, jdbc=(a.jdbc_url, props),
+                                    raw=a.raw, **kw)
     elif a.job == "item-purchased-events":
         h = H.purchase_feed_stream(spark, a.journal, a.offsets, a.topic, a.partitions,
-                                   bootstrap_servers=a.bootstrap_servers, fallback_path=a.fallback_path, **kw)
+                                   bootstrap_servers=a.bootstrap_servers, fallback_path=a.fallback_path, raw=a.raw, **kw)
     else:
         from carthouse.schemas import COMMANDS_SCHEMA
         from carthouse.session import checkpoint_root
@@ -91,8 +92,9 @@ def main(argv=None) -> int:
         src = spark.readStream.schema(COMMANDS_SCHEMA)
         if a.max_files_per_trigger:
             src = src.option("maxFilesPerTrigger", a.max_files_per_trigger)
-        w = (stream_commands_to_events(src.parquet(a.commands)).writeStream.format("parquet")
-             .partitionBy("event_type").option("path", a.events)
+        from carthouse.sources.journal import with_storage_tag
+        w = (with_storage_tag(stream_commands_to_events(src.parquet(a.commands))).writeStream.format("parquet")
+             .partitionBy("tag").option("path", a.events)
              .option("checkpointLocation", a.checkpoint or os.path.join(checkpoint_root(spark), "streams", "commands"))
              .outputMode("append"))
         w = w.trigger(availableNow=True) if a.available_now else w.trigger(processingTime=a.interval)

@@ -97,6 +97,8 @@ def format_event_time(instant, offset_minutes) -> Column:
                      offset_minutes)
 
 
+# The shape the ISO offset formatter prints (micros).
+_CANONICAL_RE = (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{0,5}[1-9])?(Z|[+-](?!00:00)\d{2}:\d{2})$")
 # date+hh:mm, :ss, (unused), fraction digits, offset
 _PARTS_RE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2})(:\d{2})?(\.(\d{1,9}))?(Z|[+-]\d{2}:\d{2})$"
 _LOCAL_RE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?)(Z|[+-]\d{2}:\d{2})$"
@@ -130,7 +132,8 @@ def normalize_event_time(text, checked: bool = False) -> Column:
                    F.when(frac == "", F.lit("")).otherwise(F.concat(F.lit("."), frac)),
                    F.when(off.isin("Z", "+00:00", "-00:00"), F.lit("Z")).otherwise(off))
     ok = t.rlike(_ISO_OFFSET_RE) if checked else parse_event_time(t).isNotNull()
-    return F.when(ok, out)
+    # Text that already has the printed shape (nearly all) is kept after one match.
+    return F.when(t.rlike(_CANONICAL_RE) if checked else t.rlike(_CANONICAL_RE) & ok, t).when(ok, out)
 
 
 def ntz_epoch_micros(local_ntz) -> Column:

@@ -76,9 +76,13 @@ def last_offset(rows: DataFrame, id_col: str, id_value: str, tag: str) -> DataFr
 def top_items_per_day(by_day: DataFrame, k: int = 3) -> DataFrame:
     """V1: the k most purchased items of each day (ties share a rank).
 
-    ``rank() <= k`` is planned with a partial window-group limit before the
-    shuffle, so each task forwards at most k rows (plus ties) per day.
+    Items are counted per (day, quantity) first; that small table is ranked
+    (a rank is one more than the items above it) and joined back, so neither
+    a day nor its ties have to fit in one task.
     """
-    w = Window.partitionBy("year", "month", "day").orderBy(F.desc("quantity"))
-    return (by_day.withColumn("rank", F.rank().over(w))
-            .where(F.col("rank") <= k))
+    day = ["year", "month", "day"]
+    sizes = by_day.groupBy(*day, "quantity").agg(F.count(F.lit(1)).alias("items"))
+    above = Window.partitionBy(*day).orderBy(F.desc("quantity")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = sizes.withColumn("rank", (F.coalesce(F.sum("items").over(above), F.lit(0)) + 1).cast("int")) \
+        .where(F.col("rank") <= k).drop("items")
+    return by_day.join(ranks, day + ["quantity"]).select(*by_day.columns, "rank")

@@ -109,25 +109,33 @@ def tag_events(events: DataFrame) -> DataFrame:
         "tags", F.when(tag.isNotNull(), F.array(tag, F.lit(TAG_CART_EVENT))).otherwise(F.array().cast("array<string>")))
 
 
-def event_types_for_tag(tag: str) -> list[str] | None:
-    """The event types a tag can carry; None when it carries all of them."""
-    if tag == TAG_CART_EVENT:
-        return None
-    return [k for k, v in TAG_BY_EVENT.items() if v == tag]
+def storage_tag(tags) -> Column:
+    """The specific tag a journal row is stored under (NULL: untagged)."""
+    return F.filter(tags, lambda t: t != F.lit(TAG_CART_EVENT))[0]
 
 
 def filter_tag(journal: DataFrame, tag: str) -> DataFrame:
-    """P7. ``array_contains`` is not pushed into parquet, so the scalar
-    ``event_type`` implied by the tag is added as a pushable predicate."""
+    """P7. ``array_contains`` is not pushed into parquet; a stored journal is
+    laid out by tag, so there the directory of the tag is read and no other.
+    Only the tag decides: a row under it that is no event of its kind reaches
+    the strict projections, which fail on it."""
     df = journal.where(F.array_contains("tags", tag))
-    types = event_types_for_tag(tag)
-    if types is not None:
-        df = df.where(F.col("event_type").isin(types))
+    if "tag" in journal.columns and tag != TAG_CART_EVENT:
+        df = df.where(F.col("tag") == tag)
     return df
 
 
-def after_offset(journal: DataFrame, offset_ts: int | None) -> DataFrame:
-    """Strictly after a stored offset; no offset means from the start."""
-    if offset_ts is None:
+def after_offset(journal: DataFrame, after: tuple | int | None) -> DataFrame:
+    """Strictly after a stored offset; no offset means from the start.
+
+    ``after`` is (offset_ts, offset): events of the same time follow in the
+    order of the offset's text. A bare time means after every event of it.
+    """
+    if after is None:
         return journal
-    return journal.where(F.col("offset_ts") > F.lit(int(offset_ts)))
+    if not isinstance(after, tuple):
+        return journal.where(F.col("offset_ts") > F.lit(int(after)))
+    ts, offset = after
+    # The first condition is implied by the second and is what the scan can use.
+    return journal.where((F.col("offset_ts") >= F.lit(int(ts)))
+                         & ((F.col("offset_ts") > F.lit(int(ts))) | (F.col("offset") > F.lit(offset))))

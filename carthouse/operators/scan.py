@@ -34,7 +34,7 @@ class Running:
 def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
             bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
     b = "__bucket"
-    df = df.withColumn(b, F.floor(F.col(order) / F.lit(int(bucket_size))))
+    df = df.withColumn(b, F.expr(f"{order} div {int(bucket_size)}"))
     for i, s in enumerate(specs):
         df = df.withColumn(f"__v{i}", s.value)
 

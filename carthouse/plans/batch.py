@@ -12,28 +12,27 @@ from carthouse.operators import aggregates as A
 from carthouse.operators import carts as C
 from carthouse.operators import projections as P
 from carthouse.schemas import TAG_ITEM_PURCHASED
-from carthouse.session import materialize
 from carthouse.sources.journal import events_by_tag
 
 
-def purchased(journal: DataFrame, offset_ts: int | None = None) -> DataFrame:
+def purchased(journal: DataFrame, after: tuple | int | None = None) -> DataFrame:
     """S1 for the purchase tag, unordered: aggregates use the offset itself."""
-    return events_by_tag(journal, TAG_ITEM_PURCHASED, offset_ts, ordered=False)
+    return events_by_tag(journal, TAG_ITEM_PURCHASED, after, ordered=False)
 
 
-def item_quantity_by_day(journal: DataFrame, offset_ts: int | None = None) -> DataFrame:
+def item_quantity_by_day(journal: DataFrame, after: tuple | int | None = None) -> DataFrame:
     """popular-items read side: S1 -> P4/P1 -> A1+A2."""
-    return A.item_quantity_by_day(P.project_item_quantity(purchased(journal, offset_ts), P.STRICT))
+    return A.item_quantity_by_day(P.project_item_quantity(purchased(journal, after), P.STRICT))
 
 
-def balance_by_vendor(journal: DataFrame, offset_ts: int | None = None) -> DataFrame:
+def balance_by_vendor(journal: DataFrame, after: tuple | int | None = None) -> DataFrame:
     """vendor-billing read side: S1 -> P4/P2 -> A3."""
-    return A.balance_by_vendor(P.project_vendor_charge(purchased(journal, offset_ts), P.STRICT))
+    return A.balance_by_vendor(P.project_vendor_charge(purchased(journal, after), P.STRICT))
 
 
-def vendor_billing(journal: DataFrame, offset_ts: int | None = None) -> DataFrame:
+def vendor_billing(journal: DataFrame, after: tuple | int | None = None) -> DataFrame:
     """vendor-billing (2-dp) read side: S1 -> P4/P2 -> A4."""
-    return A.vendor_billing(P.project_vendor_charge(purchased(journal, offset_ts), P.STRICT))
+    return A.vendor_billing(P.project_vendor_charge(purchased(journal, after), P.STRICT))
 
 
 def top_items_per_day(journal: DataFrame, k: int = 3) -> DataFrame:
@@ -41,13 +40,13 @@ def top_items_per_day(journal: DataFrame, k: int = 3) -> DataFrame:
     return A.top_items_per_day(item_quantity_by_day(journal), k)
 
 
-def purchase_records(journal: DataFrame, topic: str, partitions: int, offset_ts: int | None = None) -> DataFrame:
+def purchase_records(journal: DataFrame, topic: str, partitions: int, after: tuple | int | None = None) -> DataFrame:
     """Kafka-shaped frame of every purchase: S1 -> P5/P3 -> F9/F10.
 
     Columns: topic, partition, key (the member = persistence id), value
     (compact JSON), plus the offset for the tracking row.
     """
-    d = P.project_item_details(purchased(journal, offset_ts), P.PERMISSIVE)
+    d = P.project_item_details(purchased(journal, after), P.PERMISSIVE)
     return d.select(
         F.lit(topic).alias("topic"),
         kafka_partition(F.col("memberId"), partitions).alias("partition"),
@@ -58,11 +57,7 @@ def purchase_records(journal: DataFrame, topic: str, partitions: int, offset_ts:
     )
 
 
-def process_commands(commands: DataFrame, bucket_size: int | None = None, hot_line_rows: int | None = None):
-    """T6 -> T7/T8: (verdicts, ends, journal)."""
-    kw = {} if bucket_size is None else {"bucket_size": bucket_size}
-    if hot_line_rows is not None:
-        kw["hot_line_rows"] = hot_line_rows
-    verdicts, ends = C.validate_commands(commands, **kw)
-    journal = materialize(C.commands_to_events(verdicts, ends))
-    return verdicts, ends, journal
+def process_commands(commands: DataFrame, bucket_size: int | None = None):
+    """T6 -> T7/T8: (verdicts, ends, journal); the journal is built when it is read."""
+    verdicts, ends = C.validate_commands(commands, **({} if bucket_size is None else {"bucket_size": bucket_size}))
+    return verdicts, ends, C.commands_to_events(verdicts, ends)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -13,8 +15,6 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "8g",
-    # Checkpoint files of DataFrames that are no longer referenced are removed.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -45,19 +45,32 @@ def build_session(master: str | None = None, app: str = "carthouse",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, unless
+    it is installed for them anyway (local runs; a cluster gets it with --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a scratch folder created
-    and registered, so that streaming checkpoints, versioned tables and
-    ``DataFrame.checkpoint()`` all land in one place.
+    Only when the session has none and runs on a ``local`` master is a scratch
+    folder created and registered, so that streaming checkpoints, versioned
+    tables and staged results all land in one place. On a cluster a folder of
+    one machine would be useless to the others, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        # Test-only fallback: the session names no shared folder.
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"master {master} needs spark.checkpoint.dir: a folder all executors share")
         root = tempfile.mkdtemp(prefix="carthouse-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -65,16 +78,33 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, *parts: str) -> str:
-    return os.path.join(checkpoint_root(spark), *parts)
+def _staged_folder(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_root(spark), "carthouse", "staged")
 
 
 def materialize(df):
-    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
+    """Cut lineage: write ``df`` as a table into the shared checkpoint folder
+    and read it back.
 
     Used where a result is read several times (the fold output) or where a
     plan would otherwise be re-expanded at every use. Survives executor loss
-    (unlike a local checkpoint or a cache).
+    (unlike a local checkpoint or a cache); computed once and columnar (a
+    reliable RDD checkpoint computes its input twice and stores whole rows).
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(_staged_folder(spark), uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df) -> None:
+    """Delete the table behind a ``materialize`` result that is no longer read."""
+    spark = df.sparkSession
+    folder = _staged_folder(spark).rstrip("/") + "/"
+    for file in df.inputFiles()[:1]:
+        at = file.find("/carthouse/staged/")
+        if at < 0:
+            continue
+        name = file[at + len("/carthouse/staged/"):].split("/")[0]
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder + name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -35,22 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields a single split.
-
-    A single-row-group file is read by one task, which would then run every
-    per-row expression alone. Anything read in two or more splits is left
-    untouched: on a large cluster a table can have fewer splits than cores,
-    and reshuffling it would cost more than it saves.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(cores) if splits <= 1 < cores else df
-
-
 def vendor_uuid(key) -> F.Column:
     return name_uuid(F.concat(F.lit(VENDOR_PREFIX), key.cast("string")))
 
@@ -73,18 +57,19 @@ def zone_offset_minutes(custkey) -> F.Column:
     return ((F.pmod(custkey, F.lit(25)) - 12) * 60).cast("int")
 
 
-def purchase_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def purchase_journal(spark: SparkSession, sf_dir: str, renamed: bool = False) -> DataFrame:
     """ItemPurchased journal rows (JOURNAL schema) for every lineitem.
 
-    Order and part attributes (member, cart and product ids, the event time
-    text) are derived on their own tables before the joins, once per order or
-    part rather than once per line. The offset is a version-1 UUID whose time
+    Lines and orders grow together, so they meet in a shuffle join at every
+    size; order attributes (member and cart ids, the event time text) are
+    derived on the shuffled orders, once per order rather than once per line.
+    ``renamed`` gives every line a name of its own and ticks that count lines
+    within the instant, so that the latest name can be recomputed. The offset is a version-1 UUID whose time
     lies within a day after the purchase, spread by a hash of the line;
     ``seq_nr`` is that tick count, increasing per persistence id (not dense).
     """
-    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                        "l_quantity"))
-    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition("o_orderkey")
     off = zone_offset_minutes(F.col("o_custkey"))
     od = o.select(
         "o_orderkey",
@@ -95,14 +80,18 @@ def purchase_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pt = table(spark, sf_dir, "part").select(
         "p_partkey", product_uuid(F.col("p_partkey")).alias("product_id"), "p_name", "p_retailprice")
-    p = li.join(od, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey)
+    p = li.join(od.hint("shuffle_merge"), li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey)
     row_cols = [F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")]
-    ticks = (F.col("instant_micros") * 10 + F.lit(GREGORIAN_TO_UNIX_100NS)
-             + F.pmod(F.xxhash64(*row_cols), F.lit(_DAY_100NS)))
+    within = F.pmod(F.xxhash64(*row_cols), F.lit(_DAY_100NS))
+    name = F.col("p_name")
+    if renamed:
+        within = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+        name = F.concat_ws(" ", name, F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    ticks = F.col("instant_micros") * 10 + F.lit(GREGORIAN_TO_UNIX_100NS) + within
     item = F.struct(
         F.col("product_id"),
         vendor_uuid(F.col("l_suppkey")).alias("vendor_id"),
-        F.col("p_name").alias("name"),
+        name.alias("name"),
         F.col("p_retailprice").alias("price"),
         F.col("l_quantity").cast("int").alias("quantity"),
     )
@@ -128,7 +117,7 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     (event ids follow ts in the data; the cart operators order by ``seq``);
     product = k mod 10 and vendor = k mod 3 so carts collide; price = value.
     """
-    ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"))
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("int")
     et = F.col("event_type")
     command = (F.when(et == "signup", F.lit(ADD_ITEM))

@@ -1,9 +1,8 @@
 """The journal as an append-only parquet table, its scans and its codec.
 
-The journal (JOURNAL schema) is written in one directory per event type and
-sorted by offset within files: the event type implied by a tag prunes whole
-directories, and parquet min/max statistics let ``offset_ts > o`` skip row
-groups.
+The journal (JOURNAL schema) is written in one directory per tag and sorted by
+offset within files: a tag prunes whole directories, and parquet min/max
+statistics let ``offset_ts >= o`` skip row groups.
 The serialized form (RAW_JOURNAL) keeps a manifest and a JSON payload per
 event, as a storage layer would.
 """
@@ -12,9 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carthouse.functions.ids import timeuuid_ticks
-from carthouse.operators.projections import after_offset, filter_tag
+from carthouse.operators.projections import after_offset, filter_tag, storage_tag
 from carthouse.schemas import (EVENT_TYPES, ITEM_ADDED, ITEM_PURCHASED, ITEM_QUANTITY_DECREASED,
                                ITEM_QUANTITY_INCREASED, ITEM_REMOVED, JOURNAL, RAW_JOURNAL)
 
@@ -41,23 +41,37 @@ _WIRE_PAYLOAD = (f"struct<item:{_WIRE_ITEM},cartId:struct<value:string>,amount:i
                  "timeRemoved:string,time:string,timePurchased:string>")
 
 
-def write_journal(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Append events under ``event_type=<type>/``, sorted by offset inside
-    each file."""
-    (events.select(*[f.name for f in JOURNAL.fields])
-     .sortWithinPartitions("event_type", "offset_ts", "offset")
-     .write.mode(mode).partitionBy("event_type").parquet(path))
+# A stored row carries the tag its directory is named after.
+STORED = T.StructType(JOURNAL.fields + [T.StructField("tag", T.StringType())])
+RAW_STORED = T.StructType(RAW_JOURNAL.fields + [T.StructField("tag", T.StringType())])
+
+
+def with_storage_tag(events: DataFrame, schema: T.StructType = JOURNAL) -> DataFrame:
+    return events.select(*[f.name for f in schema.fields], storage_tag(F.col("tags")).alias("tag"))
+
+
+def _append(events: DataFrame, path: str, mode: str, schema: T.StructType, records_per_file: int) -> None:
+    (with_storage_tag(events, schema).sortWithinPartitions("tag", "offset_ts", "offset")
+     .write.mode(mode).option("maxRecordsPerFile", int(records_per_file)).partitionBy("tag").parquet(path))
+
+
+def write_journal(events: DataFrame, path: str, mode: str = "append", records_per_file: int = 0) -> None:
+    """Append events under ``tag=<tag>/``, sorted by offset inside each file.
+
+    ``records_per_file`` (0: no limit) bounds a file, and with it what a
+    stream reads per file."""
+    _append(events, path, mode, JOURNAL, records_per_file)
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JOURNAL).parquet(path)
+    return spark.read.schema(STORED).parquet(path)
 
 
 def stream_journal(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
                    raw: bool = False) -> DataFrame:
     """The journal as an unbounded source (new files are new events).
     ``raw``: the serialized form, decoded in the stream (S2)."""
-    r = spark.readStream.schema(RAW_JOURNAL if raw else JOURNAL)
+    r = spark.readStream.schema(RAW_STORED if raw else STORED)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
     df = r.parquet(path)
@@ -70,14 +84,14 @@ def with_offset_ts(journal: DataFrame) -> DataFrame:
     return journal.withColumn("offset_ts", F.coalesce(F.col("offset_ts"), timeuuid_ticks(F.col("offset"))))
 
 
-def events_by_tag(journal: DataFrame, tag: str, offset_ts: int | None = None,
+def events_by_tag(journal: DataFrame, tag: str, after: tuple | int | None = None,
                   ordered: bool = True) -> DataFrame:
     """Rows carrying ``tag`` strictly after an offset, in offset order.
 
     On a stream pass ``ordered=False``: micro-batches are unordered sets and
     the operators downstream use the offset itself, never arrival order.
     """
-    df = after_offset(filter_tag(journal, tag), offset_ts)
+    df = after_offset(filter_tag(journal, tag), after)
     return df.orderBy("offset_ts", "offset") if ordered else df
 
 
@@ -124,7 +138,7 @@ def decode_events(raw: DataFrame) -> DataFrame:
         p["item"]["quantity"].alias("quantity")))
     return raw.select(
         "persistence_id", "seq_nr", "offset", "offset_ts",
-        et.alias("event_type"), "tags",
+        et.alias("event_type"), "tags", *[c for c in raw.columns if c == "tag"],
         p["cartId"]["value"].alias("cart_id"),
         item.alias("item"),
         p["amount"].alias("amount"),
@@ -132,12 +146,10 @@ def decode_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def write_raw_journal(raw: DataFrame, path: str, mode: str = "append") -> None:
-    """Append serialized events (RAW_JOURNAL), sorted by offset in each file."""
-    (raw.select(*[f.name for f in RAW_JOURNAL.fields])
-     .sortWithinPartitions("offset_ts", "offset")
-     .write.mode(mode).parquet(path))
+def write_raw_journal(raw: DataFrame, path: str, mode: str = "append", records_per_file: int = 0) -> None:
+    """Append serialized events (RAW_JOURNAL), laid out like the typed journal."""
+    _append(raw, path, mode, RAW_JOURNAL, records_per_file)
 
 
 def read_raw_journal(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_JOURNAL).parquet(path)
+    return spark.read.schema(RAW_STORED).parquet(path)

@@ -15,6 +15,7 @@ a file stream:
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass
 
@@ -26,11 +27,11 @@ from carthouse.operators import projections as P
 from carthouse.plans import batch as B
 from carthouse.schemas import (KAFKA_PRODUCER_ID, POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED,
                                VENDOR_BILLING_HYDRATOR)
-from carthouse.session import checkpoint_root
-from carthouse.sources.jdbc import VENDOR_BILLING_TARGET, write_batch
+from carthouse.session import checkpoint_root, materialize, release
+from carthouse.sources.jdbc import VENDOR_BILLING_TARGET, create_tables, write_batch
 from carthouse.sources.journal import stream_journal
 from carthouse.sources.kafka import publish
-from carthouse.sources.tables import KeyedTable, OffsetStore, balance_table, billing_table, item_quantity_table
+from carthouse.sources.tables import KeyedTable, OffsetStore, _safe, balance_table, billing_table, item_quantity_table
 
 
 class InfiniteStreamCompleted(RuntimeError):
@@ -67,7 +68,6 @@ class _BatchScope:
 
     def token(self, batch_id: int) -> str:
         if self.query_id is None:
-            import json
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(os.path.join(self.checkpoint, "metadata"))
             fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -116,7 +116,7 @@ def item_quantity_stream(spark: SparkSession, journal_path: str, table_path: str
 def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: str, offsets_path: str,
                           rounded: bool = False, checkpoint: str | None = None, available_now: bool = True,
                           interval: str = "10 seconds", max_files_per_trigger: int | None = None,
-                          jdbc: tuple[str, dict] | None = None) -> Hydrator:
+                          jdbc: tuple[str, dict] | None = None, raw: bool = False) -> Hydrator:
     """Vendor-billing read side; ``rounded`` gives the 2-dp (SQL) form,
     rounded per event before it is added.
 
@@ -124,13 +124,15 @@ def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: st
     instead (S6: bulk load + one transaction with the offset row); the
     parquet table and offset store are then not written.
     """
-    charges = P.project_vendor_charge(_purchases_stream(spark, journal_path, max_files_per_trigger), P.STRICT)
+    charges = P.project_vendor_charge(_purchases_stream(spark, journal_path, max_files_per_trigger, raw), P.STRICT)
     measure = F.col("total_2dp") if rounded else F.col("total")
     out_type = "decimal(21,2)" if rounded else "decimal(38,18)"
     agg = (charges.groupBy("vendor_id", "year", "month")
            .agg(F.sum(measure).cast(out_type).alias("balance"),
                 F.max_by("offset", F.struct("offset_ts", "offset")).alias("offset"),
                 F.max("offset_ts").alias("offset_ts")))
+    if jdbc is not None:
+        create_tables(spark, jdbc[0], jdbc[1], VENDOR_BILLING_TARGET)
     table = None if jdbc is not None else (billing_table if rounded else balance_table)(spark, table_path) \
         .create_if_missing()
     offsets = None if jdbc is not None else OffsetStore(spark, offsets_path)
@@ -141,7 +143,9 @@ def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: st
     def sink(batch: DataFrame, batch_id: int) -> None:
         if jdbc is not None:
             last = batch.agg(F.max_by("offset", F.struct("offset_ts", "offset")).alias("o")).first()["o"]
-            write_batch(batch, jdbc[0], jdbc[1], VENDOR_BILLING_TARGET, (name, TAG_ITEM_PURCHASED, last), batch_id)
+            if last is not None:  # an empty micro-batch moves nothing
+                write_batch(batch, jdbc[0], jdbc[1], VENDOR_BILLING_TARGET, (name, TAG_ITEM_PURCHASED, last),
+                            scope.token(batch_id))
             return
         token = scope.token(batch_id)
         table.upsert(batch, token)
@@ -154,10 +158,10 @@ def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: st
 def purchase_feed_stream(spark: SparkSession, journal_path: str, offsets_path: str, topic: str,
                          partitions: int, bootstrap_servers: str | None = None, fallback_path: str | None = None,
                          checkpoint: str | None = None, available_now: bool = True, interval: str = "10 seconds",
-                         max_files_per_trigger: int | None = None) -> Hydrator:
+                         max_files_per_trigger: int | None = None, raw: bool = False) -> Hydrator:
     """Every purchase as a keyed JSON record, at least once; the
     producer offset (A6) is written after the batch is published."""
-    src = stream_journal(spark, journal_path, max_files_per_trigger)
+    src = stream_journal(spark, journal_path, max_files_per_trigger, raw=raw)
     frame = B.purchase_records(src, topic, partitions)
     offsets = OffsetStore(spark, offsets_path, id_col="producer_id")
     ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", KAFKA_PRODUCER_ID)
@@ -190,30 +194,54 @@ def _delta_balance(journal: DataFrame, since, rounded: bool):
         F.max("offset_ts").alias("offset_ts"))
 
 
-def catch_up(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTable, offsets: OffsetStore,
-             batch_id=None) -> bool:
+_HYDRATOR = {"item_quantity": POPULAR_ITEMS_HYDRATOR, "balance": VENDOR_BILLING_HYDRATOR,
+             "billing": VENDOR_BILLING_HYDRATOR + "-2dp"}
+
+
+def finish_pending(table: KeyedTable, offsets: OffsetStore, hydrator: str) -> None:
+    """Complete what a crash left between staging and commit: the staged rows
+    are published again and their own offset is stored, before anything new
+    is read."""
+    def store(note: str) -> None:
+        if note:
+            last = json.loads(note)
+            offsets.update(hydrator, TAG_ITEM_PURCHASED, last[0], last[1])
+
+    table.settle(store)
+    for batch_id, note in table.pending():
+        table.publish(batch_id, lambda note=note: store(note))
+
+
+def catch_up(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTable, offsets: OffsetStore) -> bool:
     """T10 batch form for any read side: resume after the stored offset,
     aggregate only the new events, add them to the stored rows (J1), store
     the newest offset. No stored offset = full rebuild (T11). Returns
     whether anything was new.
 
+    Rows and offset are one commit: the offset travels with the staged rows
+    and is stored before the commit marker, and a commit that did not finish
+    is finished first. The batch is named after the offset it starts from.
+
     kind: "item_quantity", "balance" (exact) or "billing" (2-dp; each event
     rounded before it is added, as the SQL read side does).
     """
-    from carthouse.session import materialize
-    hydrator = {"item_quantity": POPULAR_ITEMS_HYDRATOR, "balance": VENDOR_BILLING_HYDRATOR,
-                "billing": VENDOR_BILLING_HYDRATOR + "-2dp"}[kind]
+    hydrator = _HYDRATOR[kind]
+    finish_pending(table, offsets, hydrator)
     stored = offsets.find(hydrator, TAG_ITEM_PURCHASED)
-    since = stored[1] if stored else None
+    since = (stored[1], stored[0]) if stored else None
     if kind == "item_quantity":
         delta, measures, latest = _delta_item_quantity(journal, since), {"quantity": 0}, {"name": "name"}
     else:
         delta, measures, latest = _delta_balance(journal, since, kind == "billing"), {"balance": 0}, None
     delta = materialize(delta)
-    if not delta.take(1):
+    last = delta.agg(F.max(F.struct("offset_ts", "offset")).alias("o")).first()["o"]
+    if last is None:
+        release(delta)
         return False
-    table.add(delta, measures, batch_id, latest=latest)
-    offsets.update_from(delta, hydrator, TAG_ITEM_PURCHASED, batch_id)
+    batch_id = f"{_safe(hydrator)}-after-" + ("start" if since is None else f"{since[0]}-{_safe(since[1])}")
+    table.add(delta, measures, batch_id, latest=latest, note=json.dumps([last["offset"], last["offset_ts"]]),
+              store=lambda: offsets.update(hydrator, TAG_ITEM_PURCHASED, last["offset"], last["offset_ts"]))
+    release(delta)
     return True
 
 
@@ -221,15 +249,14 @@ def rebuild(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTabl
     """Recompute a read side from the whole journal, replace the table
     (keys no longer produced by the journal disappear) and store the newest
     offset, so a following catch-up or stream resumes after it."""
-    from carthouse.session import materialize
-    hydrator = {"item_quantity": POPULAR_ITEMS_HYDRATOR, "balance": VENDOR_BILLING_HYDRATOR,
-                "billing": VENDOR_BILLING_HYDRATOR + "-2dp"}[kind]
+    hydrator = _HYDRATOR[kind]
     full = materialize(_delta_item_quantity(journal, None) if kind == "item_quantity"
                        else _delta_balance(journal, None, kind == "billing"))
-    table.replace_all(full)
-    offsets.update_from(full, hydrator, TAG_ITEM_PURCHASED)
+    last = full.agg(F.max(F.struct("offset_ts", "offset")).alias("o")).first()["o"]
+    table.replace_all(full, json.dumps([last["offset"], last["offset_ts"]]) if last else "")
+    finish_pending(table, offsets, hydrator)
+    release(full)
 
 
-def catch_up_item_quantity(spark: SparkSession, journal: DataFrame, table: KeyedTable, offsets: OffsetStore,
-                           batch_id=None) -> bool:
-    return catch_up(spark, journal, "item_quantity", table, offsets, batch_id)
+def catch_up_item_quantity(spark: SparkSession, journal: DataFrame, table: KeyedTable, offsets: OffsetStore) -> bool:
+    return catch_up(spark, journal, "item_quantity", table, offsets)

@@ -35,9 +35,9 @@ def as_dicts(rows):
     return sorted(out, key=lambda d: (d["member_id"], d["seq"]))
 
 
-def run(spark, rows, bucket=4, hot=None):
+def run(spark, rows, bucket=4):
     df = spark.createDataFrame(rows, COMMANDS_SCHEMA)
-    verdicts, ends, journal = B.process_commands(df, bucket_size=bucket, hot_line_rows=hot)
+    verdicts, ends, journal = B.process_commands(df, bucket_size=bucket)
     v = {(r.member_id, r.seq): r.verdict for r in verdicts.collect()}
     ev = sorted((r.persistence_id[5:], r.event_type, r.item.product_id, r.item.quantity, r.amount)
                 for r in journal.collect())
@@ -45,8 +45,8 @@ def run(spark, rows, bucket=4, hot=None):
     return v, ev, lines, journal
 
 
-def check(spark, rows, bucket=4, hot=None):
-    v, ev, lines, journal = run(spark, rows, bucket, hot)
+def check(spark, rows, bucket=4):
+    v, ev, lines, journal = run(spark, rows, bucket)
     ev_want_v, ev_want, final = fold(as_dicts(rows))
     assert v == ev_want_v
     assert ev == sorted(ev_want)
@@ -99,7 +99,7 @@ def test_property_hot_lines_cut_into_runs(spark, log):
     rows = [cmd(m, i + 1, c, p if c != "Checkout" else None, q if c == "AddItem" else None,
                 d if c == "AdjustQuantity" else None)
             for i, (m, c, p, q, d) in enumerate(log)]
-    check(spark, rows, bucket=3, hot=3)
+    check(spark, rows, bucket=3)
 
 
 def test_hot_line_with_add_remove_cycles(spark):
@@ -108,7 +108,7 @@ def test_hot_line_with_add_remove_cycles(spark):
             cmd("m", 6, "RemoveItem", P1), cmd("m", 7, "AdjustQuantity", P1, delta=1), cmd("m", 8, "RemoveItem", P1),
             cmd("m", 9, "AddItem", P1, 0), cmd("m", 10, "AdjustQuantity", P1, delta=-1),
             cmd("m", 11, "AdjustQuantity", P1, delta=1)]
-    check(spark, rows, bucket=2, hot=1)
+    check(spark, rows, bucket=2)
 
 
 def test_fixture_log_and_snapshot_law(spark, scratch):

@@ -13,9 +13,9 @@ from carthouse.sources.journal import decode_events, encode_events, events_by_ta
 
 from conftest import SF_SMALL
 
-V = "fbea6379-b76c-478b-8f86-4f1626fb8acf"
-PID = "9054a277-9998-4bb4-be89-7d1ac45828d2"
-CART = "9a475f59-8863-43cc-aebd-7da999c16bea"
+V = "3c1d7a52-6f0e-4b1c-9d77-0a5b8e2f4c10"
+PID = "b7e4c2d9-1a3f-4e58-8c66-5d20f9a1e734"
+CART = "5e8f0b36-72c4-4d9a-b1e3-c47a6d85f902"
 
 
 def ev(seq, offset_ts, etype="ItemPurchased", name="A", qty=1, price=1.0, time="2018-01-31T23:30:00-05:00",
@@ -32,7 +32,7 @@ def test_tags_and_tag_scan(spark):
     j = journal(spark, [ev(1, 10), ev(2, 20, "ItemAdded"), ev(3, 30), ev(4, 5, "Unknown")])
     tags = {r.seq_nr: r.tags for r in j.collect()}
     assert tags[1] == ["item-purchased", "cart-event"] and tags[4] == []
-    got = [r.seq_nr for r in events_by_tag(j, "item-purchased", offset_ts=10).collect()]
+    got = [r.seq_nr for r in events_by_tag(j, "item-purchased", 10).collect()]
     assert got == [3]
     assert [r.seq_nr for r in events_by_tag(j, "cart-event").collect()] == [1, 2, 3]
 
@@ -44,7 +44,7 @@ def test_tag_filter_reaches_the_parquet_scan(spark, scratch):
     df = events_by_tag(read_journal(spark, scratch + "/j"), "item-purchased", 10)
     assert [r.seq_nr for r in df.collect()] == [2]
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(event_type" in plan and "event_type#" in plan and "ItemPurchased" in plan
+    assert "PartitionFilters: [isnotnull(tag" in plan and "item-purchased" in plan
     assert "PushedFilters" in plan and "offset_ts" in plan
 
 
@@ -126,9 +126,26 @@ def test_unknown_manifest_fails_the_strict_read_side(spark):
     raw = encode_events(journal(spark, [ev(1, 1)])).withColumn("manifest", F.lit("SomethingElse"))
     back = decode_events(raw)
     assert back.first().event_type is None
-    # Still tagged as a purchase, but not decodable as one: the strict projection fails.
+    # Still tagged as a purchase, but not decodable as one: the read sides fail.
+    for plan in (B.item_quantity_by_day, B.balance_by_vendor, B.vendor_billing):
+        with pytest.raises(Exception, match="malformed ItemPurchased"):
+            plan(back).collect()
+
+
+def test_a_mis_tagged_event_fails_the_strict_read_side(spark, scratch):
+    from carthouse.sources.journal import read_journal, write_journal
+    other = spark.createDataFrame([ev(1, 1, "ItemAdded")], JOURNAL).withColumn(
+        "tags", F.array(F.lit("item-purchased"), F.lit("cart-event")))
+    write_journal(other, scratch + "/j")
     with pytest.raises(Exception, match="malformed ItemPurchased"):
-        P.project_item_quantity(back.where(F.array_contains("tags", "item-purchased")), P.STRICT).collect()
+        B.item_quantity_by_day(read_journal(spark, scratch + "/j")).collect()
+
+
+def test_events_of_the_stored_time_are_told_apart_by_the_offset(spark):
+    j = journal(spark, [ev(1, 10), ev(2, 10)]).withColumn("offset", F.concat(F.lit("o"), F.col("seq_nr").cast("string")))
+    assert [r.seq_nr for r in events_by_tag(j, "item-purchased", (10, "o1")).collect()] == [2]
+    assert events_by_tag(j, "item-purchased", (10, "o2")).count() == 0
+    assert events_by_tag(j, "item-purchased", 10).count() == 0
 
 
 def test_quantity_totals_do_not_wrap_at_32_bits(spark):

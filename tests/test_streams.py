@@ -87,9 +87,9 @@ def test_batch_catch_up_equals_rebuild(spark, scratch):
     table = item_quantity_table(spark, os.path.join(scratch, "cu"))
     offs = OffsetStore(spark, os.path.join(scratch, "cuoffs"))
     cut = jr.agg(F.expr("percentile_approx(offset_ts, 0.5)")).first()[0]
-    H.catch_up_item_quantity(spark, jr.where(F.col("offset_ts") <= cut), table, offs, batch_id=1)
-    H.catch_up_item_quantity(spark, jr, table, offs, batch_id=2)
-    H.catch_up_item_quantity(spark, jr, table, offs, batch_id=2)  # replayed batch id: no change
+    H.catch_up_item_quantity(spark, jr.where(F.col("offset_ts") <= cut), table, offs)
+    H.catch_up_item_quantity(spark, jr, table, offs)
+    H.catch_up_item_quantity(spark, jr, table, offs)  # nothing new: no change
     cols = ["vendor_id", "product_id", "year", "month", "day", "quantity", "name"]
     assert _rows(table.read(), cols) == _rows(B.item_quantity_by_day(jr), cols)
 
@@ -147,19 +147,19 @@ def test_catch_up_balances_equals_rebuild(spark, scratch):
     for kind, mk, want in (("balance", balance_table, B.balance_by_vendor), ("billing", billing_table, B.vendor_billing)):
         t = mk(spark, os.path.join(scratch, kind))
         offs = OffsetStore(spark, os.path.join(scratch, kind + "-offs"))
-        H.catch_up(spark, jr.where(F.col("offset_ts") <= cuts[0]), kind, t, offs, batch_id=1)
-        H.catch_up(spark, jr.where(F.col("offset_ts") <= cuts[1]), kind, t, offs, batch_id=2)
-        H.catch_up(spark, jr, kind, t, offs, batch_id=3)
-        assert not H.catch_up(spark, jr, kind, t, offs, batch_id=4)  # nothing new
+        H.catch_up(spark, jr.where(F.col("offset_ts") <= cuts[0]), kind, t, offs)
+        H.catch_up(spark, jr.where(F.col("offset_ts") <= cuts[1]), kind, t, offs)
+        H.catch_up(spark, jr, kind, t, offs)
+        assert not H.catch_up(spark, jr, kind, t, offs)  # nothing new
         cols = ["vendor_id", "year", "month", "balance"]
         assert _rows(t.read(), cols) == _rows(want(jr), cols)
 
 
 def test_stream_over_serialized_journal(spark, scratch):
-    from carthouse.sources.journal import encode_events
+    from carthouse.sources.journal import encode_events, write_raw_journal
     j, _ = _split_journal(spark, scratch)
     src = os.path.join(scratch, "raw")
-    encode_events(j.drop("slice")).repartition(3).write.parquet(src)
+    write_raw_journal(encode_events(j.drop("slice")).repartition(3), src)
     tp = os.path.join(scratch, "iq-raw")
     H.item_quantity_stream(spark, src, tp, os.path.join(scratch, "o"), checkpoint=os.path.join(scratch, "c"),
                            raw=True).await_done()
@@ -211,7 +211,7 @@ def test_rebuild_replaces_stale_rows_and_resumes(spark, scratch):
     cut = jr.agg(F.expr("percentile_approx(offset_ts, 0.5)")).first()[0]
     H.rebuild(spark, jr.where(F.col("offset_ts") <= cut), "balance", t, offs)
     assert t.read().where(F.col("vendor_id") == "stale-vendor").count() == 0
-    H.catch_up(spark, jr, "balance", t, offs, batch_id=10)
+    H.catch_up(spark, jr, "balance", t, offs)
     cols = ["vendor_id", "year", "month", "balance"]
     assert _rows(t.read(), cols) == _rows(B.balance_by_vendor(jr), cols)
 
@@ -254,3 +254,81 @@ def test_new_checkpoint_reprocesses_into_the_same_table(spark, scratch):
     H.item_quantity_stream(spark, src, tp, offs, checkpoint=os.path.join(scratch, "ck2")).await_done()
     cols = ["vendor_id", "product_id", "year", "month", "day", "quantity", "name"]
     assert _rows(item_quantity_table(spark, tp).read(), cols) == _rows(B.item_quantity_by_day(read_journal(spark, src)), cols)
+
+
+def _purchase(spark, n, ticks):
+    """The n-th purchase of one product, at a given time."""
+    from carthouse.operators.projections import tag_events
+    from carthouse.schemas import JOURNAL
+    item = ("00000000-0000-3000-8000-000000000001", "00000000-0000-3000-8000-0000000000aa", f"name {n}", 1.0, 1)
+    return tag_events(spark.createDataFrame(
+        [("cart-m", n, f"o{n}", ticks, "ItemPurchased", None, "00000000-0000-3000-8000-0000000000cc", item, None,
+          "2024-01-31T10:00:00Z")], JOURNAL))
+
+
+def _crash_once(monkeypatch, where, name):
+    """The named method fails the first time it is called."""
+    real, calls = getattr(where, name), []
+
+    def failing(*args, **kw):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("crash")
+        return real(*args, **kw)
+
+    monkeypatch.setattr(where, name, failing)
+
+
+def test_a_crash_between_rows_and_offset_loses_and_doubles_nothing(spark, scratch, monkeypatch):
+    """After the rows, before the offset: the rerun, with a new event in
+    between, counts both purchases once."""
+    import pytest
+    for crash_in, at in ((OffsetStore, "update"), (type(item_quantity_table(spark, scratch)), "publish")):
+        root = os.path.join(scratch, at)
+        table, offs = item_quantity_table(spark, os.path.join(root, "t")), OffsetStore(spark, os.path.join(root, "o"))
+        with monkeypatch.context() as m:
+            _crash_once(m, crash_in, at)
+            with pytest.raises(OSError):
+                H.catch_up(spark, _purchase(spark, 1, 10), "item_quantity", table, offs)
+            journal = _purchase(spark, 1, 10).unionByName(_purchase(spark, 2, 20))
+            H.catch_up(spark, journal, "item_quantity", table, offs)
+        assert table.read().first().quantity == 2 and table.read().first().name == "name 2"
+        assert offs.find("popular-items-query", "item-purchased") == ("o2", 20)
+        assert not H.catch_up(spark, journal, "item_quantity", table, offs)
+
+
+def test_a_later_event_of_the_stored_time_is_read(spark, scratch):
+    table, offs = item_quantity_table(spark, os.path.join(scratch, "t")), OffsetStore(spark, os.path.join(scratch, "o"))
+    H.catch_up(spark, _purchase(spark, 1, 10), "item_quantity", table, offs)
+    both = _purchase(spark, 1, 10).unionByName(_purchase(spark, 2, 10))
+    assert H.catch_up(spark, both, "item_quantity", table, offs)
+    assert table.read().first().quantity == 2
+
+
+def test_a_crash_after_a_rebuild_keeps_its_offset(spark, scratch, monkeypatch):
+    import pytest
+    table, offs = item_quantity_table(spark, os.path.join(scratch, "t")), OffsetStore(spark, os.path.join(scratch, "o"))
+    journal = _purchase(spark, 1, 10).unionByName(_purchase(spark, 2, 20))
+    with monkeypatch.context() as m:
+        _crash_once(m, OffsetStore, "update")
+        with pytest.raises(OSError):
+            H.rebuild(spark, journal, "item_quantity", table, offs)
+        assert not H.catch_up(spark, journal, "item_quantity", table, offs)
+    assert table.read().first().quantity == 2
+
+
+def test_command_line_reads_a_serialized_journal(spark, scratch):
+    from carthouse.__main__ import main
+    from carthouse.sources.journal import encode_events, write_raw_journal
+    from carthouse.sources.tables import billing_table
+    j, _ = _split_journal(spark, scratch)
+    src = os.path.join(scratch, "raw")
+    write_raw_journal(encode_events(j.drop("slice")), src)
+    vb, feed = os.path.join(scratch, "vb"), os.path.join(scratch, "feed")
+    assert main(["vendor-billing", "--raw", "--journal", src, "--table", vb, "--offsets", os.path.join(scratch, "o1"),
+                 "--rounded", "--checkpoint", os.path.join(scratch, "c1"), "--available-now"]) == 0
+    cols = ["vendor_id", "year", "month", "balance"]
+    assert _rows(billing_table(spark, vb).read(), cols) == _rows(B.vendor_billing(j.drop("slice")), cols)
+    assert main(["item-purchased-events", "--raw", "--journal", src, "--offsets", os.path.join(scratch, "o2"), "--topic",
+                 "t", "--fallback-path", feed, "--checkpoint", os.path.join(scratch, "c2"), "--available-now"]) == 0
+    assert spark.read.json(feed).count() == j.count()
