@@ -1,0 +1,53 @@
+"""Operator 3 against brute force, with a hot text, ties, repeated rows and clashing names."""
+
+import hashlib
+import re
+
+from carthouse.llm import exact
+
+SCHEMA = "doc_id long, text string, sha string, n int, keep_id string"
+
+
+def brute(rows):
+    groups = {}
+    for r in rows:
+        key = re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")
+        groups.setdefault(key, []).append(r)
+    return {k: (min(v, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0))[0], len(v)) for k, v in groups.items()}
+
+
+def rows():
+    out = [(i, "hot  text" if i % 2 else "hot text", "s", 1, "k") for i in range(3000)]
+    out += [(5000 + i, f"text {i // 3}" + " " * (i % 2), None, None, None) for i in range(300)]
+    out += [(9001, None, None, 1, "a"), (9002, "", None, 1, "a"), (9003, " \t\n", None, 1, "a"),
+            (None, "no id", None, 1, "a"), (9004, "noid", None, 1, "a"), (9005, "twice", None, 1, "a"),
+            (9005, "twice", None, 1, "a"), (9006, "x" * 200_000, None, 1, "a"), (9007, "É\u00a0é", None, 1, "a")]
+    return out
+
+
+def test_groups_equal_brute_force(spark):
+    data = rows()
+    want = brute(data)
+    got = exact.exact_groups(spark.createDataFrame(data, SCHEMA).repartition(7)).collect()
+    assert len(got) == len(data)
+    by_sha = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in want.items()}
+    assert all((r.keep_id, r.group_size) == by_sha[r.text_sha256] for r in got)
+    assert sum(r.kept for r in got) == len(want)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+def test_one_row_of_each_group_stays_with_its_columns(spark):
+    data = rows()
+    df = spark.createDataFrame(data, SCHEMA)
+    got = exact.drop_copies(df)
+    assert got.columns == df.columns and got.schema["n"].dataType == df.schema["n"].dataType
+    kept = got.collect()
+    want = brute(data)
+    assert len(kept) == len(want)
+    assert sorted((r.doc_id or 0) for r in kept) == sorted((v[0] or 0) for v in want.values())
+    assert {tuple(r) for r in kept} <= set(data)
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert exact.exact_groups(df).count() == 0 and exact.drop_copies(df).count() == 0

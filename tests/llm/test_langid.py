@@ -1,0 +1,74 @@
+"""Operator 4: Viterbi against all labellings, accuracy on held-out rows, defined cases."""
+
+import itertools
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from carthouse.llm import langid
+from carthouse.llm.common import crc32_text
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, lang string, lang_pred int, score string"
+EN = "the house and the garden of this town with that which they have"
+DE = "das haus und der garten von dieser stadt mit der die sie haben"
+
+
+def model():
+    return langid.learn({"de": langid.count_grams([DE] * 3), "en": langid.count_grams([EN] * 3)}, {"de": 3, "en": 4})
+
+
+def test_viterbi_equals_the_best_of_all_labellings():
+    rnd = np.random.default_rng(2)
+    lengths = [0, 1, 5, 7, 3]
+    first = np.concatenate(([0], np.cumsum(lengths)))
+    scores = rnd.normal(size=(first[-1], 3)) * 4
+    labels = langid.viterbi(scores, first, 3.0)
+    for a, b in zip(first[:-1], first[1:]):
+        value = lambda p: sum(scores[a + i, x] for i, x in enumerate(p)) - 3.0 * sum(x != y for x, y in zip(p, p[1:]))
+        if a < b:
+            best = max(value(p) for p in itertools.product(range(3), repeat=b - a))
+            assert abs(value(labels[a:b]) - best) < 1e-9
+
+
+def test_spans_of_a_mixed_text():
+    text = f"{EN}. {DE.upper()}! {EN}"
+    (lang, score, spans), = langid.predict(model(), [text], spans=True)
+    assert lang == "en" and 0.5 < score < 0.8
+    assert [s["lang"] for s in spans] == ["en", "de", "en"]
+    assert text[spans[1]["start"]:spans[1]["end"]] == DE.upper()
+
+
+def test_script_narrows_the_candidates():
+    greek = "και το σπιτι"
+    m = langid.learn({"el": langid.count_grams([greek]), "en": langid.count_grams([EN])}, {})
+    got = [x[:2] for x in langid.predict(m, ["θαλασσα", "garden", "漢字"])]
+    assert got[0] == ("el", 1.0) and got[1] == ("en", 1.0) and got[2][1] == 0.0 and got[2][0] in ("el", "en")
+
+
+def test_held_out_accuracy_and_columns(spark):
+    docs = spark.read.parquet(SF + "/documents.parquet")
+    held = crc32_text(F.col("doc_id")) % 4 == 2
+    m = langid.fit(docs, "text", "lang", "doc_id", ~held, sample_docs=100)
+    got = langid.identify(docs, m).join(docs.select("doc_id", "lang"), "doc_id").where(held)
+    right = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.min("score").alias("lo"),
+                    F.max("score").alias("hi")).first()
+    assert right.a > 0.97 and 0 <= right.lo and right.hi <= 1
+
+
+def test_defined_cases(spark):
+    rows = [(1, EN, "en", 1, "s"), (2, DE, "de", 1, "s"), (3, None, "en", None, None), (4, "", None, 1, "s"),
+            (5, "12 -- 34", "de", 1, "s"), (None, DE, None, 1, "s"), (7, EN * 5000, None, 1, "s"), (8, EN, "en", 1, "s"),
+            (8, EN, "en", 1, "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    m = langid.fit(df, "text", "lang", "doc_id")
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(df, m).collect()}
+    assert got == {(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (None, "de"), (7, "en"), (8, "en")}
+    kept = langid.keep_identified(df, m)
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 7, 8, 8]
+    none = langid.fit(df.where("lang is null"), "text", "lang", "doc_id")
+    assert none is None and {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
+    empty = df.limit(0)
+    assert langid.fit(empty, "text", "lang", "doc_id") is None
+    assert langid.identify(empty, m).count() == 0 and langid.keep_identified(empty, m).count() == 0
