@@ -42,6 +42,7 @@ def build_session(master: str | None = None, app: str = "carthouse",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
