@@ -4,11 +4,10 @@ Every permutation gives two signature values, the minimum and the maximum, so
 half as many hash evaluations fill the same number of bands. Texts with the
 same shingle set are one node. In every bucket of a band the members are
 compared, on their full sets, with two centres: one chosen by a hash (another
-one in every band) and the member that shares most buckets with others. What
-is then still in different components is compared exhaustively: a bucket is
-cut into blocks, the members outside its largest component visit every block,
-and only pairs whose whole signatures agree well enough are confirmed on their
-full sets. No cap drops a candidate.
+one in every band) and the member that shares most buckets with others. Nodes
+joined by shared buckets are a family; where a family then still has several
+components, every member outside its largest one is compared with the others
+of like size, block by block and on full sets. No cap drops a candidate.
 
 Two sets with Jaccard similarity J share a band with probability 1 - (1 -
 J**ROWS)**BANDS or a little more; at J = 0.8 that misses fewer than one pair
@@ -41,10 +40,9 @@ SIMILARITY = 80  # per cent
 #: Two permutations make a band: their minima and maxima.
 ROWS, BANDS = 4, 32
 PERMUTATIONS = ROWS * BANDS // 2
-#: Exhaustive comparison: expected members of a block and visitors at once; signature agreement below which a pair is left out
-#: (0.8 less five standard deviations of the agreement of 2 * PERMUTATIONS values).
-BLOCK = 256
-AGREE = 0.62
+#: Exhaustive comparison: expected residents of a block, and visitors at once; columns of one matrix product.
+BLOCK = 512
+COLUMNS = 4096
 
 _U = np.uint64
 _MULTIPLIERS = X.mix(np.arange(1, PERMUTATIONS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -166,74 +164,89 @@ def _texts(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, wanted:
     return stage(rows.join(keys, "row").dropDuplicates(["node"]), "near-texts")
 
 
-def _crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, total: int) -> DataFrame:
-    """Pairs of bucket members in different components whose signatures agree.
-
-    In a bucket with several components every member outside the largest one
-    visits all blocks of the bucket; what the largest holds is never compared
-    with itself."""
-    tagged = stage(members.join(labels, "node", "left").select(
-        "bucket", "band", "node", F.coalesce("label", "node").alias("label")), "near-tagged")
-    shares = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = stage(shares.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("m"))
-                  .select("bucket", "size", F.col("m.label").alias("main"), (F.col("size") - F.col("m.n")).alias("others"))
-                  .where("others > 0"), "near-mixed")
-    own = join_by_class(tagged, mixed, "bucket", "size", total).select(
-        "bucket", "band", "node", "label", (F.col("label") != F.col("main")).alias("other"),
-        F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("others") / BLOCK).cast("int").alias("chunks"))
+def _crossing(members: DataFrame, family: DataFrame, labels: DataFrame, texts: DataFrame, total: int, k: int,
+              similarity: int) -> DataFrame:
+    """The links between different components of a family (nodes joined by shared buckets), on full sets.
+
+    Members are dealt into size classes (similar sets differ in size by less
+    than a class) and blocks; a member outside the family's largest component
+    visits the blocks of its own and the adjacent classes. What the largest
+    component holds is never compared with itself, and tasks emit links only."""
+    tagged = stage(members.join(family.withColumnRenamed("label", "family"), "node").join(labels, "node", "left").select(
+        "node", "n", "family", F.coalesce("label", "node").alias("label")), "near-tagged")
+    shares = tagged.groupBy("family", "label").agg(F.count(F.lit(1)).alias("m"))
+    mixed = stage(shares.groupBy("family").agg(F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("main"))
+                  .where(F.col("main.m") < F.col("size")).select("family", "size", F.col("main.label").alias("main")), "near-mixed")
+    step = float(np.log(100 / similarity)) * 1.0001  # a little wider: rounding must not part similar sets
+    own = stage(join_by_class(tagged, mixed, "family", "size", total).select(
+        "family", "node", "label", (F.col("label") != F.col("main")).alias("other"),
+        F.floor(F.log("n") / F.lit(step)).cast("int").alias("class")), "near-own-class")
+    goes = own.where("other").select("family", "node", "label", F.explode(F.array(
+        F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    blocks = own.groupBy("family", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
+                                                F.count(F.lit(1)).alias("residents"))
+    chunks = goes.groupBy("family", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"),
+                                                 F.count(F.lit(1)).alias("visitors"))
+    cells = stage(blocks.join(chunks, ["family", "class"]).withColumn("cell", F.xxhash64("family", "class")), "near-cells")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     at, chunk = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stays = own.select("bucket", "band", "node", "label", at.cast("int").alias("i"), F.lit(False).alias("visits"),
-                       every("chunks").alias("j"))
-    visits = own.where("other").select("bucket", "band", "node", "label", chunk.cast("int").alias("j"),
-                                       F.lit(True).alias("visits"), every("blocks").alias("i"))
-    met = stays.unionByName(visits).join(sigs, "node")
-    columns = ("bucket", "i", "j", "visits", "node", "label", "band", "sig", "n")
+    keyed = lambda df: stage(df.select("node", "label", F.xxhash64("family", "class").alias("cell")), "near-keyed")
+    stays = join_by_class(keyed(own), cells.select("cell", "blocks", "chunks", "residents"), "cell", "residents", total).select(
+        "cell", "node", "label", F.lit(False).alias("visits"), at.cast("int").alias("i"), every("chunks").alias("j"))
+    visits = join_by_class(keyed(goes), cells.select("cell", "blocks", "chunks", "visitors"), "cell", "visitors", total).select(
+        "cell", "node", "label", F.lit(True).alias("visits"), every("blocks").alias("i"), chunk.cast("int").alias("j"))
+    columns = ("cell", "i", "j", "visits", "node", "label", "set")
 
     def compare(batches):
         group, rows = None, []
         for b in batches:
             for r in zip(*[b.column(c).to_pylist() for c in columns]):
                 if r[:3] != group:
-                    yield from _compare(rows)
+                    yield from _links(rows, similarity)
                     group, rows = r[:3], []
                 rows.append(r[3:])
-        yield from _compare(rows)
+        yield from _links(rows, similarity)
 
-    tasks = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "visits", "node")
+    met = stays.unionByName(visits).join(_sets(texts, k), "node")
+    tasks = met.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "visits", "node")
     return tasks.select(*columns).mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def _compare(rows: list[tuple]):
-    """Pairs of a resident and a visitor (rows: visits, node, label, band, sig, n; residents first)."""
-    if not rows or not rows[-1][0]:
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, set): the shingle hashes of the texts."""
+    def sets(batches):
+        for b in batches:
+            made = [s.tobytes() for s in text_sets(b.column(1).to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(sets, "node binary, set binary")
+
+
+def _links(rows: list[tuple], similarity: int):
+    """The links of residents and visitors (rows: visits, node, label, set; residents first)."""
+    first = sum(not r[0] for r in rows)
+    if not first or first == len(rows):
         return
-    sig = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint32).reshape(len(rows), -1)
+    sets = [np.frombuffer(r[3], dtype=_U) for r in rows]
+    size = np.array([len(s) for s in sets])
     numbers = {x: i for i, x in enumerate(dict.fromkeys(r[2] for r in rows))}
     label = np.array([numbers[r[2]] for r in rows])
-    size = np.array([r[5] for r in rows])
-    first = sum(not r[0] for r in rows)
-    band = rows[0][3]
-    bands = sig.reshape(len(rows), BANDS, ROWS)
-    found = []
-    for i in range(first, len(rows)):
-        j = np.flatnonzero((label[:first] != label[i])
-                           & (100 * np.minimum(size[:first], size[i]) >= SIMILARITY * np.maximum(size[:first], size[i])))
-        if len(j):
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= AGREE]
-        if len(j) and band:  # leave a pair to the first band it shares
-            j = j[~(bands[j, :band] == bands[i, :band]).all(axis=2).any(axis=1)]
-        found += [(rows[i][1], rows[x][1]) for x in j]
-        if len(found) > 1 << 14:
-            yield _pairs(found)
-            found = []
-    if found:
-        yield _pairs(found)
-
-
-def _pairs(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()),
-                                       pa.array([max(p) for p in found], pa.binary())], names=["a", "b"])
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), size)
+    both = np.zeros((first, len(rows) - first), dtype=np.float64)
+    order = np.argsort(word, kind="stable")
+    word, owner = word[order], owner[order]
+    for a in range(0, int(word[-1]) + 1, COLUMNS):  # shared shingles, some columns of the incidence matrix at a time
+        lo, hi = np.searchsorted(word, (a, a + COLUMNS))
+        m = np.zeros((len(rows), COLUMNS), dtype=np.float32)
+        m[owner[lo:hi], word[lo:hi] - a] = 1
+        both += m[:first] @ m[first:].T
+    union = size[:first, None] + size[None, first:] - both
+    i, j = np.nonzero((100 * both >= similarity * union) & (label[:first, None] != label[None, first:]))
+    if len(i):
+        pairs = [sorted((rows[x][1], rows[first + y][1])) for x, y in zip(i, j)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()),
+                                          pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
@@ -269,9 +282,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         texts = _texts(df, id_col, text_col, nodes, members.select("node").distinct())
         links = stage(_confirm(pairs, texts, k, similarity), "near-links")
         labels = components(links)
-        crossing = stage(_crossing(members.select("bucket", "band", "node"), labels, nodes.select("node", "sig", "n"),
-                                   total * BANDS).join(pairs, ["a", "b"], "left_anti"), "near-crossing")
-        labels = merged(labels, _confirm(crossing, texts, k, similarity))
+        family = components(pairs)
+        found = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n")
+        labels = merged(labels, _crossing(found, family, labels, texts, total, k, similarity))
         own = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         own = nodes.withColumn("label", F.col("node"))
