@@ -78,6 +78,22 @@ def crc32_text(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
+def hash_sample(rows: DataFrame, group: str, key: str, counts: dict, limit: int) -> DataFrame:
+    """At most ``limit`` rows of each group: those with the smallest hash of ``key``.
+
+    ``counts`` are the groups' rows. A threshold on the hash, set for a quarter
+    more than the limit, leaves few rows before they are put in order, so no
+    task sees more than that of a group.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(key), 1)
+    below = F.lit(False)
+    for value, n in counts.items():
+        top = 2 ** 63 - 1 if n <= limit else int(2 ** 63 * min(1.0, 1.25 * limit / n)) - 1
+        below = below | ((F.col(group) == F.lit(value)) & (h <= F.lit(top)))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(h, key))
+    return rows.where(below).withColumn("sample_rank", nth).where(F.col("sample_rank") <= limit).drop("sample_rank")
+
+
 #: Rows numbered by one task, about.
 RANK_ROWS = 1 << 16
 

@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carthouse.llm import textops as X
-from carthouse.llm.common import bounded_batches, packed, unpacked
+from carthouse.llm.common import bounded_batches, hash_sample, packed, unpacked
 
 UNDETERMINED = "und"
 #: Hashed n-grams per order, and the orders.
@@ -248,13 +248,12 @@ def fit(df: DataFrame, text_col: str, lang_col: str, id_col: str, use: Column |
     """Learn from the rows of ``df`` with a language for which ``use`` holds."""
     known = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     rows = df.where(known if use is None else known & use).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
               .limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    best = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # limited in every task first
-    sample = rows.withColumn("k", best).where(F.col("k") <= sample_docs).select("lang", "text")
+    sample = hash_sample(rows, "lang", "id", counts, sample_docs).select("lang", "text")
 
     def count(table: pa.Table) -> pa.Table:  # at most sample_docs rows
         grams, letters = count_grams(table.column("text").to_pylist())

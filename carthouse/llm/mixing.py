@@ -3,8 +3,8 @@
 Documents may belong to several sources. They are aggregated by membership
 pattern; a flow routes each pattern's words (first, second, third repetition at
 rising cost) to the sources' quotas; then whole documents are selected in a
-seeded order as long as they fit a pattern's share, and one more whose size is
-closest to what is left. Only the patterns reach the driver.
+seeded order as long as they fit a pattern's share, then such as fit what is
+left, and one more whose size is closest to that. Only the patterns reach the driver.
 
 Targets: the sources share 100 % of all words by weight; a target stops at
 ``repeats`` times its source's words and the excess is shared again by weight.
@@ -127,9 +127,9 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = REPEAT
 @dataclass
 class Mix:
     """The plan of a mix: per pattern (row of ``plan``: members, pid, words,
-    source_size and target of its first source, full passes, cutoff of the
-    seeded order up to which one more pass is taken, and the number of one
-    more document that fills the rest best)."""
+    source_size and target of its first source, full passes, the
+    stretches of the seeded order of which one more pass is taken, and the
+    number of one more document that fills the rest best)."""
     rows: DataFrame
     plan: DataFrame
     order: Column
@@ -142,29 +142,37 @@ def seeded_order(id_col: Column, text: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, F.xxhash64(text)), 1)
 
 
-def _cutoffs(rows: DataFrame, plan: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
-    """Per pattern the largest seeded number still taken and the words left, given (pid, words to take).
+#: Rounds of filling what a share still lacks with documents that fit it, and the part of a target that may lack.
+ROUNDS = 8
+LACK = 0.001
+_TOP = (1 << 63) - 1
+
+
+def _cutoffs(rows: DataFrame, rest: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Per pattern the largest seeded number still taken, and the words left, given the words to take.
 
     Two histograms of the seeded order narrow each pattern to one bin of
-    2**(63 - 2 * BITS) numbers; only that bin's rows are put in order."""
+    2**(63 - 2 * BITS) numbers; only that bin's rows are put in order. A
+    pattern whose rows all fit gives all of them."""
     spark = rows.sparkSession
-    state = {pid: (0, 0) for pid, rest in plan if rest > 0}  # start of the bin, words before it
-    rest = dict(plan)
+    state, done = {pid: (0, 0) for pid in rest}, {}  # start of the bin, words before it
+    kinds = "pid int, lo long, before long, rest long"
     for level in (1, 2):
         if not state:
-            return {}
+            return done
         shift, span = 63 - BITS * level, 1 << (63 - BITS * (level - 1))
-        known = spark.createDataFrame([(p, s, b, rest[p]) for p, (s, b) in state.items()],
-                                      "pid int, lo long, before long, rest long")
+        known = spark.createDataFrame([(p, s, b, rest[p]) for p, (s, b) in state.items()], kinds)
         inside = rows.join(F.broadcast(known), "pid").where(  # one row per pattern, at most MAX_PATTERNS
             (F.col("r") >= F.col("lo")) & (F.col("r") - F.col("lo") < F.lit(span)) if level > 1 else F.lit(True))
         bins = inside.groupBy("pid", "before", "rest", F.shiftright("r", shift).alias("bin")).agg(F.sum("size").alias("words"))
         upto = F.col("before") + F.sum("words").over(Window.partitionBy("pid").orderBy("bin"))  # 2**BITS rows a pattern
-        hit = bins.withColumn("upto", upto).where(F.col("upto") >= F.col("rest")).groupBy("pid").agg(
-            F.min(F.struct("bin", "upto", "words")).alias("h"))
-        state = {x["pid"]: (x["h"]["bin"] << shift, x["h"]["upto"] - x["h"]["words"]) for x in hit.collect()}
-    known = spark.createDataFrame([(p, s, b, rest[p]) for p, (s, b) in state.items()],
-                                  "pid int, lo long, before long, rest long")
+        reached = F.when(F.col("upto") >= F.col("rest"), F.struct("bin", "upto", "words"))
+        hit = bins.withColumn("upto", upto).groupBy("pid").agg(F.min(reached).alias("h"), F.max("upto").alias("all")).collect()
+        done |= {x["pid"]: (_TOP, rest[x["pid"]] - x["all"]) for x in hit if x["h"] is None}
+        state = {x["pid"]: (x["h"]["bin"] << shift, x["h"]["upto"] - x["h"]["words"]) for x in hit if x["h"] is not None}
+    if not state:
+        return done
+    known = spark.createDataFrame([(p, s, b, rest[p]) for p, (s, b) in state.items()], kinds)
     inside = rows.join(F.broadcast(known), "pid").where(
         (F.col("r") >= F.col("lo")) & (F.col("r") - F.col("lo") < F.lit(1 << (63 - 2 * BITS))))
     same = inside.groupBy("pid", "before", "rest", "r").agg(F.sum("size").alias("size"))
@@ -172,20 +180,54 @@ def _cutoffs(rows: DataFrame, plan: list[tuple[int, int]]) -> dict[int, tuple[in
     last = same.withColumn("upto", upto).where(F.col("upto") <= F.col("rest")).groupBy("pid").agg(
         F.max("r").alias("r"), F.max("upto").alias("upto"))
     found = {x["pid"]: (x["r"], rest[x["pid"]] - x["upto"]) for x in last.collect()}
-    return {p: found.get(p, (s - 1, rest[p] - b)) for p, (s, b) in state.items()}
+    return done | {p: found.get(p, (s - 1, rest[p] - b)) for p, (s, b) in state.items()}
+
+
+def _selection(slim: DataFrame, rest: dict[int, int], aim: dict[int, int]) -> tuple[dict[int, list], dict[int, int]]:
+    """Per pattern the stretches of the seeded order that are taken, as (after,
+    up to, largest size), and the number of one last document.
+
+    A stretch ends where the next document does not fit; the next one goes on
+    with the documents that still fit."""
+    spark, stretches, most = slim.sparkSession, {p: [] for p in rest}, dict.fromkeys(rest, _TOP)
+    left = {p: n for p, n in rest.items() if n > 0}
+    for _ in range(ROUNDS):
+        todo = {p: n for p, n in left.items() if n > LACK * aim[p] and (not stretches[p] or stretches[p][-1][1] < _TOP)}
+        if not todo:
+            break
+        from_ = {p: stretches[p][-1][1] if stretches[p] else -1 for p in todo}
+        known = spark.createDataFrame([(p, from_[p], most[p]) for p in todo], "pid int, after long, most long")
+        fits = slim.join(F.broadcast(known), "pid").where(
+            (F.col("r") > F.col("after")) & (F.col("size") <= F.col("most"))).select("pid", "r", "size")
+        got = _cutoffs(fits, todo)
+        for p in todo:
+            to, left[p] = got.get(p, (_TOP, left[p]))
+            stretches[p].append((from_[p], max(to, from_[p]), most[p]))
+            most[p] = left[p]
+    return stretches, _fillers(slim, {p: n for p, n in left.items() if n > 0}, stretches)
+
 
+def _in(stretches: Column) -> Column:
+    return F.exists(stretches, lambda x: (F.col("r") > x["after"]) & (F.col("r") <= x["upto"]) & (F.col("size") <= x["most"]))
 
-def _fillers(rows: DataFrame, cut: dict[int, tuple[int, int]]) -> dict[int, int]:
-    """Per pattern the document beyond the cutoff whose size is closest to the words left."""
-    open_ = [(p, c, left) for p, (c, left) in cut.items() if left > 0]
-    if not open_:
+
+_STRETCHES = "stretches array<struct<after:long,upto:long,most:long>>"
+
+
+def _fillers(slim: DataFrame, left: dict[int, int], stretches: dict[int, list]) -> dict[int, int]:
+    """Per pattern the document not taken whose size is closest to the words left."""
+    if not left:
         return {}
-    known = rows.sparkSession.createDataFrame(open_, "pid int, cutoff long, left long")
+    known = slim.sparkSession.createDataFrame([(p, n, stretches[p]) for p, n in left.items()], "pid int, left long, " + _STRETCHES)
     near = F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("d"), "r", "left")).alias("b")
-    best = rows.join(F.broadcast(known), "pid").where(F.col("r") > F.col("cutoff")).groupBy("pid").agg(near)
+    best = slim.join(F.broadcast(known), "pid").where(~_in(F.col("stretches"))).groupBy("pid").agg(near)
     return {x["pid"]: x["b"]["r"] for x in best.collect() if x["b"]["d"] < x["b"]["left"]}
 
 
+def _words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def _pattern(df: DataFrame, members: Column) -> Column:
     """A document's sources as a sorted set; without any (a null array) the empty set."""
     if df.select(members.alias("m")).schema["m"].dataType.typeName() != "array":
@@ -199,7 +241,7 @@ def plan_mix(df: DataFrame, id_col: str, text_col: str, members: Column, weights
     spark = df.sparkSession
     order = seeded_order(F.col(id_col), F.col(text_col), seed)
     rows = df.select(F.col(id_col).alias("id"), _pattern(df, members).alias("members"),
-                     F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                     _words(F.col(text_col)).alias("size"),
                      order.alias("r"))
     rows = stage(rows, "mix-rows")
     found = rows.groupBy("members").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
@@ -221,15 +263,14 @@ def plan_mix(df: DataFrame, id_col: str, text_col: str, members: Column, weights
         "members array<string>, pid int, words long, full int, source_size double, target double")
     # At most max_patterns rows: small enough to send to every task.
     slim = rows.join(F.broadcast(named.select("members", "pid")), "members").select("pid", "r", "size")
-    cut = _cutoffs(slim, [(i, t - f * w) for i, (t, f, (_, w)) in enumerate(zip(take, full, patterns))])
-    more = _fillers(slim, cut)
-    cuts = spark.createDataFrame([(i, cut.get(i, (-1, 0))[0], more.get(i, -1)) for i in range(len(patterns))],
-                                 "pid int, cutoff long, filler long")
+    rest = {i: t - f * w for i, (t, f, (_, w)) in enumerate(zip(take, full, patterns))}
+    stretches, filler = _selection(slim, rest, dict(enumerate(take)))
+    cuts = spark.createDataFrame([(i, stretches[i], filler.get(i, -1)) for i in rest], f"pid int, {_STRETCHES}, filler long")
     return Mix(rows, named.join(F.broadcast(cuts), "pid"), order, sizes, goal)
 
 
 def _copies() -> Column:
-    return F.col("full") + ((F.col("r") <= F.col("cutoff")) | (F.col("r") == F.col("filler"))).cast("int")
+    return F.col("full") + (_in(F.col("stretches")) | (F.col("r") == F.col("filler"))).cast("int")
 
 
 def taken(mix: Mix) -> DataFrame:
@@ -244,7 +285,7 @@ def mixed(df: DataFrame, mix: Mix, id_col: str, text_col: str, members: Column,
 
     Decided from a row and the broadcast plan alone; no text is shuffled."""
     full = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-                     _pattern(df, members).alias("members"),
+                     _pattern(df, members).alias("members"), _words(F.col(text_col)).alias("size"),
                      seeded_order(F.col(id_col), F.col(text_col), seed).alias("r"))
     met = full.join(F.broadcast(mix.plan), "members").select("row", _copies().alias("copies")).where("copies > 0")
     return unpacked(met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))), df.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carthouse.llm import textops as X
-from carthouse.llm.common import bounded_batches, stage
+from carthouse.llm.common import bounded_batches, hash_sample, stage
 from carthouse.llm.langid import words_of
 
 #: Labelled ids per label.
@@ -245,8 +245,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.lit(True) if use is None else use))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
     totals = {x["label"]: x["n"] for x in known.where("label in (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))  # limited in every task first
-    picked = stage(known.where("label in (0, 1)").withColumn("k", nth).where(F.col("k") <= sample).select("id", "label"), "toxic-sample")
+    picked = stage(hash_sample(known.where("label in (0, 1)"), "label", "id", totals, sample).select("id", "label"), "toxic-sample")
     # At most 2 * sample ids.
     texts = stage(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
                   .join(F.broadcast(picked), "id"), "toxic-texts")

@@ -12,7 +12,7 @@ largest id is the response and the others revisit it.
 
 Defined cases: a null payload is empty; a record without a URL has no
 WARC-Target-URI, and characters no header may hold are percent-encoded; rows
-without an id come first and carry no id; of repeated rows (same id and
+without an id come first, carry no id, and revisit a row that has one; of repeated rows (same id and
 payload) one is the response and the others revisit that id; an empty table
 writes an empty manifest and reads back as no rows; other columns are ignored.
 
@@ -224,9 +224,9 @@ def write_warc(df: DataFrame, root: str, id_col: str = "page_id", url_col: str =
     slim = stage(pages.select("id", "url", F.sha1("payload").alias("digest"),
                               F.octet_length("payload").cast("long").alias("n")), "warc-digests")
     size = slim.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes")).first()
-    groups = stage(slim.where((F.col("n") >= revisit_bytes) & F.col("id").isNotNull()).groupBy("digest")
+    groups = stage(slim.where(F.col("n") >= revisit_bytes).groupBy("digest")
                    .agg(F.count(F.lit(1)).alias("copies"), F.max("id").alias("to"), F.max_by("url", "id").alias("to_url"))
-                   .where("copies > 1"), "warc-groups")
+                   .where("copies > 1 and to is not null"), "warc-groups")
     links = (join_by_class(slim.where(F.col("n") >= revisit_bytes).select("id", "digest"), groups, "digest", "copies",
                            size["rows"]).select("id", "digest", "to", "to_url").dropDuplicates(["id", "digest"]))
 

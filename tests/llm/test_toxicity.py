@@ -1,5 +1,7 @@
 """Operator 8: exact neighbours against brute force, the isotonic fit, quality on held-out rows, defined cases."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -50,8 +52,9 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_defined_cases(spark):
-    clean, bad = "a quiet walk by the sea number %d", "you are such a nitwit number %d"
-    rows = [(i, (bad if i % 2 else clean) % i, "x", 0.5) for i in range(200)]
+    rnd = random.Random(6)
+    words = lambda: " ".join(rnd.choice("sea walk tree hill road lake wind door lamp book".split()) for _ in range(12))
+    rows = [(i, words() + (" Nitwit, " if i % 2 else " ") + words(), "x", 0.5) for i in range(200)]
     rows += [(500, None, None, None), (501, "", "x", 1.0), (502, "12 34", "x", 1.0), (None, "nitwit", "x", 1.0),
              (503, "nitwit " * 30_000, "x", 1.0), (504, "Nitwit!", "x", 1.0), (504, "Nitwit!", "x", 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string, score double")
