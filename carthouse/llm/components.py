@@ -1,4 +1,4 @@
-"""Connected components of links held in a table: smallest-label propagation with pointer jumping."""
+"""Connected components of links held in a table, by contracting the graph round by round."""
 
 from __future__ import annotations
 
@@ -11,24 +11,31 @@ from carthouse.llm.common import stage
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in ``links`` (a, b): the smallest node reachable.
 
-    Every round sends each node the smallest label of its neighbours and then
-    the label of that label, so paths shorten by more than half a round. The
+    In every round each node moves to its smallest neighbour if that is
+    smaller, and the links follow: those within one place are gone, equal ones
+    are one. A star is one link after a round, so only the first round reads
+    all links. Labels are then looked up round by round, last to first. The
     joins have plain tables on both sides, which lets skewed hubs be split.
     """
-    edges = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                  .distinct(), "cc-edges")
-    state = stage(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "cc-labels")
-    while True:
-        near = edges.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        closer = state.join(near.withColumnRenamed("a", "node"), "node", "left").select(
-            "node", "label", F.least("label", "near").alias("best"))
-        closer = stage(closer, "cc-near")
-        jump = closer.select(F.col("node").alias("best"), F.col("best").alias("further"))
-        moved = stage(closer.join(jump, "best", "left").select(
-            "node", F.coalesce(F.least("best", "further"), "best").alias("label"), (F.col("best") != F.col("label")).alias("moved")), "cc-labels")
-        state = moved.select("node", "label")
-        if moved.where("moved").limit(1).count() == 0:
-            return state
+    edges = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(),
+                  "cc-edges")
+    moves = []
+    while not edges.isEmpty():
+        down = edges.groupBy("b").agg(F.min("a").alias("to")).withColumnRenamed("b", "node")
+        roots = edges.select(F.col("a").alias("node"), F.col("a").alias("to"))
+        moves.append(stage(down.unionByName(roots).groupBy("node").agg(F.min("to").alias("to")), "cc-moves"))
+        for end in ("a", "b"):
+            known = moves[-1].select(F.col("node").alias(end), F.col("to").alias("place"))
+            edges = edges.join(known, end).drop(end).withColumnRenamed("place", end)
+        edges = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(),
+                      "cc-edges")
+    if not moves:
+        return stage(links.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0), "cc-none")
+    labels = moves[-1].withColumnRenamed("to", "label")
+    for move in reversed(moves[:-1]):
+        later = labels.select(F.col("node").alias("to"), "label")
+        labels = stage(move.join(later, "to", "left").select("node", F.coalesce("label", "to").alias("label")), "cc-labels")
+    return labels
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:

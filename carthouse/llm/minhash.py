@@ -266,10 +266,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     all_ = stage(_buckets(nodes), "near-buckets") if total else None
     if total:
         sizes = stage(all_.groupBy("band", "key").agg(
-            F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("band", "node"), F.col("node"))).alias("c"))
-            .where("size > 1").select("band", "key", "size", F.col("c.node").alias("centre")), "near-sizes")
+            F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("band", "node"), F.col("node"))).alias("c"),
+            F.min("node").alias("first")).where("size > 1")
+            .select("band", "key", "size", F.col("c.node").alias("centre"), "first"), "near-sizes")
         keyed = all_.withColumn("bucket", F.xxhash64("band", "key"))
-        known = sizes.select(F.xxhash64("band", "key").alias("bucket"), "size", "centre")
+        known = sizes.select(F.xxhash64("band", "key").alias("bucket"), "size", "centre", "first")
         members = stage(join_by_class(keyed, known, "bucket", "size", total * BANDS), "near-members")
         shared = members.groupBy("node").agg(F.sum("size").alias("shared"))
         ranked = members.select("bucket", "size", "node").join(shared, "node")
@@ -282,7 +283,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         texts = _texts(df, id_col, text_col, nodes, members.select("node").distinct())
         links = stage(_confirm(pairs, texts, k, similarity), "near-links")
         labels = components(links)
-        family = components(pairs)
+        # A bucket's members hang on its first node, which most buckets of a family have in common.
+        family = components(members.select(F.col("first").alias("a"), F.col("node").alias("b")))
         found = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n")
         labels = merged(labels, _crossing(found, family, labels, texts, total, k, similarity))
         own = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
