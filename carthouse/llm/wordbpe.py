@@ -22,7 +22,7 @@ _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "c
 _SHORT = (("s",), ("t",), ("m",), ("d",), ("r", "e"), ("v", "e"), ("l", "l"))
 
 #: Distinct words whose ids a worker keeps.
-KEEP = 1 << 18
+KEEP = 1 << 17
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 _CLASSES: list[np.ndarray] = []
