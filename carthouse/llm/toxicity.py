@@ -1,22 +1,25 @@
 """Operator 8, toxicity by the nearest labelled examples.
 
-Words that mark the label are selected on a bounded labelled sample without
-its near copies; every text becomes a TF-IDF vector over them (document frequencies are counted over
-all documents). A block-max inverted index of the sample finds each text's
-nearest examples by exact cosine: blocks are visited by falling upper bound
-until no block can change the result. Their votes, weighted by similarity and
-by how many labelled rows an example stands for, become a probability through
-an isotonic fit of the examples' own leave-one-out votes. The nearest examples
-are returned as evidence.
-
-Sample: per label the ``sample`` labelled ids with the smallest hash.
-
-Defined cases: a null, empty or wordless text, and any text without a marking
-word, scores what such labelled examples average; without labelled rows every
-score is 0; an id labelled more than once counts with its largest label, an id
-or label that is null is ignored; repeated rows are scored alike; ties between
-examples go to the smaller id; an empty table gives an empty result; other
-columns are ignored.
+Every text becomes a TF-IDF vector over all words of a bounded labelled sample
+(document frequencies are counted over all documents); a word weighs up to
+1 + GAIN times as much the more surely it occurs more often under label 1. A
+block-max inverted index of the sample finds each text's nearest examples by
+exact cosine: blocks whose upper bound cannot reach the result are left out.
+Their votes, weighted by similarity and by how many labelled rows an example
+stands for, become a probability through an isotonic fit of the examples' own
+leave-one-out votes; near copies of an example then follow its label. The
+nearest examples are returned as evidence.
+
+Sample: per label the ``sample`` labelled ids with the smallest hash. The driver
+and every task hold its distinct words and its vectors.
+
+Defined cases: a null, empty or wordless text, and any text without a word of
+the sample, scores what such labelled examples average; without labelled rows
+every score is 0; an id labelled more than once counts with its largest label,
+an id or label that is null is ignored, of texts that share a labelled id the
+least is the example; repeated rows are scored alike; ties between examples go
+to the smaller id; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +37,23 @@ from carthouse.llm.langid import words_of
 
 #: Labelled ids per label.
 SAMPLE = 4000
-#: Marking words: at most so many, with this chi-square and ratio of document frequencies.
-VOCABULARY = 512
-CHI_SQUARE = 30.0
-LIFT = 3.0
-SUPPORT = 3
+#: A word weighs 1 + GAIN * z^2 / (DOUBT + z^2), z being the z score of its log odds towards label 1.
+GAIN = 20.0
+DOUBT = 10.0
 #: Examples of one index block, neighbours, and the weight of the prior against full similarity.
 BLOCK = 64
 NEIGHBOURS = 25
 PRIOR = 0.5
 EVIDENCE = 3
+#: Words kept as dense rows: those most examples hold. Texts scored over them at once.
+HEAD = 400
+TOGETHER = 64
+#: Near copies: a similarity above ALIKE counts, to this power; the weight of the calibrated vote against an exact copy.
+ALIKE = 0.5
+SHARPNESS = 4
+VOTE = 0.25
+#: Answers a task remembers for equal texts.
+REMEMBERED = 1 << 12
 
 
 def word_hashes(texts: list[str | None]):
@@ -58,60 +68,24 @@ def _owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def _document_frequencies(sample: DataFrame) -> DataFrame:
-    """(word, pos, neg): in how many sampled texts of either label a word occurs."""
-    def count(batches):
+def vocabulary(sample: DataFrame) -> np.ndarray:
+    """The sorted hashes of all words of the sampled texts."""
+    def distinct(batches):
         for b in batches:
-            labels = np.asarray(b.column(1))
-            for lo, hi, h, first in word_hashes(b.column(0).to_pylist()):
-                pair = np.unique(np.stack((h, _owners(first).astype(np.uint64)), axis=1), axis=0)
-                words, back = np.unique(pair[:, 0], return_inverse=True)
-                y = labels[lo:hi][pair[:, 1].astype(np.int64)]
-                pos = np.bincount(back, weights=y, minlength=len(words)).astype(np.int64)
-                neg = np.bincount(back, weights=1 - y, minlength=len(words)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(pos), pa.array(neg)],
-                                                 names=["word", "pos", "neg"])
-
-    return sample.select("text", "label").mapInArrow(count, "word long, pos long, neg long").groupBy("word").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
-def _chi_square(a, b, p: float, n: float):
-    """Of a word in ``a`` of p positives and ``b`` of n negatives."""
-    seen, gone = a + b, (p + n) - a - b
-    return (p + n) * (a * (n - b) - b * (p - a)) ** 2 / (seen * gone * p * n)
-
-
-def candidates(frequencies: DataFrame, positives: int, negatives: int, limit: int = VOCABULARY) -> np.ndarray:
-    """The words that occur far more often under label 1, best first by chi-square, as sorted hashes."""
-    p, n = float(positives), float(negatives)
-    a, b = F.col("pos") + F.lit(0.5), F.col("neg") + F.lit(0.5)
-    chi = _chi_square(a, b, p + 1, n + 1)
-    best = (frequencies.withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) & (a * (n + 1) >= LIFT * b * (p + 1)))
-            .orderBy(F.desc("chi"), "word").limit(limit).select("word").collect())
-    return np.sort(np.array([x["word"] for x in best], dtype=np.int64).view(np.uint64))
-
-
-def marking_words(words: np.ndarray, holds: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Of the candidate ``words`` (``holds``: example x word), those that mark the label by themselves.
-
-    Chosen one at a time: a positive counts half as much for every word chosen
-    before that it holds, so the other words of a much copied positive text
-    are left out."""
-    negatives = holds[label == 0].sum(axis=0) + 0.5
-    positives, n = holds[label == 1], float((label == 0).sum() + 1)
-    weight = np.ones(len(positives))
-    chosen: list[int] = []
-    while len(words):
-        a, p = weight @ positives, weight.sum() + 1
-        chi = _chi_square(a + 0.5, negatives, p, n)
-        chi[(a < SUPPORT) | ((a + 0.5) * n < LIFT * negatives * p)] = 0
-        chi[chosen] = 0
-        if chi.max() < CHI_SQUARE:
-            break
-        chosen.append(int(chi.argmax()))
-        weight[positives[:, chosen[-1]]] /= 2
-    return words[sorted(chosen)]
+            for _, _, h, _ in word_hashes(b.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["word"])
+
+    words = sample.select("text").mapInArrow(distinct, "word long").distinct().toArrow()
+    return np.sort(words.column("word").to_numpy().view(np.uint64))
+
+
+def class_weights(pos: np.ndarray, neg: np.ndarray, positives: int, negatives: int) -> np.ndarray:
+    """Of words in ``pos`` and ``neg`` examples of either label: between 1 and 1 + GAIN."""
+    if not positives or not negatives:
+        return np.ones(len(pos))
+    a, b = pos + 0.5, neg + 0.5
+    z = np.maximum(0, np.log(a / (positives + 1) / (b / (negatives + 1)))) / np.sqrt(1 / a + 1 / b)
+    return 1 + GAIN * z * z / (DOUBT + z * z)
 
 
 def one_per_family(sample: DataFrame) -> DataFrame:
@@ -134,60 +108,136 @@ def one_per_family(sample: DataFrame) -> DataFrame:
 
 
 def vectors(df: DataFrame, id_col: str, text_col: str, words: np.ndarray) -> DataFrame:
-    """(id, terms, counts): the marking words each whole text holds."""
+    """(id, terms, counts): which of ``words`` each whole text holds, and how often."""
     def count(batches):
+        width = max(1, len(words))
         for b in batches:
-            terms, counts = [], []
             for lo, hi, h, first in word_hashes(b.column(1).to_pylist()):
                 at = np.searchsorted(words, h)
                 hit = np.flatnonzero(words[np.minimum(at, len(words) - 1)] == h) if len(words) else np.empty(0, np.int64)
-                cell = _owners(first)[hit] * max(1, len(words)) + at[hit]
-                cells, times = np.unique(cell, return_counts=True)
-                cut = np.searchsorted(cells, np.arange(hi - lo + 1) * max(1, len(words)))
-                for i in range(hi - lo):
-                    s = slice(cut[i], cut[i + 1])
-                    terms.append((cells[s] - i * max(1, len(words))).astype(np.int32))
-                    counts.append(times[s].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.list_(pa.int32())),
-                                              pa.array(counts, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
+                cells, times = np.unique(_owners(first)[hit] * width + at[hit], return_counts=True)
+                cut = pa.array(np.searchsorted(cells, np.arange(hi - lo + 1) * width).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cut, pa.array((cells % width).astype(np.int32))),
+                     pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32)))], names=["id", "terms", "counts"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         count, "id long, terms array<int>, counts array<int>")
 
 
+def _lists(terms, counts) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows of two Arrow list columns without nulls as numpy arrays."""
+    t, c = terms.values.to_numpy(zero_copy_only=False), counts.values.to_numpy(zero_copy_only=False)
+    at, ac = terms.offsets.to_numpy(), counts.offsets.to_numpy()
+    return [(t[at[i]:at[i + 1]].astype(np.int64), c[ac[i]:ac[i + 1]].astype(float)) for i in range(len(terms))]
+
+
+def frequencies(every: DataFrame, words: int) -> tuple[int, np.ndarray]:
+    """Rows of ``every``, and how many of them hold each word."""
+    def count(batches):
+        rows, held = 0, np.zeros(words + 1, dtype=np.int64)
+        for b in batches:
+            rows += b.num_rows
+            held[:words] += np.bincount(b.column(1).flatten().to_numpy(zero_copy_only=False), minlength=words)[:words]
+        held[words] = rows  # the last number stands for the rows
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], names=["term", "n"])
+
+    got = every.select("id", "terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(words + 1)
+    held[got.column("term").to_numpy()] = got.column("n").to_numpy()  # at most one row per word
+    return int(held[words]), held[:words]
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after another."""
+    n = end - begin
+    return np.arange(int(n.sum())) + np.repeat(begin - np.cumsum(n) + n, n)
+
+
 @dataclass
 class Index:
-    """The examples in blocks: ``postings`` has a row per term, ``bounds`` its largest weight in each block."""
+    """The examples in blocks. ``dense`` are words with a row each over all
+    examples; the others have an entry per block that holds them, with their
+    largest weight there and the postings from ``entry`` on."""
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    idf: np.ndarray
-    postings: np.ndarray
-    bounds: np.ndarray
-    alone: float  # probability of a text without a marking word
+    idf: np.ndarray  # with the class weight
+    alone: float  # probability of a text without a word of the sample
     base: float  # share of label 1
     steps: tuple[np.ndarray, np.ndarray] | None = None
+    row: np.ndarray | None = None  # of each word in dense, or -1
+    dense: np.ndarray | None = None
+    first: np.ndarray | None = None  # of each word's entries, one more closes the last
+    block: np.ndarray | None = None
+    bound: np.ndarray | None = None
+    entry: np.ndarray | None = None
+    example: np.ndarray | None = None
+    value: np.ndarray | None = None
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Unit TF-IDF weights of a text's terms."""
         v = (1 + np.log(counts)) * self.idf[terms]
         return v / np.sqrt((v * v).sum())
 
-    def nearest(self, terms: np.ndarray, v: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def post(self, units: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Fill the postings with the (terms, weights) of the examples in order."""
+        n, width = len(units), len(self.idf)
+        blocks = -(-n // BLOCK)
+        term = np.concatenate([t for t, _ in units] or [np.empty(0, np.int64)])
+        value = np.concatenate([v for _, v in units] or [np.empty(0)])
+        example = np.repeat(np.arange(n), [len(t) for t, _ in units])
+        held = np.bincount(term, minlength=width)
+        head = np.argsort(-held, kind="stable")[:HEAD]
+        self.row = np.full(width, -1)
+        self.row[head] = np.arange(len(head))
+        self.dense = np.zeros((len(head), blocks * BLOCK))
+        some = self.row[term] >= 0
+        self.dense[self.row[term[some]], example[some]] = value[some]
+        term, example, value = term[~some], example[~some], value[~some]
+        order = np.lexsort((example, term))
+        term, self.example, self.value = term[order], example[order].astype(np.int32), value[order]
+        key = term * max(1, blocks) + self.example // BLOCK
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        self.entry = np.append(begin, len(key))
+        self.block = (key[begin] % max(1, blocks)).astype(np.int32)
+        self.bound = np.maximum.reduceat(self.value, begin) if len(begin) else np.empty(0)
+        self.first = np.searchsorted(term[begin], np.arange(width + 1))
+
+    def head_scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """text x example: the part of the cosine that the dense words make up."""
+        q = np.zeros((len(texts), len(self.dense)))
+        for i, (terms, v) in enumerate(texts):
+            some = self.row[terms] >= 0
+            q[i, self.row[terms[some]]] = v[some]
+        return q @ self.dense
+
+    def nearest(self, terms: np.ndarray, v: np.ndarray, k: int, but: int = -1,
+                score: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k nearest that share a term, exact; ties to the smaller id."""
-        upper = v @ self.bounds[terms]
-        found, score = np.empty(0, dtype=np.int64), np.empty(0)
-        for block in np.argsort(-upper, kind="stable"):
-            if upper[block] <= 0 or (len(found) >= k and upper[block] < score[k - 1] - 1e-9):
-                break
-            lo = block * BLOCK
-            s = np.round(v @ self.postings[terms, lo:lo + BLOCK], 9)
-            at = np.flatnonzero(s > 0)
-            at = at[at + lo != but]
-            found, score = np.concatenate((found, at + lo)), np.concatenate((score, s[at]))
-            best = np.lexsort((self.ids[found], -score))[:k]
-            found, score = found[best], score[best]
-        return found, score
+        n = len(self.ids)
+        score = self.head_scores([(terms, v)])[0] if score is None else score
+        if but >= 0:
+            score[but] = -1e9
+        least = np.partition(score[:n], n - k)[n - k] if n > k else 0.0
+        begin, end = self.first[terms], self.first[terms + 1]
+        at, w = _ranges(begin, end), np.repeat(v, end - begin)
+        block = self.block[at]
+        upper = score.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weights=w * self.bound[at],
+                                                                   minlength=len(score) // BLOCK)
+        live = (upper >= least - 2e-9)[block]  # what another block adds cannot change the result
+        at, w = at[live], w[live]
+        begin, end = self.entry[at], self.entry[at + 1]
+        p = _ranges(begin, end)
+        score = score + np.bincount(self.example[p], weights=np.repeat(w, end - begin) * self.value[p], minlength=len(score))
+        score = score[:n]
+        least = np.partition(score, n - k)[n - k] if n > k else 0.0
+        found = np.flatnonzero((score >= least - 2e-9) & (score > 0))
+        similar = np.round(score[found], 9)
+        best = np.lexsort((self.ids[found], -similar))[:k]
+        best = best[similar[best] > 0]
+        return found[best], similar[best]
 
     def vote(self, examples: np.ndarray, similarity: np.ndarray) -> float:
         w = self.weights[examples] * similarity
@@ -196,6 +246,16 @@ class Index:
     def calibrated(self, vote: float) -> float:
         return vote if self.steps is None else float(np.interp(vote, *self.steps))
 
+    def probability(self, examples: np.ndarray, similarity: np.ndarray) -> float:
+        """The calibrated vote, and the label of near copies the more alike they are."""
+        p = self.calibrated(self.vote(examples, similarity))
+        alike = (np.maximum(0, similarity - ALIKE) / (1 - ALIKE)) ** SHARPNESS
+        if not alike.any():
+            return p
+        w = self.weights[examples] * alike
+        share, most = float((w * self.labels[examples]).sum() / w.sum()), float(alike.max())
+        return (VOTE * p + most * share) / (VOTE + most)
+
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The non-decreasing fit of y on x (pool adjacent violators), as points to interpolate between."""
@@ -218,15 +278,11 @@ def build_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight:
     base = float((every * y).sum() / every.sum()) if len(every) else 0.0
     blank = np.array([not len(e[2]) for e in examples], dtype=bool)
     alone = float((every[blank] * y[blank]).sum() / every[blank].sum()) if blank.any() else base
-    index = Index(np.empty(0), np.empty(0), np.empty(0), idf, np.empty((len(idf), 0)), np.empty((len(idf), 0)), alone, base)
+    index = Index(np.empty(0), np.empty(0), np.empty(0), idf, alone, base)
     units = [index.vector(e[2], e[3]) for e in full]
     # Similar examples side by side: their strongest term first, so that blocks have telling bounds.
     order = sorted(range(len(full)), key=lambda i: (int(full[i][2][units[i].argmax()]), -float(units[i].max()), full[i][0]))
-    blocks = -(-len(full) // BLOCK)
-    index.postings = np.zeros((len(idf), blocks * BLOCK))
-    for at, i in enumerate(order):
-        index.postings[full[i][2], at] = units[i]
-    index.bounds = index.postings.reshape(len(idf), blocks, BLOCK).max(axis=2) if blocks else np.zeros((len(idf), 0))
+    index.post([(full[i][2], units[i]) for i in order])
     index.ids = np.array([full[i][0] for i in order], dtype=np.int64)
     index.labels = np.array([full[i][1] for i in order], dtype=float)
     mean = float(every.mean()) if len(every) else 1.0
@@ -238,7 +294,7 @@ def build_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight:
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column | None = None,
-        sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> tuple[DataFrame, Index]:
+        sample: int = SAMPLE) -> tuple[DataFrame, Index]:
     """(vectors of every document, index of the sampled examples). ``use`` picks the label rows to learn from."""
     spark = df.sparkSession
     bounded_batches(spark)
@@ -248,60 +304,55 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     picked = stage(hash_sample(known.where("label in (0, 1)"), "label", "id", totals, sample).select("id", "label"), "toxic-sample")
     # At most 2 * sample ids.
     texts = stage(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                  .join(F.broadcast(picked), "id"), "toxic-texts")
-    sizes = {x["label"]: x["n"] for x in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    diverse = stage(one_per_family(texts), "toxic-diverse")
-    parts = {x["label"]: x["n"] for x in diverse.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    words = np.empty(0, np.uint64)
-    if len(parts) == 2:
-        words = candidates(_document_frequencies(diverse), parts[1], parts[0], vocabulary)
-    if len(words):
-        held = vectors(diverse, "id", "text", words).join(F.broadcast(picked), "id").select("label", "terms").collect()
-        holds = np.zeros((len(held), len(words)), dtype=bool)  # at most 2 * sample rows
-        for i, x in enumerate(held):
-            holds[i, x["terms"]] = True
-        words = marking_words(words, holds, np.array([x["label"] for x in held]))
+                  .join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "toxic-texts")
+    words = vocabulary(texts)
+    label = {x["id"]: x["label"] for x in texts.select("id", "label").collect()}
+    diverse = {x["id"] for x in one_per_family(texts).select("id").collect()}
+    examples = []
+    for b in vectors(texts, "id", "text", words).toArrow().to_batches():
+        examples += [(i, label[i], *e) for i, e in zip(b.column(0).to_pylist(), _lists(b.column(1), b.column(2)))]
+    examples.sort(key=lambda e: e[0])
     every = stage(vectors(df, id_col, text_col, words), "toxic-vectors")
-    frequency = np.zeros(len(words))
-    rows = every.count()
-    for x in every.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
-        frequency[x["t"]] = x["n"]  # at most one row per marking word
+    rows, frequency = frequencies(every, len(words))
+    held, parts = np.zeros((2, len(words))), [0, 0]  # by near-copy families, so that a much copied text counts once
+    for i, y, terms, _ in examples:
+        if i in diverse:
+            held[y, terms] += 1
+            parts[y] += 1
     idf = np.log((1 + rows) / (1 + frequency)) + 1
-    got = every.join(F.broadcast(picked), "id").dropDuplicates(["id"]).collect()  # at most 2 * sample rows of vocabulary terms
-    examples = sorted(((x["id"], x["label"], np.array(x["terms"], dtype=np.int64), np.array(x["counts"], dtype=float))
-                       for x in got), key=lambda e: e[0])
-    weight = {y: totals[y] / max(1, sizes.get(y, 1)) for y in totals}
-    return every, build_index(examples, weight, idf)
+    sizes = [sum(y == z for z in label.values()) for y in (0, 1)]
+    weight = {y: totals[y] / max(1, sizes[y]) for y in totals}
+    return every, build_index(examples, weight, idf * class_weights(held[1], held[0], parts[1], parts[0]))
 
 
 def scores(every: DataFrame, index: Index, k: int = NEIGHBOURS, threshold: float = 0.7) -> DataFrame:
     """id, score, predicted and evidence (the nearest examples' id, label and similarity) of every document."""
-    shared = every.sparkSession.sparkContext.broadcast(index)  # bounded by the sample and the vocabulary
+    shared = every.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
     def score(batches):
         ix = shared.value
         seen: dict = {}
+
+        def answer(near, similar):
+            return ix.probability(near, similar), [{"id": int(ix.ids[i]), "label": int(ix.labels[i]), "similarity": float(s)}
+                                                   for i, s in zip(near[:EVIDENCE], similar)]
+
         for b in batches:
-            out, evidence = [], []
-            for terms, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if not terms or not len(ix.ids):
-                    out.append(ix.alone)
-                    evidence.append([])
-                    continue
-                key = (tuple(terms), tuple(counts))
-                if key not in seen:
-                    if len(seen) > 1 << 16:
-                        seen.clear()
-                    t = np.array(terms)
-                    near, similar = ix.nearest(t, ix.vector(t, np.array(counts, dtype=float)), k)
-                    seen[key] = (ix.calibrated(ix.vote(near, similar)),
-                                 [{"id": int(ix.ids[i]), "label": int(ix.labels[i]), "similarity": float(s)}
-                                  for i, s in zip(near[:EVIDENCE], similar)])
-                out.append(seen[key][0])
-                evidence.append(seen[key][1])
+            texts = _lists(b.column(1), b.column(2))
+            keys = [t.tobytes() + c.tobytes() if len(t) and len(ix.ids) else b"" for t, c in texts]
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen[b""] = ix.alone, []
+            todo = [i for key, i in dict(zip(keys, range(len(keys)))).items() if key not in seen]
+            for a in range(0, len(todo), TOGETHER):
+                some = todo[a:a + TOGETHER]
+                units = [(texts[i][0], ix.vector(*texts[i])) for i in some]
+                for i, unit, head in zip(some, units, ix.head_scores(units)):
+                    seen[keys[i]] = answer(*ix.nearest(*unit, k, score=head))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out, pa.float64()), pa.array(evidence, pa.list_(pa.struct(
-                    [("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())])))],
+                [b.column(0), pa.array([seen[x][0] for x in keys], pa.float64()),
+                 pa.array([seen[x][1] for x in keys], pa.list_(pa.struct(
+                     [("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())])))],
                 names=["id", "score", "evidence"])
 
     found = every.select("id", "terms", "counts").mapInArrow(

@@ -76,3 +76,23 @@ def test_defined_cases(spark):
     assert {r.score for r in T.scores(every, index).collect()} == {1.0}
     every, index = T.fit(docs.limit(0), marks, "doc_id", "text", "toxic")
     assert T.scores(every, index).count() == 0
+
+
+def _fresh(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(7)) for _ in range(n))
+
+
+def test_a_rare_copy_finds_its_example(spark):
+    """Words of one example only, and no word that marks a label: the copy of the example is found."""
+    rnd = random.Random(8)
+    common = "sea walk tree hill road lake wind door lamp book".split()
+    rows = [(i, _fresh(rnd, 12) + " " + " ".join(rnd.choice(common) for _ in range(8)) + (" nitwit" if i % 2 and i > 20 else ""))
+            for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(1, 21)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    every, index = T.fit(spark.createDataFrame(rows, "doc_id long, text string"), marks, "doc_id", "text", "toxic")
+    got = {r.id: r for r in T.scores(every, index).collect()}
+    for i in range(1, 21):
+        r = got[1000 + i]
+        assert r.evidence[0].id == i and abs(r.evidence[0].similarity - 1) < 1e-6 and r.predicted == i % 2
+    assert all(r.evidence for r in got.values())
