@@ -96,3 +96,15 @@ def test_a_rare_copy_finds_its_example(spark):
         r = got[1000 + i]
         assert r.evidence[0].id == i and abs(r.evidence[0].similarity - 1) < 1e-6 and r.predicted == i % 2
     assert all(r.evidence for r in got.values())
+
+
+def test_ten_examples_a_label(spark):
+    """No bar that depends on the sample's size: what is learned from few examples is used."""
+    rnd = random.Random(9)
+    rows = [(i, _fresh(rnd, 10) + (" you nitwit " if i < 10 else " kind friend ") + _fresh(rnd, 10)) for i in range(20)]
+    rows += [(100 + i, t) for i, t in rows] + [(200, _fresh(rnd, 10) + " you nitwit"), (201, _fresh(rnd, 10) + " kind friend")]
+    marks = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, toxic int")
+    every, index = T.fit(spark.createDataFrame(rows, "doc_id long, text string"), marks, "doc_id", "text", "toxic")
+    score = {r.id: r.score for r in T.scores(every, index).collect()}
+    assert all(score[100 + i] > 0.8 for i in range(10)) and all(score[100 + i] < 0.2 for i in range(10, 20))
+    assert score[200] > 0.7 and score[201] < 0.3
