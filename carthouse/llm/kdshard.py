@@ -8,8 +8,8 @@ a bin per node reaches the driver. Ties are split by a hash, so a metadata
 value that holds a third of all rows is no obstacle.
 
 Equal texts are one unit and stay in one shard, unless a group of them holds
-more than 1/GROUP_SHARE of a shard or 1/HEAVY_SHARE of the rows: then its rows
-are units of their own. Law: ``bytes``, the shards' sizes are near equal.
+more than 1/GROUP_SHARE of a shard's bytes: then its rows are units of their
+own. Law: ``bytes``, the shards' sizes are near equal.
 
 Defined cases: a null text has no bytes (its size is the fixed overhead) and
 is a text equal to other nulls; null metadata counts as a value of its own;
@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carthouse.llm.common import HEAVY_SHARE, join_by_class, stage
+from carthouse.llm.common import join_by_class, stage
 
 #: Bytes added to every document's text.
 OVERHEAD = 16
@@ -58,9 +58,9 @@ def _units(df: DataFrame, id_col: str, text_col: str, dims: dict[str, Column], s
                      *[f(f"d{i}").alias(f"{k}{i}") for i in range(n) for k, f in (("lo", F.min), ("hi", F.max))]).first()
     if not whole["n"]:
         return rows, None, whole
-    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
-    # Fewer than GROUP_SHARE * shards + HEAVY_SHARE groups.
-    large = groups.where((F.col("w") * GROUP_SHARE * shards > whole["w"]) | (F.col("n") * HEAVY_SHARE > whole["n"]))
+    groups = rows.groupBy("g").agg(F.sum("size").alias("w"))
+    # Fewer than GROUP_SHARE * shards groups.
+    large = groups.where(F.col("w") * GROUP_SHARE * shards > whole["w"])
     flagged = rows.join(F.broadcast(large.select("g", F.lit(True).alias("large"))), "g", "left")
     rows = flagged.withColumn("u", F.when(F.col("large"), F.xxhash64("g", "id")).otherwise(F.col("g"))).drop("large")
     scaled = [(F.floor((F.min(f"d{i}") - whole[f"lo{i}"]) * ((SCALE - 1) / ((whole[f"hi{i}"] - whole[f"lo{i}"]) or 1)))

@@ -53,3 +53,17 @@ def test_defined_cases(spark):
     assert kdshard.kd_shards(spark.createDataFrame([], SCHEMA), 3, dims()).count() == 0
     one = kdshard.kd_shards(spark.createDataFrame(rows[:1], SCHEMA), 40, dims())
     assert one.count() == 1
+
+
+def test_pairs_of_a_small_table_stay_together(spark):
+    """A group is split by its bytes only: two rows of a few hundred are no hot group, nor are many short copies."""
+    rnd = random.Random(5)
+    rows = [(i, "w" * rnd.randint(50, 90) + str(i // 2), rnd.choice("abc"), 1, "x") for i in range(400)]
+    rows += [(1000 + i, f"long {i} " * 4000, "a", 1, "x") for i in range(40)]
+    rows += [(2000 + i, "short", "b", 1, "x") for i in range(60)]  # an eighth of the rows, well below 1/16 of a shard
+    got = kdshard.kd_shards(spark.createDataFrame(rows, SCHEMA), 4, dims()).collect()
+    check(rows, got, 4)
+    text, where = {r[0]: r[1] for r in rows}, defaultdict(set)
+    for r in got:
+        where[text[r.doc_id]].add(r.shard)
+    assert all(len(v) == 1 for v in where.values())
