@@ -56,7 +56,7 @@ SCRIPTS = (
     (0x0F00, 0x0FFF, "Tibetan"), (0x1000, 0x109F, "Myanmar"), (0x10A0, 0x10FF, "Georgian"),
     (0x1200, 0x137F, "Ethiopic"), (0x1780, 0x17FF, "Khmer"), (0x1E00, 0x1EFF, "Latin"), (0x1F00, 0x1FFF, "Greek"),
     (0x3040, 0x309F, "Hiragana"), (0x30A0, 0x30FF, "Katakana"), (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"),
-    (0xAC00, 0xD7AF, "Hangul"), (0x1100, 0x11FF, "Hangul"), (0x20000, 0x3134F, "Han"),
+    (0xAC00, 0xD7AF, "Hangul"), (0x1100, 0x11FF, "Hangul"), (0x20000, 0x323AF, "Han"),
 )
 SCRIPT_NAMES = tuple(dict.fromkeys(s for _, _, s in SCRIPTS)) + ("other",)
 
@@ -69,7 +69,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not _TABLES:
         letter = np.zeros(0x110000, dtype=bool)
         lower = np.arange(0x110000, dtype=np.uint32)
-        for c in range(0x32000):
+        for c in range(0x110000):
             letter[c] = unicodedata.category(chr(c))[0] == "L"
             small = chr(c).lower()
             if letter[c] and len(small) == 1:

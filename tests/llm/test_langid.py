@@ -72,3 +72,10 @@ def test_defined_cases(spark):
     empty = df.limit(0)
     assert langid.fit(empty, "text", "lang", "doc_id") is None
     assert langid.identify(empty, m).count() == 0 and langid.keep_identified(empty, m).count() == 0
+
+
+def test_every_letter_counts():
+    """Letters past U+31FFF (the end of CJK extension H) make words, and are Han."""
+    for c in (0x31350, 0x31FFF, 0x32000, 0x323AF):
+        w = langid.words_of([chr(c) * 2])
+        assert len(w.starts) == 1 and langid.SCRIPT_NAMES[w.script[0]] == "Han"
