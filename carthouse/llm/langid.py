@@ -294,8 +294,8 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     return _answers(df, model, F.col(text_col), [F.col(id_col)], penalty, spans)
 
 
-def keep_identified(df: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of ``df`` whose text has a language with at least ``least`` of its letters; without a model, with a letter."""
+def keep_identified(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text is not ``und``, however many languages share its letters."""
     full = packed(df)
     answered = _answers(full, model, F.col("row").getField(text_col), [F.col("row")], SWITCH, False)
-    return unpacked(answered.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)), df.columns)
+    return unpacked(answered.where(F.col("lang_pred") != UNDETERMINED), df.columns)

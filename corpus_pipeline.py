@@ -19,8 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents without an identified language go (no letter, or
-    no language holds a third of the letters)."""
+    """Operator 4: documents without an identified language (``und``: no letter) go."""
     learned = F.coalesce(crc32_text(F.col("doc_id")) % 4 != 2, F.lit(False))
     return langid.keep_identified(docs, langid.fit(docs, "text", "lang", "doc_id", learned))
 

@@ -79,3 +79,13 @@ def test_every_letter_counts():
     for c in (0x31350, 0x31FFF, 0x32000, 0x323AF):
         w = langid.words_of([chr(c) * 2])
         assert len(w.starts) == 1 and langid.SCRIPT_NAMES[w.script[0]] == "Han"
+
+
+def test_the_stage_keeps_even_mixtures_and_unknown_scripts(spark):
+    import corpus_pipeline
+    parts = {"el": "αβγδ εζηθ ", "en": "abcd efgh ", "he": "אבגד הוזח ", "ru": "абвг дежз "}
+    rows = [(i, parts[x] * 20, x) for i, x in enumerate(list(parts) * 10)]
+    rows += [(100, "".join(t * 20 for t in parts.values()), None), (101, "กขคง จฉชซ", None), (102, "12 34", None), (103, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {*range(40), 100, 101}
