@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
-from carthouse.llm import exact, kdshard, langid, minhash, mixing, packing, topk, toxicity, urls, warc
+from carthouse.llm import decontam, exact, kdshard, langid, minhash, mixing, packing, topk, toxicity, urls, warc
 from carthouse.llm.common import crc32_text, table
 
 
@@ -57,6 +56,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_packing(spark, sf_dir):
+    import public_tokenizers
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -64,6 +64,13 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, F.col("id") % 100 == 0)
 
 
+def op12_decontamination(spark, sf_dir):
+    found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -75,6 +82,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op12_decontamination": op12_decontamination,
 }
 
 ORACLE_SQL = {
@@ -100,4 +108,23 @@ ORACLE_SQL = {
         FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
   SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_decontamination": r"""
+  WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+                    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i + 1:i + 10], ' ') AS g
+          FROM (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+  d AS (SELECT row_number() OVER () AS rid, doc_id,
+               coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+  pos AS (SELECT rid, n, i, array_to_string(w[i + 1:i + n], ' ') AS g
+          FROM (SELECT rid, w, n, unnest(range(len(w) - n + 1)) AS i
+                FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+  hit AS (SELECT rid, i, n, item FROM pos JOIN win USING (g, n)),
+  words AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM hit) GROUP BY rid),
+  items AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+            FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+         coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+  FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)""",
 }
