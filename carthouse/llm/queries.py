@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carthouse.llm import decontam, exact, kdshard, langid, minhash, mixing, packing, topk, toxicity, urls, warc
+from carthouse.llm import decontam, exact, kdshard, langid, merkle, minhash, mixing, packing, topk, toxicity, urls, warc
 from carthouse.llm.common import crc32_text, table
 
 
@@ -71,6 +71,12 @@ def op12_decontamination(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_merkle(spark, sf_dir):
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                                  "source", "doc_id", crc32_text(F.col("doc_id")) % 5 == 0, {"text": lowered})
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -83,8 +89,62 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_exact_top_k": op10_exact_top_k,
     "op12_decontamination": op12_decontamination,
+    "op13_merkle": op13_merkle,
 }
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(regexp_extract_all({text}, '.'), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return (f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), "
+            "lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))))")
+
+
+def _merkle_sql(levels: int, group_levels: int) -> str:
+    """Operator 13: ``levels`` levels below and ``group_levels`` above the subroots (16 ** 8 rows, 16 ** 4 sources)."""
+    def framed(c):
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+    def leaf(text):
+        return f"sha256({' || '.join([framed(c) for c in ('doc_id', 'source', 'lang', 'n_chars')])} || {framed(text)})"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [f"""leaves AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, {leaf('text')} AS d,
+           CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS w
+           FROM documents)""",
+            """numbered AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, d) - 1 AS i,
+           count(*) OVER (PARTITION BY s) AS m FROM leaves)"""]
+
+    def tree(first, name, count):
+        """Node tables name0.. with the digests beside each node, each level made from the one before."""
+        ctes.append(f"{name}n0 AS ({first})")
+        for k in range(count):
+            ctes.append(f"""{name}{k} AS MATERIALIZED (SELECT s, i, m, d,
+           coalesce(string_agg(d, '') OVER (PARTITION BY s, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(d, '') OVER (PARTITION BY s, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+           FROM {name}n{k})""")
+            ctes.append(f"""{name}n{k + 1} AS (SELECT s, i // 16 AS i, CAST(ceil(m / 16) AS BIGINT) AS m,
+           CASE WHEN m > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d
+           FROM {name}{k} GROUP BY s, i // 16, m)""")
+
+    def fold(source, name, count, key, group):
+        """Proof text and folded digest of every record, level by level."""
+        for k in range(count):
+            ctes.append(f"""{name}f{k} AS (SELECT f.* REPLACE (
+           CASE WHEN n.m > 1 THEN f.p || n.l || n.r ELSE f.p END AS p,
+           CASE WHEN n.m > 1 THEN sha256(n.l || f.w || n.r) ELSE f.w END AS w)
+           FROM {source} f JOIN {name}{k} n ON n.s = {group} AND n.i = f.{key} // {16 ** k})""")
+            source = f"{name}f{k}"
+        return source
+
+    tree("SELECT s, i, m, d FROM numbered", "a", levels)
+    tree(f"SELECT 0 AS s, s AS i, count(*) OVER () AS m, d FROM an{levels}", "b", group_levels)
+    ctes.append("start AS (SELECT doc_id, s, i, d AS leaf, w, '' AS p FROM numbered)")
+    last = fold(fold("start", "a", levels, "i", "f.s"), "b", group_levels, "s", "0")
+    return "WITH " + ",\n  ".join(ctes) + f"""
+  SELECT f.doc_id, f.leaf, u.d AS subroot, t.d AS root, sha256(f.p) AS proof_sha256, f.w AS folded_root, f.w = t.d AS verified
+  FROM {last} f JOIN an{levels} u ON u.s = f.s CROSS JOIN bn{group_levels} t"""
+
+
 ORACLE_SQL = {
     "op1_warc": """
   WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
@@ -127,4 +187,5 @@ ORACLE_SQL = {
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
          coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
   FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)""",
+    "op13_merkle": _merkle_sql(8, 4),
 }
