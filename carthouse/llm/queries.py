@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carthouse.llm import decontam, exact, kdshard, langid, merkle, minhash, mixing, packing, topk, toxicity, urls, warc
+from carthouse.llm import (decontam, exact, kdshard, langid, merkle, minhash, mixing, packing, repair, topk, toxicity,
+                           urls, warc)
 from carthouse.llm.common import crc32_text, table
 
 
@@ -64,6 +65,18 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, F.col("id") % 100 == 0)
 
 
+def op11_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", *[
+        F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", "", "turn")])
+    damage = crc32_text(key) % 20
+    text = F.when(damage == 1, "").when(damage == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    damaged = rows.select("conv_id", "turn", F.when(damage == 4, "user").otherwise(F.col("role")).alias("role"),
+                          text.alias("text"), (damage != 0).alias("present"),
+                          F.explode(F.array_repeat(F.lit(0), F.when(damage == 3, 2).otherwise(1))).alias("copy"))
+    return repair.repair(damaged, present=F.col("present"))
+
+
 def op12_decontamination(spark, sf_dir):
     found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -88,6 +101,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_repair": op11_repair,
     "op12_decontamination": op12_decontamination,
     "op13_merkle": op13_merkle,
 }
@@ -145,6 +159,60 @@ def _merkle_sql(levels: int, group_levels: int) -> str:
   FROM {last} f JOIN an{levels} u ON u.s = f.s CROSS JOIN bn{group_levels} t"""
 
 
+def _repair_sql() -> str:
+    """Operator 11 by dynamic programming: a row at a time, the least (cost, audit, lines) in each of four states."""
+    far = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}"
+
+    def step(s, cost, edit, line=None):
+        return f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 't': {f'list_append({s}.t, {line})' if line else s + '.t'}}}"
+
+    def inserted(states):
+        """Two layers that add rows inserted behind the given states."""
+        return (f"SELECT *, list_min([x2, {', '.join(step(x, 5, 'I', chr(39) + 'user:' + chr(39)) for x in ('x0', 'x1', 'x3'))}]) "
+                f"AS y2 FROM ({states})",
+                f"x0, x1, y2 AS x2, list_min([x3, {step('y2', 5, 'I', chr(39) + 'assistant:' + chr(39))}]) AS x3")
+
+    def moved(q, kept, renamed, name):
+        ways = [step(f"x{q}", 2, "D")]
+        for p, initial in kept:
+            ways.append(f"CASE WHEN NOT must AND role[1] = '{initial}' THEN {step(f'x{p}', 'pen', 'K', 'line')} ELSE {far} END")
+        for p in renamed:
+            line = f"'{name}:' || text"
+            ways.append(f"CASE WHEN NOT must THEN {step(f'x{p}', '(pen + 1)', 'R', line)} ELSE {far} END")
+        return f"list_min([{', '.join(ways)}]) AS x{q}"
+
+    start, out = inserted(f"SELECT cid, n, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} "
+                          f"AS x0, {far} AS x1, {far} AS x2, {far} AS x3 FROM convs")
+    moves = ", ".join([moved(0, [], [], ""), moved(1, [(0, "s")], [], ""),
+                       moved(2, [(0, "u"), (1, "u"), (3, "u")], [0, 1, 3], "user"), moved(3, [(2, "a")], [2], "assistant")])
+    more, _ = inserted(f"SELECT w.cid, w.n, f.i, {moves} FROM walk w JOIN f ON f.cid = w.cid AND f.i = w.i + 1")
+    key = "coalesce(CAST(c.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return f"""
+  WITH RECURSIVE names AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id NULLS FIRST) AS cid
+                           FROM (SELECT DISTINCT conv_id FROM conversations)),
+  k AS (SELECT cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql(key)} % 20 AS k
+        FROM conversations c JOIN names n ON c.conv_id IS NOT DISTINCT FROM n.conv_id),
+  d AS (SELECT cid, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS nth FROM k WHERE k <> 0),
+  e AS (SELECT cid, turn, role, text, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+               regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d),
+  g AS (SELECT *, last = '' AS blank, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS again,
+               role[1] || lead(role[1]) OVER (PARTITION BY cid ORDER BY i) AS pair FROM e),
+  f AS (SELECT *, blank OR again AS must, role || ':' || text AS line, NOT blank AND again AS duplicate,
+               NOT blank AND NOT again AND last NOT IN ('.', '!', '?') AS truncated,
+               CASE WHEN NOT blank AND NOT again AND last NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS pen FROM g),
+  convs AS (SELECT n.cid, count(f.cid) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+                   count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM names n LEFT JOIN f ON f.cid = n.cid GROUP BY n.cid),
+  walk AS (SELECT cid, n, i, {out} FROM ({start}) UNION ALL SELECT cid, n, i, {out} FROM ({more}) m),
+  done AS (SELECT cid, list_min([x0, x3]) AS best FROM walk WHERE i = n)
+  SELECT conv_id, gaps, blank, duplicate, truncated, illegal, best.c AS cost, best.a AS audit,
+         sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+  FROM names JOIN convs USING (cid) JOIN done USING (cid)"""
+
+
 ORACLE_SQL = {
     "op1_warc": """
   WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
@@ -187,5 +255,6 @@ ORACLE_SQL = {
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
          coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
   FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)""",
+    "op11_repair": _repair_sql(),
     "op13_merkle": _merkle_sql(8, 4),
 }
