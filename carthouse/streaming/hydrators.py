@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from carthouse.session import checkpoint_root, materialize, release
 from carthouse.sources.jdbc import VENDOR_BILLING_TARGET, create_tables, write_batch
 from carthouse.sources.journal import stream_journal
 from carthouse.sources.kafka import publish
-from carthouse.sources.tables import KeyedTable, OffsetStore, _safe, balance_table, billing_table, item_quantity_table
+from carthouse.sources.tables import KeyedTable, OffsetStore, balance_table, billing_table, item_quantity_table
 
 
 class InfiniteStreamCompleted(RuntimeError):
@@ -57,7 +58,7 @@ class Hydrator:
 
 
 class _BatchScope:
-    """Commit tokens of one streaming query: '<query id>-<batch id>'.
+    """Who commits the batches of one streaming query.
 
     The query id is the persistent one in the checkpoint's metadata: the
     same across restarts of that checkpoint (a replayed batch is skipped),
@@ -67,6 +68,9 @@ class _BatchScope:
         self.spark, self.checkpoint, self.query_id = spark, checkpoint, None
 
     def token(self, batch_id: int) -> str:
+        return f"{self.writer()}-{int(batch_id)}"
+
+    def writer(self) -> str:
         if self.query_id is None:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(os.path.join(self.checkpoint, "metadata"))
@@ -77,7 +81,7 @@ class _BatchScope:
             finally:
                 stream.close()
             self.query_id = json.loads(text.strip().splitlines()[0])["id"]
-        return f"{self.query_id}-{int(batch_id)}"
+        return self.query_id
 
 
 def _trigger(writer, available_now: bool, interval: str):
@@ -88,6 +92,16 @@ def _purchases_stream(spark: SparkSession, journal_path: str, max_files: int | N
     return B.purchased(stream_journal(spark, journal_path, max_files, raw=raw))
 
 
+def store_batch(batch: DataFrame, batch_id: int, writer: str, table: KeyedTable, offsets: OffsetStore,
+                hydrator: str) -> None:
+    """S4/S5 then S8 of one micro-batch. The batch is read twice (its rows and
+    its newest offset), so it is computed once; a replayed one changes nothing."""
+    rows = materialize(batch)
+    table.upsert(rows, int(batch_id), writer=writer)
+    offsets.update_from(rows, hydrator, TAG_ITEM_PURCHASED)
+    release(rows)
+
+
 def item_quantity_stream(spark: SparkSession, journal_path: str, table_path: str, offsets_path: str,
                          checkpoint: str | None = None, available_now: bool = True, interval: str = "10 seconds",
                          max_files_per_trigger: int | None = None, raw: bool = False) -> Hydrator:
@@ -105,9 +119,7 @@ def item_quantity_stream(spark: SparkSession, journal_path: str, table_path: str
     scope = _BatchScope(spark, ckpt)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        token = scope.token(batch_id)
-        table.upsert(batch, token)
-        offsets.update_from(batch, POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED, token)
+        store_batch(batch, batch_id, scope.writer(), table, offsets, POPULAR_ITEMS_HYDRATOR)
 
     w = agg.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink)
     return Hydrator(POPULAR_ITEMS_HYDRATOR, _trigger(w, available_now, interval).start())
@@ -147,9 +159,7 @@ def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: st
                 write_batch(batch, jdbc[0], jdbc[1], VENDOR_BILLING_TARGET, (name, TAG_ITEM_PURCHASED, last),
                             scope.token(batch_id))
             return
-        token = scope.token(batch_id)
-        table.upsert(batch, token)
-        offsets.update_from(batch, name, TAG_ITEM_PURCHASED, token)
+        store_batch(batch, batch_id, scope.writer(), table, offsets, name)
 
     w = agg.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink)
     return Hydrator(name, _trigger(w, available_now, interval).start())
@@ -168,9 +178,8 @@ def purchase_feed_stream(spark: SparkSession, journal_path: str, offsets_path: s
     scope = _BatchScope(spark, ckpt)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        token = scope.token(batch_id)
-        publish(batch, bootstrap_servers, fallback_path, token)
-        offsets.update_from(batch, KAFKA_PRODUCER_ID, TAG_ITEM_PURCHASED, token)
+        publish(batch, bootstrap_servers, fallback_path, scope.token(batch_id))
+        offsets.update_from(batch, KAFKA_PRODUCER_ID, TAG_ITEM_PURCHASED)
 
     w = frame.writeStream.outputMode("append").option("checkpointLocation", ckpt).foreachBatch(sink)
     return Hydrator(KAFKA_PRODUCER_ID, _trigger(w, available_now, interval).start())
@@ -198,51 +207,73 @@ _HYDRATOR = {"item_quantity": POPULAR_ITEMS_HYDRATOR, "balance": VENDOR_BILLING_
              "billing": VENDOR_BILLING_HYDRATOR + "-2dp"}
 
 
-def finish_pending(table: KeyedTable, offsets: OffsetStore, hydrator: str) -> None:
-    """Complete what a crash left between staging and commit: the staged rows
-    are published again and their own offset is stored, before anything new
-    is read."""
-    def store(note: str) -> None:
-        if note:
-            last = json.loads(note)
-            offsets.update(hydrator, TAG_ITEM_PURCHASED, last[0], last[1])
+def _newest(rows: DataFrame):
+    """(offset_ts, offset) of the newest event behind some totals, None without any."""
+    last = rows.agg(F.max(F.struct("offset_ts", "offset")).alias("o")).first()["o"]
+    return None if last is None else (last["offset_ts"], last["offset"])
 
-    table.settle(store)
-    for batch_id, note in table.pending():
-        table.publish(batch_id, lambda note=note: store(note))
+
+def resume_point(table: KeyedTable, offsets: OffsetStore, hydrator: str):
+    """(whether the table must be rebuilt, offset its rows reach).
+
+    The table's own version says how far its rows reach: rows and offset are
+    one commit. The offset row beside it is what users see and reset. Where it
+    is only behind because a crash came between the two, it is stored now. A
+    missing or later one otherwise means it was lost or reset, or belongs to
+    another state of the table: then events could be lost or counted twice,
+    and only the whole journal gives the right rows.
+    """
+    stored, applied = offsets.find(hydrator, TAG_ITEM_PURCHASED), table.version().applied
+    stored = None if stored is None else (stored[1], stored[0])
+    own = applied.get(hydrator)
+    if own is None:
+        return stored is not None or not table.is_empty(), None
+    if any(other["version"] > own["version"] for other in applied.values()):
+        return True, None  # another job, with resume points of its own, wrote since
+    reached = tuple(json.loads(own["note"])) if own["note"] else None
+    if reached is None:
+        return False, None
+    if not table.marked(hydrator) or (stored is not None and stored < reached):
+        _store_offset(table, offsets, hydrator, reached)
+        stored = reached
+    return stored != reached, reached
+
+
+def _store_offset(table: KeyedTable, offsets: OffsetStore, hydrator: str, reached: tuple) -> None:
+    offsets.update(hydrator, TAG_ITEM_PURCHASED, reached[1], reached[0], force=True)
+    table.mark(hydrator)
 
 
 def catch_up(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTable, offsets: OffsetStore) -> bool:
     """T10 batch form for any read side: resume after the stored offset,
     aggregate only the new events, add them to the stored rows (J1), store
-    the newest offset. No stored offset = full rebuild (T11). Returns
-    whether anything was new.
+    the newest offset. Without a stored offset a table that has rows is
+    rebuilt (T11). Returns whether anything was written.
 
-    Rows and offset are one commit: the offset travels with the staged rows
-    and is stored before the commit marker, and a commit that did not finish
-    is finished first. The batch is named after the offset it starts from.
+    Rows and offset are one commit of the table; the offset row follows it,
+    and is made good by the next run after a crash. The batch is named after
+    the offset it starts from.
 
     kind: "item_quantity", "balance" (exact) or "billing" (2-dp; each event
     rounded before it is added, as the SQL read side does).
     """
     hydrator = _HYDRATOR[kind]
-    finish_pending(table, offsets, hydrator)
-    stored = offsets.find(hydrator, TAG_ITEM_PURCHASED)
-    since = (stored[1], stored[0]) if stored else None
+    lost, since = resume_point(table, offsets, hydrator)
+    if lost:
+        rebuild(spark, journal, kind, table, offsets)
+        return True
     if kind == "item_quantity":
         delta, measures, latest = _delta_item_quantity(journal, since), {"quantity": 0}, {"name": "name"}
     else:
         delta, measures, latest = _delta_balance(journal, since, kind == "billing"), {"balance": 0}, None
     delta = materialize(delta)
-    last = delta.agg(F.max(F.struct("offset_ts", "offset")).alias("o")).first()["o"]
-    if last is None:
-        release(delta)
-        return False
-    batch_id = f"{_safe(hydrator)}-after-" + ("start" if since is None else f"{since[0]}-{_safe(since[1])}")
-    table.add(delta, measures, batch_id, latest=latest, note=json.dumps([last["offset"], last["offset_ts"]]),
-              store=lambda: offsets.update(hydrator, TAG_ITEM_PURCHASED, last["offset"], last["offset_ts"]))
+    last = _newest(delta)
+    if last is not None:
+        batch_id = "after-" + ("start" if since is None else f"{since[0]}-{since[1]}")
+        table.add(delta, measures, batch_id, latest=latest, note=json.dumps(last), writer=hydrator)
+        _store_offset(table, offsets, hydrator, last)
     release(delta)
-    return True
+    return last is not None
 
 
 def rebuild(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTable, offsets: OffsetStore) -> None:
@@ -252,9 +283,10 @@ def rebuild(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTabl
     hydrator = _HYDRATOR[kind]
     full = materialize(_delta_item_quantity(journal, None) if kind == "item_quantity"
                        else _delta_balance(journal, None, kind == "billing"))
-    last = full.agg(F.max(F.struct("offset_ts", "offset")).alias("o")).first()["o"]
-    table.replace_all(full, json.dumps([last["offset"], last["offset_ts"]]) if last else "")
-    finish_pending(table, offsets, hydrator)
+    last = _newest(full)
+    table.replace_all(full, json.dumps(last) if last else "", uuid.uuid4().hex, hydrator)
+    if last is not None:
+        _store_offset(table, offsets, hydrator, last)
     release(full)
 
 

@@ -332,3 +332,34 @@ def test_command_line_reads_a_serialized_journal(spark, scratch):
     assert main(["item-purchased-events", "--raw", "--journal", src, "--offsets", os.path.join(scratch, "o2"), "--topic",
                  "t", "--fallback-path", feed, "--checkpoint", os.path.join(scratch, "c2"), "--available-now"]) == 0
     assert spark.read.json(feed).count() == j.count()
+
+
+def test_a_lost_or_reset_offset_rebuilds(spark, scratch):
+    """Half the journal, the offset table gone, then all of it: every event counts once, and the offset is back."""
+    from carthouse.sources.versions import delete
+    one, two = _purchase(spark, 1, 10), _purchase(spark, 1, 10).unionByName(_purchase(spark, 2, 20))
+    for case in ("lost", "behind", "ahead"):
+        root = os.path.join(scratch, case)
+        table, offs = item_quantity_table(spark, os.path.join(root, "t")), OffsetStore(spark, os.path.join(root, "o"))
+        assert H.catch_up(spark, one, "item_quantity", table, offs)
+        delete(spark, offs.path)
+        if case == "behind":  # an older copy of the offset table
+            offs.update("popular-items-query", "item-purchased", "o0", 5)
+        if case == "ahead":  # the table is older than its offset
+            offs.update("popular-items-query", "item-purchased", "o2", 20)
+        assert H.catch_up(spark, two, "item_quantity", table, offs)
+        assert table.read().first().quantity == 2 and table.read().first().name == "name 2"
+        assert offs.find("popular-items-query", "item-purchased") == ("o2", 20)
+        assert not H.catch_up(spark, two, "item_quantity", table, offs)
+
+
+def test_a_table_filled_by_another_job_is_rebuilt(spark, scratch):
+    """A catch-up cannot resume where a stream wrote: it starts over, once."""
+    j, src = _split_journal(spark, scratch)
+    write_journal(j.where("slice = 0").drop("slice"), src)
+    table, offs = item_quantity_table(spark, os.path.join(scratch, "t")), OffsetStore(spark, os.path.join(scratch, "o"))
+    H.item_quantity_stream(spark, src, table.path, offs.path, checkpoint=os.path.join(scratch, "c")).await_done()
+    jr = j.drop("slice")
+    assert H.catch_up(spark, jr, "item_quantity", table, offs) and not H.catch_up(spark, jr, "item_quantity", table, offs)
+    cols = ["vendor_id", "product_id", "year", "month", "day", "quantity", "name"]
+    assert _rows(table.read(), cols) == _rows(B.item_quantity_by_day(jr), cols)
