@@ -19,7 +19,7 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carthouse.functions.ids import (GREGORIAN_TO_UNIX_100NS, sql_name_uuid, timeuuid_from_ticks,
@@ -149,7 +149,6 @@ def q_cart_contents(spark, sf_dir):
 
 def _scratch(spark, name):
     """A fresh folder under the session's shared checkpoint directory."""
-    import os
     import uuid
 
     from carthouse.session import checkpoint_root
@@ -163,8 +162,6 @@ FILES_PER_TRIGGER = 4
 
 
 def _streamed_journal(spark, sf_dir, root):
-    import os
-
     from carthouse.sources.journal import write_journal
     jp = os.path.join(root, "journal")
     write_journal(_journal(spark, sf_dir), jp, records_per_file=EVENTS_PER_FILE)
@@ -174,8 +171,6 @@ def _streamed_journal(spark, sf_dir, root):
 def q_stream_item_quantity_by_day(spark, sf_dir):
     """The popular-items stream over the journal as files, several
     micro-batches, result read back from the upserted table."""
-    import os
-
     from carthouse.sources.tables import item_quantity_table
     from carthouse.streaming.hydrators import item_quantity_stream
     root = _scratch(spark, "stream-item-quantity")
@@ -185,10 +180,18 @@ def q_stream_item_quantity_by_day(spark, sf_dir):
     return item_quantity_table(spark, os.path.join(root, "table")).read()
 
 
+def q_state_item_quantity(spark, sf_dir):
+    """T1's state store after the stream, read as a table: the totals of A1."""
+    from carthouse.streaming.hydrators import item_quantity_state, item_quantity_stream
+    root = _scratch(spark, "state-item-quantity")
+    jp, checkpoint = _streamed_journal(spark, sf_dir, root), os.path.join(root, "ckpt")
+    item_quantity_stream(spark, jp, os.path.join(root, "table"), os.path.join(root, "offsets"), checkpoint=checkpoint,
+                         max_files_per_trigger=FILES_PER_TRIGGER).await_done()
+    return item_quantity_state(spark, checkpoint)
+
+
 def q_stream_vendor_billing(spark, sf_dir):
     """T2 (2-dp form) as a stream, read back from its table."""
-    import os
-
     from carthouse.sources.tables import billing_table
     from carthouse.streaming.hydrators import vendor_balance_stream
     root = _scratch(spark, "stream-vendor-billing")
@@ -198,48 +201,76 @@ def q_stream_vendor_billing(spark, sf_dir):
     return billing_table(spark, os.path.join(root, "table")).read()
 
 
-def q_stream_cart_events(spark, sf_dir):
-    """T7 stream form: the command log as ordered files through the
-    per-member stateful processor; same columns as ``cart_events``."""
-    import os
+# Commands appended to the log at a time, and at most in one of its files.
+COMMANDS_PER_APPEND = 1_000_000
+COMMANDS_PER_FILE = 250_000
 
-    from carthouse.schemas import COMMANDS_SCHEMA
-    from carthouse.sources.journal import read_journal, with_storage_tag
-    from carthouse.streaming.carts import stream_commands_to_events
-    root = _scratch(spark, "stream-cart-events")
-    src, out = os.path.join(root, "commands"), os.path.join(root, "events")
-    cmds = _commands(spark, sf_dir)
-    # Appended in order, in four slices of the sequence; within a slice each
-    # member's commands sit in one partition's files, and older files are
-    # read first, so per-member order holds across micro-batches.
-    cuts = cmds.selectExpr("percentile_approx(seq, array(0.25, 0.5, 0.75))").first()[0]
-    lo = None
-    for hi in list(cuts) + [None]:
-        part = cmds
-        if lo is not None:
-            part = part.where(F.col("seq") > lo)
-        if hi is not None:
-            part = part.where(F.col("seq") <= hi)
-        part.repartition("member_id").write.mode("append").parquet(src)
-        lo = hi
-    stream = spark.readStream.schema(COMMANDS_SCHEMA).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(src)
-    q = (with_storage_tag(stream_commands_to_events(stream)).writeStream.format("parquet").partitionBy("tag")
-         .option("path", out)
-         .option("checkpointLocation", os.path.join(root, "ckpt")).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    journal = read_journal(spark, out)
+
+def _append_commands(commands, path):
+    """The command log as it grows: slices of the sequence, one append after the
+    other (four at least). In a slice each member's commands sit in one partition's
+    files, and older files are read first, so a member's order holds across
+    micro-batches; a micro-batch is bounded by files of a bounded size."""
+    slices = max(4, -(-commands.count() // COMMANDS_PER_APPEND))
+    cuts = commands.select(F.percentile_approx("seq", [i / slices for i in range(1, slices)])).first()[0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = commands.where((F.col("seq") > lo) if lo is not None else F.lit(True)) \
+            .where((F.col("seq") <= hi) if hi is not None else F.lit(True))
+        (part.repartition("member_id").sortWithinPartitions("seq").write.mode("append")
+         .option("maxRecordsPerFile", COMMANDS_PER_FILE).parquet(path))
+
+
+def _stream_commands(spark, commands, name, snapshots=None):
+    """Runs the command processor over a log; (where it writes events, its checkpoint)."""
+    from carthouse.streaming.carts import start_commands
+    from carthouse.streaming.hydrators import Hydrator
+    root = _scratch(spark, name)
+    log, events, checkpoint = (os.path.join(root, d) for d in ("commands", "events", "ckpt"))
+    _append_commands(commands, log)
+    Hydrator("commands", start_commands(spark, log, events, checkpoint, snapshots, FILES_PER_TRIGGER)).await_done()
+    return events, checkpoint
+
+
+def _event_columns(journal):
     return journal.select("persistence_id", "seq_nr", "event_type", F.col("item.product_id").alias("product_id"),
                           F.col("item.quantity").alias("quantity"), "amount", "cart_id")
 
 
+def q_stream_cart_events(spark, sf_dir):
+    """T7 stream form: the command log as ordered files through the
+    per-member stateful processor; same columns as ``cart_events``."""
+    from carthouse.sources.journal import read_journal
+    events, _ = _stream_commands(spark, _commands(spark, sf_dir), "stream-cart-events")
+    return _event_columns(read_journal(spark, events))
+
+
+def q_stream_cart_state(spark, sf_dir):
+    """The carts the T7 stream holds after the whole log, read from its state
+    store: the lines a replay of the journal gives (T3)."""
+    from carthouse.streaming.carts import cart_state
+    _, checkpoint = _stream_commands(spark, _commands(spark, sf_dir), "stream-cart-state")
+    return cart_state(spark, checkpoint)
+
+
+def q_stream_from_snapshots(spark, sf_dir):
+    """T4 with T7: snapshots (S12) are taken after the first half of the log and
+    written; a stream starts from them, as they are read back, and takes the rest.
+    Both halves' events must be those of one stream over everything."""
+    from carthouse.sources.journal import read_journal
+    from carthouse.sources.snapshots import read_snapshots, write_snapshots
+    commands = _commands(spark, sf_dir)
+    cut = commands.select(F.percentile_approx("seq", 0.5)).first()[0]
+    verdicts, _, journal = B.process_commands(commands.where(F.col("seq") <= cut))
+    head, path = materialize(journal), os.path.join(_scratch(spark, "snapshots"), "s")
+    write_snapshots(C.cart_snapshots(verdicts, head), path)
+    events, _ = _stream_commands(spark, commands.where(F.col("seq") > cut), "stream-from-snapshots",
+                                 read_snapshots(spark, path))
+    return _event_columns(head).unionByName(_event_columns(read_journal(spark, events)))
+
+
 def q_stream_purchase_records(spark, sf_dir):
     """The purchase feed as a stream into the file form of the Kafka
     sink (same frame), read back; the producer offset is kept alongside."""
-    import os
-
     from carthouse.streaming.hydrators import purchase_feed_stream
     root = _scratch(spark, "stream-purchase-records")
     jp = _streamed_journal(spark, sf_dir, root)
@@ -252,8 +283,6 @@ def q_stream_purchase_records(spark, sf_dir):
 
 def q_stream_balance_by_vendor(spark, sf_dir):
     """T2, exact form, as a stream over the serialized journal."""
-    import os
-
     from carthouse.sources.journal import write_raw_journal
     from carthouse.sources.tables import balance_table
     from carthouse.streaming.hydrators import vendor_balance_stream
@@ -265,11 +294,10 @@ def q_stream_balance_by_vendor(spark, sf_dir):
     return balance_table(spark, os.path.join(root, "table")).read()
 
 
-def _catch_up(spark, sf_dir, kind, make_table):
+def _catch_up(spark, sf_dir, kind, make_table, lose_offsets=False):
     """The journal becomes visible in parts (the second cut lies inside
-    the events of one time); each run resumes after the stored offset."""
-    import os
-
+    the events of one time); each run resumes after the stored offset.
+    ``lose_offsets``: the offset table is gone before the last part."""
     from carthouse.sources.journal import read_journal, write_journal
     from carthouse.sources.tables import OffsetStore
     from carthouse.streaming.hydrators import catch_up
@@ -287,6 +315,8 @@ def _catch_up(spark, sf_dir, kind, make_table):
     for visible in (journal.where(F.col("offset_ts") <= cuts[0]),
                     journal.where(order <= F.struct(F.lit(cuts[1]).alias("offset_ts"), F.lit(inside).alias("offset"))),
                     journal):
+        if lose_offsets and visible is journal:
+            offsets = OffsetStore(spark, os.path.join(root, "new-offsets"))
         catch_up(spark, visible, kind, table, offsets)
     return table.read()
 
@@ -301,10 +331,14 @@ def q_catch_up_balance(spark, sf_dir):
     return _catch_up(spark, sf_dir, "balance", balance_table)
 
 
+def q_catch_up_after_reset(spark, sf_dir):
+    """T10 without a stored offset on a table that has rows: everything is read again."""
+    from carthouse.sources.tables import item_quantity_table
+    return _catch_up(spark, sf_dir, "item_quantity", item_quantity_table, lose_offsets=True)
+
+
 def q_rebuild_item_quantity(spark, sf_dir):
     """T11, stored form: rebuilt over a table that already holds other rows."""
-    import os
-
     from carthouse.sources.tables import OffsetStore, item_quantity_table
     from carthouse.streaming.hydrators import rebuild
     root = _scratch(spark, "rebuild")
@@ -338,11 +372,27 @@ def q_cart_journal_codec(spark, sf_dir):
 
 
 def q_find_item_quantity(spark, sf_dir):
-    """A lookup by key for every (vendor, product, day) bought by order 1 mod 10, as one join."""
-    journal = _journal(spark, sf_dir)
-    table = B.item_quantity_by_day(journal)
-    keys = table.where(F.col("day") % 10 == 1).select("vendor_id", "product_id", "year", "month", "day")
-    return table.join(keys, keys.columns).select(*keys.columns, "quantity")
+    """The stored quantity of every key that other tables name. Each line asks for
+    its own vendor, product and day, and for those of the next vendor: some are absent."""
+    from carthouse.sources.tables import item_quantity_table
+    table = item_quantity_table(spark, os.path.join(_scratch(spark, "find-item-quantity"), "t"))
+    table.upsert(B.item_quantity_by_day(_journal(spark, sf_dir)), 0)
+    lines = X.table(spark, sf_dir, "lineitem").join(X.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    vendor = F.explode(F.array(F.col("l_suppkey"), F.col("l_suppkey") + 1))
+    keys = lines.select(vendor.alias("vendor"), "l_partkey", F.to_date("o_orderdate").alias("at")).distinct().select(
+        X.vendor_uuid(F.col("vendor")).alias("vendor_id"), X.product_uuid(F.col("l_partkey")).alias("product_id"),
+        F.year("at").alias("year"), F.month("at").alias("month"), F.dayofmonth("at").alias("day"))
+    keys = materialize(keys)
+    return keys.join(table.read_keys(keys), table.key, "left").select(*table.key, "quantity", "name")
+
+
+def q_vendor_months(spark, sf_dir):
+    """Each vendor's stored balances of a year in clustering order, latest month first."""
+    from carthouse.sources.tables import balance_table
+    table = balance_table(spark, os.path.join(_scratch(spark, "vendor-months"), "t"))
+    table.upsert(B.balance_by_vendor(_journal(spark, sf_dir)), 0)
+    latest_first = Window.partitionBy("vendor_id", "year").orderBy(F.desc("month"))
+    return table.read().withColumn("nth", F.row_number().over(latest_first))
 
 
 def q_parse_item_json(spark, sf_dir):
@@ -425,6 +475,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_item_quantity_by_day": q_stream_item_quantity_by_day,
         "stream_vendor_billing": q_stream_vendor_billing,
         "stream_cart_events": q_stream_cart_events,
+        "stream_cart_state": q_stream_cart_state,
+        "stream_from_snapshots": q_stream_from_snapshots,
+        "state_item_quantity": q_state_item_quantity,
+        "catch_up_after_reset": q_catch_up_after_reset,
+        "vendor_months": q_vendor_months,
         "stream_balance_by_vendor": q_stream_balance_by_vendor,
         "catch_up_item_quantity": q_catch_up_item_quantity,
         "catch_up_balance": q_catch_up_balance,
@@ -648,6 +703,13 @@ def oracle_sql() -> dict[str, str]:
         "replay_carts": _LINES,
         "stream_item_quantity_by_day": _BY_DAY,
         "stream_cart_events": _EVENTS,
+        "stream_cart_state": f"SELECT persistence_id, product_id, vendor_id, name, price, quantity FROM ({_LINES}) l",
+        "stream_from_snapshots": _EVENTS,
+        "state_item_quantity": _BY_DAY,
+        "catch_up_after_reset": _BY_DAY,
+        "vendor_months": f"""
+  SELECT *, CAST(row_number() OVER (PARTITION BY vendor_id, year ORDER BY month DESC) AS INTEGER) AS nth
+  FROM ({_BALANCE}) b""",
         "stream_balance_by_vendor": _BALANCE,
         "catch_up_item_quantity": _BY_DAY,
         "catch_up_balance": _BALANCE,
@@ -663,7 +725,13 @@ def oracle_sql() -> dict[str, str]:
     SELECT *, CAST(('0x' || substr(md5(substr(value, strpos(value, '"cartId":"') + 10, 36)), 1, 8)) AS BIGINT) AS n
     FROM ({_RECORDS}) r) WHERE n % 5 <> 0 AND n % 7 <> 0""",
         "cart_journal_codec": _EVENTS,
-        "find_item_quantity": f"SELECT vendor_id, product_id, year, month, day, quantity FROM ({_BY_DAY}) d WHERE day % 10 = 1",
+        "find_item_quantity": f"""
+  SELECT k.*, d.quantity, d.name FROM (
+    SELECT DISTINCT {_u("'vendor-' || CAST(unnest([l_suppkey, l_suppkey + 1]) AS VARCHAR)")} AS vendor_id,
+           {_u("'product-' || CAST(l_partkey AS VARCHAR)")} AS product_id, CAST(year(o_orderdate) AS INTEGER) AS year,
+           CAST(month(o_orderdate) AS INTEGER) AS month, CAST(day(o_orderdate) AS INTEGER) AS day
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey) k
+  LEFT JOIN ({_BY_DAY}) d USING (vendor_id, product_id, year, month, day)""",
         "parse_item_json": f"""
   SELECT l_orderkey, l_linenumber,
          CASE WHEN l_orderkey % 9 <> 0 THEN {_u("'product-' || CAST(l_partkey AS VARCHAR)")} END AS product_id,

@@ -86,19 +86,12 @@ def main(argv=None) -> int:
         h = H.purchase_feed_stream(spark, a.journal, a.offsets, a.topic, a.partitions,
                                    bootstrap_servers=a.bootstrap_servers, fallback_path=a.fallback_path, raw=a.raw, **kw)
     else:
-        from carthouse.schemas import COMMANDS_SCHEMA
         from carthouse.session import checkpoint_root
-        from carthouse.streaming.carts import stream_commands_to_events
-        src = spark.readStream.schema(COMMANDS_SCHEMA)
-        if a.max_files_per_trigger:
-            src = src.option("maxFilesPerTrigger", a.max_files_per_trigger)
-        from carthouse.sources.journal import with_storage_tag
-        w = (with_storage_tag(stream_commands_to_events(src.parquet(a.commands))).writeStream.format("parquet")
-             .partitionBy("tag").option("path", a.events)
-             .option("checkpointLocation", a.checkpoint or os.path.join(checkpoint_root(spark), "streams", "commands"))
-             .outputMode("append"))
-        w = w.trigger(availableNow=True) if a.available_now else w.trigger(processingTime=a.interval)
-        h = H.Hydrator("commands", w.start())
+        from carthouse.streaming.carts import start_commands
+        checkpoint = a.checkpoint or os.path.join(checkpoint_root(spark), "streams", "commands")
+        q = start_commands(spark, a.commands, a.events, checkpoint, max_files_per_trigger=a.max_files_per_trigger,
+                           available_now=a.available_now, interval=a.interval)
+        h = H.Hydrator("commands", q)
     h.await_done(endless=not a.available_now)
     return 0
 

@@ -26,9 +26,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from carthouse.operators import projections as P
 from carthouse.plans import batch as B
-from carthouse.schemas import (KAFKA_PRODUCER_ID, POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED,
-                               VENDOR_BILLING_HYDRATOR)
-from carthouse.session import checkpoint_root, materialize, release
+from carthouse.schemas import (ITEM_QUANTITY_KEY, KAFKA_PRODUCER_ID, POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED,
+                               VENDOR_BILLING_HYDRATOR, VENDOR_KEY)
+from carthouse.session import checkpoint_root, materialize, release, rocksdb_state
 from carthouse.sources.jdbc import VENDOR_BILLING_TARGET, create_tables, write_batch
 from carthouse.sources.journal import stream_journal
 from carthouse.sources.kafka import publish
@@ -84,14 +84,36 @@ class _BatchScope:
         return self.query_id
 
 
-def _trigger(writer, available_now: bool, interval: str):
-    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+def _start(spark: SparkSession, writer, available_now: bool, interval: str) -> StreamingQuery:
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    with rocksdb_state(spark):
+        return writer.start()
 
 
 def _purchases_stream(spark: SparkSession, journal_path: str, max_files: int | None, raw: bool = False) -> DataFrame:
     return B.purchased(stream_journal(spark, journal_path, max_files, raw=raw))
 
 
+def _quantities(items: DataFrame) -> DataFrame:
+    """A1 + A2 with the newest offset: one struct is both the order and what it carries, so state holds it once."""
+    latest = F.max(F.struct("offset_ts", "offset", "name")).alias("latest")
+    return (items.groupBy(*ITEM_QUANTITY_KEY).agg(F.sum(F.col("quantity").cast("long")).alias("quantity"), latest)
+            .select(*ITEM_QUANTITY_KEY, "quantity", "latest.name", "latest.offset", "latest.offset_ts"))
+
+
+def _balances(charges: DataFrame, measure, out_type: str) -> DataFrame:
+    """A3 or A4 with the newest offset."""
+    latest = F.max(F.struct("offset_ts", "offset")).alias("latest")
+    return (charges.groupBy(*VENDOR_KEY).agg(F.sum(measure).alias("balance"), latest)
+            .select(*VENDOR_KEY, F.col("balance").cast(out_type).alias("balance"), "latest.offset", "latest.offset_ts"))
+
+
+def item_quantity_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """T1's running totals as its state store holds them, read as a table: what the next batch will add to."""
+    stored = spark.read.format("statestore").load(checkpoint)
+    return stored.select("key.*", F.col("value.sum").alias("quantity"), F.col("value.max.name").alias("name"))
+
+
 def store_batch(batch: DataFrame, batch_id: int, writer: str, table: KeyedTable, offsets: OffsetStore,
                 hydrator: str) -> None:
     """S4/S5 then S8 of one micro-batch. The batch is read twice (its rows and
@@ -108,11 +130,7 @@ def item_quantity_stream(spark: SparkSession, journal_path: str, table_path: str
     """Popular-items read side, exactly once per key. ``raw`` reads the
     serialized journal (manifest + payload) and decodes it in the stream."""
     items = P.project_item_quantity(_purchases_stream(spark, journal_path, max_files_per_trigger, raw), P.STRICT)
-    agg = (items.groupBy("vendor_id", "product_id", "year", "month", "day")
-           .agg(F.sum(F.col("quantity").cast("long")).alias("quantity"),
-                F.max_by("name", F.struct("offset_ts", "offset")).alias("name"),
-                F.max_by("offset", F.struct("offset_ts", "offset")).alias("offset"),
-                F.max("offset_ts").alias("offset_ts")))
+    agg = _quantities(items)
     table = item_quantity_table(spark, table_path).create_if_missing()
     offsets = OffsetStore(spark, offsets_path)
     ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", POPULAR_ITEMS_HYDRATOR)
@@ -122,7 +140,7 @@ def item_quantity_stream(spark: SparkSession, journal_path: str, table_path: str
         store_batch(batch, batch_id, scope.writer(), table, offsets, POPULAR_ITEMS_HYDRATOR)
 
     w = agg.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink)
-    return Hydrator(POPULAR_ITEMS_HYDRATOR, _trigger(w, available_now, interval).start())
+    return Hydrator(POPULAR_ITEMS_HYDRATOR, _start(spark, w, available_now, interval))
 
 
 def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: str, offsets_path: str,
@@ -139,10 +157,7 @@ def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: st
     charges = P.project_vendor_charge(_purchases_stream(spark, journal_path, max_files_per_trigger, raw), P.STRICT)
     measure = F.col("total_2dp") if rounded else F.col("total")
     out_type = "decimal(21,2)" if rounded else "decimal(38,18)"
-    agg = (charges.groupBy("vendor_id", "year", "month")
-           .agg(F.sum(measure).cast(out_type).alias("balance"),
-                F.max_by("offset", F.struct("offset_ts", "offset")).alias("offset"),
-                F.max("offset_ts").alias("offset_ts")))
+    agg = _balances(charges, measure, out_type)
     if jdbc is not None:
         create_tables(spark, jdbc[0], jdbc[1], VENDOR_BILLING_TARGET)
     table = None if jdbc is not None else (billing_table if rounded else balance_table)(spark, table_path) \
@@ -162,7 +177,7 @@ def vendor_balance_stream(spark: SparkSession, journal_path: str, table_path: st
         store_batch(batch, batch_id, scope.writer(), table, offsets, name)
 
     w = agg.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(sink)
-    return Hydrator(name, _trigger(w, available_now, interval).start())
+    return Hydrator(name, _start(spark, w, available_now, interval))
 
 
 def purchase_feed_stream(spark: SparkSession, journal_path: str, offsets_path: str, topic: str,
@@ -182,25 +197,18 @@ def purchase_feed_stream(spark: SparkSession, journal_path: str, offsets_path: s
         offsets.update_from(batch, KAFKA_PRODUCER_ID, TAG_ITEM_PURCHASED)
 
     w = frame.writeStream.outputMode("append").option("checkpointLocation", ckpt).foreachBatch(sink)
-    return Hydrator(KAFKA_PRODUCER_ID, _trigger(w, available_now, interval).start())
+    return Hydrator(KAFKA_PRODUCER_ID, _start(spark, w, available_now, interval))
 
 
 def _delta_item_quantity(journal: DataFrame, since):
     items = P.project_item_quantity(B.purchased(journal, since), P.STRICT)
-    return items.groupBy("vendor_id", "product_id", "year", "month", "day").agg(
-        F.sum(F.col("quantity").cast("long")).alias("quantity"),
-        F.max_by("name", F.struct("offset_ts", "offset")).alias("name"),
-        F.max_by("offset", F.struct("offset_ts", "offset")).alias("offset"),
-        F.max("offset_ts").alias("offset_ts"))
+    return _quantities(items)
 
 
 def _delta_balance(journal: DataFrame, since, rounded: bool):
     charges = P.project_vendor_charge(B.purchased(journal, since), P.STRICT)
     measure = F.col("total_2dp") if rounded else F.col("total")
-    return charges.groupBy("vendor_id", "year", "month").agg(
-        F.sum(measure).cast("decimal(21,2)" if rounded else "decimal(38,18)").alias("balance"),
-        F.max_by("offset", F.struct("offset_ts", "offset")).alias("offset"),
-        F.max("offset_ts").alias("offset_ts"))
+    return _balances(charges, measure, "decimal(21,2)" if rounded else "decimal(38,18)")
 
 
 _HYDRATOR = {"item_quantity": POPULAR_ITEMS_HYDRATOR, "balance": VENDOR_BILLING_HYDRATOR,
