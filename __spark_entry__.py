@@ -30,6 +30,7 @@ from carthouse.operators import aggregates as A
 from carthouse.operators import carts as C
 from carthouse.plans import batch as B
 from carthouse.sources import fixtures as X
+from carthouse.schemas import KAFKA_PRODUCER_ID, POPULAR_ITEMS_HYDRATOR, TAG_ITEM_PURCHASED
 from carthouse.session import materialize, ship_package
 from carthouse.sources.journal import decode_events, encode_events, with_offset_ts
 
@@ -158,6 +159,7 @@ def _scratch(spark, name):
 # Files of a streamed journal hold at most this many events, and a micro-batch
 # reads this many files: its size does not follow the table's.
 EVENTS_PER_FILE = 200_000
+EVENTS_PER_BATCH = 500_000
 FILES_PER_TRIGGER = 4
 
 
@@ -268,17 +270,54 @@ def q_stream_from_snapshots(spark, sf_dir):
     return _event_columns(head).unionByName(_event_columns(read_journal(spark, events)))
 
 
-def q_stream_purchase_records(spark, sf_dir):
-    """The purchase feed as a stream into the file form of the Kafka
-    sink (same frame), read back; the producer offset is kept alongside."""
+def _streamed_feed(spark, sf_dir, name, journal):
+    """Runs the purchase feed over a journal; (the feed, its offset table)."""
+    from carthouse.sources.journal import write_journal
     from carthouse.streaming.hydrators import purchase_feed_stream
-    root = _scratch(spark, "stream-purchase-records")
-    jp = _streamed_journal(spark, sf_dir, root)
-    out = os.path.join(root, "frames")
-    purchase_feed_stream(spark, jp, os.path.join(root, "offsets"), TOPIC, KAFKA_PARTITIONS, fallback_path=out,
+    root = _scratch(spark, name)
+    path, feed, offsets = (os.path.join(root, d) for d in ("journal", "feed", "offsets"))
+    write_journal(journal, path, records_per_file=EVENTS_PER_FILE)
+    purchase_feed_stream(spark, path, offsets, TOPIC, KAFKA_PARTITIONS, fallback_path=feed,
                          checkpoint=os.path.join(root, "ckpt"), max_files_per_trigger=FILES_PER_TRIGGER).await_done()
-    return (spark.read.schema("partition int, key string, value string, batch_id string, topic string").json(out)
-            .select("topic", "partition", "key", "value"))
+    return feed, offsets
+
+
+def q_stream_purchase_records(spark, sf_dir):
+    """The purchase feed as a stream into the file form of the topic (same frame), read back."""
+    from carthouse.sources.feed import read_feed
+    return read_feed(spark, _streamed_feed(spark, sf_dir, "stream-purchase-records", _journal(spark, sf_dir))[0])
+
+
+def q_stream_producer_offset(spark, sf_dir):
+    """The offset the feed stored for its producer, and how many records it acknowledged up to there."""
+    from carthouse.sources.feed import acknowledged
+    from carthouse.sources.tables import OffsetStore
+    journal = X.purchase_journal(spark, sf_dir, renamed=True)
+    feed, offsets = _streamed_feed(spark, sf_dir, "stream-producer-offset", journal)
+    records = acknowledged(spark, feed).agg(F.sum("rows").alias("records"))
+    return OffsetStore(spark, offsets, id_col="producer_id").table.read().crossJoin(records).drop("offset")
+
+
+def q_stream_failure(spark, sf_dir):
+    """Purchases of every seventh order lack their item. The strict read side must fail on them, not leave
+    them out, and must store nothing of the batch it failed in."""
+    from carthouse.sources.journal import write_journal
+    from carthouse.sources.tables import item_quantity_table
+    from carthouse.streaming.hydrators import item_quantity_stream
+    root = _scratch(spark, "stream-failure")
+    n = F.conv(F.substring(F.md5("cart_id"), 1, 8), 16, 10).cast("long")
+    broken = _journal(spark, sf_dir).withColumn("item", F.when(n % 7 != 0, F.col("item")))
+    path, table = os.path.join(root, "journal"), os.path.join(root, "table")
+    write_journal(broken, path, records_per_file=EVENTS_PER_FILE)
+    hydrator = item_quantity_stream(spark, path, table, os.path.join(root, "offsets"), checkpoint=os.path.join(root, "ckpt"))
+    try:
+        hydrator.await_done()
+        failed = False
+    except RuntimeError:
+        failed = True
+    stored = item_quantity_table(spark, table).read()
+    return stored.agg(F.count(F.lit(1)).alias("stored_rows")).select(
+        F.lit(hydrator.name).alias("hydrator"), F.lit(failed).alias("failed"), "stored_rows")
 
 
 def q_stream_balance_by_vendor(spark, sf_dir):
@@ -321,6 +360,29 @@ def _catch_up(spark, sf_dir, kind, make_table, lose_offsets=False):
     return table.read()
 
 
+def q_stream_resumed(spark, sf_dir):
+    """A stream by the journal's own offsets stops inside the events of one time; another
+    one, without its checkpoint, goes on after the stored offset."""
+    from carthouse.sources.journal import read_journal, write_journal
+    from carthouse.sources.tables import OffsetStore, item_quantity_table
+    from carthouse.streaming.hydrators import resumed_stream
+    root = _scratch(spark, "stream-resumed")
+    path = os.path.join(root, "journal")
+    day = 864_000_000_000  # ticks cut to whole days, so that many events share a time
+    write_journal(_journal(spark, sf_dir).withColumn("offset_ts", F.expr(f"offset_ts div {day} * {day}")), path,
+                  records_per_file=EVENTS_PER_FILE)
+    journal = read_journal(spark, path)
+    at = journal.select(F.percentile_approx("offset_ts", 0.5)).first()[0]
+    # An event about in the middle of that time.
+    inside = journal.where(F.col("offset_ts") == at).select(
+        F.percentile_approx(F.conv(F.substring("offset", 1, 8), 16, 10).cast("long"), 0.5)).first()[0]
+    until = (at, f"{inside:08x}-ffff")
+    table, offsets = item_quantity_table(spark, os.path.join(root, "t")), OffsetStore(spark, os.path.join(root, "o"))
+    resumed_stream(spark, path, "item_quantity", table, offsets, until=until).drain()
+    resumed_stream(spark, path, "item_quantity", table, offsets, max_events=EVENTS_PER_BATCH).drain()
+    return table.read()
+
+
 def q_catch_up_item_quantity(spark, sf_dir):
     from carthouse.sources.tables import item_quantity_table
     return _catch_up(spark, sf_dir, "item_quantity", item_quantity_table)
@@ -478,6 +540,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_cart_state": q_stream_cart_state,
         "stream_from_snapshots": q_stream_from_snapshots,
         "state_item_quantity": q_state_item_quantity,
+        "stream_resumed": q_stream_resumed,
+        "stream_producer_offset": q_stream_producer_offset,
+        "stream_failure": q_stream_failure,
         "catch_up_after_reset": q_catch_up_after_reset,
         "vendor_months": q_vendor_months,
         "stream_balance_by_vendor": q_stream_balance_by_vendor,
@@ -706,6 +771,14 @@ def oracle_sql() -> dict[str, str]:
         "stream_cart_state": f"SELECT persistence_id, product_id, vendor_id, name, price, quantity FROM ({_LINES}) l",
         "stream_from_snapshots": _EVENTS,
         "state_item_quantity": _BY_DAY,
+        "stream_resumed": _BY_DAY,
+        "stream_producer_offset": f"""
+  SELECT '{KAFKA_PRODUCER_ID}' AS producer_id, '{TAG_ITEM_PURCHASED}' AS tag, count(*) AS records,
+         max((epoch_us(o_orderdate) - (o_custkey % 25 - 12) * 3600000000) * 10 + {GREGORIAN_TO_UNIX_100NS}
+             + l_orderkey * 8 + l_linenumber) AS offset_ts FROM ({_PURCHASES}) p""",
+        "stream_failure": f"""
+  SELECT '{POPULAR_ITEMS_HYDRATOR}' AS hydrator, count(*) > 0 AS failed, CAST(0 AS BIGINT) AS stored_rows
+  FROM ({_PURCHASES}) p WHERE CAST(('0x' || substr(md5(cart_id), 1, 8)) AS BIGINT) % 7 = 0""",
         "catch_up_after_reset": _BY_DAY,
         "vendor_months": f"""
   SELECT *, CAST(row_number() OVER (PARTITION BY vendor_id, year ORDER BY month DESC) AS INTEGER) AS nth

@@ -18,11 +18,13 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from carthouse.operators import projections as P
 from carthouse.plans import batch as B
@@ -30,7 +32,9 @@ from carthouse.schemas import (ITEM_QUANTITY_KEY, KAFKA_PRODUCER_ID, POPULAR_ITE
                                VENDOR_BILLING_HYDRATOR, VENDOR_KEY)
 from carthouse.session import checkpoint_root, materialize, release, rocksdb_state
 from carthouse.sources.jdbc import VENDOR_BILLING_TARGET, create_tables, write_batch
-from carthouse.sources.journal import stream_journal
+from carthouse.sources.events import stream_events
+from carthouse.sources.feed import acknowledged_offset, write_feed
+from carthouse.sources.journal import read_journal, stream_journal
 from carthouse.sources.kafka import publish
 from carthouse.sources.tables import KeyedTable, OffsetStore, balance_table, billing_table, item_quantity_table
 
@@ -43,20 +47,57 @@ class InfiniteStreamCompleted(RuntimeError):
 class Hydrator:
     name: str
     query: StreamingQuery
+    # Stores what the query has acknowledged so far; also run after every batch.
+    settle: Callable[[], None] | None = None
 
     def await_done(self, timeout: float | None = None, endless: bool = False) -> None:
         """Surface failures; for an endless trigger, ending is a failure too."""
-        finished = self.query.awaitTermination(timeout) if timeout is not None else self.query.awaitTermination()
-        exc = self.query.exception()
+        try:
+            finished = self.query.awaitTermination(timeout) if timeout is not None else self.query.awaitTermination()
+            exc = self.query.exception()
+        except StreamingQueryException as failed:
+            finished, exc = True, failed
+        if self.settle is not None:
+            self.settle()
         if exc is not None:
             raise RuntimeError(f"{self.name} failed: {exc}")
         if endless and finished is not False:
             raise InfiniteStreamCompleted(f"{self.name}: an infinite stream should not complete")
 
+    def drain(self) -> None:
+        """Process what is there, then stop (for sources that take no AvailableNow trigger)."""
+        try:
+            self.query.processAllAvailable()
+        except StreamingQueryException as failed:
+            raise RuntimeError(f"{self.name} failed: {failed}") from failed
+        finally:
+            self.query.stop()
+
     def stop(self) -> None:
         self.query.stop()
 
 
+class _AfterBatch(StreamingQueryListener):
+    """Calls ``settle`` with the number of every finished batch of one query, until that ends."""
+
+    def __init__(self, spark: SparkSession, settle: Callable[[int], None]):
+        self.spark, self.settle, self.query_id = spark, settle, None
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if self.query_id is not None and str(event.progress.id) == self.query_id:
+            self.settle(event.progress.batchId)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self.query_id is not None and str(event.id) == self.query_id:
+            self.spark.streams.removeListener(self)
+
+
 class _BatchScope:
     """Who commits the batches of one streaming query.
 
@@ -185,19 +226,38 @@ def purchase_feed_stream(spark: SparkSession, journal_path: str, offsets_path: s
                          checkpoint: str | None = None, available_now: bool = True, interval: str = "10 seconds",
                          max_files_per_trigger: int | None = None, raw: bool = False) -> Hydrator:
     """Every purchase as a keyed JSON record, at least once; the
-    producer offset (A6) is written after the batch is published."""
+    producer offset (A6) is stored after the batch is published.
+
+    To files the records go through the feed sink, whose commit messages carry
+    the offsets; to Kafka through its connector."""
     src = stream_journal(spark, journal_path, max_files_per_trigger, raw=raw)
     frame = B.purchase_records(src, topic, partitions)
     offsets = OffsetStore(spark, offsets_path, id_col="producer_id")
     ckpt = checkpoint or os.path.join(checkpoint_root(spark), "streams", KAFKA_PRODUCER_ID)
-    scope = _BatchScope(spark, ckpt)
+    if bootstrap_servers or not fallback_path:
+        scope = _BatchScope(spark, ckpt)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        publish(batch, bootstrap_servers, fallback_path, scope.token(batch_id))
-        offsets.update_from(batch, KAFKA_PRODUCER_ID, TAG_ITEM_PURCHASED)
+        def sink(batch: DataFrame, batch_id: int) -> None:
+            publish(batch, bootstrap_servers, fallback_path, scope.token(batch_id))
+            offsets.update_from(batch, KAFKA_PRODUCER_ID, TAG_ITEM_PURCHASED)
+
+        w = frame.writeStream.outputMode("append").option("checkpointLocation", ckpt).foreachBatch(sink)
+        return Hydrator(KAFKA_PRODUCER_ID, _start(spark, w, available_now, interval))
+    # The same checkpoint names its batches the same, so a replayed one replaces itself.
+    writer = uuid.uuid5(uuid.NAMESPACE_URL, ckpt).hex
+
+    def settle(batch_id: int | None = None) -> None:
+        last = acknowledged_offset(spark, fallback_path, None if batch_id is None else f"{writer}-{batch_id}")
+        if last is not None:
+            offsets.update(KAFKA_PRODUCER_ID, TAG_ITEM_PURCHASED, last[1], last[0])
 
-    w = frame.writeStream.outputMode("append").option("checkpointLocation", ckpt).foreachBatch(sink)
-    return Hydrator(KAFKA_PRODUCER_ID, _start(spark, w, available_now, interval))
+    after_batch = _AfterBatch(spark, settle)
+    w = write_feed(frame, fallback_path, writer).option("checkpointLocation", ckpt)
+    if not available_now:  # an endless query stores its offset as it goes
+        spark.streams.addListener(after_batch)
+    query = _start(spark, w, available_now, interval)
+    after_batch.query_id = str(query.id)
+    return Hydrator(KAFKA_PRODUCER_ID, query, settle)
 
 
 def _delta_item_quantity(journal: DataFrame, since):
@@ -270,6 +330,12 @@ def catch_up(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTab
     if lost:
         rebuild(spark, journal, kind, table, offsets)
         return True
+    return _add_events(journal, kind, table, offsets, since)
+
+
+def _add_events(journal: DataFrame, kind: str, table: KeyedTable, offsets: OffsetStore, since) -> bool:
+    """Aggregate the events after ``since``, add them to the table with the offset they reach, then store that."""
+    hydrator = _HYDRATOR[kind]
     if kind == "item_quantity":
         delta, measures, latest = _delta_item_quantity(journal, since), {"quantity": 0}, {"name": "name"}
     else:
@@ -284,6 +350,31 @@ def catch_up(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTab
     return last is not None
 
 
+def resumed_stream(spark: SparkSession, journal_path: str, kind: str, table: KeyedTable, offsets: OffsetStore,
+                   until: tuple | None = None, max_events: int | None = None, interval: str = "0 seconds") -> Hydrator:
+    """T10 as a stream: a read side that goes on where its stored offset says, without state and without an old
+    checkpoint. The source (S1), the filter (P8), the offset table (S8) and the table's version share one resume point.
+
+    Every micro-batch adds its events to the stored rows (J1) in one commit
+    with their newest offset; events up to the table's own offset, as in a
+    replayed batch, are left out. ``until`` stops after that event.
+    """
+    hydrator = _HYDRATOR[kind]
+    lost, reached = resume_point(table, offsets, hydrator)
+    if lost:
+        rebuild(spark, read_journal(spark, journal_path), kind, table, offsets)
+        _, reached = resume_point(table, offsets, hydrator)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        _add_events(batch, kind, table, offsets, resume_point(table, offsets, hydrator)[1])
+
+    # The offset is the resume point, so every start has a checkpoint of its own.
+    checkpoint = os.path.join(checkpoint_root(spark), "streams", hydrator, uuid.uuid4().hex)
+    events = stream_events(spark, journal_path, TAG_ITEM_PURCHASED, checkpoint, reached, until, max_events)
+    w = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return Hydrator(hydrator, _start(spark, w, False, interval))
+
+
 def rebuild(spark: SparkSession, journal: DataFrame, kind: str, table: KeyedTable, offsets: OffsetStore) -> None:
     """Recompute a read side from the whole journal, replace the table
     (keys no longer produced by the journal disappear) and store the newest
