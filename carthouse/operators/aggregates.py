@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from carthouse.functions.money import line_total, to_billing
 from carthouse.schemas import BILLING, ITEM_QUANTITY_KEY, VENDOR_KEY
+from carthouse.session import materialize
 
 # The offset order: the 60-bit time first, the UUID text as tie-breaker.
 OFFSET_ORDER = ("offset_ts", "offset")
@@ -76,13 +77,15 @@ def last_offset(rows: DataFrame, id_col: str, id_value: str, tag: str) -> DataFr
 def top_items_per_day(by_day: DataFrame, k: int = 3) -> DataFrame:
     """V1: the k most purchased items of each day (ties share a rank).
 
-    Items are counted per (day, quantity) first; that small table is ranked
-    (a rank is one more than the items above it) and joined back, so neither
-    a day nor its ties have to fit in one task.
+    The totals are computed once and staged: they are read for the ranks and
+    for the items. Every task first keeps its own k largest quantities of a day
+    (the planner's limit on a row number), so of a day no more than k for each
+    task are put in order, and the few ranked quantities are joined back:
+    neither a day nor its ties have to fit in one task.
     """
     day = ["year", "month", "day"]
-    sizes = by_day.groupBy(*day, "quantity").agg(F.count(F.lit(1)).alias("items"))
-    above = Window.partitionBy(*day).orderBy(F.desc("quantity")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = sizes.withColumn("rank", (F.coalesce(F.sum("items").over(above), F.lit(0)) + 1).cast("int")) \
-        .where(F.col("rank") <= k).drop("items")
+    by_day = materialize(by_day)
+    nth = F.row_number().over(Window.partitionBy(*day).orderBy(F.desc("quantity")))
+    best = by_day.select(*day, "quantity", nth.alias("nth")).where(F.col("nth") <= k)
+    ranks = best.groupBy(*day, "quantity").agg(F.min("nth").alias("rank"))
     return by_day.join(ranks, day + ["quantity"]).select(*by_day.columns, "rank")

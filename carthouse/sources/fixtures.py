@@ -117,7 +117,10 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     (event ids follow ts in the data; the cart operators order by ``seq``);
     product = k mod 10 and vendor = k mod 3 so carts collide; price = value.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    # Dealt before ids, times and JSON are worked out: a table of one file would keep one core busy.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props") \
+        .repartition(parts, "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     et = F.col("event_type")
     command = (F.when(et == "signup", F.lit(ADD_ITEM))

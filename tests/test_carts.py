@@ -3,6 +3,8 @@ test of T6/T7/T3 against a plain Python fold over random command logs."""
 
 import os
 
+import pytest
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -148,3 +150,64 @@ def test_refused_checkout_keeps_the_cart(spark):
     assert ev[(2, "ItemRemoved")] == first_cart and ev[(3, "ItemAdded")] == first_cart
     assert ev[(4, "ItemPurchased")] == first_cart
     assert ev[(5, "ItemAdded")] != first_cart
+
+
+def _scalar_fold(rows):
+    """The cart rules one row at a time, for rows in order of their key."""
+    key, line, out = None, None, []
+    for r in rows:
+        k = (r["member_id"], r["product"], r["epoch"], r["stretch"])
+        if k != key:
+            key, line = k, None
+        before, verdict = line, None
+        if r["command"] == "AddItem":
+            if line is not None:
+                verdict = "ItemAlreadyInCart"
+            else:
+                line = (r["add_vendor_id"], r["add_name"], r["add_price"], r["add_qty"])
+        elif line is None:
+            verdict = "ItemNotInCart"
+        elif r["command"] == "RemoveItem":
+            line = None
+        elif line[3] + r["delta"] > 0:
+            line = (*line[:3], line[3] + r["delta"])
+        else:
+            verdict = "NegativeQuantity"
+        met = line if before is None else before
+        out.append((verdict, before is not None, before and before[3], line is not None, line and line[3],
+                    *(met[:3] if met else (None,) * 3)))
+    ends = [i + 1 == len(rows) or any(rows[i][c] != rows[i + 1][c] for c in ("member_id", "product", "epoch", "stretch"))
+            for i in range(len(rows))]
+    return [(*o, e) for o, e in zip(out, ends)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 5000])
+def test_vectorised_fold_equals_the_rules_row_by_row(size):
+    """Runs of refused changes, stretches over several batches, additions refused and lines never opened."""
+    import random
+
+    import pyarrow as pa
+
+    from carthouse.operators.carts import _FOLD_COLS, _fold_partition
+    rnd, rows = random.Random(size), []
+    for member in "abc":
+        for product in ("p", "q"):
+            for epoch in range(4):
+                for stretch in range(rnd.randint(1, 4)):
+                    n, down = rnd.randint(1, 40), rnd.random() < 0.5
+                    for i in range(n):
+                        last = i == n - 1 and rnd.random() < 0.7
+                        command = "RemoveItem" if last else rnd.choice(["AddItem"] + ["AdjustQuantity"] * (9 if i else 1))
+                        delta = rnd.randint(-9, 3 if down else 9)
+                        rows.append({"member_id": member, "product": product, "epoch": epoch, "stretch": stretch,
+                                     "command": command, "delta": delta if command == "AdjustQuantity" else None,
+                                     **({"add_qty": rnd.randint(0, 9), "add_vendor_id": f"v{len(rows)}", "add_name": f"n{len(rows)}",
+                                         "add_price": rnd.random()} if command == "AddItem" else
+                                        {"add_qty": None, "add_vendor_id": None, "add_name": None, "add_price": None})})
+    schema = pa.schema([("member_id", pa.string()), ("product", pa.string()), ("epoch", pa.int64()), ("stretch", pa.int64()),
+                        ("command", pa.string()), ("delta", pa.int32()), ("add_qty", pa.int32()), ("add_vendor_id", pa.string()),
+                        ("add_name", pa.string()), ("add_price", pa.float64())])
+    batches = pa.Table.from_pylist(rows, schema=schema).to_batches(max_chunksize=size)
+    got = pa.Table.from_batches(list(_fold_partition(iter(batches))))
+    assert [tuple(r[c] for c in _FOLD_COLS) for r in got.to_pylist()] == _scalar_fold(rows)
+    assert len({v for v, *_ in _scalar_fold(rows)}) == 4
