@@ -54,3 +54,35 @@ def test_blocks_of_queries_and_fewer_candidates_than_k(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert topk.exact_top_k(df, "vec_id", "embedding", 3, F.col("id") % 10 == 0).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    """Components near 1e6: scores near 2**62, of which doubles would lose the last digits."""
+    rnd = random.Random(8)
+    near = [(i, [1e6 - rnd.randint(0, 40) / 1024 for _ in range(6)]) for i in range(300)]
+    mixed = [(300 + i, [rnd.uniform(-1e6, 1e6) for _ in range(rnd.randint(1, 6))]) for i in range(100)]
+    pad = lambda e: e + [0.0] * (6 - len(e))
+    df = spark.createDataFrame(near + mixed, "vec_id long, embedding array<double>").repartition(4)
+    want = brute([(i, pad(e)) for i, e in near + mixed], 10)
+    assert max(s for r in want.values() for _, _, s in r) > 2 ** 62
+    assert got(topk.exact_top_k(df, "vec_id", "embedding", 10, F.col("id") % 10 == 0), 10) == want
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    import pytest
+    df = spark.createDataFrame([(0, [1e9]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="may not fit a long"):
+        topk.exact_top_k(df, "vec_id", "embedding", 10, F.col("id") % 10 == 0)
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rnd = random.Random(9)
+    rows = [(i // 3, [rnd.randint(-9, 9) / 8 for _ in range(4)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in topk.exact_top_k(df, "vec_id", "embedding", 5, F.col("id") % 10 == 0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.score))
+    for qid, best in found.items():  # an id's vectors are queried together
+        scores = [sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(q, c))
+                  for i, q in rows if i == qid for j, c in rows if j != qid]
+        assert [s for _, s in sorted(best)] == sorted(scores, reverse=True)[:5]
