@@ -1,7 +1,8 @@
 """Operator 1, a deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by id into shards, each shard is written in order and
-rolled into files by compressed size, every header and digest is generated
+Records are range-sorted by id and payload digest into shards of about equal
+bytes, each shard is a task that is written in order and rolled into files by
+compressed size, every header and digest is generated
 anew, and files appear under their final names only after the manifest of the
 winning task attempts is committed: tasks write temporary names, Spark commits
 the manifest table, and a second, repeatable job renames what it lists. The
@@ -16,8 +17,10 @@ without an id come first, carry no id, and revisit a row that has one; of repeat
 payload) one is the response and the others revisit that id; an empty table
 writes an empty manifest and reads back as no rows; other columns are ignored.
 
-Files are written from tasks through ``pyarrow.fs`` (file, hdfs, s3 and gs
-addresses) and read back through Spark's own binary reader.
+The reader reads the files the manifest lists, one a task, and compares each
+one's size, SHA-256 and number of records with it: an archive that is gone, cut
+short or altered fails the read. Files are written and read from tasks through
+``pyarrow.fs`` (file, hdfs, s3 and gs addresses).
 """
 
 from __future__ import annotations
@@ -40,8 +43,10 @@ from carthouse.llm.common import bounded_batches, join_by_class, scratch_path, s
 #: Payload bytes of one shard and compressed bytes at which a file is rolled.
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
-#: Ids fetched to place the shard bounds (about; a hash decides which).
+#: Ids and digests fetched to place the shard bounds (about; a hash decides which).
 BOUND_SAMPLE = 100_000
+#: What a record's headers add to its payload, about.
+HEADER_BYTES = 600
 #: Shards share tasks beyond this many.
 MAX_TASKS = 20_000
 #: The date written to every record: archives must not depend on the clock.
@@ -211,14 +216,50 @@ def commit(spark: SparkSession, root: str) -> DataFrame:
     return manifest
 
 
+def _uri_of(root: str) -> str:
+    """An address that Spark and pyarrow read alike."""
+    if "://" not in root and not root.startswith("file:"):
+        root = "file://" + root
+    return root.replace("file:///", "file:/").replace("file:/", "file:///")
+
+
+def _bounds(slim: DataFrame, rows: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """First (id, digest) of every shard but the first, at equal steps of the sampled records' bytes.
+
+    Ids compare as numbers, a missing one first; of the digest the first 32 bits count. So neither
+    rows without an id nor repeated ids fill a shard, only copies of one payload under one id."""
+    thin = max(1, rows // BOUND_SAMPLE)
+    head = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
+    sampled = slim.where(F.pmod(F.xxhash64("id", "digest"), F.lit(thin)) == 0).groupBy(
+        F.coalesce("id", F.lit(np.iinfo(np.int64).min)).alias("id"), head.alias("head")).agg(
+        F.sum(F.col("n") + HEADER_BYTES).alias("n")).toArrow().sort_by([("id", "ascending"), ("head", "ascending")])
+    ids, heads, size = (np.asarray(sampled.column(c)) for c in ("id", "head", "n"))
+    upto = np.cumsum(size)
+    if not len(upto):
+        return ids, heads
+    at = np.unique(np.searchsorted(upto - size, upto[-1] * np.arange(1, shards) / shards))
+    at = at[(at > 0) & (at < len(ids))]
+    return ids[at], heads[at]
+
+
+def _shard_of(ids: pa.Array, digests: pa.Array, first_ids: np.ndarray, first_heads: np.ndarray) -> np.ndarray:
+    """The number of bounds at or before each (id, digest)."""
+    known = np.asarray(ids.fill_null(np.iinfo(np.int64).min))
+    heads = np.array([int(d[:8], 16) for d in digests.to_pylist()], dtype=np.uint64)
+    # An id's place among the bounds' ids, then the digest among the bounds of that id.
+    place = lambda x: np.searchsorted(first_ids, x, side="left").astype(np.uint64) << np.uint64(32)
+    at = place(known)
+    same = np.isin(known, first_ids)
+    within = np.searchsorted(place(first_ids) | first_heads.astype(np.uint64), at | heads, side="right")
+    return np.where(same, within, at >> np.uint64(32)).astype(np.int64)
+
+
 def write_warc(df: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                revisit_bytes: int = 1000, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write ``df`` as WARC files under ``root`` (a folder all executors share); returns the manifest."""
     spark = df.sparkSession
     bounded_batches(spark)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root
-    root = root.replace("file:///", "file:/").replace("file:/", "file:///")
+    root = _uri_of(root)
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"),
                       F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     slim = stage(pages.select("id", "url", F.sha1("payload").alias("digest"),
@@ -230,24 +271,21 @@ def write_warc(df: DataFrame, root: str, id_col: str = "page_id", url_col: str =
     links = (join_by_class(slim.where(F.col("n") >= revisit_bytes).select("id", "digest"), groups, "digest", "copies",
                            size["rows"]).select("id", "digest", "to", "to_url").dropDuplicates(["id", "digest"]))
 
-    shards = max(1, -(-int(size["bytes"] or 0) // shard_bytes))
-    thin = max(1, size["rows"] // BOUND_SAMPLE)
-    seen = sorted(r[0] for r in slim.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(thin)) == 0))
-                  .select("id").distinct().collect())  # about BOUND_SAMPLE ids
-    bounds = np.unique(np.array([seen[len(seen) * i // shards] for i in range(1, shards)] if seen else [], dtype=np.int64))
+    shards = max(1, -(-int((size["bytes"] or 0) + size["rows"] * HEADER_BYTES) // shard_bytes))
+    bounds = _bounds(slim, size["rows"], shards)
 
     @F.arrow_udf("long")
-    def shard(ids: pa.Array) -> pa.Array:
-        known = ids.fill_null(np.iinfo(np.int64).min)
-        return pa.array(np.searchsorted(bounds, np.asarray(known), side="right").astype(np.int64))
+    def shard(ids: pa.Array, digests: pa.Array) -> pa.Array:
+        return pa.array(_shard_of(ids, digests, *bounds))
 
     none = F.lit(None).cast("string")
-    both = pages.select("id", F.lit(1).alias("kind"), "url", "payload", none.alias("digest"),
+    both = pages.select("id", F.lit(1).alias("kind"), "url", "payload", F.sha1("payload").alias("digest"),
                         F.lit(None).cast("long").alias("to"), none.alias("to_url")).unionByName(
         links.select("id", F.lit(0).alias("kind"), none.alias("url"), F.lit(None).cast("binary").alias("payload"),
                      "digest", "to", "to_url"))
-    ordered = (both.withColumn("shard", shard("id")).repartition(min(shards, MAX_TASKS), "shard")
-               .sortWithinPartitions("shard", "id", "kind", "digest", "url", F.sha1("payload")))
+    # A shard is a task: its number is the partition, not hashed into one.
+    ordered = (both.withColumn("shard", shard("id", "digest")).repartitionById(min(shards, MAX_TASKS), F.col("shard").cast("int"))
+               .sortWithinPartitions("shard", "id", "kind", "digest", "url"))
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
@@ -262,29 +300,39 @@ def read_warc(spark: SparkSession, root: str, payload: bool = True) -> DataFrame
     (bare lower-case hex), and the payload of responses when asked for. A
     revisit's length and digest are those of the payload it refers to.
     """
+    root = _uri_of(root)
+
     def parse(batches):
+        from pyarrow.fs import FileSystem
+        fs, base = FileSystem.from_uri(root)
         for b in batches:
-            for content in b.column("content"):
-                rows = []
-                held = 0
-                for fields, block in records(content.as_py()):
+            for name, count, size, sha in zip(*(b.column(n).to_pylist() for n in ("name", "records", "bytes", "sha256"))):
+                with fs.open_input_file(f"{base}/{name}") as opened:
+                    content = opened.read()
+                if len(content) != size or hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"{name} is not the archive of the manifest")
+                rows, held, seen = [], 0, 0
+                for fields, block in records(content):
                     if fields["warc-type"] not in ("response", "revisit"):
                         continue
+                    seen += 1
                     http, _, body = block.partition(b"\r\n\r\n")
-                    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:"))
                     whole = fields["warc-type"] == "response"
-                    if whole and (len(body) != size or hashlib.sha1(body).digest() != digest):
+                    if whole and (len(body) != length or hashlib.sha1(body).digest() != digest):
                         raise ValueError("a payload does not fit its headers")
                     page, to = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
                     rows.append((None if page is None else int(page), fields.get("warc-target-uri"), fields["warc-type"],
-                                 None if to is None else int(to), size, digest.hex(), body if payload and whole else None))
+                                 None if to is None else int(to), length, digest.hex(), body if payload and whole else None))
                     held += len(body) if payload else 0
                     if len(rows) == 1000 or held > 4 << 20:
                         yield table(rows)
                         rows, held = [], 0
                 if rows:
                     yield table(rows)
+                if seen != count:
+                    raise ValueError(f"{name} holds {seen} records, the manifest says {count}")
 
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -292,9 +340,11 @@ def read_warc(spark: SparkSession, root: str, payload: bool = True) -> DataFrame
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 
-    found = (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(root).select("content")
-             .mapInArrow(parse, "page_id long, url string, record_type string, refers_to long, payload_bytes long, "
-                                "payload_digest string, payload binary"))
+    manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+    archives = manifest.select("name", "records", "bytes", "sha256")
+    found = archives.repartition(max(1, min(archives.count(), MAX_TASKS)), "name").mapInArrow(
+        parse, "page_id long, url string, record_type string, refers_to long, payload_bytes long, "
+               "payload_digest string, payload binary")
     return found if payload else found.drop("payload")
 
 

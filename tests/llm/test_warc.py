@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from carthouse.llm import warc
 
 SCHEMA = "page_id long, url string, html string, shard string, kind int"
@@ -77,3 +79,37 @@ def test_a_damaged_record_is_found():
     broken = gzip.compress(gzip.decompress(data).replace(b"xxx", b"xyx", 1), mtime=0)
     with pytest.raises(ValueError):
         list(warc.records(broken))
+
+
+def test_a_missing_or_altered_archive_fails_the_read(spark, scratch):
+    df = spark.range(300).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"),
+                                 F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
+    for n, damage in enumerate((os.remove, lambda f: open(f, "ab").write(b"x"), lambda f: open(f, "r+b").write(b"\x00"))):
+        root = os.path.join(scratch, f"w{n}")
+        warc.write_warc(df, root, shard_bytes=20_000)
+        files = sorted(f for f in os.listdir(root) if f.endswith(".warc.gz"))
+        assert len(files) > 5 and warc.read_warc(spark, root).count() == 300
+        damage(os.path.join(root, files[3]))
+        with pytest.raises(Exception, match="not the archive of the manifest|FileNotFound|No such file"):
+            warc.read_warc(spark, root).collect()
+
+
+def test_rows_without_an_id_and_repeated_ids_fill_no_shard(spark, scratch):
+    """A third of the rows have no id, a third one id: every shard keeps to its bytes, and each is a task of its own."""
+    rows = [(None, "u", f"no id {i} " + "n" * 900) for i in range(400)] + [(7, "u", f"id 7, {i} " + "s" * 900) for i in range(400)]
+    rows += [(100 + i, "u", f"own {i} " + "o" * 900) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    root = os.path.join(scratch, "w")
+    manifest = warc.write_warc(df, root, shard_bytes=50_000).groupBy("shard").agg(F.sum("records").alias("n")).collect()
+    assert len(manifest) > 20 and max(r.n for r in manifest) < 3 * 1200 / len(manifest)
+    got = warc.read_warc(spark, root).collect()
+    assert sorted((r.page_id or -1, bytes(r.payload).decode()) for r in got) == sorted((i or -1, h) for i, _, h in rows)
+
+
+def test_a_third_of_the_rows_are_equal(spark, scratch):
+    rows = [(5, "u", BIG)] * 300 + [(6, "u", "short")] * 300 + [(10 + i, "u", f"own {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.warc_round_trip(df, shard_bytes=20_000).collect()
+    kinds = sorted(((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id < 10), key=str)
+    assert kinds == sorted([(5, "response", None)] + [(5, "revisit", 5)] * 299 + [(6, "response", None)] * 300, key=str)
+    assert len(got) == 900
