@@ -94,22 +94,27 @@ def hash_sample(rows: DataFrame, group: str, key: str, counts: dict, limit: int)
     return rows.where(below).withColumn("sample_rank", nth).where(F.col("sample_rank") <= limit).drop("sample_rank")
 
 
-#: Rows numbered by one task, about.
-RANK_ROWS = 1 << 16
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[str], total: int, name: str) -> DataFrame:
-    """``df`` (staged, ``total`` rows) with ``name``: gapless from 0 within each value of ``keys``.
-
-    A key may hold any share of the rows: they are dealt over buckets by a
-    hash of ``order``, numbered within a bucket, and shifted by what the
-    earlier buckets of the key hold.
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """``rows`` with ``name``: gapless from 0 within each value of ``keys``, ascending by ``order`` (nulls first), and
+    ``total``, the rows of that value, when asked for.
+
+    One range sort on the keys, the order and a last key that spreads repeated
+    rows deals all rows evenly, whatever share a key or a row holds. A row's
+    number is its place in its partition plus what earlier partitions hold of
+    its key (at most a row for each partition and key).
     """
-    buckets = max(1, total // RANK_ROWS)
-    dealt = df.withColumn("rank_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*keys, "rank_bucket").agg(F.count(F.lit(1)).alias("rank_rows"))
-    base = F.sum("rank_rows").over(Window.partitionBy(*keys).orderBy("rank_bucket")) - F.col("rank_rows")
-    own = F.row_number().over(Window.partitionBy(*keys, "rank_bucket").orderBy(*order)) - 1
-    return dealt.withColumn(name, own).join(counts.select(*keys, "rank_bucket", base.alias("rank_base")),
-                                            [*keys, "rank_bucket"]).select(
-        *df.columns, (F.col(name) + F.col("rank_base")).cast("long").alias(name))
+    spread = rows.withColumn("rank_spread", F.monotonically_increasing_id())
+    sort = [*keys, *order, "rank_spread"]
+    dealt = stage(spread.repartitionByRange(*sort).sortWithinPartitions(*sort).drop("rank_spread")
+                  .withColumn("rank_at", F.monotonically_increasing_id())
+                  .withColumn("rank_part", F.shiftright("rank_at", 33)), "numbered")
+    held = dealt.groupBy(*keys, "rank_part").agg(F.min("rank_at").alias("rank_first"), F.count(F.lit(1)).alias("rank_rows"))
+    own, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("rank_part")
+    held = held.select(*[F.col(k).alias(f"rank_key{i}") for i, k in enumerate(keys)], F.col("rank_part").alias("rank_held"),
+                       (F.sum("rank_rows").over(before) - F.col("rank_rows") - F.col("rank_first")).alias("rank_base"),
+                       F.sum("rank_rows").over(own).alias("rank_total"))
+    same = dealt["rank_part"] == held["rank_held"]
+    for i, k in enumerate(keys):
+        same = same & dealt[k].eqNullSafe(held[f"rank_key{i}"])
+    return dealt.join(held, same).select(*rows.columns, (F.col("rank_at") + F.col("rank_base")).alias(name),
+                                         *([F.col("rank_total").alias(total)] if total else []))

@@ -7,37 +7,38 @@ quantile is found by refining histograms of all nodes of a level at once; only
 a bin per node reaches the driver. Ties are split by a hash, so a metadata
 value that holds a third of all rows is no obstacle.
 
-Equal texts are one unit and stay in one shard, unless a group of them holds
-more than 1/GROUP_SHARE of a shard's bytes: then its rows are units of their
-own. Law: ``bytes``, the shards' sizes are near equal.
+Equal texts are one unit and stay in one shard; only a group that is larger than
+a shard is cut, into its ids, and an id repeated in it for a large part of a
+shard into its rows. A unit above 1/UNIT_SHARE of a shard (there are few) would
+upset the medians: such units are dealt first, the largest to the emptiest shard,
+and the tree splits all others by what room that leaves on either side. Law:
+``bytes``, the shards' sizes are near equal.
 
 Defined cases: a null text has no bytes (its size is the fixed overhead) and
 is a text equal to other nulls; null metadata counts as a value of its own;
-repeated rows are separate rows of one unit; an empty table gives an empty
+repeated rows are separate rows; an empty table gives an empty
 result; with fewer units than shards some shards stay empty; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carthouse.llm.common import join_by_class, stage
+from carthouse.llm.common import join_by_class, numbered, stage
 
 #: Bytes added to every document's text.
 OVERHEAD = 16
-#: A group of equal texts may hold this part of a shard before it is split.
-GROUP_SHARE = 16
+#: Units above this part of a shard are dealt one by one; there are less than this many times the shards.
+UNIT_SHARE = 16
 #: Histogram bins per node and refinement; a bin below this part of a shard is not refined.
 BINS = 4096
 FINE = 1000
 #: Dimensions are scaled to this many values.
 SCALE = 1 << 30
-#: Rows numbered by one task, about.
-SLOT_ROWS = 1 << 16
 
 
 def category(c: Column) -> Column:
@@ -59,10 +60,16 @@ def _units(df: DataFrame, id_col: str, text_col: str, dims: dict[str, Column], s
     if not whole["n"]:
         return rows, None, whole
     groups = rows.groupBy("g").agg(F.sum("size").alias("w"))
-    # Fewer than GROUP_SHARE * shards groups.
-    large = groups.where(F.col("w") * GROUP_SHARE * shards > whole["w"])
-    flagged = rows.join(F.broadcast(large.select("g", F.lit(True).alias("large"))), "g", "left")
-    rows = flagged.withColumn("u", F.when(F.col("large"), F.xxhash64("g", "id")).otherwise(F.col("g"))).drop("large")
+    # Fewer groups than shards do not fit one.
+    large = groups.where(F.col("w") * shards > whole["w"]).select("g", F.lit(True).alias("large"))
+    flagged = rows.join(F.broadcast(large), "g", "left")
+    # Of those, ids repeated for a large part of a shard: fewer than UNIT_SHARE * shards.
+    often = flagged.where("large").groupBy("g", "id").agg(F.sum("size").alias("w")).where(
+        F.col("w") * UNIT_SHARE * shards > whole["w"]).select(F.col("g").alias("often_g"), F.col("id").alias("often_id"))
+    flagged = flagged.join(F.broadcast(often), (F.col("g") == F.col("often_g")) & F.col("id").eqNullSafe(F.col("often_id")), "left")
+    each = F.when(F.col("often_g").isNotNull(), F.xxhash64("g", "id", F.monotonically_increasing_id())).otherwise(
+        F.xxhash64("g", "id"))
+    rows = flagged.withColumn("u", F.when(F.col("large"), each).otherwise(F.col("g")))
     scaled = [(F.floor((F.min(f"d{i}") - whole[f"lo{i}"]) * ((SCALE - 1) / ((whole[f"hi{i}"] - whole[f"lo{i}"]) or 1)))
                .cast("long")).alias(f"d{i}") for i in range(n)]
     rows = stage(rows.select("id", "size", "crc", "u", *[f"d{i}" for i in range(n)]), "shard-units-rows")
@@ -71,12 +78,39 @@ def _units(df: DataFrame, id_col: str, text_col: str, dims: dict[str, Column], s
     return rows, stage(units, "shard-units"), whole
 
 
+def deal(units: list[tuple[int, int]], shards: int, rest: int) -> tuple[dict[int, int], list[float]]:
+    """Shards of the large units (number, size), the largest first to the emptiest shard, and the room for the ``rest``
+    each shard is then left with: up to one level for all."""
+    load, at = [(0, s) for s in range(shards)], {}
+    for unit, size in sorted(units, key=lambda u: (-u[1], u[0])):
+        held, s = heapq.heappop(load)
+        at[unit] = s
+        heapq.heappush(load, (held + size, s))
+    full = sorted(load)
+    level, taken = 0.0, 0
+    for i, (held, _) in enumerate(full):
+        taken += held
+        level = (rest + taken) / (i + 1)
+        if i + 1 == shards or level <= full[i + 1][0]:
+            break
+    room = [0.0] * shards
+    for held, s in full:
+        room[s] = max(0.0, level - held)
+    return at, room
+
+
 class _Tree:
     """Splits by node number (children of node i are 2i and 2i + 1)."""
 
-    def __init__(self, shards: int, dims: int):
-        self.leaves = {1: (0, shards)}  # node: first shard, number of shards
-        self.dims, self.levels = dims, []
+    def __init__(self, room: list[float], dims: int):
+        self.leaves = {1: (0, len(room))}  # node: first shard, number of shards
+        self.room, self.dims, self.levels = room, dims, []
+
+    def left(self, node: int) -> float:
+        """The part of a node that belongs on its left side."""
+        first, k = self.leaves[node]
+        whole = sum(self.room[first:first + k])
+        return sum(self.room[first:first + k // 2]) / whole if whole else (k // 2) / k
 
     def open(self) -> list[int]:
         return [i for i, (_, k) in self.leaves.items() if k > 1]
@@ -116,9 +150,8 @@ def _cut_level(placed: DataFrame, tree: _Tree, total: int, shards: int) -> dict[
     dim, goal, lo, hi, before, cuts = {}, {}, {}, {}, {}, {}
     for x in ranges:  # at most one row per shard
         i = x["node"]
-        k = tree.leaves[i][1]
         dim[i] = max(range(tree.dims), key=lambda d: (x[f"hi{d}"] - x[f"lo{d}"], -d))
-        goal[i], before[i] = x["w"] * (k // 2) / k, 0
+        goal[i], before[i] = x["w"] * tree.left(i), 0
         lo[i], hi[i] = x[f"lo{dim[i]}"] << 32, (x[f"hi{dim[i]}"] + 1) << 32
     for i in tree.open():
         if i not in dim:  # an empty node
@@ -160,26 +193,21 @@ def kd_shards(df: DataFrame, shards: int, dims: dict[str, Column], id_col: str =
     rows, units, whole = _units(df, id_col, text_col, dims, shards)
     if units is None:
         placed = rows.select("id", "size", "crc", F.lit(0).alias("shard"))
-        n = 0
     else:
-        tree = _Tree(shards, len(dims))
-        at = units.withColumn("node", F.lit(1))
+        # Fewer than UNIT_SHARE * shards units.
+        large = {x["u"]: x["w"] for x in units.where(F.col("w") * UNIT_SHARE * shards > whole["w"]).select("u", "w").collect()}
+        where, room = deal(list(large.items()), shards, whole["w"] - sum(large.values()))
+        dealt = df.sparkSession.createDataFrame(list(where.items()), "dealt_u long, shard int")
+        tree = _Tree(room, len(dims))
+        at = units.join(F.broadcast(dealt), F.col("u") == F.col("dealt_u"), "left_anti").withColumn("node", F.lit(1))
         while tree.open():
             tree.split(_cut_level(at, tree, whole["w"], shards))
             at = stage(tree.descend(at), "shard-level")
-        n = whole["n"]
         shard = by_node(F.col("node"), {i: first for i, (first, _) in tree.leaves.items()}, "int")
-        leaf = stage(at.select("u", F.col("n").alias("copies"), shard.alias("shard")), "shard-leaves")
-        placed = join_by_class(rows.select("id", "size", "crc", "u"), leaf, "u", "copies", n)
-    # Slots: count per (shard, bucket), then number the rows of a bucket.
-    buckets = max(1, n // (SLOT_ROWS * shards))
-    bucketed = stage(placed.select("id", "size", "crc", "shard",
-                                   F.pmod(F.xxhash64("id", "crc"), F.lit(buckets)).cast("int").alias("bucket")),
-                     "shard-placed")
-    counts = bucketed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
-    base = F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")
-    numbered = bucketed.withColumn("k", F.row_number().over(
-        Window.partitionBy("shard", "bucket").orderBy("id", "crc", "size")))
-    return numbered.join(counts.select("shard", "bucket", base.alias("base")), ["shard", "bucket"]).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-        (F.col("base") + F.col("k") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        small = at.select("u", F.col("n").alias("copies"), shard.alias("shard"))
+        few = units.join(F.broadcast(dealt), F.col("u") == F.col("dealt_u")).select("u", F.col("n").alias("copies"), "shard")
+        leaf = stage(small.unionByName(few), "shard-leaves")
+        placed = join_by_class(rows.select("id", "size", "crc", "u"), leaf, "u", "copies", whole["n"])
+    slots = numbered(placed.select("id", "size", "crc", "shard"), ["shard"], ["id", "crc", "size"], "slot")
+    return slots.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+                        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

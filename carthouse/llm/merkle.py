@@ -32,10 +32,10 @@ from functools import partial, reduce
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carthouse.llm.common import stage
+from carthouse.llm.common import numbered, stage
 
 FAN_OUT = 16
 #: Levels of one chunk: a task holds the FAN_OUT ** LEVELS nodes of one chunk at a time.
@@ -54,26 +54,6 @@ def leaf_digest(fields: list[Column]) -> Column:
     return F.sha2(F.concat(*[framed(c) for c in fields]).cast("binary"), 256)
 
 
-def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` (with ``grp``) staged with ``idx``, gapless from 0 in each group, and ``m``, the group's rows.
-
-    One range sort deals the rows; a row's number is its place in its partition
-    plus what earlier partitions hold of its group.
-    """
-    keyed = rows.withColumn("spread", F.monotonically_increasing_id())
-    keys = ["grp", *order, "spread"]
-    dealt = stage(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("spread")
-                  .withColumn("at", F.monotonically_increasing_id())
-                  .withColumn("part", F.shiftright("at", 33)), "merkle-ranked")
-    held = dealt.groupBy("grp", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("grp").orderBy("part")
-    held = held.select(
-        F.col("grp").alias("held_grp"), F.col("part").alias("held_part"), "first",
-        (F.sum("n").over(before) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy("grp")).alias("m"))
-    same = (dealt["part"] == held["held_part"]) & dealt["grp"].eqNullSafe(held["held_grp"])
-    return dealt.join(held, same).select(*rows.columns, (F.col("at") - F.col("first") + F.col("base")).alias("idx"), "m")
-
-
 def _chunked(nodes: DataFrame, size: int, fields: list[str]) -> DataFrame:
     """Nodes (grp, idx, m, fields) as rows (grp, chunk, m, items in order of idx), at most ``size`` items each."""
     items = F.sort_array(F.collect_list(F.struct("idx", *fields)))
@@ -252,7 +232,7 @@ def merkle_manifest(df: DataFrame, fields: list[str], group_col: str, id_col: st
     other = leaf_digest([(swapped or {}).get(f, F.col(f"`{f}`")) for f in fields])
     leaves = df.select(F.col(f"`{group_col}`").alias("grp"), F.col(f"`{id_col}`").alias("id"), own.alias("digest"),
                        (F.when(swaps, other) if swaps is not None else F.lit(None).cast("string")).alias("swap"))
-    rounds, subroots = _climb(_ranked(leaves, ["id", "digest"]), ["id", "digest", "swap"], levels)
+    rounds, subroots = _climb(numbered(leaves, ["grp"], ["id", "digest"], "idx", "m"), ["id", "digest", "swap"], levels)
     subroots = stage(subroots, "merkle-subroots")
     kind = leaves.schema["id"].dataType.simpleString()
     out = f"id {kind}, leaf string, subroot string, proof_sha256 string, folded_root string"
@@ -260,15 +240,15 @@ def merkle_manifest(df: DataFrame, fields: list[str], group_col: str, id_col: st
         shape = out.replace("folded_root", "root string, folded_root") + (f", siblings {_PATH}" if siblings else "")
         return df.sparkSession.createDataFrame([], shape + ", verified boolean").withColumnRenamed("id", id_col)
     # The same tree over the subroots; its nodes are numbered in the order of the groups.
-    tops = stage(_ranked(subroots.select(F.lit(0).alias("grp"), F.col("grp").alias("name"), "digest"), ["name"]),
-                 "merkle-tops")
+    tops = stage(numbered(subroots.select(F.lit(0).alias("grp"), F.col("grp").alias("name"), "digest"), ["grp"], ["name"],
+                          "idx", "m"), "merkle-tops")
     top_rounds, last = _climb(tops, ["name", "digest"], levels)
     root = last.first()["digest"]
     start = df.sparkSession.createDataFrame([(0, [], "")], f"grp int, path {_PATH}, subroot string")
     paths = _descend(top_rounds, start, levels).mapInArrow(
         partial(_child_paths, levels=levels), f"grp int, chunk long, path {_PATH}, subroot string")
-    numbered = tops.select(F.col("name").alias("grp"), F.col("digest").alias("subroot"), "idx")
-    by_group = stage(paths.drop("grp", "subroot").join(numbered, F.col("chunk") == F.col("idx"))
+    places = tops.select(F.col("name").alias("grp"), F.col("digest").alias("subroot"), "idx")
+    by_group = stage(paths.drop("grp", "subroot").join(places, F.col("chunk") == F.col("idx"))
                      .select("grp", "path", "subroot"), "merkle-group-paths")
     met = _descend(rounds, by_group, levels)
     found = met.mapInArrow(partial(_folds, levels=levels, siblings=siblings),

@@ -128,7 +128,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         n, r, at = row_of(lengths, ranks)
         return pa.array(offset[at] + n * (r % per[at]))
 
-    ranked = numbered(pieces, ["length"], ["id", "piece", "crc"], sum(counts.values()), "rank")
+    ranked = numbered(pieces, ["length"], ["id", "piece", "crc"], "rank")
     return ranked.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
                          sequence_of("length", "rank").alias("sequence_id"), offset_of("length", "rank").alias("offset"),
                          *["ids"] * keep_ids)

@@ -67,3 +67,39 @@ def test_pairs_of_a_small_table_stay_together(spark):
     for r in got:
         where[text[r.doc_id]].add(r.shard)
     assert all(len(v) == 1 for v in where.values())
+
+
+def sizes(got, shards):
+    out = [0] * shards
+    for r in got:
+        out[r.shard] += r.size
+    return out
+
+
+def test_repeated_rows_are_dealt_like_others(spark):
+    """A third of the rows are one row again and again, above a shard together: no shard takes them all."""
+    rnd = random.Random(6)
+    rows = [(i, "w" * rnd.randint(1, 200) + str(i), "a", 1, "x") for i in range(4000)] + [(7, "hot text " * 12, "a", 1, "x")] * 2000
+    got = kdshard.kd_shards(spark.createDataFrame(rows, SCHEMA).repartition(3), 8, dims()).collect()
+    check(rows, got, 8)
+    held = sizes(got, 8)
+    assert max(held) < 1.03 * sum(held) / 8 and min(held) > 0.97 * sum(held) / 8
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """Groups of 0.1 to 0.9 of a shard each, and single documents as large: all whole, shards near equal all the same."""
+    rnd = random.Random(7)
+    rows = [(i, "w" * rnd.randint(1, 300) + str(i), rnd.choice("ab"), 1, "x") for i in range(6000)]
+    share = sum(len(t) + 16 for _, t, *_ in rows) * 2 / 8
+    for g, part in enumerate((0.9, 0.7, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1)):
+        n = rnd.randint(2, 60)
+        rows += [(10_000 + 100 * g + i, f"group {g} " + "g" * int(part * share / n - 24), "a", 1, "x") for i in range(n)]
+    rows += [(20_000 + i, "d" * int(0.25 * share) + str(i), "b", 1, "x") for i in range(12)]
+    got = kdshard.kd_shards(spark.createDataFrame(rows, SCHEMA).repartition(4), 8, dims()).collect()
+    check(rows, got, 8)
+    text, where = {r[0]: r[1] for r in rows}, defaultdict(set)
+    for r in got:
+        where[text[r.doc_id]].add(r.shard)
+    assert all(len(v) == 1 for v in where.values())
+    held = sizes(got, 8)
+    assert max(held) < 1.03 * sum(held) / 8 and min(held) > 0.97 * sum(held) / 8

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carthouse.llm import merkle
+from carthouse.llm.common import numbered
 from carthouse.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, grp string, idx long"
@@ -109,7 +110,7 @@ def test_nodes_are_numbered_across_partitions(spark):
     try:
         df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7))).alias("grp"),
                                       (F.col("id") % 2).alias("id"))
-        got = merkle._ranked(df.repartition(6), ["id"]).collect()
+        got = numbered(df.repartition(6), ["grp"], ["id"], "idx", "m").collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     groups = {}
