@@ -12,8 +12,8 @@ Targets: the sources share 100 % of all words by weight; a target stops at
 Defined cases: a null text has no words; a null source is a source of its own,
 ordered last; a document of no source (a null or empty array) is never taken;
 documents without words are taken or left with their neighbours
-in the seeded order; repeated rows (same id, same text) are taken or left
-together; an empty table gives an empty result; more than ``max_patterns``
+in the seeded order; repeated rows (same id, same text) are numbered and taken
+or left one by one; an empty table gives an empty result; more than ``max_patterns``
 membership patterns raise an error, none is dropped; ``mixed`` carries other
 columns through untouched whatever their names.
 """
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carthouse.llm.common import WORD, stage, unpacked
+from carthouse.llm.common import WORD, numbered, stage, unpacked
 
 #: Patterns the driver plans for; above it the plan is refused.
 MAX_PATTERNS = 100_000
@@ -135,6 +135,7 @@ class Mix:
     order: Column
     sizes: dict
     targets: dict
+    repeated: DataFrame | None  # seeded numbers that several rows share
 
 
 def seeded_order(id_col: Column, text: Column, seed: int) -> Column:
@@ -228,6 +229,16 @@ def _words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _apart(rows: DataFrame, repeated: DataFrame | None, seed: int) -> DataFrame:
+    """``rows`` with a seeded number of its own for every repetition of a row; its first keeps the row's."""
+    if repeated is None:
+        return rows
+    alone, again = rows.join(repeated, "r", "left_anti"), rows.join(repeated, "r", "left_semi")
+    copy = numbered(again.select(rows.columns), ["r"], [], "copy")
+    own = F.when(F.col("copy") == 0, F.col("r")).otherwise(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "r", "copy"), 1))
+    return alone.select(rows.columns).unionByName(copy.withColumn("r", own).select(rows.columns))
+
+
 def _pattern(df: DataFrame, members: Column) -> Column:
     """A document's sources as a sorted set; without any (a null array) the empty set."""
     if df.select(members.alias("m")).schema["m"].dataType.typeName() != "array":
@@ -244,6 +255,10 @@ def plan_mix(df: DataFrame, id_col: str, text_col: str, members: Column, weights
                      _words(F.col(text_col)).alias("size"),
                      order.alias("r"))
     rows = stage(rows, "mix-rows")
+    repeated = stage(rows.groupBy("r").count().where("count > 1").select("r"), "mix-repeated")
+    repeated = None if repeated.isEmpty() else repeated
+    if repeated is not None:
+        rows = stage(_apart(rows, repeated, seed), "mix-rows")
     found = rows.groupBy("members").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -266,7 +281,7 @@ def plan_mix(df: DataFrame, id_col: str, text_col: str, members: Column, weights
     rest = {i: t - f * w for i, (t, f, (_, w)) in enumerate(zip(take, full, patterns))}
     stretches, filler = _selection(slim, rest, dict(enumerate(take)))
     cuts = spark.createDataFrame([(i, stretches[i], filler.get(i, -1)) for i in rest], f"pid int, {_STRETCHES}, filler long")
-    return Mix(rows, named.join(F.broadcast(cuts), "pid"), order, sizes, goal)
+    return Mix(rows, named.join(F.broadcast(cuts), "pid"), order, sizes, goal, repeated)
 
 
 def _copies() -> Column:
@@ -283,9 +298,10 @@ def taken(mix: Mix) -> DataFrame:
 def mixed(df: DataFrame, mix: Mix, id_col: str, text_col: str, members: Column, seed: int = 0) -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as the plan takes it.
 
-    Decided from a row and the broadcast plan alone; no text is shuffled."""
+    Decided from a row and the broadcast plan alone; only repeated rows are shuffled, to number them."""
     full = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
                      _pattern(df, members).alias("members"), _words(F.col(text_col)).alias("size"),
                      seeded_order(F.col(id_col), F.col(text_col), seed).alias("r"))
+    full = _apart(full, mix.repeated, seed)
     met = full.join(F.broadcast(mix.plan), "members").select("row", _copies().alias("copies")).where("copies > 0")
     return unpacked(met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))), df.columns)

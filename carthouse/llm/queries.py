@@ -28,7 +28,7 @@ def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_text(F.col("doc_id")) % 4 == 2
     model = langid.fit(docs, "text", "lang", "doc_id", F.coalesce(~held_out, F.lit(False)))
-    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op5_kd_shards(spark, sf_dir):
@@ -53,7 +53,7 @@ def op8_toxicity(spark, sf_dir):
     every, index = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text",
                                 "toxic", ~held_out)
     found = toxicity.scores(every, index).withColumnRenamed("id", "doc_id")
-    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
 def op9_packing(spark, sf_dir):
