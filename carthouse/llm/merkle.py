@@ -232,6 +232,7 @@ def merkle_manifest(df: DataFrame, fields: list[str], group_col: str, id_col: st
     other = leaf_digest([(swapped or {}).get(f, F.col(f"`{f}`")) for f in fields])
     leaves = df.select(F.col(f"`{group_col}`").alias("grp"), F.col(f"`{id_col}`").alias("id"), own.alias("digest"),
                        (F.when(swaps, other) if swaps is not None else F.lit(None).cast("string")).alias("swap"))
+    leaves = stage(leaves, "merkle-leaves")  # texts are hashed once; the range sort reads its input twice
     rounds, subroots = _climb(numbered(leaves, ["grp"], ["id", "digest"], "idx", "m"), ["id", "digest", "swap"], levels)
     subroots = stage(subroots, "merkle-subroots")
     kind = leaves.schema["id"].dataType.simpleString()
