@@ -388,6 +388,12 @@ def q_catch_up_item_quantity(spark, sf_dir):
     return _catch_up(spark, sf_dir, "item_quantity", item_quantity_table)
 
 
+def q_catch_up_co_partitioned(spark, sf_dir):
+    """J1 on a table in hash buckets: the stored rows stay where they are, the delta alone is shuffled."""
+    from carthouse.sources.tables import item_quantity_table
+    return _catch_up(spark, sf_dir, "item_quantity", lambda s, path: item_quantity_table(s, path, buckets=16))
+
+
 def q_catch_up_balance(spark, sf_dir):
     from carthouse.sources.tables import balance_table
     return _catch_up(spark, sf_dir, "balance", balance_table)
@@ -547,6 +553,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vendor_months": q_vendor_months,
         "stream_balance_by_vendor": q_stream_balance_by_vendor,
         "catch_up_item_quantity": q_catch_up_item_quantity,
+        "catch_up_co_partitioned": q_catch_up_co_partitioned,
         "catch_up_balance": q_catch_up_balance,
         "rebuild_item_quantity": q_rebuild_item_quantity,
         "latest_name": q_latest_name,
@@ -785,6 +792,7 @@ def oracle_sql() -> dict[str, str]:
   FROM ({_BALANCE}) b""",
         "stream_balance_by_vendor": _BALANCE,
         "catch_up_item_quantity": _BY_DAY,
+        "catch_up_co_partitioned": _BY_DAY,
         "catch_up_balance": _BALANCE,
         "rebuild_item_quantity": _BY_DAY,
         "latest_name": f"""
