@@ -1,14 +1,15 @@
 """Operator 8, toxicity by the nearest labelled examples.
 
 Every text becomes a TF-IDF vector over all words of a bounded labelled sample
-(document frequencies are counted over all documents); a word weighs up to
-1 + GAIN times as much the more surely it occurs more often under label 1. A
-block-max inverted index of the sample finds each text's nearest examples by
-exact cosine: blocks whose upper bound cannot reach the result are left out.
-Their votes, weighted by similarity and by how many labelled rows an example
-stands for, become a probability through an isotonic fit of the examples' own
-leave-one-out votes; near copies of an example then follow its label. The
-nearest examples are returned as evidence.
+(document frequencies are counted over all documents). A block-max inverted
+index of the sample finds each text's nearest examples by exact cosine: blocks
+whose upper bound cannot reach the result are left out. A neighbour's vote
+weighs its similarity, more the larger the part of it that rests on words that
+surely occur more often under label 1, and how many labelled rows an example
+stands for. The votes become a probability through an isotonic fit of the
+examples' own leave-one-out votes, for which those words are learned from the
+other folds; near copies of an example then follow its label. The nearest
+examples are returned as evidence.
 
 Sample: per label the ``sample`` labelled ids with the smallest hash. The driver
 and every task hold its distinct words and its vectors.
@@ -37,19 +38,22 @@ from carthouse.llm.langid import words_of
 
 #: Labelled ids per label.
 SAMPLE = 4000
-#: A word weighs 1 + GAIN * z^2 / (DOUBT + z^2), z being the z score of its log odds towards label 1.
-GAIN = 20.0
+#: A word marks label 1 by z^2 / (DOUBT + z^2), z being the z score of its log odds towards it. A vote weighs the
+#: similarity times this power of the share of the similarity that marks make up.
 DOUBT = 10.0
-#: Examples of one index block, neighbours, and the weight of the prior against full similarity.
+MARKED = 1.5
+#: Folds of near-copy families: an example's own vote uses marks learned from the others.
+FOLDS = 5
+#: Examples of one index block, neighbours, and the weight of the prior against a full vote.
 BLOCK = 64
-NEIGHBOURS = 25
-PRIOR = 0.5
+NEIGHBOURS = 400
+PRIOR = 0.05
 EVIDENCE = 3
 #: Words kept as dense rows: those most examples hold. Texts scored over them at once.
 HEAD = 400
 TOGETHER = 64
 #: Near copies: a similarity above ALIKE counts, to this power; the weight of the calibrated vote against an exact copy.
-ALIKE = 0.5
+ALIKE = 0.9
 SHARPNESS = 4
 VOTE = 0.25
 #: Answers a task remembers for equal texts.
@@ -79,18 +83,18 @@ def vocabulary(sample: DataFrame) -> np.ndarray:
     return np.sort(words.column("word").to_numpy().view(np.uint64))
 
 
-def class_weights(pos: np.ndarray, neg: np.ndarray, positives: int, negatives: int) -> np.ndarray:
-    """Of words in ``pos`` and ``neg`` examples of either label: between 1 and 1 + GAIN."""
+def word_marks(pos: np.ndarray, neg: np.ndarray, positives: int, negatives: int) -> np.ndarray:
+    """How surely, from 0 to 1, words in ``pos`` and ``neg`` examples of either label mark label 1; all do with one label."""
     if not positives or not negatives:
         return np.ones(len(pos))
     a, b = pos + 0.5, neg + 0.5
     z = np.maximum(0, np.log(a / (positives + 1) / (b / (negatives + 1)))) / np.sqrt(1 / a + 1 / b)
-    return 1 + GAIN * z * z / (DOUBT + z * z)
+    return z * z / (DOUBT + z * z)
 
 
-def one_per_family(sample: DataFrame) -> DataFrame:
-    """Of sampled texts (id, label, text) that share their least three-word
-    shingle hash, as near copies mostly do, the one with the smallest id."""
+def families(sample: DataFrame) -> dict[int, int]:
+    """The family of every sampled text (id, label, text): the smallest id of those of its label that share its least
+    three-word shingle hash, as near copies mostly do."""
     def key(batches):
         for b in batches:
             keys = np.zeros(b.num_rows, dtype=np.uint64)
@@ -100,11 +104,11 @@ def one_per_family(sample: DataFrame) -> DataFrame:
                     if len(w):
                         s = X.mix(w[:-2] * np.uint64(3) + w[1:-1] * np.uint64(5) + w[2:] * np.uint64(7)) if len(w) > 2 else w
                         keys[lo + i] = s.min()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys.view(np.int64))], names=["id", "label", "text", "family"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(keys.view(np.int64))], names=["id", "label", "family"])
 
-    keyed = sample.select("id", "label", "text").mapInArrow(key, "id long, label int, text string, family long")
-    nth = F.row_number().over(Window.partitionBy("label", "family").orderBy("id"))  # of a bounded sample
-    return keyed.withColumn("nth", nth).where("nth = 1").drop("nth", "family")
+    keyed = sample.select("id", "label", "text").mapInArrow(key, "id long, label int, family long")
+    least = F.min("id").over(Window.partitionBy("label", "family"))  # of a bounded sample
+    return {x["id"]: x["least"] for x in keyed.select("id", least.alias("least")).collect()}
 
 
 def vectors(df: DataFrame, id_col: str, text_col: str, words: np.ndarray) -> DataFrame:
@@ -163,7 +167,7 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    idf: np.ndarray  # with the class weight
+    idf: np.ndarray
     alone: float  # probability of a text without a word of the sample
     base: float  # share of label 1
     steps: tuple[np.ndarray, np.ndarray] | None = None
@@ -175,6 +179,8 @@ class Index:
     entry: np.ndarray | None = None
     example: np.ndarray | None = None
     value: np.ndarray | None = None
+    marks: np.ndarray | None = None  # of every word, learned from all examples
+    own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # each example's marking words and weights, from .. on
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Unit TF-IDF weights of a text's terms."""
@@ -239,16 +245,26 @@ class Index:
         best = best[similar[best] > 0]
         return found[best], similar[best]
 
-    def vote(self, examples: np.ndarray, similarity: np.ndarray) -> float:
-        w = self.weights[examples] * similarity
+    def marked(self, terms: np.ndarray, v: np.ndarray, examples: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
+        """The part of the examples' similarities that marking words make up, each by its mark."""
+        first, words, values = self.own
+        q = np.zeros(len(self.idf))
+        q[terms] = v * (self.marks if marks is None else marks)[terms]
+        begin, end = first[examples], first[examples + 1]
+        at = _ranges(begin, end)
+        return np.bincount(np.repeat(np.arange(len(examples)), end - begin), weights=q[words[at]] * values[at],
+                           minlength=len(examples))
+
+    def vote(self, examples: np.ndarray, similarity: np.ndarray, marked: np.ndarray) -> float:
+        w = self.weights[examples] * similarity * (marked / similarity) ** MARKED
         return float(((w * self.labels[examples]).sum() + PRIOR * self.base) / (w.sum() + PRIOR))
 
     def calibrated(self, vote: float) -> float:
         return vote if self.steps is None else float(np.interp(vote, *self.steps))
 
-    def probability(self, examples: np.ndarray, similarity: np.ndarray) -> float:
+    def probability(self, examples: np.ndarray, similarity: np.ndarray, marked: np.ndarray) -> float:
         """The calibrated vote, and the label of near copies the more alike they are."""
-        p = self.calibrated(self.vote(examples, similarity))
+        p = self.calibrated(self.vote(examples, similarity, marked))
         alike = (np.maximum(0, similarity - ALIKE) / (1 - ALIKE)) ** SHARPNESS
         if not alike.any():
             return p
@@ -269,8 +285,28 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return (np.array([v for p in pools for v in (p[2], p[3])]), np.array([p[0] for p in pools for _ in (0, 1)]))
 
 
+def learn_marks(examples: list[tuple[int, int, np.ndarray, np.ndarray]], family: dict[int, int],
+                words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(marks, fold of each example): row f of the marks is learned without fold f, the last from all examples.
+
+    A family of near copies counts once and lies in one fold."""
+    kin = np.array([family.get(e[0], e[0]) for e in examples], dtype=np.int64)
+    fold = (X.mix(kin.view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    held, parts = np.zeros((FOLDS, 2, words), dtype=np.float32), np.zeros((FOLDS, 2), dtype=np.int64)
+    for (i, y, terms, _), at, f in zip(examples, kin, fold):
+        if i == at:
+            held[f, y, terms] += 1
+            parts[f, y] += 1
+    every, all_parts = held.sum(axis=0), parts.sum(axis=0)
+    marks = np.empty((FOLDS + 1, words), dtype=np.float32)
+    for f in range(FOLDS + 1):
+        h, n = (every - held[f], all_parts - parts[f]) if f < FOLDS else (every, all_parts)
+        marks[f] = word_marks(h[1], h[0], n[1], n[0])
+    return marks, fold
+
+
 def build_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight: dict[int, float], idf: np.ndarray,
-                k: int = NEIGHBOURS) -> Index:
+                k: int = NEIGHBOURS, family: dict[int, int] | None = None) -> Index:
     """Index (id, label, terms, counts) examples; ``weight`` says how many labelled rows one of a label stands for."""
     full = [e for e in examples if len(e[2])]
     every = np.array([weight[e[1]] for e in examples])
@@ -287,8 +323,17 @@ def build_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight:
     index.labels = np.array([full[i][1] for i in order], dtype=float)
     mean = float(every.mean()) if len(every) else 1.0
     index.weights = np.array([weight[full[i][1]] / mean for i in order])
+    marks, fold = learn_marks(full, family or {}, len(idf))
+    index.marks = marks[FOLDS]
+    marking = (marks > 0).any(axis=0)
+    own = [(full[i][2][marking[full[i][2]]], units[i][marking[full[i][2]]]) for i in order]
+    index.own = (np.concatenate(([0], np.cumsum([len(t) for t, _ in own]))).astype(np.int64),
+                 np.concatenate([t for t, _ in own] or [np.empty(0, np.int64)]), np.concatenate([v for _, v in own] or [np.empty(0)]))
     if len(full) > 1:
-        votes = [index.vote(*index.nearest(full[i][2], units[i], k, but=at)) for at, i in enumerate(order)]
+        votes = []
+        for at, i in enumerate(order):
+            near, similar = index.nearest(full[i][2], units[i], k, but=at)
+            votes.append(index.vote(near, similar, index.marked(full[i][2], units[i], near, marks[fold[i]])))
         index.steps = isotonic(np.array(votes), index.labels, index.weights)
     return index
 
@@ -307,22 +352,17 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
                   .join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "toxic-texts")
     words = vocabulary(texts)
     label = {x["id"]: x["label"] for x in texts.select("id", "label").collect()}
-    diverse = {x["id"] for x in one_per_family(texts).select("id").collect()}
+    family = families(texts)
     examples = []
     for b in vectors(texts, "id", "text", words).toArrow().to_batches():
         examples += [(i, label[i], *e) for i, e in zip(b.column(0).to_pylist(), _lists(b.column(1), b.column(2)))]
     examples.sort(key=lambda e: e[0])
     every = stage(vectors(df, id_col, text_col, words), "toxic-vectors")
     rows, frequency = frequencies(every, len(words))
-    held, parts = np.zeros((2, len(words))), [0, 0]  # by near-copy families, so that a much copied text counts once
-    for i, y, terms, _ in examples:
-        if i in diverse:
-            held[y, terms] += 1
-            parts[y] += 1
     idf = np.log((1 + rows) / (1 + frequency)) + 1
     sizes = [sum(y == z for z in label.values()) for y in (0, 1)]
     weight = {y: totals[y] / max(1, sizes[y]) for y in totals}
-    return every, build_index(examples, weight, idf * class_weights(held[1], held[0], parts[1], parts[0]))
+    return every, build_index(examples, weight, idf, family=family)
 
 
 def scores(every: DataFrame, index: Index, k: int = NEIGHBOURS, threshold: float = 0.7) -> DataFrame:
@@ -333,8 +373,8 @@ def scores(every: DataFrame, index: Index, k: int = NEIGHBOURS, threshold: float
         ix = shared.value
         seen: dict = {}
 
-        def answer(near, similar):
-            return ix.probability(near, similar), [{"id": int(ix.ids[i]), "label": int(ix.labels[i]), "similarity": float(s)}
+        def answer(terms, v, near, similar):
+            return ix.probability(near, similar, ix.marked(terms, v, near)), [{"id": int(ix.ids[i]), "label": int(ix.labels[i]), "similarity": float(s)}
                                                    for i, s in zip(near[:EVIDENCE], similar)]
 
         for b in batches:
@@ -348,7 +388,7 @@ def scores(every: DataFrame, index: Index, k: int = NEIGHBOURS, threshold: float
                 some = todo[a:a + TOGETHER]
                 units = [(texts[i][0], ix.vector(*texts[i])) for i in some]
                 for i, unit, head in zip(some, units, ix.head_scores(units)):
-                    seen[keys[i]] = answer(*ix.nearest(*unit, k, score=head))
+                    seen[keys[i]] = answer(*unit, *ix.nearest(*unit, k, score=head))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([seen[x][0] for x in keys], pa.float64()),
                  pa.array([seen[x][1] for x in keys], pa.list_(pa.struct(

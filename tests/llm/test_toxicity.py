@@ -108,3 +108,41 @@ def test_ten_examples_a_label(spark):
     score = {r.id: r.score for r in T.scores(every, index).collect()}
     assert all(score[100 + i] > 0.8 for i in range(10)) and all(score[100 + i] < 0.2 for i in range(10, 20))
     assert score[200] > 0.7 and score[201] < 0.3
+
+
+def test_scores_equal_brute_force(spark):
+    """Whole result: plain TF-IDF cosines of all pairs, marks, votes, calibration and near copies in dense matrices."""
+    rnd = random.Random(12)
+    common = "sea walk tree hill road lake wind door lamp book".split()
+    rows = [(i, " ".join([rnd.choice(common) for _ in range(rnd.randint(1, 9))] + _fresh(rnd, 2).split() +
+                         ["nitwit"] * (i % 3 == 0 and rnd.random() < 0.8))) for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(5)] + [(300, "zzz"), (301, None)]
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    every, index = T.fit(spark.createDataFrame(rows, "doc_id long, text string"), marks, "doc_id", "text", "toxic")
+    got = {r.id: r for r in T.scores(every, index, k=20).collect()}
+    text = {i: (t or "").split() for i, t in rows}
+    words = sorted({w for i in range(120) for w in text[i]})
+    count = np.array([[text[i].count(w) for w in words] for i in text], dtype=float)
+    idf = np.log((1 + len(text)) / (1 + (count > 0).sum(axis=0))) + 1
+    v = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * idf
+    v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+    y = np.array([int(i % 3 == 0) for i in range(120)])
+    kin = T.families(spark.createDataFrame([(i, int(y[i]), rows[i][1]) for i in range(120)], "id long, label int, text string"))
+    alone = np.array([kin[i] == i for i in range(120)])  # a family counts once
+    held = np.array([(count[:120][alone & (y == c)] > 0).sum(axis=0) for c in (0, 1)])
+    mark = T.word_marks(held[1], held[0], (alone & (y == 1)).sum(), (alone & (y == 0)).sum())
+    cosine, part = v @ v[:120].T, (v * mark) @ v[:120].T
+    base = y.mean()
+    for at, i in enumerate(text):
+        near = [e for e in sorted(range(120), key=lambda e: (-round(cosine[at, e], 9), e)) if cosine[at, e] > 1e-9][:20]
+        assert [(e.id, round(e.similarity, 6)) for e in got[i].evidence] == [(e, round(cosine[at, e], 6)) for e in near[:3]]
+        if not near:
+            assert got[i].score == base
+            continue
+        s = cosine[at, near]
+        w = s * (part[at, near] / s) ** T.MARKED
+        p = index.calibrated(((w * y[near]).sum() + T.PRIOR * base) / (w.sum() + T.PRIOR))
+        alike = (np.maximum(0, s - T.ALIKE) / (1 - T.ALIKE)) ** T.SHARPNESS
+        if alike.any():
+            p = (T.VOTE * p + alike.max() * (alike * y[near]).sum() / alike.sum()) / (T.VOTE + alike.max())
+        assert abs(got[i].score - p) < 1e-4, (i, got[i].score, p)
