@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carthouse.session import checkpoint_root
 
@@ -86,12 +87,11 @@ def hash_sample(rows: DataFrame, group: str, key: str, counts: dict, limit: int)
     task sees more than that of a group.
     """
     h = F.shiftrightunsigned(F.xxhash64(key), 1)
-    below = F.lit(False)
-    for value, n in counts.items():
-        top = 2 ** 63 - 1 if n <= limit else int(2 ** 63 * min(1.0, 1.25 * limit / n)) - 1
-        below = below | ((F.col(group) == F.lit(value)) & (h <= F.lit(top)))
+    tops = [(value, 2 ** 63 - 1 if n <= limit else int(2 ** 63 * min(1.0, 1.25 * limit / n)) - 1) for value, n in counts.items()]
+    bars = rows.sparkSession.createDataFrame(tops, T.StructType([rows.schema[group], T.StructField("sample_top", T.LongType())]))
+    below = rows.join(F.broadcast(bars), group).where(h <= F.col("sample_top")).drop("sample_top")  # a row per group
     nth = F.row_number().over(Window.partitionBy(group).orderBy(h, key))
-    return rows.where(below).withColumn("sample_rank", nth).where(F.col("sample_rank") <= limit).drop("sample_rank")
+    return below.withColumn("sample_rank", nth).where(F.col("sample_rank") <= limit).drop("sample_rank")
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ switch labels the spans of one language. The text's language is the one whose
 spans hold most letters, its score their share.
 
 The n-gram counts come from a bounded sample of the labelled rows: the whole
-texts of the ``sample_docs`` rows of each language with the smallest hash.
+texts of the ``sample_docs`` rows of each language with the smallest hash. A
+model holds what each language has seen only, so it takes any number of them.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 a word in a script no learned language uses counts for no language, and a text
@@ -41,10 +42,11 @@ SWITCH = 6.0
 SCRIPT_SHARE = 0.01
 #: Labelled rows per language that are learned from.
 SAMPLE_DOCS = 1500
-#: Languages a model may have; more labels than this are refused.
-MAX_LANGUAGES = 200
-#: Texts decoded side by side hold about this many characters.
+#: Texts decoded side by side hold about this many characters, fewer the more languages there are beyond WIDE.
 PASS_CHARS = 1 << 20
+WIDE = 8
+#: Weights of n-grams added up at once.
+PASS_WEIGHTS = 1 << 22
 
 #: The first and last code points of the scripts that are told apart.
 SCRIPTS = (
@@ -132,55 +134,73 @@ def gram_slots(w: Words) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # slots x languages, log probabilities less their mean
+    floor: np.ndarray  # orders x languages, log probability of an n-gram never seen
+    first: np.ndarray  # the weights of each slot, from .. on; one more closes the last
+    language: np.ndarray  # the language of each weight
+    weight: np.ndarray  # what its n-gram's log probability exceeds the floor by
     allowed: np.ndarray  # scripts x languages
     common: int  # the most frequent language
 
 
-def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram counts and letters per script of some texts of one language."""
+def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams seen (their slots, and how often), and letters per script, of some texts of one language."""
     grams, letters = np.zeros(SLOTS * len(ORDERS)), np.zeros(len(SCRIPT_NAMES))
     for a, b in X.passes(texts):
         w = words_of(texts[a:b])
         grams += np.bincount(gram_slots(w)[0], minlength=len(grams))
         letters += np.bincount(w.script, weights=(w.ends - w.starts), minlength=len(letters))
-    return grams, letters
+    seen = np.flatnonzero(grams)
+    return seen.astype(np.int32), grams[seen], letters
 
 
-def learn(counted: dict[str, tuple[np.ndarray, np.ndarray]], rows: dict[str, int]) -> Model | None:
-    """A model from each language's n-gram and script counts; ``rows`` are its labelled rows."""
+def learn(counted: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], rows: dict[str, int]) -> Model | None:
+    """A model from each language's n-gram and script counts; ``rows`` are its labelled rows. Every n-gram counts half
+    a time more than seen."""
     languages = sorted(counted)
     if not languages:
         return None
-    grams = np.stack([counted[x][0] for x in languages])
-    letters = np.stack([counted[x][1] for x in languages], axis=1)
-    parts = []
-    for k in range(len(ORDERS)):
-        g = grams[:, k * SLOTS:(k + 1) * SLOTS] + 0.5
-        parts.append(np.log(g / g.sum(axis=1, keepdims=True)))
-    logs = np.concatenate(parts, axis=1) / len(ORDERS)
+    letters = np.stack([counted[x][2] for x in languages], axis=1)
+    floor = np.empty((len(ORDERS), len(languages)))
+    for i, x in enumerate(languages):
+        totals = np.bincount(counted[x][0] // SLOTS, weights=counted[x][1], minlength=len(ORDERS))
+        floor[:, i] = np.log(0.5 / (totals + 0.5 * SLOTS)) / len(ORDERS)
+    slot = np.concatenate([counted[x][0] for x in languages])
+    language = np.repeat(np.arange(len(languages), dtype=np.int32), [len(counted[x][0]) for x in languages])
+    weight = np.concatenate([np.log(2 * counted[x][1] + 1) / len(ORDERS) for x in languages])
+    order = np.argsort(slot, kind="stable")
+    first = np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=SLOTS * len(ORDERS)))))
     share = letters / np.maximum(1, letters.sum(axis=0))
-    return Model(languages, np.ascontiguousarray((logs - logs.mean(axis=0)).T.astype(np.float32)),
+    return Model(languages, floor, first, language[order], weight[order].astype(np.float32),
                  share >= SCRIPT_SHARE, max(range(len(languages)), key=lambda i: (rows.get(languages[i], 0), -i)))
 
 
 def word_scores(m: Model, w: Words) -> np.ndarray:
     """words x languages; a language that is no candidate in the word's script gets -inf, a word of none zeros."""
-    n = len(w.starts)
-    out = np.zeros((n, len(m.languages)), dtype=np.float32)
-    if not n:
-        return out
+    width = len(m.languages)
+    if not len(w.starts):
+        return np.zeros((0, width), dtype=np.float32)
     h = X.hash_spans(w.points, w.starts, w.ends)
     _, where, back = np.unique(h, return_index=True, return_inverse=True)
     some = Words(w.points, w.starts[where], w.ends[where], w.script[where], w.first, w.edges)
     slots, owner = gram_slots(some)
-    scores = np.empty((len(where), len(m.languages)), dtype=np.float32)
-    for i in range(len(m.languages)):
-        scores[:, i] = np.bincount(owner, weights=m.weights[slots, i], minlength=len(where))
+    held = np.bincount(owner * len(ORDERS) + slots // SLOTS, minlength=len(where) * len(ORDERS))
+    scores = held.reshape(len(where), len(ORDERS)) @ m.floor
+    order = np.argsort(owner, kind="stable")  # so that a part of the n-grams adds to a stretch of the words
+    slots, owner = slots[order], owner[order]
+    n = m.first[slots + 1] - m.first[slots]
+    upto = np.cumsum(n)
+    a = 0
+    while a < len(slots):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PASS_WEIGHTS, side="right")))
+        at = np.arange(int(n[a:b].sum())) + np.repeat(m.first[slots[a:b]] - (upto[a:b] - n[a:b] - (upto[a - 1] if a else 0)), n[a:b])
+        lo, hi = owner[a], owner[b - 1] + 1
+        cell = np.repeat(owner[a:b] - lo, n[a:b]) * width + m.language[at]
+        scores[lo:hi] += np.bincount(cell, weights=m.weight[at], minlength=(hi - lo) * width).reshape(hi - lo, width)
+        a = b
     allowed = m.allowed[some.script]
     scores[~allowed] = -np.inf
     scores[~allowed.any(axis=1)] = 0
-    return scores[back]
+    return scores.astype(np.float32)[back]
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -192,9 +212,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
     if not len(counts) or not counts[0]:
         return labels
     languages = scores.shape[1]
-    came = np.zeros(scores.shape, dtype=np.int16)
+    number = np.int16 if languages < 1 << 15 else np.int32
+    came = np.zeros(scores.shape, dtype=number)
     state = np.zeros((len(counts), languages), dtype=np.float64)
-    stay = np.arange(languages, dtype=np.int16)
+    stay = np.arange(languages, dtype=number)
     live = np.searchsorted(-counts, -np.arange(counts[0]), side="left")  # texts with more than t words
     for t in range(int(counts[0])):
         n = live[t]
@@ -204,7 +225,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
             top = s.argmax(axis=1)
             best = s[np.arange(n), top] - penalty
             switch = best[:, None] > s
-            came[at] = np.where(switch, top[:, None].astype(np.int16), stay)
+            came[at] = np.where(switch, top[:, None].astype(number), stay)
             s = np.where(switch, best[:, None], s)
         state[:n] = s + scores[at]
     now = state.argmax(axis=1)
@@ -219,7 +240,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
 def predict(m: Model | None, texts: list[str | None], penalty: float = SWITCH, spans: bool = False):
     """(language, score, spans) of each text; spans are (start, end, language) in code points."""
     whole = [t or "" for t in texts]
-    for a, b in X.passes(whole, PASS_CHARS):
+    for a, b in X.passes(whole, PASS_CHARS * WIDE // max(WIDE, len(m.languages) if m else 0)):
         if m is None:
             yield from ((UNDETERMINED, 0.0, []) for _ in range(a, b))
             continue
@@ -249,25 +270,24 @@ def fit(df: DataFrame, text_col: str, lang_col: str, id_col: str, use: Column |
     known = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     rows = df.where(known if use is None else known & use).select(
         F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = hash_sample(rows, "lang", "id", counts, sample_docs).select("lang", "text")
 
     def count(table: pa.Table) -> pa.Table:  # at most sample_docs rows
-        grams, letters = count_grams(table.column("text").to_pylist())
-        return pa.table({"lang": table.column("lang")[:1], "grams": [grams.tobytes()], "letters": [letters.tobytes()]})
+        slots, times, letters = count_grams(table.column("text").to_pylist())
+        return pa.table({"lang": table.column("lang")[:1], "slots": [slots.tobytes()], "times": [times.tobytes()],
+                         "letters": [letters.tobytes()]})
 
-    got = sample.groupBy("lang").applyInArrow(count, "lang string, grams binary, letters binary").collect()
-    return learn({x["lang"]: (np.frombuffer(x["grams"]), np.frombuffer(x["letters"])) for x in got}, counts)
+    got = sample.groupBy("lang").applyInArrow(count, "lang string, slots binary, times binary, letters binary").collect()
+    return learn({x["lang"]: (np.frombuffer(x["slots"], np.int32), np.frombuffer(x["times"]), np.frombuffer(x["letters"]))
+                  for x in got}, counts)
 
 
 def _answers(df: DataFrame, model: Model | None, text: Column, others: list[Column], penalty: float, spans: bool) -> DataFrame:
     """``others`` with lang_pred and score (and the labelled spans)."""
     spark = df.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES x SLOTS
+    shared = spark.sparkContext.broadcast(model)  # at most SLOTS x ORDERS weights a language, from its bounded sample
     rows = df.select(*others, text.alias("text_to_label"))
     kept = rows.schema.fieldNames()[:-1]
     schema = rows.drop("text_to_label").schema.add("lang_pred", "string").add("score", "double")

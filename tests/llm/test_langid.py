@@ -89,3 +89,42 @@ def test_the_stage_keeps_even_mixtures_and_unknown_scripts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert kept == {*range(40), 100, 101}
+
+
+def _counts(texts):
+    """n-gram counts of every slot."""
+    seen, times, letters = langid.count_grams(texts)
+    full = np.zeros(langid.SLOTS * len(langid.ORDERS))
+    full[seen] = times
+    return full, letters
+
+
+def test_word_scores_equal_a_full_table(monkeypatch):
+    """Sparse weights against log probabilities of every slot and language, whatever goes into one pass."""
+    texts = {"de": [DE], "en": [EN], "fr": ["la maison et le jardin de cette ville"], "el": ["και το σπιτι"]}
+    m = langid.learn({x: langid.count_grams(t) for x, t in texts.items()}, {})
+    logs = []
+    for x in m.languages:
+        g = _counts(texts[x])[0].reshape(len(langid.ORDERS), -1) + 0.5
+        logs.append(np.log(g / g.sum(axis=1, keepdims=True)).ravel() / len(langid.ORDERS))
+    w = langid.words_of(["the haus unseen", "garden σπιτι ville " * 30])
+    slots, owner = langid.gram_slots(w)
+    want = np.stack([np.bincount(owner, weights=x[slots], minlength=len(w.starts)) for x in logs], axis=1)
+    allowed = m.allowed[w.script]
+    for weights in (langid.PASS_WEIGHTS, 5, 1):
+        monkeypatch.setattr(langid, "PASS_WEIGHTS", weights)
+        got = langid.word_scores(m, w)
+        assert np.allclose(got[allowed], want[allowed], atol=1e-4) and np.isinf(got[~allowed]).all()
+
+
+def test_many_languages(spark):
+    """300 labels, each with words of its own: no limit, and every one is told apart."""
+    rnd = random.Random(4)
+    words = {f"x{i:03d}": ["".join(rnd.choice("abcdefghijklmnoprstuvz") for _ in range(6)) for _ in range(30)] for i in range(300)}
+    text = lambda x, n: " ".join(rnd.choice(words[x]) for _ in range(n))
+    rows = [(i * 10 + j, text(x, 40), x) for i, x in enumerate(words) for j in range(2)]
+    rows += [(i * 10 + 5, text(x, 25), None) for i, x in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(df, "text", "lang", "doc_id")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df.where("lang is null"), m).collect()}
+    assert got == {i * 10 + 5: x for i, x in enumerate(words)}
