@@ -180,7 +180,6 @@ class Index:
     example: np.ndarray | None = None
     value: np.ndarray | None = None
     marks: np.ndarray | None = None  # of every word, learned from all examples
-    own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # each example's marking words and weights, from .. on
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Unit TF-IDF weights of a text's terms."""
@@ -219,9 +218,13 @@ class Index:
             q[i, self.row[terms[some]]] = v[some]
         return q @ self.dense
 
-    def nearest(self, terms: np.ndarray, v: np.ndarray, k: int, but: int = -1,
-                score: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, similarities) of the k nearest that share a term, exact; ties to the smaller id."""
+    def nearest(self, terms: np.ndarray, v: np.ndarray, k: int, but: int = -1, score: np.ndarray | None = None,
+                marks: np.ndarray | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(examples, similarities) of the k nearest that share a term, exact; ties to the smaller id.
+
+        With ``marks`` also the part of each similarity that marking words make
+        up, each by its mark. ``score`` and ``part`` are what the dense words
+        give (``head_scores``), where known."""
         n = len(self.ids)
         score = self.head_scores([(terms, v)])[0] if score is None else score
         if but >= 0:
@@ -232,28 +235,24 @@ class Index:
         block = self.block[at]
         upper = score.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weights=w * self.bound[at],
                                                                    minlength=len(score) // BLOCK)
-        live = (upper >= least - 2e-9)[block]  # what another block adds cannot change the result
-        at, w = at[live], w[live]
-        begin, end = self.entry[at], self.entry[at + 1]
+        live = np.flatnonzero((upper >= least - 2e-9)[block])  # what another block adds cannot change the result
+        begin, end = self.entry[at[live]], self.entry[at[live] + 1]
         p = _ranges(begin, end)
-        score = score + np.bincount(self.example[p], weights=np.repeat(w, end - begin) * self.value[p], minlength=len(score))
+        example, value = self.example[p], self.value[p]
+        score = score + np.bincount(example, weights=np.repeat(w[live], end - begin) * value, minlength=len(score))
         score = score[:n]
         least = np.partition(score, n - k)[n - k] if n > k else 0.0
         found = np.flatnonzero((score >= least - 2e-9) & (score > 0))
         similar = np.round(score[found], 9)
         best = np.lexsort((self.ids[found], -similar))[:k]
         best = best[similar[best] > 0]
-        return found[best], similar[best]
-
-    def marked(self, terms: np.ndarray, v: np.ndarray, examples: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
-        """The part of the examples' similarities that marking words make up, each by its mark."""
-        first, words, values = self.own
-        q = np.zeros(len(self.idf))
-        q[terms] = v * (self.marks if marks is None else marks)[terms]
-        begin, end = first[examples], first[examples + 1]
-        at = _ranges(begin, end)
-        return np.bincount(np.repeat(np.arange(len(examples)), end - begin), weights=q[words[at]] * values[at],
-                           minlength=len(examples))
+        if marks is None:
+            return found[best], similar[best]
+        v = v * marks[terms]
+        part = self.head_scores([(terms, v)])[0] if part is None else part
+        w = np.repeat(v, self.first[terms + 1] - self.first[terms])[live]
+        part = part + np.bincount(example, weights=np.repeat(w, end - begin) * value, minlength=len(part))
+        return found[best], similar[best], part[found[best]]
 
     def vote(self, examples: np.ndarray, similarity: np.ndarray, marked: np.ndarray) -> float:
         w = self.weights[examples] * similarity * (marked / similarity) ** MARKED
@@ -325,15 +324,8 @@ def build_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight:
     index.weights = np.array([weight[full[i][1]] / mean for i in order])
     marks, fold = learn_marks(full, family or {}, len(idf))
     index.marks = marks[FOLDS]
-    marking = (marks > 0).any(axis=0)
-    own = [(full[i][2][marking[full[i][2]]], units[i][marking[full[i][2]]]) for i in order]
-    index.own = (np.concatenate(([0], np.cumsum([len(t) for t, _ in own]))).astype(np.int64),
-                 np.concatenate([t for t, _ in own] or [np.empty(0, np.int64)]), np.concatenate([v for _, v in own] or [np.empty(0)]))
     if len(full) > 1:
-        votes = []
-        for at, i in enumerate(order):
-            near, similar = index.nearest(full[i][2], units[i], k, but=at)
-            votes.append(index.vote(near, similar, index.marked(full[i][2], units[i], near, marks[fold[i]])))
+        votes = [index.vote(*index.nearest(full[i][2], units[i], k, but=at, marks=marks[fold[i]])) for at, i in enumerate(order)]
         index.steps = isotonic(np.array(votes), index.labels, index.weights)
     return index
 
@@ -373,8 +365,8 @@ def scores(every: DataFrame, index: Index, k: int = NEIGHBOURS, threshold: float
         ix = shared.value
         seen: dict = {}
 
-        def answer(terms, v, near, similar):
-            return ix.probability(near, similar, ix.marked(terms, v, near)), [{"id": int(ix.ids[i]), "label": int(ix.labels[i]), "similarity": float(s)}
+        def answer(near, similar, marked):
+            return ix.probability(near, similar, marked), [{"id": int(ix.ids[i]), "label": int(ix.labels[i]), "similarity": float(s)}
                                                    for i, s in zip(near[:EVIDENCE], similar)]
 
         for b in batches:
@@ -387,8 +379,9 @@ def scores(every: DataFrame, index: Index, k: int = NEIGHBOURS, threshold: float
             for a in range(0, len(todo), TOGETHER):
                 some = todo[a:a + TOGETHER]
                 units = [(texts[i][0], ix.vector(*texts[i])) for i in some]
-                for i, unit, head in zip(some, units, ix.head_scores(units)):
-                    seen[keys[i]] = answer(*unit, *ix.nearest(*unit, k, score=head))
+                parts = ix.head_scores([(t, v * ix.marks[t]) for t, v in units])
+                for i, unit, head, part in zip(some, units, ix.head_scores(units), parts):
+                    seen[keys[i]] = answer(*ix.nearest(*unit, k, score=head, marks=ix.marks, part=part))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([seen[x][0] for x in keys], pa.float64()),
                  pa.array([seen[x][1] for x in keys], pa.list_(pa.struct(
