@@ -24,7 +24,11 @@ def parse_item_json(text) -> Column:
     ``errors`` array names each missing or malformed field; ``item`` is NULL
     unless the array is empty.
     """
-    j = F.from_json(_c(text), _ITEM_JSON_DDL)
+    # Bound to a name, so that the text is parsed once and not for every field and check.
+    return F.transform(F.array(F.from_json(_c(text), _ITEM_JSON_DDL)), _checked_item)[0]
+
+
+def _checked_item(j: Column) -> Column:
     pid, vid = canonical_uuid(j["productId"]), canonical_uuid(j["vendorId"])
     price = j["price"].try_cast("decimal(38,18)").cast("double")
     qty = F.when(j["quantity"].rlike(r"^\s*-?\d+\s*$"), j["quantity"].try_cast("int"))
