@@ -1,9 +1,9 @@
 """Operator 8, toxicity by the nearest labelled examples.
 
 Every text becomes a TF-IDF vector over all words of a bounded labelled sample
-(document frequencies are counted over all documents). A block-max inverted
-index of the sample finds each text's nearest examples by exact cosine: blocks
-whose upper bound cannot reach the result are left out. A neighbour's vote
+(document frequencies are counted over all documents). An inverted index of
+the sample finds each text's nearest examples by exact cosine; words that most
+examples hold are dense rows. A neighbour's vote
 weighs its similarity, more the larger the part of it that rests on words that
 surely occur more often under label 1, and how many labelled rows an example
 stands for. The votes become a probability through an isotonic fit of the
@@ -44,8 +44,7 @@ DOUBT = 10.0
 MARKED = 1.5
 #: Folds of near-copy families: an example's own vote uses marks learned from the others.
 FOLDS = 5
-#: Examples of one index block, neighbours, and the weight of the prior against a full vote.
-BLOCK = 64
+#: Neighbours, and the weight of the prior against a full vote.
 NEIGHBOURS = 400
 PRIOR = 0.05
 EVIDENCE = 3
@@ -161,9 +160,8 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The examples in blocks. ``dense`` are words with a row each over all
-    examples; the others have an entry per block that holds them, with their
-    largest weight there and the postings from ``entry`` on."""
+    """The examples. ``dense`` are words with a row each over all examples;
+    the others have postings: the examples that hold them and their weights there."""
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
@@ -173,10 +171,7 @@ class Index:
     steps: tuple[np.ndarray, np.ndarray] | None = None
     row: np.ndarray | None = None  # of each word in dense, or -1
     dense: np.ndarray | None = None
-    first: np.ndarray | None = None  # of each word's entries, one more closes the last
-    block: np.ndarray | None = None
-    bound: np.ndarray | None = None
-    entry: np.ndarray | None = None
+    first: np.ndarray | None = None  # of each word's postings, one more closes the last
     example: np.ndarray | None = None
     value: np.ndarray | None = None
     marks: np.ndarray | None = None  # of every word, learned from all examples
@@ -189,7 +184,6 @@ class Index:
     def post(self, units: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Fill the postings with the (terms, weights) of the examples in order."""
         n, width = len(units), len(self.idf)
-        blocks = -(-n // BLOCK)
         term = np.concatenate([t for t, _ in units] or [np.empty(0, np.int64)])
         value = np.concatenate([v for _, v in units] or [np.empty(0)])
         example = np.repeat(np.arange(n), [len(t) for t, _ in units])
@@ -197,18 +191,14 @@ class Index:
         head = np.argsort(-held, kind="stable")[:HEAD]
         self.row = np.full(width, -1)
         self.row[head] = np.arange(len(head))
-        self.dense = np.zeros((len(head), blocks * BLOCK))
+        self.dense = np.zeros((len(head), n))
         some = self.row[term] >= 0
         self.dense[self.row[term[some]], example[some]] = value[some]
         term, example, value = term[~some], example[~some], value[~some]
         order = np.lexsort((example, term))
-        term, self.example, self.value = term[order], example[order].astype(np.int32), value[order]
-        key = term * max(1, blocks) + self.example // BLOCK
-        begin = np.flatnonzero(np.diff(key, prepend=-1))
-        self.entry = np.append(begin, len(key))
-        self.block = (key[begin] % max(1, blocks)).astype(np.int32)
-        self.bound = np.maximum.reduceat(self.value, begin) if len(begin) else np.empty(0)
-        self.first = np.searchsorted(term[begin], np.arange(width + 1))
+        # Of the type bincount counts in: it would copy any other for every text.
+        term, self.example, self.value = term[order], example[order].astype(np.intp), value[order]
+        self.first = np.searchsorted(term, np.arange(width + 1))
 
     def head_scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """text x example: the part of the cosine that the dense words make up."""
@@ -229,18 +219,10 @@ class Index:
         score = self.head_scores([(terms, v)])[0] if score is None else score
         if but >= 0:
             score[but] = -1e9
-        least = np.partition(score[:n], n - k)[n - k] if n > k else 0.0
         begin, end = self.first[terms], self.first[terms + 1]
-        at, w = _ranges(begin, end), np.repeat(v, end - begin)
-        block = self.block[at]
-        upper = score.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weights=w * self.bound[at],
-                                                                   minlength=len(score) // BLOCK)
-        live = np.flatnonzero((upper >= least - 2e-9)[block])  # what another block adds cannot change the result
-        begin, end = self.entry[at[live]], self.entry[at[live] + 1]
         p = _ranges(begin, end)
         example, value = self.example[p], self.value[p]
-        score = score + np.bincount(example, weights=np.repeat(w[live], end - begin) * value, minlength=len(score))
-        score = score[:n]
+        score = score + np.bincount(example, weights=np.repeat(v, end - begin) * value, minlength=n)
         least = np.partition(score, n - k)[n - k] if n > k else 0.0
         found = np.flatnonzero((score >= least - 2e-9) & (score > 0))
         similar = np.round(score[found], 9)
@@ -250,8 +232,10 @@ class Index:
             return found[best], similar[best]
         v = v * marks[terms]
         part = self.head_scores([(terms, v)])[0] if part is None else part
-        w = np.repeat(v, self.first[terms + 1] - self.first[terms])[live]
-        part = part + np.bincount(example, weights=np.repeat(w, end - begin) * value, minlength=len(part))
+        near = np.zeros(n, dtype=bool)
+        near[found[best]] = True
+        some = np.flatnonzero(near[example])  # only the neighbours' postings
+        part = part + np.bincount(example[some], weights=np.repeat(v, end - begin)[some] * value[some], minlength=n)
         return found[best], similar[best], part[found[best]]
 
     def vote(self, examples: np.ndarray, similarity: np.ndarray, marked: np.ndarray) -> float:
@@ -315,7 +299,7 @@ def build_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight:
     alone = float((every[blank] * y[blank]).sum() / every[blank].sum()) if blank.any() else base
     index = Index(np.empty(0), np.empty(0), np.empty(0), idf, alone, base)
     units = [index.vector(e[2], e[3]) for e in full]
-    # Similar examples side by side: their strongest term first, so that blocks have telling bounds.
+    # Similar examples side by side, by their strongest term: a text's neighbours lie close together.
     order = sorted(range(len(full)), key=lambda i: (int(full[i][2][units[i].argmax()]), -float(units[i].max()), full[i][0]))
     index.post([(full[i][2], units[i]) for i in order])
     index.ids = np.array([full[i][0] for i in order], dtype=np.int64)

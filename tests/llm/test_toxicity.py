@@ -146,3 +146,11 @@ def test_scores_equal_brute_force(spark):
         if alike.any():
             p = (T.VOTE * p + alike.max() * (alike * y[near]).sum() / alike.sum()) / (T.VOTE + alike.max())
         assert abs(got[i].score - p) < 1e-4, (i, got[i].score, p)
+
+
+def test_a_posting_is_met_once_and_counted_without_a_copy():
+    """Bounds of blocks skipped next to nothing here and cost more than the postings; bincount copies other types."""
+    index = T.Index(np.arange(3), np.ones(3), np.ones(3), np.ones(500), 0.5, 0.5)
+    index.post([(np.arange(i, 500, 2), np.full(len(range(i, 500, 2)), 0.1)) for i in (0, 1, 0)])
+    assert index.example.dtype == np.intp and index.dense.shape == (400, 3)
+    assert index.first[-1] == len(index.example) == 100 and len(index.first) == 501
