@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from carthouse import session as S
+from carthouse.functions.ids import packed_id, unpacked_id
 from carthouse.functions.items import parse_item_json
+from carthouse.operators import aggregates as A
 from carthouse.plans import batch as B
 from carthouse.sources import fixtures as X
 from carthouse.sources import tables as TB
@@ -132,3 +134,73 @@ def test_what_is_written_is_compact_and_state_is_dropped(spark, tmp_path):
     with S.rocksdb_state(spark):
         assert int(spark.conf.get(key)) == S.STATE_BATCHES_KEPT
     assert spark.conf.get(key) == own
+
+
+def test_ids_go_as_bytes_and_come_back(spark):
+    texts = ["3c1d7a52-6f0e-4b1c-9d77-0a5b8e2f4c10", "", "p", "x" * 16, "3C1D7A52-6F0E-4B1C-9D77-0A5B8E2F4C10", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "id string").select("id", packed_id("id").alias("b"))
+    got = rows.select("id", F.length("b").alias("n"), unpacked_id("b").alias("back")).collect()
+    assert [r["back"] for r in got] == texts and [r["n"] for r in got] == [16, 17, 18, 33, 53, None]
+
+
+def test_an_addition_is_written_once_with_the_shared_keys_sums(spark, tmp_path, monkeypatch):
+    """The stored and the added rows meet on their common days only, whether few or many."""
+    for sent in (100_000, 0):
+        monkeypatch.setattr(TB, "ROWS_SENT", sent)
+        t = TB.item_quantity_table(spark, str(tmp_path / f"t{sent}"))
+        assert t.add(_quantity_rows(spark, range(1, 10)), {"quantity": 0}, "a")
+        assert len(t.version().runs) == 1  # nothing was stored before
+        assert t.add(_quantity_rows(spark, range(9, 20)), {"quantity": 0}, "b", note=lambda: "told afterwards")
+        first, added, sums = t.version().runs
+        assert [r["day"] for r in t._scan([sums]).collect()] == [9] and t.applied("")["note"] == "told afterwards"
+        assert sorted(r["day"] for r in t._scan([added]).collect()) == list(range(9, 20))
+        assert not t.add(_quantity_rows(spark, [25]), {"quantity": 0}, "c", note=lambda: "")  # nothing to note: nothing added
+        assert len(t.version().runs) == 3
+        assert {r["day"]: r["quantity"] for r in t.read().collect()} == {d: 2 if d == 9 else 1 for d in range(1, 20)}
+
+
+def test_only_shared_days_are_merged_when_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(TB, "APART_BYTES", 0)
+    for name, buckets in (("t", None), ("b", 4)):
+        t = TB.item_quantity_table(spark, str(tmp_path / name), buckets=buckets)
+        t.upsert(_quantity_rows(spark, range(1, 10)), 0)
+        t.upsert(_quantity_rows(spark, range(9, 15)).withColumn("quantity", F.lit(7).cast("long")), 1)
+        shared = t._shared(t.version().runs)
+        assert {r["day"] for r in t._scan(t.version().runs).where(shared).collect()} == {9}
+        assert {r["day"]: r["quantity"] for r in t.read().collect()} == {d: 1 if d < 9 else 7 for d in range(1, 15)}
+        monkeypatch.setattr(TB, "CELLS_NAMED", 0)
+        assert t._shared(t.version().runs) is None and t.read().count() == 14
+        monkeypatch.setattr(TB, "CELLS_NAMED", 2_000)
+
+
+def test_dealt_rows_are_combined_and_written_without_another_shuffle(spark, tmp_path):
+    t = TB.item_quantity_table(spark, str(tmp_path / "t"))
+    items = spark.range(1000).select(
+        (F.col("id") % 5).cast("string").alias("vendor_id"), F.col("id").cast("string").alias("product_id"),
+        (2018 + F.col("id") % 2).cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"),
+        F.lit(1).alias("day"), F.lit(1).alias("quantity"),
+        F.lit("n").alias("name"), F.col("id").alias("offset_ts"), F.col("id").cast("string").alias("offset"))
+    totals = A.item_quantity_by_day(items, deal=lambda rows: t.dealt(rows, 9 * TB.ROWS_PER_TASK))
+    plan = _plan(totals)
+    assert plan.count("Exchange ") + plan.count("Exchange(") == 1 and "rangepartitioning" in plan and "9)" in plan
+    t.upsert(totals, 0, placed=True)
+    assert t.read().count() == 1000 and t.read().where("length(product_id) > 0").agg(F.sum("quantity")).first()[0] == 1000
+
+
+def test_keys_without_a_row_are_found_absent(spark, tmp_path):
+    t = TB.item_quantity_table(spark, str(tmp_path / "t"))
+    for n in range(2):
+        t.upsert(_quantity_rows(spark, [1, 2 + n]).withColumn("quantity", F.lit(n + 1).cast("long")), n)
+        keys = _quantity_rows(spark, [1, 5]).select(*t.key)
+        assert {r["day"]: r["quantity"] for r in t.read_keys(keys, absent=True).collect()} == {1: n + 1, 5: None}
+
+
+def test_a_micro_batch_leaves_one_file_a_month(spark, tmp_path):
+    """Without AQE, as a stream plans its batches, every task would write a file into every month."""
+    t = TB.item_quantity_table(spark, str(tmp_path / "t"))
+    rows = spark.range(0, 4000, 1, 8).select(
+        F.col("id").cast("string").alias("vendor_id"), F.lit("p").alias("product_id"), F.lit(2018).alias("year"),
+        (F.col("id") % 12 + 1).cast("int").alias("month"), F.lit(1).alias("day"), F.col("id").alias("quantity"), F.lit("n").alias("name"))
+    with S.settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        t.upsert(rows, 0)
+    assert len(glob.glob(str(tmp_path / "t" / "runs" / "*" / "*" / "*" / "*.parquet"))) == 12
