@@ -204,3 +204,9 @@ def test_a_micro_batch_leaves_one_file_a_month(spark, tmp_path):
     with S.settings(spark, {"spark.sql.adaptive.enabled": "false"}):
         t.upsert(rows, 0)
     assert len(glob.glob(str(tmp_path / "t" / "runs" / "*" / "*" / "*" / "*.parquet"))) == 12
+
+
+def test_streams_drop_their_old_state_and_shuffle_files_soon(spark):
+    with S.rocksdb_state(spark):
+        assert spark.conf.get("spark.sql.streaming.stateStore.maintenanceInterval") in ("10s", "10000")
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
