@@ -22,6 +22,7 @@ columns through untouched whatever their names.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,8 +46,9 @@ SAMPLE_DOCS = 1500
 #: Texts decoded side by side hold about this many characters, fewer the more languages there are beyond WIDE.
 PASS_CHARS = 1 << 20
 WIDE = 8
-#: Weights of n-grams added up at once.
-PASS_WEIGHTS = 1 << 22
+#: Letters whose n-grams are held at once, and weights of n-grams added up at once.
+PASS_LETTERS = 1 << 16
+PASS_WEIGHTS = 1 << 18
 
 #: The first and last code points of the scripts that are told apart.
 SCRIPTS = (
@@ -102,6 +104,16 @@ def words_of(texts: list[str]) -> Words:
     return Words(lower[points], starts, ends, script[points[starts]], np.searchsorted(starts, edges), edges)
 
 
+def stretches(w: Words) -> Iterator[Words]:
+    """``w`` in stretches of words that hold about PASS_LETTERS letters each."""
+    upto = np.cumsum(w.ends - w.starts)
+    a = 0
+    while a < len(upto):
+        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PASS_LETTERS)) + 1
+        yield Words(w.points, w.starts[a:b], w.ends[a:b], w.script[a:b], w.first, w.edges)
+        a = min(b, len(upto))
+
+
 def gram_slots(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The hashed n-grams (all orders, a word's edges included) of all words, and the word each belongs to."""
     length = w.ends - w.starts
@@ -147,7 +159,8 @@ def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams, letters = np.zeros(SLOTS * len(ORDERS)), np.zeros(len(SCRIPT_NAMES))
     for a, b in X.passes(texts):
         w = words_of(texts[a:b])
-        grams += np.bincount(gram_slots(w)[0], minlength=len(grams))
+        for some in stretches(w):
+            grams += np.bincount(gram_slots(some)[0], minlength=len(grams))
         letters += np.bincount(w.script, weights=(w.ends - w.starts), minlength=len(letters))
     seen = np.flatnonzero(grams)
     return seen.astype(np.int32), grams[seen], letters
@@ -182,9 +195,15 @@ def word_scores(m: Model, w: Words) -> np.ndarray:
     h = X.hash_spans(w.points, w.starts, w.ends)
     _, where, back = np.unique(h, return_index=True, return_inverse=True)
     some = Words(w.points, w.starts[where], w.ends[where], w.script[where], w.first, w.edges)
+    return np.concatenate([_distinct_scores(m, x) for x in stretches(some)])[back]
+
+
+def _distinct_scores(m: Model, some: Words) -> np.ndarray:
+    """The scores of a stretch of distinct words; what a word gets does not depend on the others."""
+    width, words = len(m.languages), len(some.starts)
     slots, owner = gram_slots(some)
-    held = np.bincount(owner * len(ORDERS) + slots // SLOTS, minlength=len(where) * len(ORDERS))
-    scores = held.reshape(len(where), len(ORDERS)) @ m.floor
+    held = np.bincount(owner * len(ORDERS) + slots // SLOTS, minlength=words * len(ORDERS))
+    scores = held.reshape(words, len(ORDERS)) @ m.floor
     order = np.argsort(owner, kind="stable")  # so that a part of the n-grams adds to a stretch of the words
     slots, owner = slots[order], owner[order]
     n = m.first[slots + 1] - m.first[slots]
@@ -192,6 +211,9 @@ def word_scores(m: Model, w: Words) -> np.ndarray:
     a = 0
     while a < len(slots):
         b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PASS_WEIGHTS, side="right")))
+        if b < len(slots):  # whole words, but for one that holds more weights than a pass
+            begun = int(np.searchsorted(owner, owner[b]))
+            b = begun if begun > a else b
         at = np.arange(int(n[a:b].sum())) + np.repeat(m.first[slots[a:b]] - (upto[a:b] - n[a:b] - (upto[a - 1] if a else 0)), n[a:b])
         lo, hi = owner[a], owner[b - 1] + 1
         cell = np.repeat(owner[a:b] - lo, n[a:b]) * width + m.language[at]
@@ -200,7 +222,7 @@ def word_scores(m: Model, w: Words) -> np.ndarray:
     allowed = m.allowed[some.script]
     scores[~allowed] = -np.inf
     scores[~allowed.any(axis=1)] = 0
-    return scores.astype(np.float32)[back]
+    return scores.astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> np.ndarray:

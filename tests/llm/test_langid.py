@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -117,6 +118,38 @@ def test_word_scores_equal_a_full_table(monkeypatch):
         assert np.allclose(got[allowed], want[allowed], atol=1e-4) and np.isinf(got[~allowed]).all()
 
 
+def _random_words(n):
+    rnd = random.Random(6)
+    return " ".join("".join(rnd.choice("abcdefghijklmnoprstuvz") for _ in range(7)) for _ in range(n))
+
+
+def test_answers_do_not_depend_on_what_is_held_at_once(monkeypatch):
+    """Counts and scores are the same bits, however many words and weights go into one stretch."""
+    texts = [f"{EN} {DE}", "garden " + "straße" * 40, "", _random_words(300)]
+    want = langid.count_grams(texts)
+    m = langid.learn({"de": langid.count_grams([DE]), "en": langid.count_grams([EN]), "xx": want}, {})
+    scores = langid.word_scores(m, langid.words_of(texts))
+    for letters, weights in ((1, langid.PASS_WEIGHTS), (50, 4000), (1 << 20, 4000)):
+        monkeypatch.setattr(langid, "PASS_LETTERS", letters)
+        monkeypatch.setattr(langid, "PASS_WEIGHTS", weights)
+        assert all(np.array_equal(a, b) for a, b in zip(langid.count_grams(texts), want))
+        assert np.array_equal(langid.word_scores(m, langid.words_of(texts)), scores)
+
+
+def test_memory_of_distinct_words():
+    """A pass of distinct words holds the n-grams of a stretch of them at once, in learning and in labelling."""
+    text = _random_words(1 << 17)  # a whole pass of characters
+    counted = langid.count_grams([text[:1 << 17]])
+    m = langid.learn({x: counted for x in ("de", "en", "es", "fr")}, {})
+    list(langid.predict(m, [EN]))
+    for work in (lambda: langid.count_grams([text]), lambda: list(langid.predict(m, [text]))):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100e6
+
+
 def test_many_languages(spark):
     """300 labels, each with words of its own: no limit, and every one is told apart."""
     rnd = random.Random(4)
