@@ -21,10 +21,10 @@ checkpoint stands).
 
 from __future__ import annotations
 
-import heapq
 import json
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -128,27 +128,26 @@ class JournalReader(DataSourceStreamReader):
             for _, high, _, file, g in sorted(groups, key=lambda g: -g[1]):
                 if high < newest[0]:
                     break
-                newest = max(self._offsets(file, g, newest), default=newest)
+                newest = _last(self._offsets(file, g, newest)) or newest
             return newest
-        best: list = []  # a heap of the least pairs, greatest first
+        found, bound = [], None  # the least pairs so far and, where they are enough, the greatest of them
         for low, _, _, file, g in groups:
-            if len(best) == self.max_events and low > best[0].pair[0]:
+            if bound is not None and low > bound[0]:
                 break
-            for pair in self._offsets(file, g, position):
-                if len(best) < self.max_events:
-                    heapq.heappush(best, _Greatest(pair))
-                elif pair < best[0].pair:
-                    heapq.heapreplace(best, _Greatest(pair))
-        return best[0].pair if best else position
-
-    def _offsets(self, file: str, group: int, position: tuple) -> list[tuple]:
-        """(time, id) of a row group's events after ``position`` and up to ``until``."""
+            found.append(self._offsets(file, g, position, bound))
+            if sum(len(rows) for rows in found) >= 2 * self.max_events:
+                rows, bound = _least(found, self.max_events)
+                found = [rows]
+        rows, _ = _least(found, self.max_events)
+        return _last(rows) or position
+
+    def _offsets(self, file: str, group: int, position: tuple, upto: tuple | None = None) -> pa.Table:
+        """(time, id) of a row group's events after ``position`` and up to ``until``, or a lesser ``upto``."""
         files, path = pafs.FileSystem.from_uri(file)
         with files.open_input_file(path) as opened:
             rows = pq.ParquetFile(opened).read_row_group(group, columns=["offset_ts", "offset"])
-        upto = self.until or (2 ** 63 - 1, "\U0010ffff")
-        rows = rows.filter(_between(rows.column("offset_ts"), rows.column("offset"), position, upto))
-        return list(zip(rows.column("offset_ts").to_pylist(), rows.column("offset").to_pylist()))
+        upto = upto or self.until or (2 ** 63 - 1, "\U0010ffff")
+        return rows.filter(_between(rows.column("offset_ts"), rows.column("offset"), position, upto))
 
     def _checkpointed(self) -> tuple:
         """The end of the newest batch the query's checkpoint has planned."""
@@ -163,14 +162,27 @@ class JournalReader(DataSourceStreamReader):
             return _pair(json.loads(opened.read().decode().splitlines()[-1]))
 
 
-class _Greatest:
-    """Orders a heap greatest first."""
-
-    def __init__(self, pair: tuple):
-        self.pair = pair
-
-    def __lt__(self, other) -> bool:
-        return self.pair > other.pair
+def _least(found: list, most: int) -> tuple[pa.Table | None, tuple | None]:
+    """(the ``most`` least pairs and any that equal the greatest of them, that one or None where there are fewer)."""
+    if not found:
+        return None, None
+    rows = pa.concat_tables(found)
+    if len(rows) < most:
+        return rows, None
+    times = rows.column("offset_ts").to_numpy()
+    at = int(np.partition(times, most - 1)[most - 1])
+    tied = rows.column("offset").filter(pc.equal(rows.column("offset_ts"), at))
+    ids = tied.take(pc.sort_indices(tied))
+    bound = at, ids[most - int((times < at).sum()) - 1].as_py()
+    return rows.filter(_between(rows.column("offset_ts"), rows.column("offset"), FIRST, bound)), bound
+
+
+def _last(rows: pa.Table | None) -> tuple | None:
+    """The greatest pair."""
+    if rows is None or not len(rows):
+        return None
+    at = pc.max(rows.column("offset_ts"))
+    return at.as_py(), pc.max(rows.column("offset").filter(pc.equal(rows.column("offset_ts"), at))).as_py()
 
 
 def _offset(pair: tuple) -> dict:

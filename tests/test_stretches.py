@@ -1,0 +1,40 @@
+"""The journal source reads a stretch of time, not whole files, and ends a batch without Python objects for its events."""
+
+import glob
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from carthouse.operators.projections import tag_events
+from carthouse.schemas import JOURNAL
+from carthouse.sources import events as EV
+from carthouse.sources.journal import write_journal
+
+
+def test_small_row_groups_let_a_stretch_skip_the_rest_of_a_file(spark, tmp_path):
+    item = F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in (
+        ("product_id", "string", "p"), ("vendor_id", "string", "v"), ("name", "string", "n"), ("price", "double", 1), ("quantity", "int", 1))])
+    rows = spark.range(0, 20_000, 1, 1).select(
+        F.lit("cart-m").alias("persistence_id"), F.col("id").alias("seq_nr"), F.md5(F.col("id").cast("string")).alias("offset"),
+        F.col("id").alias("offset_ts"), F.lit("ItemPurchased").alias("event_type"), F.sha2(F.col("id").cast("string"), 256).alias("cart_id"),
+        item.alias("item"), F.lit(None).cast("int").alias("amount"), F.sha2(F.col("id").cast("string"), 512).alias("event_time"))
+    path = str(tmp_path / "j")
+    write_journal(tag_events(rows).select(*JOURNAL.fieldNames()), path, row_group_bytes=1 << 18)
+    (file,) = glob.glob(f"{path}/tag=item-purchased/*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 4
+    reader = EV.JournalReader(None, {"path": path, "tag": "item-purchased"})
+    (one,) = reader.partitions({"ts": 10_000, "id": ""}, {"ts": 10_100, "id": "z"})
+    assert len(one.groups) <= 2
+
+
+def test_the_end_of_a_batch_is_the_least_of_many_pairs():
+    pairs = [(t, f"{(t * 7 + n) % 10}") for t in range(6, 0, -1) for n in range(4)] + [(3, "5")]
+    tables = [pa.table({"offset_ts": [t for t, _ in part], "offset": [i for _, i in part]}) for part in (pairs[:9], pairs[9:])]
+    for most in (1, 5, 9, 10, 11, len(pairs)):
+        rows, bound = EV._least(tables, most)
+        least = sorted(pairs)[:most]
+        assert bound == least[-1] == EV._last(rows)
+        assert sorted(zip(*rows.to_pydict().values())) == [p for p in sorted(pairs) if p <= bound]
+    assert EV._least(tables, 99)[1] is None and EV._last(EV._least(tables, 99)[0]) == max(pairs)
+    assert EV._least([], 3) == (None, None)
